@@ -10,6 +10,69 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """A public vocabulary's place; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _held_out(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text from its maximal scoring segments."""
+    from . import toxicity
+
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op2_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that also start in an earlier document."""
+    from . import substring_dedup
+
+    found = substring_dedup.deduplicate(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def op3_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as ORC files and read back."""
+    from . import token_files
+    from .common import new_path
+
+    path = new_path(spark, "tokens")
+    token_files.write(documents(spark, sf_dir), path, tokenizer("byte_bpe_50k.json"))
+    return token_files.checked(token_files.read(spark, path))
+
+
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules that vote or abstain, weighed by expectation maximisation."""
+    from . import quality_rules
+
+    found = quality_rules.judged(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    from . import packing
+
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a factorisation machine."""
+    from . import quality_classifier
+
+    docs = documents(spark, sf_dir)
+    found = quality_classifier.score(docs, quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have similarity 0.8 or more."""
     from . import near_dedup
@@ -25,10 +88,23 @@ def op8_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {
-    "op7_minmax_near_dedup": op7_minmax_near_dedup,
-    "op8_heavy_hitter_dedup": op8_heavy_hitter_dedup,
-}
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's time slot in a mix of the sources at tempered weights, blocks of 64 rows."""
+    from . import mixing
+
+    docs = documents(spark, sf_dir)
+    return mixing.schedule(docs, mixing.tempered(docs), block_rows=64)
+
+
+def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes, by fixed virtual slots; equal texts share a shard."""
+    from . import sharding
+
+    rows, _ = sharding.shard(documents(spark, sf_dir), shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxic_segments, op2_count_min_substrings, op3_orc_token_files, op4_weak_supervision, op5_certified_packing, op6_factorisation_machine, op7_minmax_near_dedup, op8_heavy_hitter_dedup, op9_pfair_mixing, op10_virtual_slots)}
 
 ORACLES = {
     "op7_minmax_near_dedup": r"""
@@ -42,8 +118,8 @@ l AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
 ), r AS (
-  SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.at
-), c AS (SELECT id, min(at) AS component_id FROM r GROUP BY id)
+  SELECT doc_id AS id, doc_id AS node FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.node
+), c AS (SELECT id, min(node) AS component_id FROM r GROUP BY id)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.id = s.doc_id
 """,
     "op8_heavy_hitter_dedup": r"""
