@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, within, without, written
+from .common import small_batches, table, within, without, written
 
 #: Misra-Gries counters per summary; also fixes the broadcast winners' bound (2 * counters rows of 56 bytes).
 COUNTERS = 2048
@@ -58,6 +58,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counter
     alone keeps keep_id null and kept true. Null text equals empty text. An
     empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = written(digests(docs, text).select(F.col(doc_id).alias("doc_id"), "digest"), "digests")
     hot = frequent(rows, counters)
     stats = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]

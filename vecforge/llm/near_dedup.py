@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, rounds, table, within, without, written
+from .common import components, rounds, small_batches, table, within, without, written
 
 #: Differing low bits, of 128, beyond which a pair is not looked at: 6 standard deviations over what similarity 0.8 gives.
 SKETCH_BITS = 34
@@ -194,6 +194,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
     returned with a null component and kept true. Empty tables give no rows;
     other columns are not read.
     """
+    small_batches(docs.sparkSession)
     p = params
     signed = written(_signed(docs, doc_id, text, p), "signed")
     known = signed.where("doc_id is not null and n_shingles > 0")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .tokenize import encoder
 
 CAPACITY = 2048
@@ -135,6 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
         return repack
 
+    small_batches(docs.sparkSession)
     rows = written(_first(docs, tokenizer, doc_id, text), "packed")
     done, level = rows.where("not given"), 1
     left = rows.where("given")

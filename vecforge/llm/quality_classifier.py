@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import rounds, table
+from .common import rounds, small_batches, table
 from .toxicity import _labelled
 
 #: Labelled rows that a model is fitted on, at most, by hash order of their ids.
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
                 cut = [slice(bounds[i], bounds[i + 1]) for i in range(b - a)]
                 yield table(["id", "y", "i", "x", "d"], [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), [index[c].astype(np.int32) for c in cut], [value[c].astype(np.float32) for c in cut], list(dense)], types)
 
+    small_batches(docs.sparkSession)
     sample = _labelled(docs, labels, label, doc_id, text, SAMPLE_ROWS).select("doc_id", "text", "y")
     rows = sample.mapInArrow(extract, "id long, y int, i array<int>, x array<float>, d array<double>").toArrow().sort_by("id")
     index, value = (np.concatenate([np.zeros(0), *(np.asarray(v.values) for v in rows.column(c))]) for c in ("i", "x"))
@@ -169,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
 def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text. Null and empty texts score by their statistics; null ids and repeated rows like others; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):

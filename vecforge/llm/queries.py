@@ -107,6 +107,18 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxic_segments, op2_count_min_substrings, op3_orc_token_files, op4_weak_supervision, op5_certified_packing, op6_factorisation_machine, op7_minmax_near_dedup, op8_heavy_hitter_dedup, op9_pfair_mixing, op10_virtual_slots)}
 
 ORACLES = {
+    "op2_count_min_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM w),
+x AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS x FROM i),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS first FROM x),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM m, range(0, 13) r(k) WHERE first < doc_id),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (SELECT p.doc_id, count(*) FILTER (c.p IS NOT NULL) AS n_removed, coalesce(string_agg(p.w[p.p], ' ' ORDER BY p.p) FILTER (c.p IS NULL), '') AS kept
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+""",
     "op7_minmax_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

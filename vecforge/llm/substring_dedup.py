@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import rounds, table, written
+from .common import rounds, small_batches, table, written
 
 WIDTH = 13
 INNER = 6
@@ -129,6 +129,7 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     smaller id. Rows with a null id and null texts have no windows. Rows
     repeated under one id are one document.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     maps = _sketch(docs, doc_id, text, width)
     none = "doc_id long, starts array<int>"

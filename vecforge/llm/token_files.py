@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .tokenize import encoder
 
 ORC = {
@@ -34,6 +34,7 @@ _SCHEMA = "part int, at long, doc_id long, n_tokens long, ids array<int>"
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode all texts (null: empty), append `end_id`, write in ascending doc_id order. Null ids come first, equal ids in order of their text's hash."""
 
+    small_batches(docs.sparkSession)
     def encode(batches):
         enc, task, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import rounds, table
+from .common import rounds, small_batches, table
 
 #: Labelled rows that a model is fitted on, at most, by hash order of their ids.
 SAMPLE_ROWS = 20_000
@@ -110,6 +110,7 @@ def _tokens(texts: pa.Array):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn from labelled documents (crc32(id) mod 5 in 1 to 3; 4 calibrates; 0 is never read). Without labels of both kinds, nothing is toxic."""
     spark = docs.sparkSession
+    small_batches(spark)
     sample = _labelled(docs, labels, label, doc_id, text, SAMPLE_ROWS).persist()
 
     def present(batches):
@@ -212,6 +213,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     in tokens. Null and empty texts have no tokens and score by that. Null ids
     and repeated rows are scored like others; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "score", "n_tokens", "best", "passages"]
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
