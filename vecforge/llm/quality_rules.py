@@ -2,8 +2,8 @@
 
 Each rule votes good (1), votes bad (-1) or abstains (0). The votes of all
 documents are counted by vote pattern, at most 3 ** len(RULES) rows; expectation
-maximisation over that table estimates how often each rule is right about good
-and about bad documents and how many documents are good. A document's score is
+maximisation over that table estimates how each rule votes on good and on bad
+documents and how many documents are good. A document's score is
 its posterior probability of being good; no single rule can reject it.
 """
 
@@ -25,7 +25,7 @@ RULES: dict[str, tuple[str, str]] = {
     "repetition": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words and n_words >= 10"),
     "symbols": ("100 * n_symbols > 6 * word_chars", "false"),
     "symbol_runs": ("100 * n_symbol_runs > 25 * n_words", "false"),
-    "lines": ("100 * n_dup_lines > 30 * n_lines", "false"),
+    "lines": ("100 * n_dup_lines > 50 * n_lines", "false"),
     "word_length": ("word_chars < 3 * n_words or word_chars > 12 * n_words or n_words = 0", "word_chars between 4 * n_words and 9 * n_words and n_words > 0"),
     "capitals": ("100 * n_capitals > 30 * word_chars", "false"),
     "shouting": ("100 * n_shouts > 25 * n_words", "false"),
@@ -70,57 +70,67 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 @dataclass
 class Fitted:
-    """Share of good documents; by rule, how often its votes on good and on bad documents are right."""
+    """Share of good documents; by rule the chances of the votes (-1, 0, 1) on good and on bad documents."""
 
     good: float
-    right_good: dict[str, float]
-    right_bad: dict[str, float]
+    on_good: dict[str, list[float]]
+    on_bad: dict[str, list[float]]
 
     def posterior(self):
         """Column of the posterior probability of good, from the columns vote_<rule>."""
         logit = F.lit(math.log(self.good / (1 - self.good)))
-        for r, a in self.right_good.items():
-            b, vote = self.right_bad[r], F.col(f"vote_{r}")
-            logit = logit + F.when(vote == 1, math.log(a / (1 - b))).when(vote == -1, math.log((1 - a) / b)).otherwise(0.0)
+        for r, chances in self.on_good.items():
+            weight = [math.log(g / b) for g, b in zip(chances, self.on_bad[r], strict=True)]
+            vote = F.col(f"vote_{r}")
+            logit = logit + F.when(vote == -1, weight[0]).when(vote == 1, weight[2]).otherwise(weight[1])
         return 1 / (1 + F.exp(-logit))
 
 
+#: Pseudo-counts of the votes (-1, 0, 1) on good and on bad documents.
+PRIOR = ((0.2, 4.4, 5.4), (3.0, 4.0, 3.0))
+#: A rule votes bad on a good document at most this often.
+FALSE_ALARM = 0.02
+
+
 def votes(stats: DataFrame) -> DataFrame:
     cases = [F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end").alias(f"vote_{r}") for r, (bad, good) in RULES.items()]
     return stats.select("*", *cases)
 
 
-def fit(voted: DataFrame, rounds: int = 30) -> Fitted:
-    """Expectation maximisation over the counted patterns, from accuracies of 0.8 and a good share of 0.8.
+def fit(voted: DataFrame, rounds: int = 40) -> Fitted:
+    """Expectation maximisation over the counted patterns.
 
-    Accuracies stay in 0.55 to 0.995 and the share in 0.05 to 0.95, with one
-    document's worth of smoothing, so an empty table gives the start values.
+    It starts from "a document with a bad vote is bad" (held at 0.95), which
+    all-must-pass filtering would take for final. Chances are smoothed by
+    PRIOR, a rule's false alarms stay under FALSE_ALARM, so a rule that seldom
+    agrees with others keeps its meaning, and the good share stays in 0.05 to
+    0.95. An empty table gives the priors.
     """
     names = list(RULES)
     counted = voted.groupBy(*[f"vote_{r}" for r in names]).count().collect()  # 3 ** len(RULES) rows at most
     patterns = sorted((tuple(r[:-1]), r[-1]) for r in counted)
-    bound = lambda x, low, high: min(high, max(low, x))
-    good, a, b = 0.8, [0.8] * len(names), [0.8] * len(names)
-    for _ in range(rounds):
-        total = mass = 0.0
-        right, seen = [[0.0] * len(names) for _ in range(2)], [[0.0] * len(names) for _ in range(2)]
+    chances = [[[x / sum(PRIOR[y]) for x in PRIOR[y]] for _ in names] for y in (0, 1)]
+    good, first = 0.8, True
+    for _ in range(rounds if patterns else 0):
+        mass = [0.0, 0.0]
+        seen = [[list(PRIOR[y]) for _ in names] for y in (0, 1)]
         for pattern, n in patterns:
-            logit = math.log(good / (1 - good))
-            for j, v in enumerate(pattern):
-                logit += math.log(a[j] / (1 - b[j])) if v == 1 else math.log((1 - a[j]) / b[j]) if v == -1 else 0.0
-            p = 1 / (1 + math.exp(-bound(logit, -500, 500)))
-            total, mass = total + n, mass + n * p
-            for j, v in enumerate(pattern):
-                if v:
-                    seen[0][j] += n * p
-                    seen[1][j] += n * (1 - p)
-                    right[0 if v == 1 else 1][j] += n * (p if v == 1 else 1 - p)
-        if not total:
-            break
-        good = bound(mass / total, 0.05, 0.95)
-        a = [bound((right[0][j] + 0.8) / (seen[0][j] + 1), 0.55, 0.995) for j in range(len(names))]
-        b = [bound((right[1][j] + 0.8) / (seen[1][j] + 1), 0.55, 0.995) for j in range(len(names))]
-    return Fitted(good, dict(zip(names, a, strict=True)), dict(zip(names, b, strict=True)))
+            logit = math.log(good / (1 - good)) + sum(math.log(chances[0][j][v + 1] / chances[1][j][v + 1]) for j, v in enumerate(pattern))
+            p = 1 / (1 + math.exp(-min(500.0, max(-500.0, logit))))
+            if first:
+                p = 0.05 if -1 in pattern else 0.95
+            for y, w in ((0, n * p), (1, n * (1 - p))):
+                mass[y] += w
+                for j, v in enumerate(pattern):
+                    seen[y][j][v + 1] += w
+        first = False
+        good = min(0.95, max(0.05, mass[0] / sum(mass)))
+        chances = [[[x / sum(row) for x in row] for row in seen[y]] for y in (0, 1)]
+        for j, (alarm, rest, agree) in enumerate(chances[0]):
+            if alarm > FALSE_ALARM:
+                k = (1 - FALSE_ALARM) / (rest + agree)
+                chances[0][j] = [FALSE_ALARM, rest * k, agree * k]
+    return Fitted(good, *(dict(zip(names, chances[y], strict=True)) for y in (0, 1)))
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
