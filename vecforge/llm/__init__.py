@@ -1,0 +1 @@
+"""Training-data operators; nothing else in the package imports them."""
