@@ -1,0 +1 @@
+"""PySpark-native clustering and nearest-centroid search for dense vectors."""
