@@ -212,7 +212,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
     # Classes that share a bucket with another component after the pivots.
     named = linked.select(F.col("id").alias("r"), "component")
     marked = written(buckets.select("key", "u").join(named, F.col("u.rep") == F.col("r"), "left").select("key", "u", F.coalesce("component", "u.rep").alias("c")), "marked")
-    mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    mixed = written(marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
     open_ = written(marked.join(mixed, "key", "left_semi").groupBy(F.col("u.rep").alias("id")).agg(F.first("u").alias("u"), F.first("c").alias("c")), "open")
     rest = _prefix_pairs(open_, docs, doc_id, text, p)
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
