@@ -3,9 +3,10 @@
 Each task encodes its documents, cuts only those longer than a sequence, and
 packs its pieces by best-fit decreasing. Dual feasible functions give a lower
 bound on the bins that its pieces need; a task whose bins equal the bound is
-certified and done. Tasks with a gap give up their least filled bins to an
-exchange, where the documents of up to `GROUP` tasks are packed again, kept
-only if that saves bins, and so on until one group is left or no gap is.
+certified; it gives up only its least filled bin, as bounds of tasks round up.
+Tasks with a gap give up `GIVEN_BINS` bins. The documents given up by `GROUP`
+tasks are packed again, kept only if that saves bins, and so on until one group
+is left.
 Pieces move without their ids, about 60 bytes each, and only those given up.
 """
 
@@ -80,8 +81,9 @@ def _packed(pieces: pd.DataFrame, part: int, last: bool = False) -> pd.DataFrame
     bins, at, fill = best_fit(lengths)
     gap = len(fill) - lower_bound(lengths)
     given = np.zeros(len(fill), dtype=bool)
-    if gap > 0 and not last:
-        given[np.argsort(fill, kind="stable")[:GIVEN_BINS]] = True
+    if not last:
+        given[np.argsort(fill, kind="stable")[: GIVEN_BINS if gap > 0 else 1]] = True
+        given &= fill < CAPACITY
     return pieces.assign(part=part, bin=bins, offset=at, given=given[bins])[[x.split()[0] for x in _SCHEMA.split(", ")]]
 
 

@@ -11,6 +11,7 @@ copies cannot unbalance the shards. Only the slot table, bounded by
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import DataFrame
@@ -61,21 +62,25 @@ def plan(weights: dict[tuple[int, int], int], shards: int, parts: int = 2) -> di
 
 
 def rebalanced(owner: dict[tuple[int, int], int], weights: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
-    """The next version of the map for `shards` shards: new shards take the lightest slots of the fullest ones, nothing else moves."""
+    """The next version of the map for `shards` shards: new shards take slots of the fullest ones until they have their share, nothing else moves."""
     out = dict(owner)
-    load = {s: 0 for s in range(shards)}
-    for key, s in out.items():
+    load, held = {s: 0 for s in range(shards)}, {s: [] for s in range(shards)}
+    for key, s in sorted(out.items()):
         load[s] += weights.get(key, 0)
+        held[s].append((weights.get(key, 0), key))
+    for keys in held.values():
+        keys.sort()
     fair = sum(load.values()) / shards
-    for new in sorted(s for s in load if s not in set(owner.values())):
-        for key in sorted(out, key=lambda k: (-load[out[k]], weights.get(k, 0), k)):
-            s, w = out[key], weights.get(key, 0)
-            if load[new] >= fair:
+    for new in sorted(set(range(shards)) - set(owner.values())):
+        while True:
+            old = max((s for s in load if s != new), key=lambda s: (load[s], -s))
+            room = min(load[old] - fair, fair - load[new])
+            at = bisect.bisect_right(held[old], (room, (SLOTS, SALTS))) - 1  # the heaviest slot that leaves neither beyond its share
+            if at < 0:
                 break
-            if s != new and load[s] - w >= fair * 0.98 and load[new] + w <= fair * 1.02:
-                out[key] = new
-                load[s] -= w
-                load[new] += w
+            w, key = held[old].pop(at)
+            out[key] = new
+            load[old], load[new] = load[old] - w, load[new] + w
     return out
 
 

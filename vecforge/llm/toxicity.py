@@ -31,6 +31,8 @@ VOCABULARY = 50_000
 LEAST_DOCUMENTS = 3
 DRIFT = 1.0
 SIGNIFICANT = 0.05
+#: Evidence of a text without a single token that scores above zero.
+LEAST_EVIDENCE = -10.0
 
 
 @dataclass
@@ -53,7 +55,7 @@ class Model:
         excess = [self.lam * s - self.log_k - math.log(max(n, 1)) for _, _, s in found]
         least = -math.log(SIGNIFICANT)
         good = [x for x in excess if x >= least]
-        return max(excess, default=-math.log(max(n, 1)) - self.log_k), sum(good), len(good)
+        return max(excess, default=LEAST_EVIDENCE), sum(good), len(good)
 
     def probability(self, best: float, total: float) -> float:
         z = self.weights @ np.array(features(best, total))
@@ -61,7 +63,7 @@ class Model:
 
 
 def features(best: float, total: float) -> list[float]:
-    return [1.0, min(max(best, -20.0), 30.0) / 10, math.log1p(max(total, 0.0))]
+    return [1.0, min(max(best, LEAST_EVIDENCE), 30.0) / 10, math.log1p(max(total, 0.0))]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -158,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     z = odds / np.sqrt(1 / (c1 + prior * share) + 1 / (c - c1 + prior * share))
     shrunk = odds * z**2 / (z**2 + 9.0)
     model = Model(tokens, np.clip(shrunk, -4.0, 8.0) - DRIFT, -DRIFT, 1.0, 0.0, np.array([-9.0, 0.0, 0.0]))
-    model.lam = _decay(model.scores, share, float(np.mean(share)))
+    model.lam = _decay(model.scores, p0)  # chance is what other documents hold
 
     def raw(batches):
         for batch in batches:
@@ -179,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     return model
 
 
-def _decay(scores: np.ndarray, share: np.ndarray, rest: float) -> float:
-    """lambda > 0 with E[exp(lambda score)] = 1 over chance tokens; tokens outside the model score the drift."""
+def _decay(scores: np.ndarray, share: np.ndarray) -> float:
+    """lambda > 0 with E[exp(lambda score)] = 1 over chance tokens, half of which are taken to be outside the model and to score the drift."""
     weight = share / max(share.sum() * 2, 1e-9)
     low, high = 1e-3, 8.0
     for _ in range(60):
