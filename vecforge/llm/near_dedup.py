@@ -222,7 +222,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
 
     roots = reps.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", *same).join(roots, same, "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
