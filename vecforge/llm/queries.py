@@ -106,7 +106,47 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxic_segments, op2_count_min_substrings, op3_orc_token_files, op4_weak_supervision, op5_certified_packing, op6_factorisation_machine, op7_minmax_near_dedup, op8_heavy_hitter_dedup, op9_pfair_mixing, op10_virtual_slots)}
 
+
+def _rules_sql(rounds: int = 40) -> str:
+    """op4 in SQL: statistics, votes, and the rounds of expectation maximisation one after another."""
+    from .quality_rules import FALSE_ALARM, PRIOR, RULES
+
+    cases = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS vote_{r}" for r, (bad, good) in RULES.items())
+    columns = ", ".join(f"vote_{r}" for r in RULES)
+    votes = " UNION ALL ".join(f"SELECT p, n, {j} AS j, vote_{r} AS v FROM pat" for j, r in enumerate(RULES))
+    grid = ", ".join(f"({j}, {v}, {PRIOR[0][v + 1]}::DOUBLE, {PRIOR[1][v + 1]}::DOUBLE)" for j in range(len(RULES)) for v in (-1, 0, 1))
+    steps = []
+    for k in range(1, rounds + 1):
+        steps.append(f"""c{k} AS MATERIALIZED (
+  SELECT j, v, CASE WHEN a <= {FALSE_ALARM} THEN g WHEN v = -1 THEN {FALSE_ALARM} ELSE g * (1 - {FALSE_ALARM}) / (1 - a) END AS g, b
+  FROM (SELECT j, v, g, b, max(CASE WHEN v = -1 THEN g END) OVER (PARTITION BY j) AS a FROM (
+    SELECT j, v, g / sum(g) OVER (PARTITION BY j) AS g, b / sum(b) OVER (PARTITION BY j) AS b FROM (
+      SELECT d.j, d.v, d.g + coalesce(m.g, 0) AS g, d.b + coalesce(m.b, 0) AS b FROM grid d
+      LEFT JOIN (SELECT j, v, sum(pv.n * q) AS g, sum(pv.n * (1 - q)) AS b FROM pv JOIN q{k - 1} USING (p) GROUP BY j, v) m USING (j, v))))),
+q{k} AS MATERIALIZED (
+  SELECT p, pv.n, 1 / (1 + exp(-(ln(o / (1 - o)) + sum(ln(g / b))))) AS q FROM pv JOIN c{k} USING (j, v),
+    (SELECT least(0.95, greatest(0.05, sum(n * q) / sum(n))) AS o FROM q{k - 1}) GROUP BY p, pv.n, o)""")
+    return rf"""WITH w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM w)),
+u AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM u, range(0, 5) t(k) GROUP BY doc_id),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda z: regexp_matches(z, '[^\x20\x09-\x0D]')) AS l FROM w),
+s AS (SELECT l.doc_id, len(w) AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals,
+  len(regexp_extract_all(t, '[#*$%&|<>]+')) AS n_symbol_runs, len(regexp_extract_all(t, '[!?]+')) AS n_shouts, len(list_distinct(w)) AS n_distinct,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN r USING (doc_id)),
+v AS MATERIALIZED (SELECT *, {cases} FROM s),
+pat AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {columns}) AS p, {columns}, n FROM (SELECT {columns}, count(*) AS n FROM v GROUP BY {columns})),
+pv AS MATERIALIZED ({votes}),
+grid(j, v, g, b) AS MATERIALIZED (VALUES {grid}),
+q0 AS MATERIALIZED (SELECT p, n, CASE WHEN min(v) = -1 THEN 0.05 ELSE 0.95 END::DOUBLE AS q FROM pv GROUP BY p, n),
+{", ".join(steps)}
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, f AS base_failed, NOT f AND q >= 0.5 AS kept
+FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS f FROM v) JOIN pat USING ({columns}) JOIN q{rounds} USING (p)"""
+
+
 ORACLES = {
+    "op4_weak_supervision": _rules_sql(),
     "op2_count_min_substrings": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM w),
