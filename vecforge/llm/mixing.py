@@ -69,11 +69,12 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, s
 
     `place` orders a block's rows; (slot, place) is the mix's order. Rows of a
     source follow a hash of their ids. A null source is a source of its own,
-    named ''; sources without a weight come after all slots in which weighted
-    sources run (weight of one tick, shifted), so that nothing is lost. Null ids
-    and repeated rows have places like others; empty tables give no rows.
+    named ''; sources without a weight come after all weighted ones, block by
+    block in turn, so that nothing is lost. Null ids and repeated rows have
+    places like others; empty tables give no rows.
     """
     spark = docs.sparkSession
+    weights = weights or {"": 1.0}  # of an empty table
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
     rows = written(rows.withColumn("order", F.xxhash64(F.lit(3), F.col("doc_id"))).withColumn("range", F.pmod(F.col("order"), F.lit(RANGES)).cast("int")), "mix")
     counts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
