@@ -7,7 +7,8 @@ counted under its representative, the least hash among its inner runs of
 never fall short of a window's, and a text needs about a fifth of the updates.
 Blocks of counters are merged by shuffle; the bitmap "2 or more" has a fixed
 size. Second pass: only windows estimated as repeated are grouped, exactly, by
-128-bit hash. Collisions in the sketch cost work, never a result.
+128-bit hash. Collisions in the sketch cost work, never a result. Documents
+whose whole word sequence an earlier one has are settled before both passes.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import words as W
-from .common import rounds, small_batches, table, written
+from .common import rounds, small_batches, table, without, written
 
 WIDTH = 13
 INNER = 6
@@ -28,6 +30,8 @@ INNER = 6
 ROWS, LOG2_CELLS = 2, 28
 _BLOCK = 18  # log2 of the counters of one merged block
 _SEED = 13
+#: Windows that a task holds before it settles them, 32 bytes each.
+TASK_WINDOWS = 2_000_000
 
 
 def _representatives(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -122,24 +126,79 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> np.ndarray |
     return maps
 
 
+def _copies(docs: DataFrame, width: int) -> DataFrame:
+    """Documents of `width` words or more whose whole word sequence an earlier document has: all their windows go, and no other document needs theirs."""
+
+    def sequence(batches):
+        names, types = ["doc_id", "n", "s1", "s2"], [pa.int64()] * 4
+        for batch in batches:
+            for a, b in rounds(batch.column(1), W.ROUND_BYTES):
+                found = W.find(batch.column(1).slice(a, b - a))
+                count = np.diff(found.offset)
+                place = (np.arange(len(found)) - np.repeat(found.offset[:-1], count)).astype(np.uint64)
+                some = np.flatnonzero(count >= width)
+                if not len(some):
+                    continue
+                salted = [W.mix(found.hashes(k) + place * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 1)]
+                sums = [_sums(x, found.offset, some) for x in salted]
+                yield table(names, [np.asarray(batch.column(0))[a:b][some], count[some], *(x.view(np.int64) for x in sums)], types)
+
+    rows = written(docs.mapInArrow(sequence, "doc_id long, n long, s1 long, s2 long"), "sequences")
+    first = rows.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return written(rows.join(first, ["n", "s1", "s2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
+
+
+def _sums(values: np.ndarray, offset: np.ndarray, some: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return total[offset[some + 1]] - total[offset[some]]
+
+
 def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, starts): where, counted in words, a document's removed windows start; only documents with some.
+    """(doc_id, starts): where, counted in words, a document's removed windows start; only documents with some. All of a document goes: [-1].
 
     A window is removed when its word sequence also starts in a document with a
     smaller id. Rows with a null id and null texts have no windows. Rows
-    repeated under one id are one document.
+    repeated under one id are one document. Of equal windows a task meets, it
+    settles all but the earliest document's itself and shuffles only that one,
+    so the most frequent window has no more rows than there are tasks.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    maps = _sketch(docs, doc_id, text, width)
-    none = "doc_id long, starts array<int>"
+    small_batches(spark)
+    source = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    copies = _copies(source, width)
+    all_gone = copies.select("doc_id", F.array(F.lit(-1)).alias("starts"))
+    source = without(source, copies, "doc_id")
+    maps = _sketch(source, "doc_id", "text", width)
     if maps is None or not maps.any():
-        return spark.createDataFrame([], none)
+        return all_gone
     shared = spark.sparkContext.broadcast(maps)
+    names, types = ["h1", "h2", "doc_id", "at", "starts"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def settle(held):
+        """A row for each window of its earliest document here; the others' starts, already settled, one row a document without hashes."""
+        h1, h2, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((doc, h2, h1))
+        h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+        new = np.ones(len(h1), dtype=bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        later = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        d, w = doc[later], at[later]
+        order = np.lexsort((w, d))
+        d, w = d[order], w[order].astype(np.int32)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]]) if len(d) else np.zeros(1, dtype=np.int64)
+        for k in range(0, len(cut) - 1, 2000):
+            bounds = cut[k : k + 2001]
+            starts = pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(w[bounds[0] : bounds[-1]]))
+            n = len(starts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:2]] + [pa.array(d[bounds[:-1]]), pa.nulls(n, types[3]), starts], names=names)
+        h1, h2, doc, at = (x[~later] for x in (h1, h2, doc, at))
+        for k in range(0, len(h1), 100_000):
+            s = slice(k, k + 100_000)
+            n = len(h1[s])
+            yield pa.RecordBatch.from_arrays([pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64)), pa.array(doc[s]), pa.array(at[s].astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], names=names)
 
     def estimated(batches):
-        bits = shared.value
-        names, types = ["h1", "h2", "doc_id", "at"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        bits, held, n = shared.value, [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for a, b in rounds(batch.column(1), W.ROUND_BYTES):
@@ -153,19 +212,23 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                 for row, cells in enumerate(_cells(keys)):
                     hit &= (bits[row, cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
                 at = at[hit]
-                if not len(at):
-                    continue
-                h1, h2 = W.windows(one, width, 1)[at], W.windows(found.hashes(1), width, 2)[at]
-                doc = found.of_word()[at]
-                for k in range(0, len(at), 100_000):
-                    s = slice(k, k + 100_000)
-                    yield table(names, [h1[s].view(np.int64), h2[s].view(np.int64), ids[a:b][doc[s]], (at[s] - found.offset[doc[s]]).astype(np.int32)], types)
-
-    source = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    windows = source.mapInArrow(estimated, "h1 long, h2 long, doc_id long, at int")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    hits = windows.join(first, ["h1", "h2"]).where("doc_id > first")
-    return hits.groupBy("doc_id").agg(F.array_distinct(F.collect_list("at")).alias("starts"))
+                if len(at):
+                    doc = found.of_word()[at]
+                    held.append((W.windows(one, width, 1)[at], W.windows(found.hashes(1), width, 2)[at], ids[a:b][doc], at - found.offset[doc]))
+                    n += len(at)
+            if n > TASK_WINDOWS:
+                yield from settle(held)
+                held, n = [], 0
+        if held:
+            yield from settle(held)
+
+    found = source.mapInArrow(estimated, "h1 long, h2 long, doc_id long, at int, starts array<int>")
+    earliest = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    # Settled rows get a key of their own, which keeps them spread and out of every window's group.
+    keyed = found.withColumn("h2", F.coalesce("h2", F.xxhash64("doc_id"))).withColumn("first", earliest)
+    hits = keyed.where(F.col("h1").isNull() | (F.col("doc_id") > F.col("first")))
+    starts = F.array_distinct(F.concat(F.collect_list("at"), F.flatten(F.collect_list("starts"))))
+    return hits.groupBy("doc_id").agg(starts.alias("starts")).unionByName(all_gone)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -187,8 +250,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
                 if starts_.is_valid:
                     edge = np.zeros(len(words) + 1, dtype=np.int32)
                     s = np.asarray(starts_.values)
-                    edge[s] += 1
-                    edge[s + width] -= 1
+                    if s[0] < 0:
+                        edge[0] = 1
+                    else:
+                        edge[s] += 1
+                        edge[s + width] -= 1
                     stay = np.cumsum(edge[:-1]) == 0
                     gone = len(words) - int(stay.sum())
                     words = [words[i] for i in np.flatnonzero(stay)]
