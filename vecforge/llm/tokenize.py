@@ -40,6 +40,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = _byte_letters()
+_SPACE = _BYTES[32]
+#: Marks that end a word; never part of a pre-token with letters.
+_ENDS = (".", ",", "!", "?", ";", ":")
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -79,6 +82,7 @@ class PieceEncoder:
         self.keeps_space = bool(self.tok.encode(" ", add_special_tokens=False).ids)
         self.model = self.tok.model
         self.pieces = _Pieces(self, " " if self.keeps_space else "")
+        self.ends = {c: self.whole(c) for c in _ENDS}
 
     def whole(self, text: str) -> bytes:
         """The plain way: the whole tokenizer on the whole text."""
@@ -86,7 +90,15 @@ class PieceEncoder:
 
     def fresh(self, piece: str) -> bytes:
         """Ids of a piece: the model alone on the pre-tokens of a plain Latin one."""
-        body = piece[1:] if self.keeps_space and piece[:1] == " " else piece
+        led = self.keeps_space and piece[:1] == " "
+        body = piece[1:] if led else piece
+        if body.isascii():
+            if body.isalpha():  # one pre-token, whose letters stand for themselves
+                word = (_SPACE + body if led else body) if self.keeps_space else body.lower()
+                return little_endian([t.id for t in self.model.tokenize(word)])
+            if body[-1:] in _ENDS and body[:-1].isalpha():  # two: a word, seen before or again, and its mark
+                head = self.pieces[body[:-1]] if led or not self.keeps_space else self.fresh(body[:-1])
+                return head + self.ends[body[-1]]
         if not _PLAIN.fullmatch(body):
             return self.whole(piece)
         words = _KEPT.findall(piece) if self.keeps_space else _DROPPED.findall(piece.lower())
