@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -374,6 +375,37 @@ def test_schedule(spark):
     assert laid.columns == docs.columns and sorted(r.doc_id for r in laid.collect()) == list(range(1000))
 
 
+def test_slots_keep_every_source_near_its_given_weight():
+    rng = random.Random(9)
+    hot = {"hot": 30_000, **{f"large{i}": 2_500 for i in range(23)}, **{f"tiny{i}": 1 for i in range(1500)}}
+    cases = [({s: float(n) ** 0.7 for s, n in hot.items()}, hot)]
+    cases += [({f"s{i}": rng.random() ** 6 for i in range(20)}, {f"s{i}": rng.randrange(1, 400) for i in range(20)})]
+    cases += [({"a": Fraction(1, 3), "b": 5, "c": 0, "d": 1e-9}, {"a": 50, "b": 900, "c": 4, "d": 2, "e": 3})]
+    for weights, blocks in cases:
+        total = sum(Fraction(w) for w in weights.values())
+        w = {s: Fraction(x) / total for s, x in weights.items()}
+        done, last = dict.fromkeys(blocks, 0), -1
+        for n, (s, i, release, slot, due) in enumerate(mixing.slots(weights, blocks)):
+            assert i == done[s] and slot > last
+            assert release == int(i / w[s]) <= slot < due == -int(-(i + 1) / w[s] // 1)
+            done[s], last = i + 1, slot
+            if n % 997 == 0:
+                assert all(abs(done[x] - (slot + 1) * w[x]) < 1 for x in blocks if 0 < done[x] < blocks[x])
+        assert done == {s: n if weights.get(s) else 0 for s, n in blocks.items()}
+
+
+def test_mix_schedules_all_sources_and_no_zero_weights(spark):
+    docs = table(spark, ["t"] * 1400).withColumn("source", F.when(F.col("doc_id") < 300, "hot").otherwise(F.concat(F.lit("s"), "doc_id")))
+    weights = mixing.tempered(docs)
+    assert len(weights) == 1101
+    rows = mixing.schedule(docs, {**weights, "s300": 0}, block_rows=10).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(1400))
+    assert {r.source for r in rows if r.slot >= mixing.LATE} == {"s300"}
+    share = Fraction(weights["hot"]) / sum(Fraction(w) for s, w in weights.items() if s != "s300")
+    hot = {(r.block, r.slot) for r in rows if r.source == "hot"}
+    assert len(hot) == 30 and all(int(b / share) <= slot < (b + 1) / share + 1 for b, slot in hot)
+
+
 def test_sharding(spark, texts):
     docs = table(spark, [*texts, *texts, "z"], [*range(2 * len(texts)), None])
     rows, slots = sharding.shard(docs, 4)

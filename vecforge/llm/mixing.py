@@ -1,31 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights are rounded to ticks of 1 / `period`. Block i of a source of weight w is
-released at floor(i / w) and due at ceil((i + 1) / w); at each time slot the
-released block with the earliest deadline runs. As the weights sum to one, no
-deadline is missed, so after every slot each source is less than one block from
-its target, until a source has no blocks left; the others then go on in order.
-
-The schedule repeats every `period` slots. Only one period is computed, on the
-driver; a block's slot follows from it by arithmetic at any size, so nothing
-that grows with the data is collected. Every row gets exactly one place: none
-is dropped or repeated.
+Weights are taken as exact fractions w of their sum. Block i of a source of
+weight w is released at floor(i / w) and due at ceil((i + 1) / w); at each time
+slot the released block with the earliest deadline runs. As the weights sum to
+one, no deadline is missed, so after every slot each source is less than one
+block from its target, until a source has no blocks left; the others then go on
+in order.
+
+The driver computes every block's slot, one step a block (of 64 rows, say), and
+writes them out in parts; it holds the sources' weights and counts, and no
+rows. Every row gets exactly one place: none is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import BROADCAST_ROWS, new_path, written
 
 PERIOD = 4096
 #: Rows of a source are numbered by this many hash ranges at once.
 RANGES = 1024
+#: Blocks that the driver holds at once.
+PART_BLOCKS = 200_000
+#: Slots from here on belong to blocks without a weight.
+LATE = 1 << 62
 
 
 def ticks(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -44,64 +52,93 @@ def ticks(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def one_period(shares: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block within the period, slot) of one period: earliest deadline first among the released."""
-    period = sum(shares.values())
-    releases: dict[int, list[tuple[int, str, int]]] = {}
-    for s, q in shares.items():
-        w = Fraction(q, period)
-        for i in range(q):
-            releases.setdefault(int(i / w), []).append((-(-(i + 1) * period // q), s, i))
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
-        for x in releases.get(slot, []):
-            heapq.heappush(ready, x)
-        due, s, i = heapq.heappop(ready)
+def slots(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, slot, deadline) of every block, by slot: earliest deadline first among the released.
+
+    Exact at any number of sources and any skew. Sources of weight 0 have no slots.
+    """
+    if not weights or min(weights.values()) < 0 or max(weights.values()) <= 0:
+        raise ValueError("weights must be non-negative and not all 0")
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    unit = lcm(*(x.denominator for x in exact.values()))
+    whole = {s: x.numerator * (unit // x.denominator) for s, x in exact.items()}
+    total = sum(whole.values())
+    names = sorted(s for s in whole if blocks.get(s, 0) > 0)
+    share, left = [whole[s] for s in names], [blocks[s] for s in names]
+    if any(-(-n * total // q) >= LATE for n, q in zip(left, share, strict=True)):
+        raise ValueError("a weight is too small: its source's slots go beyond 2^62")
+    waiting = [(0, s, 0) for s in range(len(names))]
+    ready: list[tuple[int, int, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // share[s]), s, i, release))
+        due, s, i, release = heapq.heappop(ready)
         if slot >= due:
             raise AssertionError("a deadline was missed")
-        out.append((s, i, slot))
-    return out
+        yield names[s], i, release, slot, due
+        if i + 1 < left[s]:
+            heapq.heappush(waiting, ((i + 1) * total // share[s], s, i + 1))
+        slot += 1
+
+
+def one_period(shares: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block within the period, slot) of one period of whole ticks."""
+    return [(s, i, slot) for s, i, _, slot, _ in slots(shares, shares)]
 
 
-def schedule(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, source: str = "source", doc_id: str = "doc_id", period: int = PERIOD) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, source: str = "source", doc_id: str = "doc_id", period: int | None = None) -> DataFrame:
     """Every row's place in the mix: (doc_id, source, block, release, slot, deadline, place).
 
     `place` orders a block's rows; (slot, place) is the mix's order. Rows of a
     source follow a hash of their ids. A null source is a source of its own,
-    named ''; sources without a weight come after all weighted ones, block by
-    block in turn, so that nothing is lost. Null ids and repeated rows have
-    places like others; empty tables give no rows.
+    named ''; sources without a weight or of weight 0 come after all weighted
+    ones, block by block in turn, so that nothing is lost. Null ids and repeated
+    rows have places like others; empty tables give no rows. Weights are exact;
+    only if a `period` is given are they rounded to its ticks.
     """
-    spark = docs.sparkSession
     weights = weights or {"": 1.0}  # of an empty table
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
     rows = written(rows.withColumn("order", F.xxhash64(F.lit(3), F.col("doc_id"))).withColumn("range", F.pmod(F.col("order"), F.lit(RANGES)).cast("int")), "mix")
     counts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(counts.withColumn("start", before).select("source", "range", "start"), "starts")
+    starts = written(counts.withColumn("start", before).select("source", "range", "start", "n"), "starts")
     place = F.row_number().over(Window.partitionBy("source", "range").orderBy("order", "doc_id")) - 1
     # Sources times RANGES rows: broadcast while sources are as few as weights, joined otherwise.
     few = starts.count() <= 1_000_000
-    placed = rows.withColumn("k", place).join(F.broadcast(starts) if few else starts, ["source", "range"])
+    placed = rows.withColumn("k", place).join(F.broadcast(starts.drop("n")) if few else starts.drop("n"), ["source", "range"])
     placed = placed.select("doc_id", "source", (F.col("start") + F.col("k")).alias("at"))
-    shares = ticks(weights, period)
-    table = spark.createDataFrame([(s, i, slot, shares[s]) for s, i, slot in one_period(shares)], "source string, i int, base int, ticks int")
-    known = table.select("source", "ticks").distinct()
+    rows_of = {r.source: r.n for r in starts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    told = slots(weights if period is None else ticks(weights, period), {s: -(-n // block_rows) for s, n in rows_of.items()})
+    table, few = _slot_table(docs.sparkSession, told)
     blocks = placed.withColumn("block", F.floor(F.col("at") / block_rows)).withColumn("place", F.col("at") % block_rows)
-    blocks = blocks.join(F.broadcast(known), "source", "left").withColumn("i", F.pmod("block", F.coalesce("ticks", F.lit(1))).cast("int"))
-    out = blocks.join(F.broadcast(table.select("source", "i", "base")), ["source", "i"], "left")
-    late = F.lit(1 << 62) + F.col("block")
-    slot = F.when(F.col("ticks").isNull(), late).otherwise(F.expr("block div ticks") * period + F.col("base"))
-    release = F.when(F.col("ticks").isNull(), late).otherwise(F.expr(f"block * {period} div ticks"))
-    due = F.when(F.col("ticks").isNull(), late).otherwise(F.expr(f"((block + 1) * {period} + ticks - 1) div ticks"))
-    return out.select("doc_id", "source", F.col("block").cast("long").alias("block"), release.cast("long").alias("release"), slot.cast("long").alias("slot"), due.cast("long").alias("deadline"), F.col("place").cast("long").alias("place"))
-
-
-def tempered(docs: DataFrame, power: float = 0.7, source: str = "source", most: int = 1024) -> dict[str, float]:
-    """Target weights from the sources' shares raised to `power`, which lifts small sources; the `most` largest sources."""
-    counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).count().orderBy(F.desc("count"), "s").limit(most).collect()
-    return {r["s"]: float(r["count"]) ** power for r in counts}
+    out = blocks.join(F.broadcast(table) if few else table, ["source", "block"], "left")
+    late = F.lit(LATE) + F.col("block")
+    release, slot, due = (F.coalesce(c, late).cast("long").alias(c) for c in ("release", "slot", "deadline"))
+    return out.select("doc_id", "source", F.col("block").cast("long").alias("block"), release, slot, due, F.col("place").cast("long").alias("place"))
+
+
+def _slot_table(spark: SparkSession, told: Iterator[tuple[str, int, int, int, int]]) -> tuple[DataFrame, bool]:
+    """What slots() tells as a table in the shared folder, written part by part, and whether it may be broadcast."""
+    kinds = pa.schema([("source", pa.string()), *((c, pa.int64()) for c in ("block", "release", "slot", "deadline"))])
+    path, n = new_path(spark, "slots"), 0
+    while (part := list(islice(told, PART_BLOCKS))) or n == 0:
+        columns = list(zip(*part, strict=True)) or [()] * len(kinds)
+        df = spark.createDataFrame(pa.table([pa.array(c, type=f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds))
+        df.write.mode("append").parquet(path)
+        n += len(part)
+        if len(part) < PART_BLOCKS:
+            break
+    return spark.read.schema("source string, block long, release long, slot long, deadline long").parquet(path), n <= BROADCAST_ROWS // 4
+
+
+def tempered(docs: DataFrame, power: float = 0.7, source: str = "source") -> dict[str, float]:
+    """Target weights of all sources from their shares raised to `power`, which lifts small sources."""
+    counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).count()
+    return {r["s"]: float(r["count"]) ** power for r in counts.collect()}
 
 
 def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
