@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecforge import queries
 from vecforge.config import ClusteringError, FlatConfig, HierConfig
 from vecforge.functions import sampling as S
 from vecforge.functions import vectors as V
@@ -159,6 +160,35 @@ def test_ties_go_to_the_lowest_id(spark):
     assert padded[3].neighbor_id is None and padded[3].d2 is None
 
 
+@pytest.mark.parametrize("name", ["knn_all_topk", "knn_all_sql"])
+def test_neighbours_come_from_all_rows(spark, sf, name):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    found = queries.QUERIES[name](spark, sf).collect()
+    k = max(r.rank for r in found)
+    got = {(r.query_id, r.rank): r.neighbor_id for r in found}
+    want = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        order = [ids[i] for i in np.lexsort((ids, ((x - x[q]) ** 2).sum(axis=1))) if i != q]
+        want |= {(ids[q], r + 1): order[r] for r in range(k)}
+    assert got == want and any(n % 20 == 0 for n in got.values())
+
+
+def test_recall_compares_searches_over_all_rows(spark, sf, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(D, "collected", lambda p, f=D.collected: sizes.append(p.count()) or f(p))
+    assert queries.knn_recall(spark, sf).first()[0] == 1.0
+    assert sizes == [spark.read.parquet(f"{sf}/embeddings.parquet").count()]
+
+
+def test_own_row_is_left_out_among_copies(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "vec_id long, embedding array<float>")
+    base = v.select(F.col("vec_id").cast("int").alias("cid"), F.col("embedding").cast("array<double>").alias("centroid"))
+    for found in (D.knn(v, *D.collected(base), 3), D.knn_relational(v, base, 3, 2)):
+        got = sorted((r.query_id, r.rank, r.neighbor_id) for r in D.other_neighbors(found, 2).collect())
+        assert got == [(q, r + 1, n) for q in range(5) for r, n in enumerate([n for n in range(5) if n != q][:2])]
+
+
 def test_repairs():
     c, sizes = np.random.default_rng(0).normal(size=(6, 4)), np.array([50, 0, 30, 0, 15, 5])
     new, sz = c.copy(), sizes.copy()

@@ -123,6 +123,13 @@ def knn_relational(queries: DataFrame, points: DataFrame, k: int, d: int) -> Dat
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
 
 
+def other_neighbors(found: DataFrame, k: int) -> DataFrame:
+    """Of k + 1 neighbours a query, found among all rows, the k nearest besides the query's own row, ranked anew."""
+    anew = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    others = found.where(F.col("neighbor_id") != F.col("query_id")).withColumn("rank", anew)
+    return others.where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
+
+
 def gram(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, value): the matrix product A B^T of two vector tables, as an equi-join on the dimension."""
     left = a.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("dim", "x"))

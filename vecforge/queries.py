@@ -139,6 +139,23 @@ def knn_sql(s, sf):
     return D.knn_relational(q, p, 5, DIM).select("query_id", "rank", "neighbor_id", r6("d2").alias("d2"))
 
 
+def _queries_and_all(s, sf):
+    e = points(s, sf)
+    return e.where("vec_id % 20 = 0"), e.select(F.col("vec_id").cast("int").alias("cid"), F.col("embedding").cast("array<double>").alias("centroid"))
+
+
+def knn_all_topk(s, sf):
+    """knn_topk over all rows: only the query's own row is left out."""
+    q, p = _queries_and_all(s, sf)
+    return D.other_neighbors(D.knn(q, *D.collected(p), 11), 10).select("query_id", "rank", "neighbor_id", r6("d2").alias("d2"))
+
+
+def knn_all_sql(s, sf):
+    """knn_sql over all rows: only the query's own row is left out."""
+    q, p = _queries_and_all(s, sf)
+    return D.other_neighbors(D.knn_relational(q, p, 6, DIM), 5).select("query_id", "rank", "neighbor_id", r6("d2").alias("d2"))
+
+
 def knn_padded(s, sf):
     e = points(s, sf)
     out = D.knn(e, *D.collected(first(e, 4)), 6, pad=True)
@@ -146,8 +163,8 @@ def knn_padded(s, sf):
 
 
 def knn_recall(s, sf):
-    q, p = _queries_and_points(s, sf)
-    return M.recall(D.knn(q, *D.collected(p), 10), D.knn_relational(q, p, 10, DIM)).select(r6("recall").alias("recall"))
+    q, p = _queries_and_all(s, sf)
+    return M.recall(D.other_neighbors(D.knn(q, *D.collected(p), 11), 10), D.other_neighbors(D.knn_relational(q, p, 11, DIM), 10)).select(r6("recall").alias("recall"))
 
 
 def survivor_filter(s, sf):
@@ -346,7 +363,7 @@ def utility_functions(s, sf):
 
 _ALL = [
     l2_squared_pairs, l2_prefix_pairs, dot_pairs, norms_full, norms_partial, normalize_rows, sql_functions, gemm_gram, dot_matrix,
-    assign_sql, assign_sql_hof, assign_arrow, assign_label_centroids, assign_lineitem, knn_topk, knn_sql, knn_padded, knn_recall, survivor_filter,
+    assign_sql, assign_sql_hof, assign_arrow, assign_label_centroids, assign_lineitem, knn_topk, knn_sql, knn_all_topk, knn_all_sql, knn_padded, knn_recall, survivor_filter,
     forgy_init, train_sample, sample_sizes, centroid_update, lloyd_1, lloyd_2, lloyd_3, angular_centroids, train_stats, objective, shift_one_iter,
     cluster_sizes, balance_stats, pruning_ratios, dimension_split, tune_partial_d, rotate_norms, rotate_distances, rotate_roundtrip,
     pruned_assign, pruned_agreement, assign_training, weighted_seed, fine_budgets, hier_meso, hier_train, hier_assign, split_empty, rebalance,
@@ -390,6 +407,7 @@ def _lloyd(n: int, k: int = 16, unit: bool = False) -> str:
 _UNROLL = f"SELECT cid, (i - 1)::INTEGER AS dim, round(c[i], 6) AS value FROM {{c}}, range(1, {DIM + 1}) r(i)"
 _PAIRS = f"WITH {_E}, p AS (SELECT a.vec_id AS a_id, a.x AS a, b.x AS b FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)"
 _KNN = f"WITH {_E}, q AS (SELECT vec_id AS query_id, x FROM e WHERE vec_id % 20 = 0), p AS (SELECT vec_id::INTEGER AS neighbor_id, x AS c FROM e WHERE vec_id % 20 <> 0), d AS (SELECT query_id, neighbor_id, {_D2.format(a='x', b='c')} AS d2 FROM q, p), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbor_id)::INTEGER AS rank FROM d)"
+_KNN_ALL = f"WITH {_E}, q AS (SELECT vec_id AS query_id, x FROM e WHERE vec_id % 20 = 0), p AS (SELECT vec_id::INTEGER AS neighbor_id, x AS c FROM e), d AS (SELECT query_id, neighbor_id, {_D2.format(a='x', b='c')} AS d2 FROM q, p WHERE neighbor_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbor_id)::INTEGER AS rank FROM d)"
 _HALF = "floor({x} + 0.5)"
 
 ORACLES = {
@@ -411,6 +429,8 @@ e AS (SELECT vec_id, min(x) AS x FROM v GROUP BY vec_id), {_first(32)}, n AS (SE
 t AS (SELECT arg_min(cid, (d2, cid)) AS cid, min(d2) AS d2 FROM d GROUP BY rid) SELECT cid, count(*) AS size, round(sum(d2), 3) AS cost FROM t GROUP BY cid""",
     "knn_topk": f"{_KNN} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 10",
     "knn_sql": f"{_KNN} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 5",
+    "knn_all_topk": f"{_KNN_ALL} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 10",
+    "knn_all_sql": f"{_KNN_ALL} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 5",
     "knn_padded": f"WITH {_E}, {_first(4)}, d AS (SELECT vec_id AS query_id, cid, {_D2.format(a='x', b='c')} AS d2 FROM e, c0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, cid)::INTEGER AS rank FROM d) SELECT query_id, rank, cid AS neighbor_id, round(d2, 6) AS d2 FROM r UNION ALL SELECT vec_id, i::INTEGER, -1, -1.0 FROM e, range(5, 7) t(i)",
     "knn_recall": "SELECT 1.0::DOUBLE AS recall",
     "survivor_filter": f"WITH {_E}, {_first(16)} SELECT vec_id, cid, round({_D2.format(a='x[1:32]', b='c[1:32]')}, 6) AS d2 FROM e, c0 WHERE {_D2.format(a='x[1:32]', b='c[1:32]')} < 0.8",
