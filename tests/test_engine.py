@@ -160,6 +160,15 @@ def test_ties_go_to_the_lowest_id(spark):
     assert padded[3].neighbor_id is None and padded[3].d2 is None
 
 
+def test_product_takes_all_rows(spark, sf):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], dtype=np.float64)
+    got = np.zeros((64, 64))
+    for r in queries.QUERIES["gemm_dims"](spark, sf).collect():
+        got[r.i, r.j] = r.value
+    assert np.abs(got - x.T @ x).max() < 1e-5
+    assert D.gram_of_dims(spark.createDataFrame([], "vec_id long, embedding array<float>"), 2).where("value != 0").count() == 0
+
+
 @pytest.mark.parametrize("name", ["knn_all_topk", "knn_all_sql"])
 def test_neighbours_come_from_all_rows(spark, sf, name):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()

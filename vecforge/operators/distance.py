@@ -138,6 +138,21 @@ def gram(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "dim").groupBy("i", "j").agg(F.sum(product).alias("value"))
 
 
+def gram_of_dims(df: DataFrame, d: int) -> DataFrame:
+    """(i, j, value): X^T X of all rows by dimension. Each task sums its rows' products; d * d rows a task shuffle."""
+
+    def kernel(batches):
+        out = np.zeros((d, d))
+        for batch in batches:
+            x = matrix(batch.column(1), d)
+            out += x.T @ x
+        at = np.arange(d, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, d)), pa.array(np.tile(at, d)), pa.array(out.ravel())], names=["i", "j", "value"])
+
+    parts = df.select("vec_id", "embedding").mapInArrow(kernel, "i int, j int, value double")
+    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
 def dot_products(df: DataFrame, c: np.ndarray, effective_d: int | None = None) -> DataFrame:
     """(vec_id, dots): products with each row of c over the first `effective_d` dimensions."""
     e = c.shape[1] if effective_d is None else min(effective_d, c.shape[1])

@@ -85,6 +85,11 @@ def gemm_gram(s, sf):
     return D.gram(e.where("vec_id < 40"), e.where("vec_id < 25")).select("i", "j", r6("value").alias("value"))
 
 
+def gemm_dims(s, sf):
+    """X^T X of all vectors: the whole table's product, with DIM * DIM rows at any size."""
+    return D.gram_of_dims(points(s, sf), DIM).select("i", "j", r6("value").alias("value"))
+
+
 def dot_matrix(s, sf):
     e = points(s, sf)
     _, c = D.collected(first(e, 16))
@@ -362,7 +367,7 @@ def utility_functions(s, sf):
 
 
 _ALL = [
-    l2_squared_pairs, l2_prefix_pairs, dot_pairs, norms_full, norms_partial, normalize_rows, sql_functions, gemm_gram, dot_matrix,
+    l2_squared_pairs, l2_prefix_pairs, dot_pairs, norms_full, norms_partial, normalize_rows, sql_functions, gemm_gram, gemm_dims, dot_matrix,
     assign_sql, assign_sql_hof, assign_arrow, assign_label_centroids, assign_lineitem, knn_topk, knn_sql, knn_all_topk, knn_all_sql, knn_padded, knn_recall, survivor_filter,
     forgy_init, train_sample, sample_sizes, centroid_update, lloyd_1, lloyd_2, lloyd_3, angular_centroids, train_stats, objective, shift_one_iter,
     cluster_sizes, balance_stats, pruning_ratios, dimension_split, tune_partial_d, rotate_norms, rotate_distances, rotate_roundtrip,
@@ -419,6 +424,7 @@ ORACLES = {
     "normalize_rows": f"WITH {_E} SELECT vec_id, (i - 1)::INTEGER AS dim, round(x[i] * 3 / greatest(sqrt({_N2.format(a='list_transform(x, lambda y: y * 3)')}), 1.1920929e-7), 6) AS value FROM e, range(1, {DIM + 1}) r(i)",
     "sql_functions": f"{_PAIRS} SELECT a_id, round({_D2.format(a='a', b='b')}, 6) AS d2, round({_DOT.format(a='a', b='b')}, 6) AS dot, round({_N2.format(a='a')}, 6) AS norm2 FROM p",
     "gemm_gram": f"WITH {_E} SELECT a.vec_id AS i, b.vec_id AS j, round({_DOT.format(a='a.x', b='b.x')}, 6) AS value FROM e a, e b WHERE a.vec_id < 40 AND b.vec_id < 25",
+    "gemm_dims": f"WITH {_E} SELECT (r.i - 1)::INTEGER AS i, (s.j - 1)::INTEGER AS j, round(sum(x[r.i] * x[s.j]), 6) AS value FROM e, range(1, {DIM + 1}) r(i), range(1, {DIM + 1}) s(j) GROUP BY r.i, s.j",
     "dot_matrix": f"WITH {_E}, {_first(16)} SELECT vec_id, cid, round({_DOT.format(a='x[1:32]', b='c[1:32]')}, 6) AS dot FROM e, c0",
     "assign_sql": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
     "assign_sql_hof": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
