@@ -434,3 +434,26 @@ def test_map_edits_move_little():
     hot = {**weights, **{(999, k): 40_000 for k in range(4)}}  # one slot of a fifth of all bytes is cut
     parts = sharding.plan(hot, 8)
     assert len({parts[999, k] for k in range(4)}) > 1
+
+
+def test_stored_map_is_kept_and_edited(spark, texts):
+    path = new_path(spark, "test-map")
+    docs = table(spark, texts)
+    rows, slots = sharding.shard(docs, 4, path=path)
+    before = {r.doc_id: r.shard for r in rows.collect()}
+    assert sharding.stored(spark, path)[0] == 1 and {r.version for r in slots.collect()} == {1}
+    again, _ = sharding.shard(docs, 4, path=path)
+    assert {r.doc_id: r.shard for r in again.collect()} == before and sharding.stored(spark, path)[0] == 1
+    more = [f"more {i} " * (1 + 9 * i) for i in range(300)]  # heavy enough for another plan
+    rows, slots = sharding.shard(table(spark, [*texts, *more]), 4, path=path)
+    grown = {r.doc_id: r.shard for r in rows.collect()}
+    assert len(grown) == len(texts) + 300 and all(grown[i] == s for i, s in before.items())
+    assert sharding.stored(spark, path)[0] == 2 and {r.version for r in slots.collect()} == {2}
+    assert sharding.rebalance(spark, path, sharding.weights_of(slots), 5) == 3
+    rows, slots = sharding.shard(table(spark, [*texts, *more]), 5, path=path)
+    moved = {r.doc_id: r.shard for r in rows.collect()}
+    assert all(moved[i] in (s, 4) for i, s in grown.items()) and 4 in moved.values()
+    assert {r.version for r in slots.collect()} == {3} and sharding.stored(spark, path, 2)[1] != sharding.stored(spark, path, 3)[1]
+    with pytest.raises(ValueError):
+        sharding.shard(docs, 4, path=path)
+    assert sharding.shard(docs.limit(0), 5, path=path)[0].count() == 0

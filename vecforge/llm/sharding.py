@@ -1,8 +1,9 @@
 """Sharding over fixed virtual slots.
 
 A record's slot comes from a hash and never changes. Bytes are summed per slot,
-and a small versioned map says which shard owns each slot; rebalancing and
-growing edit the map, not the records. Slots hash the text, so equal texts
+and a small versioned map, stored as a table, says which shard owns each slot;
+rebalancing and growing write its next version and move only the slots they
+must. Slots hash the text, so equal texts
 share a slot and a shard; a slot heavier than `1 / parts` of a shard's fair
 share is cut by the record's id into sub-slots, so that one huge group of
 copies cannot unbalance the shards. Only the slot table, bounded by
@@ -14,15 +15,16 @@ from __future__ import annotations
 import bisect
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import new_path, written
 
 SLOTS = 4096
 #: Sub-slots of each slot; a slot's records are numbered by sub-slot, so no task holds a whole slot.
 SALTS = 16
+MAP = "version int, vslot int, salt int, shard int"
 
 
 def slotted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,9 +86,71 @@ def rebalanced(owner: dict[tuple[int, int], int], weights: dict[tuple[int, int],
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def store(spark: SparkSession, path: str, version: int, owner: dict[tuple[int, int], int]) -> None:
+    """Write one version of the map, (version, vslot, salt, shard), to its own folder under `path`; a version is never overwritten."""
+    rows = [(version, slot, salt, s) for (slot, salt), s in sorted(owner.items())]
+    spark.createDataFrame(rows, MAP).coalesce(1).write.parquet(f"{path}/version={version:08d}")
+
+
+def stored(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[tuple[int, int], int]]:
+    """A stored version of the map, the latest unless told; version 0 is empty and means that nothing is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(folder)] if files.exists(folder) else []
+    done = {int(p.getName()[8:]) for p in found if p.getName().startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+    version = max(done, default=0) if version is None else version
+    if version == 0:
+        return 0, {}
+    if version not in done:
+        raise ValueError(f"version {version} of the slot map is not stored")
+    rows = spark.read.schema(MAP).parquet(f"{path}/version={version:08d}").collect()  # SLOTS * SALTS at most
+    return version, {(r.vslot, r.salt): r.shard for r in rows}
+
+
+def extended(owner: dict[tuple[int, int], int], weights: dict[tuple[int, int], int], shards: int, parts: int = 2) -> dict[tuple[int, int], int]:
+    """The map with owners for sub-slots it lacks: a slot kept whole takes them to its shard, others go to the lightest shard. Nothing moves."""
+    out, homes, load = dict(owner), {}, dict.fromkeys(range(shards), 0)
+    for key, s in owner.items():
+        homes.setdefault(key[0], set()).add(s)
+        load[s] += weights.get(key, 0)
+    lacking: dict[int, list[tuple[int, int]]] = {}
+    for key in sorted(weights):
+        if key not in owner:
+            lacking.setdefault(key[0], []).append(key)
+    units, limit = [], sum(weights.values()) / shards / parts
+    for slot, keys in lacking.items():
+        home, w = homes.get(slot, set()), sum(weights[k] for k in keys)
+        units += [(w, keys, home)] if len(home) == 1 or (not home and w <= limit) else [(weights[k], [k], home) for k in keys]
+    for w, keys, home in sorted(units, key=lambda u: (-u[0], u[1])):
+        s = min(home) if len(home) == 1 else min(load, key=lambda s: (load[s], s))
+        out.update(dict.fromkeys(keys, s))
+        load[s] += w
+    return out
+
+
+def rebalance(spark: SparkSession, path: str, weights: dict[tuple[int, int], int], shards: int) -> int:
+    """Store rebalanced() of the latest map as the next version and return its number."""
+    version, owner = stored(spark, path)
+    if version == 0:
+        raise ValueError("no slot map is stored")
+    store(spark, path, version + 1, rebalanced(owner, weights, shards))
+    return version + 1
+
+
+def weights_of(slots: DataFrame) -> dict[tuple[int, int], int]:
+    """Bytes of each sub-slot from the map that shard() returns."""
+    return {(r.vslot, r.salt): r.bytes for r in slots.select("vslot", "salt", "bytes").collect()}
+
+
+def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The records with their shard and place, and the slot map.
 
+    `path` holds the stored map, a new one in the shared folder if not told.
+    Records go where its latest version says. Without one, version 1 is planned
+    and stored; sub-slots that a stored map lacks are added as the next version.
+    Either way the map is read back before records are placed. A map with fewer
+    shards needs rebalance() first, one with more is refused.
+
     Records: (doc_id, size, text_crc32, shard, slot), slot numbering a shard's
     records from 0 without gaps. Map: (version, vslot, salt, bytes, rows, shard,
     first), first being the place of a sub-slot's first record. Null ids, null
@@ -94,14 +158,20 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     as one value for the hash). An empty table gives no records and an empty map.
     """
     spark = docs.sparkSession
+    path = new_path(spark, "slot-map") if path is None else path
     rows = written(slotted(docs, doc_id, text), "slotted")
     sums = rows.groupBy("vslot", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()  # SLOTS * SALTS at most
-    weights = {(r.vslot, r.salt): r.bytes for r in sums}
-    owner, count = plan(weights, shards), {(r.vslot, r.salt): r.rows for r in sums}
+    weights, count = {(r.vslot, r.salt): r.bytes for r in sums}, {(r.vslot, r.salt): r.rows for r in sums}
+    version, owner = stored(spark, path)
+    if any(s >= shards for s in owner.values()):
+        raise ValueError(f"the stored map has shards beyond {shards}")
+    if weights.keys() - owner.keys():
+        store(spark, path, version + 1, extended(owner, weights, shards) if owner else plan(weights, shards))
+        version, owner = stored(spark, path, version + 1)
     first, table = dict.fromkeys(range(shards), 0), []
-    for key in sorted(owner):
+    for key in sorted(weights):
         s = owner[key]
-        table.append((1, *key, weights[key], count[key], s, first[s]))
+        table.append((version, *key, weights[key], count[key], s, first[s]))
         first[s] += count[key]
     slots = spark.createDataFrame(table, "version int, vslot int, salt int, bytes long, rows long, shard int, first long")
     place = F.row_number().over(Window.partitionBy("vslot", "salt").orderBy("doc_id", "text_crc32")) - 1
