@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from vecforge.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_files, toxicity
 from vecforge.llm import words as W
@@ -78,6 +79,15 @@ def test_cached_encoding_is_exact(name, texts):
     assert enc.encode([None, ""]) == [b"", b""]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoding_equals_a_fresh_tokenizer(name, texts):
+    plain, rng = Tokenizer.from_file(tokenizer(name)), random.Random(2)
+    parts = [" ", "a", "The", "\n", ".", "é", "中", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>"]
+    some = ["a <|endoftext|> b", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 15))) for _ in range(2000)), *(t for t in texts if t and len(t) < 20_000)]
+    got = PieceEncoder(tokenizer(name)).encode(some)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ output, and most occurrences repeat. Both public vocabularies used here never
 merge across an ASCII space, so a text is cut at its spaces, equal pieces are
 encoded once, and the ids of a text are put together from its pieces. A text
 in which a cut could change a whitespace run (two spaces in a row, vocabulary
-that keeps white space only) is encoded whole. `tests/llm` compares every path
+that keeps white space only) or that holds an added token's literal, such as
+<|endoftext|>, is encoded whole. `tests/llm` compares every path
 with a plain `encode` of the whole text.
 
 Ids travel as little-endian unsigned 32-bit integers, ready for CRCs and files.
@@ -77,7 +78,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        #: Texts that hold one of these are encoded whole: the library takes it out before it looks for words.
+        self.literals = tuple(x.content for x in added if x.content)
+        # A token that is sought in the normalised text could appear anywhere: then every text is encoded whole.
+        self.cuts = self.tok.normalizer is None or not any(x.normalized for x in added)
         # A vocabulary that keeps white space has a piece's leading space in its first token.
         self.keeps_space = bool(self.tok.encode(" ", add_special_tokens=False).ids)
         self.model = self.tok.model
@@ -109,6 +114,8 @@ class PieceEncoder:
         """Ids of one text; null and empty texts have none."""
         if not text:
             return b""
+        if not self.cuts or any(x in text for x in self.literals):
+            return self.whole(text)
         if not self.keeps_space:
             return b"".join(map(self.pieces.__getitem__, text.split(" ")))
         if "  " in text:
