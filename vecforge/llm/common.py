@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +17,33 @@ BROADCAST_ROWS = 1_000_000
 _OWN: dict[str, str] = {}
 
 
-#: Rows in a batch between the JVM and Python: with texts of some KB, a few MB, so two workers fit beside a small heap.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch between the JVM and Python: a few MB, so two workers fit beside a small heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_ROWS; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Hold the session's Arrow batches to BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if not 0 < bytes_of(spark.conf.get(size)) <= BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
+
+
+def lean(kernel: Callable) -> Callable:
+    """A kernel for mapInArrow that gives its memory back when its task ends; the worker lives on, and serves other operators too."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -115,7 +134,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             yield table(["a", "b"], [nodes[k : k + 100_000], roots[k : k + 100_000]], [pa.int64(), pa.int64()])
 
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    near = written(both.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).mapInArrow(forest, "a long, b long"), "forest")
+    near = written(both.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).mapInArrow(lean(forest), "a long, b long"), "forest")
     links = near.where("a != b")
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "labels")

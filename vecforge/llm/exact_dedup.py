@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, table, within, without, written
+from .common import lean, small_batches, table, within, without, written
 
 #: Misra-Gries counters per summary; also fixes the broadcast winners' bound (2 * counters rows of 56 bytes).
 COUNTERS = 2048
@@ -44,7 +44,7 @@ def frequent(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
             yield table(["digest", "held"], [list(held), list(held.values())], [pa.binary(), pa.int64()])
 
     total = rows.count()
-    found = rows.select("digest").mapInArrow(summary, "digest binary, held long").groupBy("digest").agg(F.sum("held").alias("held"))
+    found = rows.select("digest").mapInArrow(lean(summary), "digest binary, held long").groupBy("digest").agg(F.sum("held").alias("held"))
     # Summaries fall short by at most total / (counters + 1): half of the share asked for stays in sight.
     return found.where(F.col("held") > total / (2.0 * counters)).select("digest")
 

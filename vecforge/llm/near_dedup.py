@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, rounds, small_batches, table, within, without, written
+from .common import components, lean, rounds, small_batches, table, within, without, written
 
 #: Differing low bits, of 128, beyond which a pair is not looked at: 6 standard deviations over what similarity 0.8 gives.
 SKETCH_BITS = 34
@@ -103,7 +103,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, p: Params) -> DataFrame:
             yield table(names, [batch.column(0).cast(pa.int64()), *out], types)
 
     schema = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, bits1 long, bits2 long"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(sign), schema)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, p: Params) -> DataFrame:
@@ -115,7 +115,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, p: Par
             yield table(["id", "shingles"], [batch.column(0), [s.view(np.int64) for s in sets_of(batch.column(1), p)]], [pa.int64(), pa.list_(pa.int64())])
 
     wanted = within(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), ids, "doc_id")
-    sets = written(wanted.mapInArrow(shingle, "id long, shingles array<long>"), "sets").dropDuplicates(["id"])
+    sets = written(wanted.mapInArrow(lean(shingle), "id long, shingles array<long>"), "sets").dropDuplicates(["id"])
 
     def compare(batches):
         for batch in batches:
@@ -128,7 +128,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, p: Par
 
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     second = first.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return second.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return second.select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
 
 def _prefix_pairs(open_: DataFrame, docs: DataFrame, doc_id: str, text: str, p: Params) -> DataFrame:
@@ -155,7 +155,7 @@ def _prefix_pairs(open_: DataFrame, docs: DataFrame, doc_id: str, text: str, p:
             yield table(["id", "odd", "shingles"], [batch.column(0), odd, [s.view(np.int64) for s in sets]], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])
 
     wanted = within(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), ids, "doc_id").dropDuplicates(["doc_id"])
-    sets = written(wanted.mapInArrow(shingle, "id long, odd array<long>, shingles array<long>"), "shingles")
+    sets = written(wanted.mapInArrow(lean(shingle), "id long, odd array<long>, shingles array<long>"), "shingles")
     held = sets.select("id", F.explode("shingles").alias("shingle"))
     often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = held.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))

@@ -13,6 +13,7 @@ Pieces move without their ids, about 60 bytes each, and only those given up.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import lean, small_batches, written
 from .tokenize import encoder
 
 CAPACITY = 2048
@@ -30,6 +31,7 @@ CAPACITY = 2048
 GIVEN_BINS, GROUP = 32, 32
 #: Pieces that a task packs at once.
 TASK_PIECES = 500_000
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, given boolean"
 
 
@@ -90,12 +92,14 @@ def _packed(pieces: pd.DataFrame, part: int, last: bool = False) -> pd.DataFrame
 def _first(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame:
     def pack(batches) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer), TaskContext.get().partitionId()
-        rows: list[tuple[int | None, int, int, int, int]] = []
+        rows = [array("q") for _ in range(6)]  # _PIECE, and 1 where the id is null
         flushed = 0
 
         def flush():
-            pieces = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-            rows.clear()
+            pieces = pd.DataFrame(dict(zip(_PIECE, (np.array(x, dtype=np.int64) for x in rows), strict=False)))
+            pieces["doc_id"] = pd.arrays.IntegerArray(pieces["doc_id"].to_numpy(), np.array(rows[5], dtype=bool))
+            for x in rows:
+                del x[:]
             return pa.RecordBatch.from_pandas(_packed(pieces, flushed << 24 | task), schema=arrow, preserve_index=False)
 
         for batch in batches:
@@ -105,15 +109,16 @@ def _first(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
                     ids += b"\0\0\0\0"
                     for p, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                         cut = ids[at : at + 4 * CAPACITY]
-                        rows.append((i, p, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                if len(rows) >= TASK_PIECES:
+                        for column, x in zip(rows, (i or 0, p, at // 4, len(cut) // 4, zlib.crc32(cut), i is None), strict=True):
+                            column.append(x)
+                if len(rows[0]) >= TASK_PIECES:
                     yield flush()
                     flushed += 1
-        if rows:
+        if rows[0]:
             yield flush()
 
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "part", "bin", "offset")), ("given", pa.bool_())])
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, _SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(pack), _SCHEMA)
 
 
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

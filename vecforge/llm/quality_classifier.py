@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import rounds, small_batches, table
+from .common import lean, rounds, small_batches, table
 from .toxicity import _labelled
 
 #: Labelled rows that a model is fitted on, at most, by hash order of their ids.
@@ -179,4 +179,4 @@ def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "
                 z = shared.value.logits(*features(batch.column(1).slice(a, b - a)))
                 yield table(["doc_id", "score"], [batch.column(0).slice(a, b - a), 1 / (1 + np.exp(-np.clip(z, -30, 30)))], [pa.int64(), pa.float64()])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(scan), "doc_id long, score double")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import rounds, small_batches, table, without, written
+from .common import lean, rounds, small_batches, table, without, written
 
 WIDTH = 13
 INNER = 6
@@ -115,7 +115,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> np.ndarray |
             one[cells] = True
         return pdf.iloc[:1].assign(cells=[np.packbits(two, bitorder="little").tobytes()])[["block", "cells"]]
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(add, "block int, cells binary")
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(lean(add), "block int, cells binary")
     merged = written(parts.groupBy("block").applyInPandas(merge, "block int, cells binary"), "sketch")
     maps = None
     for r in merged.toLocalIterator():  # ROWS * 2 ** (LOG2_CELLS - 18) blocks of 32 KB at most
@@ -143,7 +143,7 @@ def _copies(docs: DataFrame, width: int) -> DataFrame:
                 sums = [_sums(x, found.offset, some) for x in salted]
                 yield table(names, [np.asarray(batch.column(0))[a:b][some], count[some], *(x.view(np.int64) for x in sums)], types)
 
-    rows = written(docs.mapInArrow(sequence, "doc_id long, n long, s1 long, s2 long"), "sequences")
+    rows = written(docs.mapInArrow(lean(sequence), "doc_id long, n long, s1 long, s2 long"), "sequences")
     first = rows.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     return written(rows.join(first, ["n", "s1", "s2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
 
@@ -222,7 +222,7 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         if held:
             yield from settle(held)
 
-    found = source.mapInArrow(estimated, "h1 long, h2 long, doc_id long, at int, starts array<int>")
+    found = source.mapInArrow(lean(estimated), "h1 long, h2 long, doc_id long, at int, starts array<int>")
     earliest = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     # Settled rows get a key of their own, which keeps them spread and out of every window's group.
     keyed = found.withColumn("h2", F.coalesce("h2", F.xxhash64("doc_id"))).withColumn("first", earliest)
@@ -263,7 +263,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
                 kept.append(" ".join(words))
             yield table(names, [batch.column(0), n_words, n_removed, kept], types)
 
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.mapInArrow(lean(cut), "doc_id long, n_words long, n_removed long, kept string")
 
 
 _TO_SPACE = {c: " " for c in (9, 10, 11, 12, 13)}

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import lean, small_batches, table
 from .tokenize import encoder
 
 ORC = {
@@ -54,7 +54,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    laid.mapInArrow(encode, _SCHEMA).write.options(**ORC).orc(path)
+    laid.mapInArrow(lean(encode), _SCHEMA).write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -82,4 +82,4 @@ def checked(rows: DataFrame) -> DataFrame:
             found = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield table(["doc_id", "start", "n_tokens", "ids_crc32"], [*batch.columns[:3], found], [pa.int64()] * 4)
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(lean(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,13 +1,15 @@
 """Exact, cached encoding of whole texts with the `tokenizers` library.
 
 Running a BPE model over every word occurrence is the dominating cost of token
-output, and most occurrences repeat. Both public vocabularies used here never
-merge across an ASCII space, so a text is cut at its spaces, equal pieces are
-encoded once, and the ids of a text are put together from its pieces. A text
-in which a cut could change a whitespace run (two spaces in a row, vocabulary
-that keeps white space only) or that holds an added token's literal, such as
-<|endoftext|>, is encoded whole. `tests/llm` compares every path
-with a plain `encode` of the whole text.
+output, and most occurrences repeat. For two kinds of vocabulary files, told by
+the rules that the file itself states, pre-tokens of plain Latin pieces are found here:
+byte-level BPE that keeps white space, and BPE with word ends that drops it.
+Neither merges across an ASCII space, so a text is cut at its spaces, equal
+pieces are encoded once, and the ids of a text are put together from its
+pieces. A text in which a cut could change a whitespace run (two spaces in a
+row, vocabulary that keeps white space only) or that holds an added token's
+literal, such as <|endoftext|>, is encoded whole; of any other kind of file,
+every text is. `tests/llm` compares every path with a fresh tokenizer.
 
 Ids travel as little-endian unsigned 32-bit integers, ready for CRCs and files.
 """
@@ -15,15 +17,19 @@ Ids travel as little-endian unsigned 32-bit integers, ready for CRCs and files.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import sys
 from array import array
 
-#: Distinct pieces that a worker remembers (about 250 bytes each); beyond it the memory starts anew.
-CACHE_PIECES = 800_000
+#: Distinct pieces that a worker remembers (about 150 bytes each, 60 MB); beyond it the memory starts anew.
+CACHE_PIECES = 400_000
 #: Pieces longer than this are not worth remembering.
 LONG_PIECE = 100
+# The splitting rules of the two public kinds of vocabulary, as their files and the library state them.
+KEPT_RULE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+DROPPED_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces of these characters alone are cut into pre-tokens here: no space but the line feed, no rare letters.
 _PLAIN = re.compile("[\\n!-~À-ÿ]*")
@@ -54,6 +60,24 @@ def little_endian(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def rule(path: str) -> str:
+    """What is known of a file's splitting: `kept` or `dropped` white space, or nothing."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    told["model"] = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges")}
+    model, normal, pre = told["model"], told["normalizer"], told["pre_tokenizer"] or {}
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not plain or told.get("post_processor") or told.get("truncation") or told.get("padding") or (normal is not None and any(x["normalized"] for x in told["added_tokens"])):
+        return ""
+    if normal is None and not model["end_of_word_suffix"] and KEPT_RULE.items() <= pre.items():
+        return "kept"
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in (normal or {}).get("normalizers", [])]
+    cuts = [(x["type"], x.get("pattern"), x.get("invert"), x.get("behavior"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre.get("pretokenizers", [])]
+    if steps == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)] and cuts == [("Split", {"Regex": DROPPED_RULE}, True, "Removed", None, None), ("ByteLevel", None, None, None, False, False)]:
+        return "dropped"
+    return ""
+
+
 class _Pieces(dict):
     """Ids by piece; a piece that is looked up for the first time is encoded."""
 
@@ -78,13 +102,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = self.tok.get_added_tokens_decoder().values()
         #: Texts that hold one of these are encoded whole: the library takes it out before it looks for words.
-        self.literals = tuple(x.content for x in added if x.content)
-        # A token that is sought in the normalised text could appear anywhere: then every text is encoded whole.
-        self.cuts = self.tok.normalizer is None or not any(x.normalized for x in added)
+        self.literals = tuple(x.content for x in self.tok.get_added_tokens_decoder().values() if x.content)
+        told = rule(path)
+        self.cuts = bool(told)
         # A vocabulary that keeps white space has a piece's leading space in its first token.
-        self.keeps_space = bool(self.tok.encode(" ", add_special_tokens=False).ids)
+        self.keeps_space = told == "kept"
         self.model = self.tok.model
         self.pieces = _Pieces(self, " " if self.keeps_space else "")
         self.ends = {c: self.whole(c) for c in _ENDS}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import rounds, small_batches, table
+from .common import lean, rounds, small_batches, table
 
 #: Labelled rows that a model is fitted on, at most, by hash order of their ids.
 SAMPLE_ROWS = 20_000
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     learn, check = sample.where("fold != 4"), sample.where("fold = 4")
     sizes = {r.y: r.n for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sum(sizes.values()) - sizes.get(1, 0))
-    counts = learn.select("text", "y").mapInArrow(present, "token long, y long").groupBy("token").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_DOCUMENTS)
+    counts = learn.select("text", "y").mapInArrow(lean(present), "token long, y long").groupBy("token").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_DOCUMENTS)
     lift = F.abs(F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c") - F.col("c1") + 0.5) / (n0 + 1)))
     rows = counts.orderBy(F.desc(lift * F.sqrt("c")), "token").limit(VOCABULARY).collect() if n1 and n0 else []
     if not rows:
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         seen = np.flatnonzero(total)
         yield table(["at", "n"], [seen, total[seen]], [pa.int64(), pa.int64()])
 
-    held = docs.select(F.col(text).alias("text")).mapInArrow(corpus, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # VOCABULARY + 1 rows at most
+    held = docs.select(F.col(text).alias("text")).mapInArrow(lean(corpus), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # VOCABULARY + 1 rows at most
+    shared.destroy()
     spread = np.zeros(len(tokens) + 1)
     for r in held:
         spread[r["at"]] = r.n
@@ -171,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
             yield table(["y", "s", "n"], [batch.column(1), [x[0] for x in out], [x[1] for x in out]], [pa.int32(), pa.list_(pa.float64()), pa.int64()])
 
     shared_model = spark.sparkContext.broadcast(model)
-    scored = check.select("text", F.col("y").cast("int").alias("y")).mapInArrow(raw, "y int, s array<double>, n long").collect()  # SAMPLE_ROWS at most
+    scored = check.select("text", F.col("y").cast("int").alias("y")).mapInArrow(lean(raw), "y int, s array<double>, n long").collect()  # SAMPLE_ROWS at most
+    shared_model.destroy()
     sample.unpersist()
     excess = [model.lam * max(r.s) - math.log(r.n) for r in scored if r.y == 0 and r.s]
     model.log_k = (float(np.mean(excess)) - 0.5772) if excess else 0.0  # the mean of a Gumbel variable
@@ -237,4 +239,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             yield table(names, [batch.column(0), *out], [pa.int64(), pa.float64(), pa.int64(), pa.float64(), passage])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, score double, n_tokens long, best double, passages array<struct<start:int,end:int,score:double,expected:double>>")
+    return rows.mapInArrow(lean(scan), "doc_id long, score double, n_tokens long, best double, passages array<struct<start:int,end:int,score:double,expected:double>>")

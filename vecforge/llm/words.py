@@ -14,8 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Text bytes worked on at once; each needs about 50 bytes of memory.
-ROUND_BYTES = 2 << 20
+#: Text bytes worked on at once; each needs about 30 bytes of memory.
+ROUND_BYTES = 1 << 19
+#: Characters hashed at once; each needs about 40 bytes of memory, also in texts longer than ROUND_BYTES.
+HASH_CHARS = 1 << 17
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -51,12 +53,20 @@ class Words:
         powers = np.full(int(length.max()), U(_BASE[which]))
         powers[0] = U(1)
         powers = np.multiply.accumulate(powers)
-        at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        chars = self.data[at + np.repeat(self.start, length)].astype(U)
-        chars += U(1)
-        chars *= powers[at]
-        first = np.cumsum(length) - length
-        return mix(np.add.reduceat(chars, first) + length.astype(U) * U(0xA0761D6478BD642F))
+        ends = np.cumsum(length)
+        out = np.empty(len(length), dtype=U)
+        a = 0
+        while a < len(length):
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + HASH_CHARS)))
+            size, first = length[a:b], ends[a:b] - length[a:b] - before
+            at = np.arange(int(ends[b - 1]) - before) - np.repeat(first, size)
+            chars = self.data[at + np.repeat(self.start[a:b], size)].astype(U)
+            chars += U(1)
+            chars *= powers[at]
+            out[a:b] = np.add.reduceat(chars, first)
+            a = b
+        return mix(out + length.astype(U) * U(0xA0761D6478BD642F))
 
     def of_word(self) -> np.ndarray:
         """The text of each word."""
