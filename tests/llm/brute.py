@@ -51,6 +51,21 @@ def removed(docs: dict[int, str | None], width: int = 13) -> dict[int, tuple[int
     return out
 
 
+def removed_rows(rows: list[tuple[int, str | None]], width: int = 13) -> list[tuple[int, tuple[int, int, str]]]:
+    """The same for rows whose ids may repeat: a window goes if it also starts in a row with a smaller id."""
+    first: dict[tuple[bytes, ...], int] = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w = words(t)
+        for k in range(len(w) - width + 1):
+            first.setdefault(tuple(w[k : k + width]), i)
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - width + 1) if first[tuple(w[k : k + width])] < i for j in range(width)}
+        out.append((i, (len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode())))
+    return out
+
+
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     t = text or ""
     w = [x.decode() for x in words(t)]

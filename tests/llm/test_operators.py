@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, and on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from vecforge.llm import exact_dedup, mixing, near_dedup, packing, quality_class
 from vecforge.llm import words as W
 from vecforge.llm.common import components, new_path
 from vecforge.llm.queries import tokenizer
-from vecforge.llm.tokenize import PieceEncoder
+from vecforge.llm.tokenize import PieceEncoder, rule
 
 from . import brute
 
@@ -46,6 +47,7 @@ def texts():
             out.append(" ".join(v))
     out += [t.replace(" ", "\n", 3).upper() for t in base[:4]] + [t.replace(" ", "  ") for t in base[4:8]] + base[:5]
     out += [f"{make(20)} {shared} {make(15)}" for _ in range(6)]
+    out += ["a <|endoftext|> b", "<|startoftext|>x", "x <|ENDOFTEXT|>  y"]
     out += [make(30_000), "x" * 200_000, "same " * 5000, "line of words here now\n" * 40]
     return out
 
@@ -70,22 +72,34 @@ def test_words_match_a_regular_expression(texts):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_cached_encoding_is_exact(name, texts):
-    rng = random.Random(1)
-    alphabet = [" ", " ", "a", "b", "the", "The", "'s", "'", "\n", "\t", ".", ",", "9", "é", "É", " ", "\x85", "—", "中", "\x01", "😀", "²", "_", "!!", "<|endoftext|>", "\x1c", " ", "İ", "Σ", "é"]
-    enc = PieceEncoder(tokenizer(name))
-    some = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(5000)] + [t for t in texts if t and len(t) < 20_000]
-    assert enc.encode(some) == [enc.whole(t) for t in some]
-    assert enc.encode([None, ""]) == [b"", b""]
-
-
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoding_equals_a_fresh_tokenizer(name, texts):
+def test_encoding_equals_a_fresh_tokenizer(name, texts, monkeypatch):
+    monkeypatch.setattr("vecforge.llm.tokenize.CACHE_PIECES", 500)  # the memory starts anew many times
     plain, rng = Tokenizer.from_file(tokenizer(name)), random.Random(2)
-    parts = [" ", "a", "The", "\n", ".", "é", "中", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>"]
-    some = ["a <|endoftext|> b", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 15))) for _ in range(2000)), *(t for t in texts if t and len(t) < 20_000)]
+    parts = [" ", " ", "a", "b", "the", "The", "'s", "'", "\n", "\t", ".", ",", "9", "é", "É", "\u2003", "\x85", "—", "中", "\x01", "😀", "²", "_", "!!", "\x1c", "\u00a0", "İ", "Σ", "e\u0301"]
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>"]
+    some = ["a <|endoftext|> b", *("".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(5000)), *("".join(rng.choice(parts + 3 * marks) for _ in range(rng.randrange(15))) for _ in range(2000))]
+    some += [t for t in texts if t and len(t) < 20_000]
     got = PieceEncoder(tokenizer(name)).encode(some)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+    assert PieceEncoder(tokenizer(name)).encode([None, ""]) == [b"", b""]
+
+
+def test_other_vocabulary_files_are_encoded_whole(tmp_path):
+    told = json.load(open(tokenizer("byte_bpe_50k.json"), encoding="utf-8"))
+    assert rule(tokenizer("byte_bpe_50k.json")) == "kept" and rule(tokenizer("word_bpe_49k.json")) == "dropped"
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    assert rule(str(path)) == ""
+    plain = Tokenizer.from_file(str(path))
+    some = ["one two", "a", " b  c\n"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(str(path)).encode(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def ids_bytes(name):
+    """The plain way: a tokenizer of the library's own on a whole text, and the end id."""
+    plain = Tokenizer.from_file(tokenizer(name))
+    return lambda t: (np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if t else b"") + b"\0\0\0\0"
 
 
 # --- toxicity ----------------------------------------------------------------------------------------------------
@@ -116,6 +130,10 @@ def test_segments_are_all_maximal():
         assert np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def spread(docs, model):
+    return toxicity.score(docs, model).collect()
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark):
     rng = random.Random(2)
     plain = [f"w{i}" for i in range(300)]
@@ -138,6 +156,10 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     by = {r.doc_id: r for r in rows}
     assert by[601].score >= 0.5 and by[600].score < 0.5 and by[None].n_tokens == 0 and len(by[0].passages) > 0
     assert toxicity.score(docs.limit(0), model).count() == 0
+    clean = toxicity.without_toxic(docs, model)
+    assert clean.columns == docs.columns and sorted((r.doc_id or -1, r.text or "") for r in clean.collect()) == sorted((r.doc_id or -1, t or "") for r, t in zip(spread(docs, model), [x.text for x in docs.collect()], strict=True) if r.score < 0.5)
+    twice = table(spark, ["vile scum " * 50, "w1 w2 w3"], [5, 5])  # of an id with two texts only the toxic one goes
+    assert [r.text for r in toxicity.without_toxic(twice, model).collect()] == ["w1 w2 w3"]
     none = toxicity.fit(docs, labels.where("toxic = 0"))
     assert max(r.score for r in toxicity.score(docs, none).collect()) < 0.5
 
@@ -160,6 +182,15 @@ def test_substrings_of_odd_tables(spark):
     assert substring_dedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_an_id_with_two_texts(spark):
+    long, short, pad = " ".join(f"l{i}" for i in range(30)), " ".join(f"s{i}" for i in range(20)), " ".join(f"p{i}" for i in range(50))
+    for rows in ([(1, long), (5, long), (5, short), (9, short + " tail")], [(1, long), (5, f"{pad} {long}"), (5, short), (6, f"a {short} b"), (6, pad)]):
+        for told in (rows, rows[::-1]):
+            docs = table(spark, [t for _, t in told], [i for i, _ in told])
+            got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(docs).collect())
+            assert got == sorted((i, *x) for i, x in brute.removed_rows(rows))
+
+
 # --- token files -------------------------------------------------------------------------------------------------
 
 
@@ -169,10 +200,9 @@ def test_token_files(spark, texts):
     path = new_path(spark, "test-tokens")
     token_files.write(docs, path, tokenizer("byte_bpe_50k.json"))
     rows = token_files.checked(token_files.read(spark, path)).orderBy("doc_id").collect()
-    enc, start = PieceEncoder(tokenizer("byte_bpe_50k.json")), 0
-    want = []
+    enc, start, want = ids_bytes("byte_bpe_50k.json"), 0, []
     for i, t in sorted(zip(ids, texts, strict=True)):
-        raw = (enc.whole(t) if t else b"") + b"\0\0\0\0"
+        raw = enc(t)
         want.append((i, start, len(raw) // 4, zlib.crc32(raw)))
         start += len(raw) // 4
     assert [tuple(r) for r in rows] == want
@@ -183,7 +213,32 @@ def test_token_files(spark, texts):
     assert token_files.read(spark, empty).count() == 0
     odd = new_path(spark, "test-tokens")
     token_files.write(table(spark, ["a", "b", "b", None], [None, 1, 1, None]), odd, tokenizer("byte_bpe_50k.json"))
-    assert sorted(r.start for r in token_files.read(spark, odd).collect()) == [0, 1, 3, 5] or token_files.read(spark, odd).count() == 4
+    found = token_files.read(spark, odd).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in found][2:] == [(1, 3, 2), (1, 5, 2)] and {(r.doc_id, r.n_tokens) for r in found[:2]} == {(None, 2), (None, 1)}
+    assert token_files.checked(token_files.read(spark, odd)).count() == 4
+
+
+def scanned(df):
+    """Rows that the scans of an executed query gave."""
+    df._jdf.queryExecution().toRdd().count()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves, n = plan.collectLeaves(), 0
+    for i in range(leaves.size()):
+        metric = leaves.apply(i).metrics().get("numOutputRows")
+        n += metric.get().value() if metric.isDefined() else 0
+    return n
+
+
+def test_token_files_prune_by_row_index_and_bloom_filter(spark):
+    path = new_path(spark, "test-tokens")
+    docs = spark.range(0, 12_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    token_files.write(docs.coalesce(1), path, tokenizer("byte_bpe_50k.json"))
+    rows = spark.read.orc(path)
+    assert scanned(rows) == 6000
+    assert 0 < scanned(rows.where("doc_id = 8000")) <= 2000  # the row index leaves one stride of 1000 rows a file
+    assert scanned(rows.where("doc_id = 8001")) == 0  # within the ranges, so only the Bloom filter can tell
+    assert rows.where("doc_id = 8000").count() == 1
 
 
 # --- quality rules -----------------------------------------------------------------------------------------------
@@ -223,10 +278,10 @@ def check_packing(rows, want):
 
 
 def test_packing(spark, texts):
-    enc, want = PieceEncoder(tokenizer("word_bpe_49k.json")), []
+    enc, want = ids_bytes("word_bpe_49k.json"), []
     ids = [*range(len(texts) - 1), None]
     for i, t in zip(ids, texts, strict=True):
-        raw = (enc.whole(t) if t else b"") + b"\0\0\0\0"
+        raw = enc(t)
         want += [(-1 if i is None else i, p, at // 4, len(raw[at : at + 8192]) // 4, zlib.crc32(raw[at : at + 8192])) for p, at in enumerate(range(0, len(raw), 8192))]
     for parts in (1, 9):
         used = check_packing(packing.pack(table(spark, texts, ids).repartition(parts), tokenizer("word_bpe_49k.json")).collect(), want)
@@ -234,6 +289,21 @@ def test_packing(spark, texts):
     assert packing.pack(table(spark, texts).limit(0), tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_groups_of_tasks_stay_bounded(spark, monkeypatch):
+    """Pieces that never fit together save nothing at any level; every group gives up a few bins only."""
+    monkeypatch.setattr(packing, "GROUP", 3)
+    monkeypatch.setattr(packing, "GIVEN_BINS", 2)
+    given = []
+    kept = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: given.append((name, kept(df, name))) or given[-1][1])
+    texts = [" ".join(["cat"] * (1100 + k % 50)) for k in range(120)]
+    rows = packing.pack(table(spark, texts).repartition(20), tokenizer("word_bpe_49k.json")).collect()
+    assert len({r.sequence_id for r in rows}) == 120 and len(rows) == 120
+    for name, df in given:
+        most = df.where("given").groupBy("part").agg(F.countDistinct("bin").alias("n")).agg(F.max("n")).first()[0]
+        assert most is None or most <= 2, name
+
+
 def test_best_fit_and_bounds():
     rng = np.random.default_rng(0)
     for _ in range(40):
@@ -310,6 +380,28 @@ def test_near_odd_rows(spark):
     rows = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.classes(docs).collect())
     assert rows == [(-1, -1, True), (-1, -1, True), (2, 2, True), (3, 3, True), (7, 7, True), (7, 7, True)]
     assert near_dedup.classes(docs.limit(0)).count() == 0 and near_dedup.deduplicate(docs).columns == docs.columns
+    with pytest.raises(ValueError):
+        near_dedup.Params(percent=50)
+
+
+def test_near_with_two_texts_under_one_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b = " ".join(w), " ".join([*w[:5], "z", *w[6:]])
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a), (5, b), (5, c), (8, c + " q"), (8, c + " q"), (9, "x y"), (9, None), (None, a)]
+    for told in (rows, rows[::-1]):
+        docs = table(spark, [t for _, t in told], [i for i, _ in told])
+        got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_dedup.classes(docs).collect())
+        assert got == [(-1, -1), (1, 1), (5, 1), (5, 5), (8, 5), (8, 5), (9, 9), (9, 9)]
+        stay = {(r.doc_id, r.text) for r in near_dedup.deduplicate(docs).collect()}
+        assert stay == {(1, a), (5, c), (9, "x y"), (9, None), (None, a)}
+
+
+def test_exact_with_two_texts_under_one_id(spark):
+    rows = [(1, "bbb"), (5, "aaa"), (5, "bbb"), (7, "ccc"), (7, "ddd"), (7, "ddd"), (None, "bbb")]
+    for told in (rows, rows[::-1]):
+        stay = sorted((r.doc_id or -1, r.text) for r in exact_dedup.deduplicate(table(spark, [t for _, t in told], [i for i, _ in told])).collect())
+        assert stay == [(-1, "bbb"), (1, "bbb"), (5, "aaa"), (7, "ccc"), (7, "ddd")]
 
 
 def test_exact(spark, texts):
@@ -368,6 +460,7 @@ def test_one_period_keeps_every_prefix_near_its_target():
 def test_schedule(spark):
     docs = table(spark, ["t"] * 1000)
     docs = docs.withColumn("source", F.when(F.col("doc_id") < 500, "big").when(F.col("doc_id") < 800, "mid").when(F.col("doc_id") < 990, "small"))
+    docs = docs.withColumn("slot", F.lit("x")).withColumn("Place", F.lit(None).cast("int")).withColumn("spot_id", F.lit(1))
     rows = mixing.schedule(docs, {"big": 2.0, "mid": 1.0, "small": 1.0}, block_rows=10, period=64).collect()
     assert sorted(r.doc_id for r in rows) == list(range(1000))
     assert len({(r.slot, r.place, r.source) for r in rows}) == 1000
@@ -385,6 +478,37 @@ def test_schedule(spark):
     assert laid.columns == docs.columns and sorted(r.doc_id for r in laid.collect()) == list(range(1000))
 
 
+def test_schedule_equals_a_slot_by_slot_simulation(spark):
+    rng = random.Random(12)
+    rows = [(None if k == 17 else k % 480, rng.choices(["a", "b", "", None, "z"], [9, 4, 2, 1, 1])[0]) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"a": 3, "b": Fraction(5, 7), "": 0.25, None: 1}  # z has no weight
+    order = {r.doc_id: r.o for r in docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("o")).collect()}
+    got = mixing.schedule(docs, weights, block_rows=8).collect()
+    want, blocks = [], {}
+    for s in {x for _, x in rows}:
+        mine = sorted((order[i] % mixing.RANGES, order[i], -1 if i is None else i) for i, x in rows if x == s)
+        blocks[s] = [[i for *_, i in mine[k : k + 8]] for k in range(0, len(mine), 8)]
+    total = sum(Fraction(w) for w in weights.values())
+    w = {s: Fraction(x) / total for s, x in weights.items()}
+    done, slot = dict.fromkeys(w, 0), 0
+    while any(done[s] < len(blocks[s]) for s in w):
+        ready = [(-int(-(done[s] + 1) / w[s] // 1), "" if s is None else f"={s}", s) for s in w if done[s] < len(blocks[s]) and int(done[s] / w[s]) <= slot]
+        if ready:
+            due, _, s = min(ready)
+            want += [(i, s, done[s], int(done[s] / w[s]), slot, due, p) for p, i in enumerate(blocks[s][done[s]])]
+            done[s] += 1
+        slot += 1
+    late = [(i, "z", b, mixing.LATE + b, mixing.LATE + b, mixing.LATE + b, p) for b, block in enumerate(blocks["z"]) for p, i in enumerate(block)]
+    key = lambda x: (str(x[1]), *x[2:], x[0])
+    told = [(-1 if r.doc_id is None else r.doc_id, r.source, r.block, r.release, r.slot, r.deadline, r.place) for r in got]
+    assert sorted(told, key=key) == sorted(want + late, key=key)
+    end = mixing.targets_hold(weights, {s: len(b) for s, b in blocks.items()})
+    for t in range(end):
+        assert all(abs(len({x[2] for x in want if x[1] == s and x[4] <= t}) - (t + 1) * w[s]) < 1 for s in w)
+    assert mixing.tempered(docs, 1.0) == {s: float(sum(x == s for _, x in rows)) for s in blocks}
+
+
 def test_slots_keep_every_source_near_its_given_weight():
     rng = random.Random(9)
     hot = {"hot": 30_000, **{f"large{i}": 2_500 for i in range(23)}, **{f"tiny{i}": 1 for i in range(1500)}}
@@ -417,23 +541,46 @@ def test_mix_schedules_all_sources_and_no_zero_weights(spark):
 
 
 def test_sharding(spark, texts):
-    docs = table(spark, [*texts, *texts, "z"], [*range(2 * len(texts)), None])
-    rows, slots = sharding.shard(docs, 4)
-    rows = rows.collect()
-    assert len(rows) == 2 * len(texts) + 1
+    ids = [*range(2 * len(texts)), None, 3]
+    told = [*texts, *texts, "z", "second text of 3"]
+    small = [t for t in told if len(t or "") < 10_000]
+    rows, slots = sharding.shard(table(spark, small, [i for i, t in zip(ids, told, strict=True) if len(t or "") < 10_000]), 4)
+    rows, shards = rows.collect(), {}
+    assert sorted((r["size"], r.text_crc32) for r in rows) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in small)
     for s in range(4):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    by = {r.doc_id: r for r in rows}
-    for i, t in enumerate(texts):
-        assert by[i].size == len((t or "").encode()) + 1 and by[i].text_crc32 == zlib.crc32((t or "").encode())
-        assert by[i].shard == by[i + len(texts)].shard or len(t or "") > 10_000
-    assert slots.agg(F.sum("bytes")).first()[0] == sum(r["size"] for r in rows)
-    assert sharding.shard(docs.limit(0), 4)[0].count() == 0
+    for r in rows:  # equal texts share a shard: every group here fits into one
+        assert shards.setdefault((r["size"], r.text_crc32), r.shard) == r.shard
+    groups = {}
+    for r in rows:
+        groups[r.text_crc32] = groups.get(r.text_crc32, 0) + r["size"]
+    load = [sum(r["size"] for r in rows if r.shard == s) for s in range(4)]
+    assert max(load) - min(load) <= max(groups.values()) < sum(load) / 4
+    assert slots.agg(F.sum("bytes")).first()[0] == sum(load)
+    assert sharding.shard(table(spark, texts).limit(0), 4)[0].count() == 0
+
+
+def test_only_a_text_that_outweighs_a_share_is_cut(spark):
+    hot, half = "hot " * 10, "half " * 8
+    light = [f"light {i} " * (1 + i % 3) for i in range(600)]
+    some = [*[hot] * 900, *[half] * 130, *light]
+    rows, slots = sharding.shard(table(spark, some), 8)
+    rows = rows.collect()
+    total = sum(r["size"] for r in rows)
+    of = {}
+    for r in rows:
+        of.setdefault(r.text_crc32, set()).add(r.shard)
+    assert {c for c, s in of.items() if len(s) > 1} == {zlib.crc32(hot.encode())}
+    load = [sum(r["size"] for r in rows if r.shard == s) for s in range(8)]
+    heaviest = slots.agg(F.max("bytes")).first()[0]
+    assert max(load) - min(load) <= heaviest <= total / 8
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
 def test_map_edits_move_little():
     rng = random.Random(6)
-    weights = {(s, k): rng.randrange(1, 1000) for s in range(300) for k in range(4)}
+    weights = {(s, 0, 0): rng.randrange(1, 1000) for s in range(1200)}
     owner = sharding.plan(weights, 8)
     load = [sum(w for x, w in weights.items() if owner[x] == s) for s in range(8)]
     assert max(load) < 1.01 * min(load)
@@ -441,9 +588,9 @@ def test_map_edits_move_little():
     assert all(grown[x] in (owner[x], 8) for x in owner)
     load = [sum(w for x, w in weights.items() if grown[x] == s) for s in range(9)]
     assert max(load) < 1.05 * min(load)
-    hot = {**weights, **{(999, k): 40_000 for k in range(4)}}  # one slot of a fifth of all bytes is cut
-    parts = sharding.plan(hot, 8)
-    assert len({parts[999, k] for k in range(4)}) > 1
+    more = {**weights, **{(5000 + k, 0, 0): 50 for k in range(40)}}
+    wider = sharding.extended(owner, more, 8)
+    assert all(wider[x] == owner[x] for x in owner) and set(wider) == set(more)
 
 
 def test_stored_map_is_kept_and_edited(spark, texts):

@@ -5,32 +5,58 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vecforge.llm import toxicity
-from vecforge.llm.queries import ORACLES, QUERIES, documents, tokenizer
-from vecforge.llm.tokenize import PieceEncoder
+from vecforge.llm.queries import ORACLES, QUERIES, documents
 
 from . import brute
-from .test_operators import check_packing
+from .test_operators import check_packing, ids_bytes
+
+
+def kept_rows(rows, toxic):
+    """What brute force keeps of (doc_id, text) rows before mixing: ids may repeat and be null."""
+    rows = [r for r in rows if r not in toxic]
+    once, seen = [], set()
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        spaced = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        if spaced not in seen:
+            seen.add(spaced)
+            once.append((i, t))
+    near = brute.near_components({k: t for k, (_, t) in enumerate(once)}, 5)  # rows are in order of their ids
+    return [once[k] for k, c in near.items() if k == c] + [r for r in rows if r[0] is None]
+
+
+def check_run(spark, docs, labels, sf, out):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    model = toxicity.fit(docs, labels)
+    toxic = {(r.doc_id, r.text) for r in docs.join(toxicity.score(docs.select(docs.doc_id, docs.text), model).select("doc_id", "score"), "doc_id").where("score >= 0.5").collect()} if len({i for i, _ in rows}) == len(rows) else {r for r in rows if brute_toxic(spark, r, model)}
+    enc, want = ids_bytes("word_bpe_49k.json"), []
+    for i, t in kept_rows(rows, toxic):
+        raw = enc(t)
+        want += [(-1 if i is None else i, p, at // 4, len(raw[at : at + 8192]) // 4, zlib.crc32(raw[at : at + 8192])) for p, at in enumerate(range(0, len(raw), 8192))]
+    check_packing(out.collect(), want)
+
+
+def brute_toxic(spark, row, model):
+    return toxicity.score(spark.createDataFrame([row], "doc_id long, text string"), model).first().score >= 0.5
 
 
 def test_pipeline(spark, sf):
-    docs = documents(spark, sf)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    for r in toxicity.score(docs, model).where("score >= 0.5").collect():
-        del texts[r.doc_id]
-    once = {}
-    for i in sorted(texts):
-        once.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i)
-    texts = {i: texts[i] for i in once.values()}
-    near = brute.near_components(texts, 5)
-    enc, want = PieceEncoder(tokenizer("word_bpe_49k.json")), []
-    for i in (i for i, c in near.items() if i == c):
-        raw = enc.whole(texts[i] or "") + b"\0\0\0\0" if texts[i] else b"\0\0\0\0"
-        want += [(i, p, at // 4, len(raw[at : at + 8192]) // 4, zlib.crc32(raw[at : at + 8192])) for p, at in enumerate(range(0, len(raw), 8192))]
-    check_packing(corpus_pipeline.run(spark, sf).collect(), want)
+    check_run(spark, documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), sf, corpus_pipeline.run(spark, sf))
+
+
+def test_pipeline_of_odd_rows(spark, sf, tmp_path):
+    """Ids that repeat with equal and other texts, null ids, null and empty texts, special tokens, a column of another name."""
+    docs = documents(spark, sf).limit(30)
+    some = docs.collect()
+    odd = [(some[0].doc_id, some[5].text), (some[0].doc_id, "a text of its own under an id that is there already"), (None, some[1].text), (None, None), (some[7].doc_id, some[7].text), (90_001, "a <|endoftext|> b"), (90_002, None), (90_003, ""), (90_004, " ")]
+    more = docs.select(*docs.columns).unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True).withColumn("slot", F.lit(1))
+    more.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    check_run(spark, documents(spark, str(tmp_path)), labels, str(tmp_path), corpus_pipeline.run(spark, str(tmp_path)))
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark, sf):

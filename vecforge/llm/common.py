@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one or two numbers up to which a side is broadcast (24 MB at most); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers or a digest up to which a side is broadcast (some 50 MB at most); beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 _OWN: dict[str, str] = {}
 
 
@@ -47,10 +48,12 @@ def lean(kernel: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may go without and gets a folder of its own."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="vecforge-")
@@ -65,25 +68,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage, is read again when an executor is lost."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a table of ours whose readers are done."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that `written` gave and whose readers are done."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def within(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of `df` whose key is in `ids` (distinct, one column, already written): broadcast if few, else a shuffle join."""
-    few = ids.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case of its letters."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
-def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of `df` whose key is not in `ids` (distinct, one column, already written); a null key stays."""
-    few = ids.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
+def few(rows: DataFrame) -> DataFrame:
+    """Written rows of a few numbers, as the side of a join: broadcast up to BROADCAST_ROWS, else shuffled, where adaptive execution splits skewed keys."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def within(df: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows of `df` whose key is in `ids` (distinct, already written)."""
+    return df.join(few(ids), key, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows of `df` whose key is not in `ids` (distinct, already written); a null key stays."""
+    return df.join(few(ids), key, "left_anti")
 
 
 def table(names: list[str], columns: list, types: list) -> pa.RecordBatch:
@@ -143,7 +160,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = labels.join(told, "id", "left").select("id", F.least("component", F.coalesce("told", "component")).alias("component"), F.col("component").alias("was"))
         lower = written(lower, "labels")
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        labels = written(lower.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), "was"), "labels")
-        if labels.where("component != was").isEmpty():
-            return labels.select("id", "component")
-        labels = labels.select("id", "component")
+        after = written(lower.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), "was"), "labels")
+        done = after.where("component != was").isEmpty()
+        dropped(labels, lower)
+        labels = after
+        if done:
+            dropped(near)
+            return labels.drop("was")
+        labels = labels.drop("was")
+        labels.written_to = after.written_to

@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lean, small_batches, table, within, without, written
+from .common import lean, small_batches, table, unused, within, without, written
 
 #: Misra-Gries counters per summary; also fixes the broadcast winners' bound (2 * counters rows of 56 bytes).
 COUNTERS = 2048
 
 
-def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `digest`, the SHA-256 of its normalised text (null: empty)."""
-    spaced = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return docs.withColumn("digest", F.unhex(F.sha2(spaced, 256)))
+def digest(docs: DataFrame, text: str = "text"):
+    """SHA-256 of the normalised text (null: empty)."""
+    spaced = F.regexp_replace(F.coalesce(docs[text], F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return F.unhex(F.sha2(spaced, 256))
 
 
 def frequent(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -53,13 +53,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counter
     """One row per document: (doc_id, keep_id, group_size, kept, digest).
 
     The row with the smallest id of a group stays. Repeated ids: each row counts
-    in group_size, and all rows with the winning id are marked kept; `deduplicate`
+    in group_size, and all its rows with the winning id are marked kept; `deduplicate`
     returns one of them. A null id never wins over an id; a group of null ids
     alone keeps keep_id null and kept true. Null text equals empty text. An
     empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    rows = written(digests(docs, text).select(F.col(doc_id).alias("doc_id"), "digest"), "digests")
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), digest(docs, text).alias("digest")), "digests")
     hot = frequent(rows, counters)
     stats = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     winners = written(rows.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest").agg(*stats), "winners")
@@ -71,11 +71,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counter
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, all columns. Rows repeated with one id and text leave one row; null ids are never dropped for one another."""
+    """The documents that stay, all columns; decisions are for rows, so an id that carries two texts loses only the one that repeats.
+
+    Rows repeated with one id and equal texts leave one row; rows with a null id stay.
+    """
     out = classes(docs, doc_id, text)
-    lost = written(out.where("not kept").select(F.col("doc_id").alias(doc_id)).distinct(), "lost")
-    stay = without(docs, lost, doc_id)
-    twice = written(out.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id), "twice")
-    if twice.isEmpty():
-        return stay
-    return without(stay, twice, doc_id).unionByName(within(stay, twice, doc_id).dropDuplicates([doc_id]))
+    name = unused(docs, "digest")
+    key = [doc_id, name]
+    told = out.where("doc_id is not null").select(F.col("doc_id").alias(doc_id), F.col("digest").alias(name), "kept")
+    lost = written(told.where("not kept").select(key).distinct(), "lost")
+    twice = written(told.where("kept").groupBy(key).count().where("count > 1").select(key), "twice")
+    stay = without(docs.withColumn(name, digest(docs, text)), lost, key)
+    if not twice.isEmpty():
+        stay = without(stay, twice, key).unionByName(within(stay, twice, key).dropDuplicates(key))
+    return stay.select(*[f"`{c}`" for c in docs.columns])

@@ -2,9 +2,10 @@
 
 score = w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2],
 the sum-of-squares identity, so all pairwise interactions cost time linear in
-a text's features. Fitted on the driver on a bounded sample of labelled
+a text's features. Metadata are numeric columns that the caller names, each a
+squashed value and a mark for nulls. Fitted on the driver on a bounded sample of labelled
 documents; scoring reads every whole text, in batches, with a broadcast model
-of fixed size (FEATURES * (FACTORS + 1) numbers).
+of fixed size (FEATURES * (FACTORS + 1) numbers, and two columns a name).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from .toxicity import _labelled
 #: Labelled rows that a model is fitted on, at most, by hash order of their ids.
 SAMPLE_ROWS = 8_000
 HASHED, FACTORS = 1 << 14, 6
-#: Structure statistics and metadata, each 0 to about 1.
+#: Structure statistics, each 0 to about 1.
 STATISTICS = ("words", "chars", "word_length", "symbols", "capitals", "digits", "bars", "exclaims", "repeats", "variety", "lines", "line_repeats", "stops", "beyond_ascii", "longest_run", "empty")
 FEATURES = HASHED + len(STATISTICS)
 _KINDS = {"symbols": b"#*$%&|<>~^@_=+\\{}[]", "digits": b"0123456789", "bars": b"|", "exclaims": b"!?", "stops": b".,;:"}
@@ -75,6 +77,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return np.searchsorted(row, np.arange(n + 1)), key % HASHED, np.sqrt(count / per[row]), dense
 
 
+def with_metadata(dense: np.ndarray, columns: list[pa.Array]) -> np.ndarray:
+    """The dense statistics and, for each metadata column, a value between -1 and 1 or so and a mark for a null."""
+    out = [dense]
+    for c in columns:
+        x = np.nan_to_num(np.asarray(pc.fill_null(c.cast(pa.float64()), 0.0)))
+        out += [(np.sign(x) * np.log1p(np.abs(x)) / 12)[:, None], np.asarray(c.is_null()).astype(float)[:, None]]
+    return np.concatenate(out, axis=1)
+
+
 def _line_repeats(texts: pa.Array) -> np.ndarray:
     """Share of lines that a text has had before."""
     out = np.zeros(len(texts))
@@ -90,6 +101,7 @@ class Machine:
     bias: float
     w: np.ndarray  # FEATURES
     v: np.ndarray  # FEATURES x FACTORS
+    metadata: tuple[str, ...] = ()
 
     def logits(self, bounds: np.ndarray, index: np.ndarray, value: np.ndarray, dense: np.ndarray) -> np.ndarray:
         n = len(bounds) - 1
@@ -109,14 +121,15 @@ class Machine:
 def train(bounds: np.ndarray, index: np.ndarray, value: np.ndarray, dense: np.ndarray, y: np.ndarray, epochs: int = 12, seed: int = 1, rate: float = 0.08, ridge: float = 2e-4) -> Machine:
     """Adagrad on the logistic loss in batches of 64; without labels of both kinds a constant."""
     rng = np.random.default_rng(seed)
-    m = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.02, (FEATURES, FACTORS)))
+    wide = np.arange(HASHED, HASHED + dense.shape[1])
+    size = HASHED + len(wide)
+    m = Machine(0.0, np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)))
     if not len(y) or y.min() == y.max():
         m.v[:] = 0
         m.bias = 0.0 if not len(y) else 6.0 if y.max() else -6.0
         return m
     m.bias = float(np.log(y.mean() / (1 - y.mean())))
-    gw, gv, gb = np.full(FEATURES, 1e-6), np.full((FEATURES, FACTORS), 1e-6), 1e-6
-    wide = np.arange(HASHED, FEATURES)
+    gw, gv, gb = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for k in range(0, len(order), 64):
@@ -148,7 +161,7 @@ def train(bounds: np.ndarray, index: np.ndarray, value: np.ndarray, dense: np.nd
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ()) -> Machine:
     """Learn from at most SAMPLE_ROWS labelled documents whose crc32(id) mod 5 is not 0; their features, not their texts, come to the driver."""
 
     def extract(batches):
@@ -156,16 +169,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
         for batch in batches:
             for a, b in rounds(batch.column(1), W.ROUND_BYTES):
                 bounds, index, value, dense = features(batch.column(1).slice(a, b - a))
+                dense = with_metadata(dense, [c.slice(a, b - a) for c in batch.columns[3:]])
                 cut = [slice(bounds[i], bounds[i + 1]) for i in range(b - a)]
                 yield table(["id", "y", "i", "x", "d"], [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), [index[c].astype(np.int32) for c in cut], [value[c].astype(np.float32) for c in cut], list(dense)], types)
 
     small_batches(docs.sparkSession)
-    sample = _labelled(docs, labels, label, doc_id, text, SAMPLE_ROWS).select("doc_id", "text", "y")
-    rows = sample.mapInArrow(extract, "id long, y int, i array<int>, x array<float>, d array<double>").toArrow().sort_by("id")
+    sample = _labelled(docs, labels, label, doc_id, text, SAMPLE_ROWS, metadata=metadata).drop("fold")
+    rows = sample.mapInArrow(lean(extract), "id long, y int, i array<int>, x array<float>, d array<double>").toArrow().sort_by("id")
     index, value = (np.concatenate([np.zeros(0), *(np.asarray(v.values) for v in rows.column(c))]) for c in ("i", "x"))
     count = np.array([len(v) for v in rows.column("i")], dtype=np.int64)
-    dense = np.array(rows.column("d").to_pylist()).reshape(len(count), len(STATISTICS))
-    return train(np.concatenate([[0], np.cumsum(count)]), index.astype(np.int64), value.astype(float), dense, np.array(rows.column("y").to_pylist(), dtype=float))
+    dense = np.array(rows.column("d").to_pylist()).reshape(len(count), len(STATISTICS) + 2 * len(metadata))
+    model = train(np.concatenate([[0], np.cumsum(count)]), index.astype(np.int64), value.astype(float), dense, np.array(rows.column("y").to_pylist(), dtype=float))
+    model.metadata = metadata
+    return model
 
 
 def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +192,9 @@ def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "
     def scan(batches):
         for batch in batches:
             for a, b in rounds(batch.column(1), W.ROUND_BYTES):
-                z = shared.value.logits(*features(batch.column(1).slice(a, b - a)))
+                *words, dense = features(batch.column(1).slice(a, b - a))
+                z = shared.value.logits(*words, with_metadata(dense, [c.slice(a, b - a) for c in batch.columns[2:]]))
                 yield table(["doc_id", "score"], [batch.column(0).slice(a, b - a), 1 / (1 + np.exp(-np.clip(z, -30, 30)))], [pa.int64(), pa.float64()])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(scan), "doc_id long, score double")
+    told = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *[docs[c].cast("double") for c in model.metadata])
+    return told.mapInArrow(lean(scan), "doc_id long, score double")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import lean, rounds, small_batches, table, without, written
+from .common import dropped, few, lean, rounds, small_batches, table, without, written
 
 WIDTH = 13
 INNER = 6
@@ -130,7 +130,7 @@ def _copies(docs: DataFrame, width: int) -> DataFrame:
     """Documents of `width` words or more whose whole word sequence an earlier document has: all their windows go, and no other document needs theirs."""
 
     def sequence(batches):
-        names, types = ["doc_id", "n", "s1", "s2"], [pa.int64()] * 4
+        names, types = ["doc_id", "variant", "n", "s1", "s2"], [pa.int64()] * 5
         for batch in batches:
             for a, b in rounds(batch.column(1), W.ROUND_BYTES):
                 found = W.find(batch.column(1).slice(a, b - a))
@@ -141,11 +141,14 @@ def _copies(docs: DataFrame, width: int) -> DataFrame:
                     continue
                 salted = [W.mix(found.hashes(k) + place * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 1)]
                 sums = [_sums(x, found.offset, some) for x in salted]
-                yield table(names, [np.asarray(batch.column(0))[a:b][some], count[some], *(x.view(np.int64) for x in sums)], types)
+                yield table(names, [np.asarray(batch.column(0))[a:b][some], np.asarray(batch.column(2))[a:b][some], count[some], *(x.view(np.int64) for x in sums)], types)
 
-    rows = written(docs.mapInArrow(lean(sequence), "doc_id long, n long, s1 long, s2 long"), "sequences")
+    rows = written(docs.mapInArrow(lean(sequence), "doc_id long, variant long, n long, s1 long, s2 long"), "sequences")
     first = rows.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return written(rows.join(first, ["n", "s1", "s2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
+    first = written(first.drop("last"), "first")  # one row a group of copies
+    found = written(rows.join(few(first), ["n", "s1", "s2"]).where("doc_id > first").select("doc_id", "variant").distinct(), "copies")
+    dropped(rows, first)
+    return found
 
 
 def _sums(values: np.ndarray, offset: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -153,26 +156,34 @@ def _sums(values: np.ndarray, offset: np.ndarray, some: np.ndarray) -> np.ndarra
     return total[offset[some + 1]] - total[offset[some]]
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    variant = F.xxhash64(docs[text]).bitwiseAND(F.lit((1 << 32) - 1))
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), variant.alias("variant"))
+
+
 def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, starts): where, counted in words, a document's removed windows start; only documents with some. All of a document goes: [-1].
+    """(doc_id, variant, starts): where, counted in words, a row's removed windows start; only rows with some. All of a row goes: [-1].
 
-    A window is removed when its word sequence also starts in a document with a
+    A window is removed when its word sequence also starts in a row with a
     smaller id. Rows with a null id and null texts have no windows. Rows
-    repeated under one id are one document. Of equal windows a task meets, it
-    settles all but the earliest document's itself and shuffles only that one,
-    so the most frequent window has no more rows than there are tasks.
+    repeated under one id are judged one by one and never against each other;
+    `variant`, 32 bits of a hash of the text, tells an id's texts apart (two
+    texts of one id are confused with probability 2 ** -32). Of equal windows a
+    task meets, it settles all but the earliest document's itself and shuffles
+    only that one, so the most frequent window has no more rows than there are
+    tasks.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = _rows(docs, doc_id, text).where("doc_id is not null and text is not null")
     copies = _copies(source, width)
-    all_gone = copies.select("doc_id", F.array(F.lit(-1)).alias("starts"))
-    source = without(source, copies, "doc_id")
+    all_gone = copies.select("doc_id", "variant", F.array(F.lit(-1)).alias("starts"))
+    source = without(source, copies, ["doc_id", "variant"]).select("doc_id", "text", "variant")
     maps = _sketch(source, "doc_id", "text", width)
     if maps is None or not maps.any():
         return all_gone
     shared = spark.sparkContext.broadcast(maps)
-    names, types = ["h1", "h2", "doc_id", "at", "starts"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    names, types = ["h1", "h2", "doc_id", "at", "starts"], [pa.int64(), pa.int64(), pa.int64(), pa.int64()]  # at: variant, then the start in 32 bits
 
     def settle(held):
         """A row for each window of its earliest document here; the others' starts, already settled, one row a document without hashes."""
@@ -184,23 +195,24 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         later = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         d, w = doc[later], at[later]
         order = np.lexsort((w, d))
-        d, w = d[order], w[order].astype(np.int32)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]]) if len(d) else np.zeros(1, dtype=np.int64)
+        d, w = d[order], w[order]
+        v, w = w >> 32, w.astype(np.int32)
+        cut = np.concatenate([[0], np.flatnonzero((np.diff(d) != 0) | (np.diff(v) != 0)) + 1, [len(d)]]) if len(d) else np.zeros(1, dtype=np.int64)
         for k in range(0, len(cut) - 1, 2000):
             bounds = cut[k : k + 2001]
             starts = pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(w[bounds[0] : bounds[-1]]))
             n = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:2]] + [pa.array(d[bounds[:-1]]), pa.nulls(n, types[3]), starts], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:2]] + [pa.array(d[bounds[:-1]]), pa.array(v[bounds[:-1]] << 32), starts], names=names)
         h1, h2, doc, at = (x[~later] for x in (h1, h2, doc, at))
         for k in range(0, len(h1), 100_000):
             s = slice(k, k + 100_000)
             n = len(h1[s])
-            yield pa.RecordBatch.from_arrays([pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64)), pa.array(doc[s]), pa.array(at[s].astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64)), pa.array(doc[s]), pa.array(at[s]), pa.nulls(n, pa.list_(pa.int32()))], names=names)
 
     def estimated(batches):
         bits, held, n = shared.value, [], 0
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            ids, variants = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for a, b in rounds(batch.column(1), W.ROUND_BYTES):
                 found = W.find(batch.column(1).slice(a, b - a))
                 at = _inside(found, width)
@@ -214,7 +226,7 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                 at = at[hit]
                 if len(at):
                     doc = found.of_word()[at]
-                    held.append((W.windows(one, width, 1)[at], W.windows(found.hashes(1), width, 2)[at], ids[a:b][doc], at - found.offset[doc]))
+                    held.append((W.windows(one, width, 1)[at], W.windows(found.hashes(1), width, 2)[at], ids[a:b][doc], variants[a:b][doc] << 32 | at - found.offset[doc]))
                     n += len(at)
             if n > TASK_WINDOWS:
                 yield from settle(held)
@@ -222,22 +234,24 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         if held:
             yield from settle(held)
 
-    found = source.mapInArrow(lean(estimated), "h1 long, h2 long, doc_id long, at int, starts array<int>")
+    found = source.mapInArrow(lean(estimated), "h1 long, h2 long, doc_id long, at long, starts array<int>")
     earliest = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     # Settled rows get a key of their own, which keeps them spread and out of every window's group.
-    keyed = found.withColumn("h2", F.coalesce("h2", F.xxhash64("doc_id"))).withColumn("first", earliest)
+    keyed = found.withColumn("h2", F.coalesce("h2", F.xxhash64("doc_id", "at"))).withColumn("first", earliest)
     hits = keyed.where(F.col("h1").isNull() | (F.col("doc_id") > F.col("first")))
-    starts = F.array_distinct(F.concat(F.collect_list("at"), F.flatten(F.collect_list("starts"))))
-    return hits.groupBy("doc_id").agg(starts.alias("starts")).unionByName(all_gone)
+    own = F.when(F.col("starts").isNull(), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    starts = F.array_distinct(F.concat(F.collect_list(own), F.flatten(F.collect_list("starts"))))
+    return hits.groupBy("doc_id", F.shiftrightunsigned("at", 32).alias("variant")).agg(starts.alias("starts")).unionByName(all_gone)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Each row's words and what is left of them: (doc_id, n_words, n_removed, kept), kept being the words joined by one space.
 
-    Windows are judged on the input. Null texts have no words; empty tables give no rows.
+    Windows are judged on the input. Null texts have no words; rows with a null
+    id keep all of theirs; empty tables give no rows.
     """
     starts = removed_words(docs, doc_id, text, width)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(starts, "doc_id", "left")
+    rows = _rows(docs, doc_id, text).join(starts, ["doc_id", "variant"], "left").select("doc_id", "text", "starts")
 
     def cut(batches):
         names, types = ["doc_id", "n_words", "n_removed", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]

@@ -25,9 +25,7 @@ from .common import lean, rounds, small_batches, table
 
 #: Labelled rows that a model is fitted on, at most, by hash order of their ids.
 SAMPLE_ROWS = 20_000
-#: Tokens that a model holds, at most: those with most evidence. 16 bytes each are broadcast.
-VOCABULARY = 50_000
-#: A token has to be in so many sample documents.
+#: A token has to be in so many sample documents; the model holds all that are, 16 bytes each, which SAMPLE_ROWS bounds.
 LEAST_DOCUMENTS = 3
 DRIFT = 1.0
 SIGNIFICANT = 0.05
@@ -92,12 +90,14 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, high - low) for s, e, low, high, _ in stack]
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, rows: int, held_out: bool = True) -> DataFrame:
-    """(doc_id, text, y, fold) of at most `rows` labelled documents whose crc32(id) mod 5 is not 0; conflicting labels count as 1."""
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias(doc_id)).agg(F.max(label).cast("int").alias("y"))
-    known = known.withColumn("fold", F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5)
-    some = known.where("fold != 0" if held_out else "true").orderBy(F.xxhash64(F.lit(5), F.col(doc_id)), doc_id).limit(rows)
-    return docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(some), doc_id).select(F.col(doc_id).cast("long").alias("doc_id"), "text", "y", "fold")
+def _labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, rows: int, metadata: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, y, then the metadata as doubles, fold) of at most `rows` labelled documents whose crc32(id) mod 5 is not 0; conflicting labels count as 1."""
+    known = labels.where(labels[doc_id].isNotNull() & labels[label].isNotNull()).groupBy(labels[doc_id].alias("labelled")).agg(F.max(label).cast("int").alias("y"))
+    known = known.withColumn("fold", F.crc32(F.col("labelled").cast("string").cast("binary")) % 5)
+    some = known.where("fold != 0").orderBy(F.xxhash64(F.lit(5), F.col("labelled")), "labelled").limit(rows)
+    told = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *[docs[c].cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])
+    joined = told.join(F.broadcast(some), told.doc_id == some.labelled)
+    return joined.select("doc_id", "text", "y", *[f"m{i}" for i in range(len(metadata))], "fold")
 
 
 def _tokens(texts: pa.Array):
@@ -126,42 +126,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     sizes = {r.y: r.n for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sum(sizes.values()) - sizes.get(1, 0))
     counts = learn.select("text", "y").mapInArrow(lean(present), "token long, y long").groupBy("token").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_DOCUMENTS)
-    lift = F.abs(F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c") - F.col("c1") + 0.5) / (n0 + 1)))
-    rows = counts.orderBy(F.desc(lift * F.sqrt("c")), "token").limit(VOCABULARY).collect() if n1 and n0 else []
-    if not rows:
+    rows = counts.toArrow() if n1 and n0 else None
+    if rows is None or not rows.num_rows:
         sample.unpersist()
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -DRIFT, 1.0, 0.0, np.array([-9.0, 0.0, 0.0]))
-    tokens = np.array([r.token for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    tokens, c1, c = tokens[order], np.array([r.c1 for r in rows], dtype=float)[order], np.array([r.c for r in rows], dtype=float)[order]
+    tokens, c1, c = (rows.column(x).to_numpy() for x in ("token", "c1", "c"))
+    order = np.argsort(tokens.view(np.uint64))
+    tokens, c1, c = tokens.view(np.uint64)[order], c1[order].astype(float), c[order].astype(float)
     shared = spark.sparkContext.broadcast(tokens)
 
     def corpus(batches):
-        """Documents of the whole corpus that hold each of the model's tokens."""
-        total, texts = np.zeros(len(shared.value) + 1, dtype=np.int64), 0
+        """Documents of the whole corpus that hold each of the model's tokens, then its documents, tokens and tokens outside the model."""
+        known = shared.value
+        total, ends = np.zeros(len(known), dtype=np.int64), np.zeros(3, dtype=np.int64)
         for batch in batches:
             for h in _tokens(batch.column(0)):
-                h = np.unique(h)
-                at = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
-                total[at[shared.value[at] == h]] += 1
-                texts += 1
-        total[-1] = texts
+                unique, often = np.unique(h, return_counts=True)
+                at = np.minimum(np.searchsorted(known, unique), len(known) - 1)
+                hit = known[at] == unique
+                total[at[hit]] += 1
+                ends += (1, len(h), often[~hit].sum())
+        total = np.concatenate([total, ends])
         seen = np.flatnonzero(total)
-        yield table(["at", "n"], [seen, total[seen]], [pa.int64(), pa.int64()])
+        for k in range(0, len(seen), 100_000):
+            part = seen[k : k + 100_000]
+            yield table(["at", "n"], [part, total[part]], [pa.int64(), pa.int64()])
 
-    held = docs.select(F.col(text).alias("text")).mapInArrow(lean(corpus), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # VOCABULARY + 1 rows at most
+    held = docs.select(F.col(text).alias("text")).mapInArrow(lean(corpus), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a token of the model
     shared.destroy()
-    spread = np.zeros(len(tokens) + 1)
-    for r in held:
-        spread[r["at"]] = r.n
-    share = (spread[:-1] + 0.5) / (spread[-1] + 1)
+    spread = np.zeros(len(tokens) + 3)
+    spread[held.column("at").to_numpy()] = held.column("n").to_numpy()
+    share = (spread[:-3] + 0.5) / (spread[-3] + 1)
+    outside = float((spread[-1] + 0.5) / (spread[-2] + 1))
     prior = 4.0  # documents' worth of prior, at the corpus's own rate
     p1, p0 = (c1 + prior * share) / (n1 + prior), (c - c1 + prior * share) / (n0 + prior)
     odds = np.log(p1 / (1 - p1 + 1e-9)) - np.log(p0 / (1 - p0 + 1e-9))
     z = odds / np.sqrt(1 / (c1 + prior * share) + 1 / (c - c1 + prior * share))
     shrunk = odds * z**2 / (z**2 + 9.0)
     model = Model(tokens, np.clip(shrunk, -4.0, 8.0) - DRIFT, -DRIFT, 1.0, 0.0, np.array([-9.0, 0.0, 0.0]))
-    model.lam = _decay(model.scores, p0)  # chance is what other documents hold
+    model.lam = _decay(model.scores, p0, outside)  # chance is what other documents hold
 
     def raw(batches):
         for batch in batches:
@@ -183,13 +186,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     return model
 
 
-def _decay(scores: np.ndarray, share: np.ndarray) -> float:
-    """lambda > 0 with E[exp(lambda score)] = 1 over chance tokens, half of which are taken to be outside the model and to score the drift."""
-    weight = share / max(share.sum() * 2, 1e-9)
+def _decay(scores: np.ndarray, share: np.ndarray, outside: float) -> float:
+    """lambda > 0 with E[exp(lambda score)] = 1 over chance tokens; a part `outside` of them, counted in the corpus, is not in the model and scores the drift."""
+    weight = share * (1 - outside) / max(share.sum(), 1e-9)
     low, high = 1e-3, 8.0
     for _ in range(60):
         lam = (low + high) / 2
-        value = float((weight * np.exp(lam * scores)).sum() + 0.5 * math.exp(-lam * DRIFT))
+        value = float((weight * np.exp(lam * scores)).sum() + outside * math.exp(-lam * DRIFT))
         low, high = (lam, high) if value < 1 else (low, lam)
     return (low + high) / 2
 
@@ -210,6 +213,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _evidence(m: Model, hashes: np.ndarray) -> tuple[float, float, list[tuple[int, int, float]]]:
+    """A text's probability, its best segment's excess and all of its segments."""
+    found = segments(m.token_scores(hashes))
+    best, total, _ = m.evidence(found, len(hashes))
+    return m.probability(best, total), best, found
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, n_tokens, best, passages) of every whole text.
 
@@ -227,16 +237,29 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             out: list[list] = [[] for _ in names[1:]]
             for h in _tokens(batch.column(1)):
-                found = segments(m.token_scores(h))
-                best, total, _ = m.evidence(found, len(h))
+                probability, best, found = _evidence(m, h)
                 told = []
                 for a, b, s in found:
                     e = math.exp(min(700.0, m.log_k + math.log(max(len(h), 1)) - m.lam * s))
                     if e <= SIGNIFICANT:
                         told.append({"start": a, "end": b, "score": s, "expected": e})
-                for column, x in zip(out, (m.probability(best, total), len(h), best, told), strict=True):
+                for column, x in zip(out, (probability, len(h), best, told), strict=True):
                     column.append(x)
             yield table(names, [batch.column(0), *out], [pa.int64(), pa.float64(), pa.int64(), pa.float64(), passage])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(lean(scan), "doc_id long, score double, n_tokens long, best double, passages array<struct<start:int,end:int,score:double,expected:double>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below `threshold`. Rows are judged one by one, whatever their ids; narrow, no join."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def sift(batches):
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([_evidence(m, h)[0] < threshold for h in _tokens(batch.column(place))], type=pa.bool_()))
+
+    return docs.mapInArrow(lean(sift), docs.schema)
