@@ -4,8 +4,9 @@ Weights are taken as exact fractions w of their sum. Block i of a source of
 weight w is released at floor(i / w) and due at ceil((i + 1) / w); at each time
 slot the released block with the earliest deadline runs. As the weights sum to
 one, no deadline is missed, so after every slot each source is less than one
-block from its target, until a source has no blocks left; the others then go on
-in order.
+block from its target, until a source has no blocks left (`targets_hold` tells
+the slot); the others then go on at their own slots, the ended source's stay
+empty, and the order among the others keeps their weights to each other.
 
 The driver computes every block's slot, one step a block (of 64 rows, say), and
 writes them out in parts; it holds the sources' weights and counts, and no
@@ -18,14 +19,14 @@ import heapq
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
-from math import lcm
+from math import ceil, lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, new_path, written
+from .common import BROADCAST_ROWS, few, new_path, unused, written
 
 PERIOD = 4096
 #: Rows of a source are numbered by this many hash ranges at once.
@@ -52,7 +53,12 @@ def ticks(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def slots(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+def _named(source: str | None) -> str:
+    """A source's name here: a null source is one of its own, apart from any that has a name."""
+    return "" if source is None else f"={source}"
+
+
+def slots(weights: dict[str | None, float], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int, int, int]]:
     """(source, block, release, slot, deadline) of every block, by slot: earliest deadline first among the released.
 
     Exact at any number of sources and any skew. Sources of weight 0 have no slots.
@@ -63,7 +69,7 @@ def slots(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[s
     unit = lcm(*(x.denominator for x in exact.values()))
     whole = {s: x.numerator * (unit // x.denominator) for s, x in exact.items()}
     total = sum(whole.values())
-    names = sorted(s for s in whole if blocks.get(s, 0) > 0)
+    names = sorted((s for s in whole if blocks.get(s, 0) > 0), key=_named)
     share, left = [whole[s] for s in names], [blocks[s] for s in names]
     if any(-(-n * total // q) >= LATE for n, q in zip(left, share, strict=True)):
         raise ValueError("a weight is too small: its source's slots go beyond 2^62")
@@ -85,6 +91,13 @@ def slots(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[s
         slot += 1
 
 
+def targets_hold(weights: dict[str | None, float], blocks: dict[str | None, int]) -> int:
+    """The first slot before which every weighted source's share is within one block of its target: there the first of them has no blocks left."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    total = sum(exact.values())
+    return min(ceil(blocks.get(s, 0) * total / w) for s, w in exact.items())
+
+
 def one_period(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block within the period, slot) of one period of whole ticks."""
     return [(s, i, slot) for s, i, _, slot, _ in slots(shares, shares)]
@@ -94,61 +107,64 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, s
     """Every row's place in the mix: (doc_id, source, block, release, slot, deadline, place).
 
     `place` orders a block's rows; (slot, place) is the mix's order. Rows of a
-    source follow a hash of their ids. A null source is a source of its own,
-    named ''; sources without a weight or of weight 0 come after all weighted
+    source follow a hash of their ids. A null source is a source of its own, the
+    weight of None, and not the one named ''; sources without a weight or of weight 0 come after all weighted
     ones, block by block in turn, so that nothing is lost. Null ids and repeated
     rows have places like others; empty tables give no rows. Weights are exact;
     only if a `period` is given are they rounded to its ticks.
     """
-    weights = weights or {"": 1.0}  # of an empty table
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
+    weights = weights or {None: 1.0}  # of an empty table
+    named = F.when(docs[source].isNull(), "").otherwise(F.concat(F.lit("="), docs[source].cast("string")))
+    rows = docs.select(docs[doc_id].alias("doc_id"), named.alias("source"))
     rows = written(rows.withColumn("order", F.xxhash64(F.lit(3), F.col("doc_id"))).withColumn("range", F.pmod(F.col("order"), F.lit(RANGES)).cast("int")), "mix")
     counts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = written(counts.withColumn("start", before).select("source", "range", "start", "n"), "starts")
     place = F.row_number().over(Window.partitionBy("source", "range").orderBy("order", "doc_id")) - 1
     # Sources times RANGES rows: broadcast while sources are as few as weights, joined otherwise.
-    few = starts.count() <= 1_000_000
-    placed = rows.withColumn("k", place).join(F.broadcast(starts.drop("n")) if few else starts.drop("n"), ["source", "range"])
+    placed = rows.withColumn("k", place).join(few(starts).drop("n"), ["source", "range"])
     placed = placed.select("doc_id", "source", (F.col("start") + F.col("k")).alias("at"))
-    rows_of = {r.source: r.n for r in starts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    rows_of = {r.source[1:] if r.source else None: r.n for r in starts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     told = slots(weights if period is None else ticks(weights, period), {s: -(-n // block_rows) for s, n in rows_of.items()})
-    table, few = _slot_table(docs.sparkSession, told)
+    table, small = _slot_table(docs.sparkSession, told)
     blocks = placed.withColumn("block", F.floor(F.col("at") / block_rows)).withColumn("place", F.col("at") % block_rows)
-    out = blocks.join(F.broadcast(table) if few else table, ["source", "block"], "left")
+    out = blocks.join(F.broadcast(table) if small else table, ["source", "block"], "left")
     late = F.lit(LATE) + F.col("block")
     release, slot, due = (F.coalesce(c, late).cast("long").alias(c) for c in ("release", "slot", "deadline"))
-    return out.select("doc_id", "source", F.col("block").cast("long").alias("block"), release, slot, due, F.col("place").cast("long").alias("place"))
+    source_ = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source")
+    return out.select("doc_id", source_, F.col("block").cast("long").alias("block"), release, slot, due, F.col("place").cast("long").alias("place"))
 
 
-def _slot_table(spark: SparkSession, told: Iterator[tuple[str, int, int, int, int]]) -> tuple[DataFrame, bool]:
+def _slot_table(spark: SparkSession, told: Iterator[tuple[str | None, int, int, int, int]]) -> tuple[DataFrame, bool]:
     """What slots() tells as a table in the shared folder, written part by part, and whether it may be broadcast."""
     kinds = pa.schema([("source", pa.string()), *((c, pa.int64()) for c in ("block", "release", "slot", "deadline"))])
     path, n = new_path(spark, "slots"), 0
     while (part := list(islice(told, PART_BLOCKS))) or n == 0:
-        columns = list(zip(*part, strict=True)) or [()] * len(kinds)
+        columns = list(zip(*((_named(x[0]), *x[1:]) for x in part), strict=True)) or [()] * len(kinds)
         df = spark.createDataFrame(pa.table([pa.array(c, type=f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds))
         df.write.mode("append").parquet(path)
         n += len(part)
         if len(part) < PART_BLOCKS:
             break
-    return spark.read.schema("source string, block long, release long, slot long, deadline long").parquet(path), n <= BROADCAST_ROWS // 4
+    return spark.read.schema("source string, block long, release long, slot long, deadline long").parquet(path), n <= BROADCAST_ROWS // 2
 
 
-def tempered(docs: DataFrame, power: float = 0.7, source: str = "source") -> dict[str, float]:
+def tempered(docs: DataFrame, power: float = 0.7, source: str = "source") -> dict[str | None, float]:
     """Target weights of all sources from their shares raised to `power`, which lifts small sources."""
-    counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).count()
-    return {r["s"]: float(r["count"]) ** power for r in counts.collect()}
+    counts = docs.groupBy(docs[source].cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return {r.s: float(r.n) ** power for r in counts.collect()}  # one row a source
 
 
-def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float], block_rows: int = 64, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """All rows and columns of `docs`, laid out in the mix's order: range-partitioned by (slot, place) and sorted.
 
     Each file that is written from it is a contiguous part of the schedule, so
-    what reads file by file meets the sources at their target weights.
+    what reads file by file meets the sources at their target weights. Rows of
+    one id share a place.
     """
-    name = "__mix"
-    spot = schedule(docs, weights, block_rows, source, doc_id).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias(name))
-    joined = docs.join(spot.withColumnRenamed("doc_id", "__id"), F.col(doc_id).eqNullSafe(F.col("__id")), "left")
-    laid = joined.repartitionByRange(F.col(f"{name}.slot"), F.col(f"{name}.place")).sortWithinPartitions(f"{name}.slot", f"{name}.place")
+    spot = schedule(docs, weights, block_rows, source, doc_id).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at"))
+    spot = written(spot.select("doc_id", "at.slot", "at.place"), "spots")
+    names = [unused(docs, x) for x in ("spot_id", "slot", "place")]
+    joined = docs.join(few(spot.toDF(*names)), docs[doc_id].eqNullSafe(F.col(names[0])), "left")
+    laid = joined.repartitionByRange(*names[1:]).sortWithinPartitions(*names[1:])
     return laid.select(*[docs[c] for c in docs.columns])
