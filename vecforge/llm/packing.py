@@ -6,7 +6,8 @@ bound on the bins that its pieces need; a task whose bins equal the bound is
 certified; it gives up only its least filled bin, as bounds of tasks round up.
 Tasks with a gap give up `GIVEN_BINS` bins. The documents given up by `GROUP`
 tasks are packed again, kept only if that saves bins, and so on until one group
-is left.
+is left. A group, too, gives up `GIVEN_BINS` bins at most, whether it saved any
+or not, so no group ever holds more than some `GROUP * GIVEN_BINS` bins.
 Pieces move without their ids, about 60 bytes each, and only those given up.
 """
 
@@ -137,8 +138,12 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                 return new
             old = pdf.sort_values(["part", "bin", "offset"], kind="stable")
             number = old.groupby(["part", "bin"], sort=False).ngroup()
-            # No bin saved: as they were, and given once more so that a wider group may do better.
-            return old.assign(part=level << 40 | int(key[0]), bin=number, given=not last)[list(new.columns)]
+            # No bin saved: as they were; the least filled are given once more, as a wider group may do better.
+            fill = np.bincount(number, weights=old["length"])
+            given = np.zeros(len(fill), dtype=bool)
+            if not last:
+                given[np.argsort(fill, kind="stable")[:GIVEN_BINS]] = True
+            return old.assign(part=level << 40 | int(key[0]), bin=number, given=given[number])[list(new.columns)]
 
         return repack
 
