@@ -1,13 +1,14 @@
 """Sharding over fixed virtual slots.
 
-A record's slot comes from a hash and never changes. Bytes are summed per slot,
-and a small versioned map, stored as a table, says which shard owns each slot;
-rebalancing and growing write its next version and move only the slots they
-must. Slots hash the text, so equal texts
-share a slot and a shard; a slot heavier than `1 / parts` of a shard's fair
-share is cut by the record's id into sub-slots, so that one huge group of
-copies cannot unbalance the shards. Only the slot table, bounded by
-`SLOTS * SALTS` rows, ever reaches the driver.
+A record's slot comes from a hash of its text and never changes. Bytes are
+summed per slot, and a small versioned map, stored as a table, says which shard
+owns each slot; rebalancing and growing write its next version and move only
+the slots they must. Equal texts share a slot and so a shard: every group of
+equal texts that fits into a shard's fair share stays whole, and so do all
+other texts of its slot. Only a text whose copies outweigh a share is cut, by
+the records' ids, into sub-slots of its own, as there equal bytes and whole
+groups cannot both hold; there are fewer such texts than shards. Only the slot table,
+bounded by `SLOTS` plus `SALTS` rows a cut text, ever reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,48 +23,32 @@ from pyspark.sql.window import Window
 from .common import new_path, written
 
 SLOTS = 4096
-#: Sub-slots of each slot; a slot's records are numbered by sub-slot, so no task holds a whole slot.
+#: Parts of each slot by id: its records are numbered part by part, so no task holds a whole slot; a cut text's parts are its sub-slots.
 SALTS = 16
-MAP = "version int, vslot int, salt int, shard int"
+MAP = "version int, vslot int, cut long, salt int, shard int"
+#: What a map owns: a slot, the hash of a cut text (0: all other texts of the slot), and its sub-slot (0 for those).
+Key = tuple[int, int, int]
 
 
 def slotted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, vslot, salt) of each record; size is the text's UTF-8 bytes plus 1, a null text has none."""
-    told = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
+    """(doc_id, size, text_crc32, vslot, hash, salt) of each record; size is the text's UTF-8 bytes plus 1, a null text has none."""
+    told = F.coalesce(docs[text], F.lit(""))
+    rows = docs.select(
+        docs[doc_id].alias("doc_id"),
         (F.octet_length(told) + 1).cast("long").alias("size"),
         F.crc32(told.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(told), F.lit(SLOTS)).cast("int").alias("vslot"),
-        F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(SALTS)).cast("int").alias("salt"),
+        F.xxhash64(told).alias("hash"),
+        F.pmod(F.xxhash64(F.lit(11), docs[doc_id]), F.lit(SALTS)).cast("int").alias("salt"),
     )
+    return rows.withColumn("vslot", F.pmod("hash", F.lit(SLOTS)).cast("int")).withColumn("hash", F.when(F.col("hash") == 0, 1).otherwise(F.col("hash")))
 
 
-def plan(weights: dict[tuple[int, int], int], shards: int, parts: int = 2) -> dict[tuple[int, int], int]:
-    """Version 1 of the map: (slot, salt) -> shard, heaviest first into the lightest shard.
+def plan(weights: dict[Key, int], shards: int) -> dict[Key, int]:
+    """Version 1 of the map: the heaviest key first, into the lightest shard."""
+    return extended({}, weights, shards)
 
-    A slot stays whole unless it is heavier than 1 / parts of a shard's fair share.
-    """
-    whole: dict[int, int] = {}
-    for (slot, _), w in weights.items():
-        whole[slot] = whole.get(slot, 0) + w
-    limit = sum(whole.values()) / shards / parts
-    units: list[tuple[int, list[tuple[int, int]]]] = []
-    grouped: dict[int, list[tuple[int, int]]] = {}
-    for key in sorted(weights):
-        grouped.setdefault(key[0], []).append(key)
-    for slot, keys in grouped.items():
-        units += [(whole[slot], keys)] if whole[slot] <= limit else [(weights[k], [k]) for k in keys]
-    load = [(0, s) for s in range(shards)]
-    owner: dict[tuple[int, int], int] = {}
-    for w, keys in sorted(units, key=lambda u: (-u[0], u[1])):
-        held, s = heapq.heappop(load)
-        heapq.heappush(load, (held + w, s))
-        owner.update(dict.fromkeys(keys, s))
-    return owner
-
-
-def rebalanced(owner: dict[tuple[int, int], int], weights: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
+
+def rebalanced(owner: dict[Key, int], weights: dict[Key, int], shards: int) -> dict[Key, int]:
     """The next version of the map for `shards` shards: new shards take slots of the fullest ones until they have their share, nothing else moves."""
     out = dict(owner)
     load, held = {s: 0 for s in range(shards)}, {s: [] for s in range(shards)}
@@ -77,7 +62,7 @@ def rebalanced(owner: dict[tuple[int, int], int], weights: dict[tuple[int, int],
         while True:
             old = max((s for s in load if s != new), key=lambda s: (load[s], -s))
             room = min(load[old] - fair, fair - load[new])
-            at = bisect.bisect_right(held[old], (room, (SLOTS, SALTS))) - 1  # the heaviest slot that leaves neither beyond its share
+            at = bisect.bisect_right(held[old], (room, (SLOTS,))) - 1  # the heaviest slot that leaves neither beyond its share
             if at < 0:
                 break
             w, key = held[old].pop(at)
@@ -86,13 +71,26 @@ def rebalanced(owner: dict[tuple[int, int], int], weights: dict[tuple[int, int],
     return out
 
 
-def store(spark: SparkSession, path: str, version: int, owner: dict[tuple[int, int], int]) -> None:
-    """Write one version of the map, (version, vslot, salt, shard), to its own folder under `path`; a version is never overwritten."""
-    rows = [(version, slot, salt, s) for (slot, salt), s in sorted(owner.items())]
+def extended(owner: dict[Key, int], weights: dict[Key, int], shards: int) -> dict[Key, int]:
+    """The map with owners for the keys it lacks, heaviest first into the lightest shard. Nothing moves."""
+    out, load = dict(owner), dict.fromkeys(range(shards), 0)
+    for key, s in owner.items():
+        load[s] += weights.get(key, 0)
+    heap = sorted((w, s) for s, w in load.items())
+    for key in sorted(weights.keys() - owner.keys(), key=lambda k: (-weights[k], k)):
+        w, s = heapq.heappop(heap)
+        heapq.heappush(heap, (w + weights[key], s))
+        out[key] = s
+    return out
+
+
+def store(spark: SparkSession, path: str, version: int, owner: dict[Key, int]) -> None:
+    """Write one version of the map, (version, vslot, cut, salt, shard), to its own folder under `path`; a version is never overwritten."""
+    rows = [(version, *key, s) for key, s in sorted(owner.items())]
     spark.createDataFrame(rows, MAP).coalesce(1).write.parquet(f"{path}/version={version:08d}")
 
 
-def stored(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[tuple[int, int], int]]:
+def stored(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[Key, int]]:
     """A stored version of the map, the latest unless told; version 0 is empty and means that nothing is stored."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -103,32 +101,11 @@ def stored(spark: SparkSession, path: str, version: int | None = None) -> tuple[
         return 0, {}
     if version not in done:
         raise ValueError(f"version {version} of the slot map is not stored")
-    rows = spark.read.schema(MAP).parquet(f"{path}/version={version:08d}").collect()  # SLOTS * SALTS at most
-    return version, {(r.vslot, r.salt): r.shard for r in rows}
+    rows = spark.read.schema(MAP).parquet(f"{path}/version={version:08d}").collect()  # a row a slot or sub-slot
+    return version, {(r.vslot, r.cut, r.salt): r.shard for r in rows}
 
 
-def extended(owner: dict[tuple[int, int], int], weights: dict[tuple[int, int], int], shards: int, parts: int = 2) -> dict[tuple[int, int], int]:
-    """The map with owners for sub-slots it lacks: a slot kept whole takes them to its shard, others go to the lightest shard. Nothing moves."""
-    out, homes, load = dict(owner), {}, dict.fromkeys(range(shards), 0)
-    for key, s in owner.items():
-        homes.setdefault(key[0], set()).add(s)
-        load[s] += weights.get(key, 0)
-    lacking: dict[int, list[tuple[int, int]]] = {}
-    for key in sorted(weights):
-        if key not in owner:
-            lacking.setdefault(key[0], []).append(key)
-    units, limit = [], sum(weights.values()) / shards / parts
-    for slot, keys in lacking.items():
-        home, w = homes.get(slot, set()), sum(weights[k] for k in keys)
-        units += [(w, keys, home)] if len(home) == 1 or (not home and w <= limit) else [(weights[k], [k], home) for k in keys]
-    for w, keys, home in sorted(units, key=lambda u: (-u[0], u[1])):
-        s = min(home) if len(home) == 1 else min(load, key=lambda s: (load[s], s))
-        out.update(dict.fromkeys(keys, s))
-        load[s] += w
-    return out
-
-
-def rebalance(spark: SparkSession, path: str, weights: dict[tuple[int, int], int], shards: int) -> int:
+def rebalance(spark: SparkSession, path: str, weights: dict[Key, int], shards: int) -> int:
     """Store rebalanced() of the latest map as the next version and return its number."""
     version, owner = stored(spark, path)
     if version == 0:
@@ -137,9 +114,20 @@ def rebalance(spark: SparkSession, path: str, weights: dict[tuple[int, int], int
     return version + 1
 
 
-def weights_of(slots: DataFrame) -> dict[tuple[int, int], int]:
-    """Bytes of each sub-slot from the map that shard() returns."""
-    return {(r.vslot, r.salt): r.bytes for r in slots.select("vslot", "salt", "bytes").collect()}
+def weights_of(slots: DataFrame) -> dict[Key, int]:
+    """Bytes of each key from the map that shard() returns."""
+    return {(r.vslot, r.cut, r.salt): r.bytes for r in slots.select("vslot", "cut", "salt", "bytes").collect()}
+
+
+def _heavy(rows: DataFrame, shards: int) -> list[int]:
+    """Hashes of the texts that outweigh a shard's fair share; only slots that do are searched."""
+    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()  # SLOTS rows at most
+    share = sum(r.bytes for r in sums) / shards
+    slots = [r.vslot for r in sums if r.bytes > share]
+    if not slots:
+        return []
+    texts = rows.where(F.col("vslot").isin(slots)).groupBy("hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > share)
+    return sorted(r.hash for r in texts.collect())  # fewer than shards
 
 
 def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -147,34 +135,41 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
 
     `path` holds the stored map, a new one in the shared folder if not told.
     Records go where its latest version says. Without one, version 1 is planned
-    and stored; sub-slots that a stored map lacks are added as the next version.
-    Either way the map is read back before records are placed. A map with fewer
-    shards needs rebalance() first, one with more is refused.
+    and stored; slots that a stored map lacks are added as the next version, and
+    no text is cut that the first version did not cut. Either way the map is
+    read back before records are placed. A map with fewer shards needs
+    rebalance() first, one with more is refused.
 
     Records: (doc_id, size, text_crc32, shard, slot), slot numbering a shard's
-    records from 0 without gaps. Map: (version, vslot, salt, bytes, rows, shard,
-    first), first being the place of a sub-slot's first record. Null ids, null
-    and empty texts and repeated rows are records like others (a null id counts
-    as one value for the hash). An empty table gives no records and an empty map.
+    records from 0 without gaps. Map: (version, vslot, cut, salt, bytes, rows,
+    shard). Null ids, null and empty texts and repeated rows are records like
+    others (a null id counts as one value for the hash). An empty table gives no
+    records and an empty map.
     """
     spark = docs.sparkSession
     path = new_path(spark, "slot-map") if path is None else path
     rows = written(slotted(docs, doc_id, text), "slotted")
-    sums = rows.groupBy("vslot", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()  # SLOTS * SALTS at most
-    weights, count = {(r.vslot, r.salt): r.bytes for r in sums}, {(r.vslot, r.salt): r.rows for r in sums}
     version, owner = stored(spark, path)
     if any(s >= shards for s in owner.values()):
         raise ValueError(f"the stored map has shards beyond {shards}")
+    cuts = sorted({cut for _, cut, _ in owner if cut}) if owner else _heavy(rows, shards)
+    parts = rows.withColumn("cut", F.when(F.col("hash").isin(cuts), F.col("hash")).otherwise(0) if cuts else F.lit(0).cast("long"))
+    sums = parts.groupBy("vslot", "cut", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()  # (SLOTS + cut texts) * SALTS at most
+    weights: dict[Key, int] = {}
+    count: dict[Key, int] = {}
+    for r in sums:
+        key = (r.vslot, r.cut, r.salt if r.cut else 0)
+        weights[key], count[key] = weights.get(key, 0) + r.bytes, count.get(key, 0) + r.rows
     if weights.keys() - owner.keys():
-        store(spark, path, version + 1, extended(owner, weights, shards) if owner else plan(weights, shards))
+        store(spark, path, version + 1, extended(owner, weights, shards))
         version, owner = stored(spark, path, version + 1)
-    first, table = dict.fromkeys(range(shards), 0), []
-    for key in sorted(weights):
-        s = owner[key]
-        table.append((version, *key, weights[key], count[key], s, first[s]))
-        first[s] += count[key]
-    slots = spark.createDataFrame(table, "version int, vslot int, salt int, bytes long, rows long, shard int, first long")
-    place = F.row_number().over(Window.partitionBy("vslot", "salt").orderBy("doc_id", "text_crc32")) - 1
-    known = F.broadcast(slots.select("vslot", "salt", "shard", "first"))
-    out = rows.withColumn("place", place).join(known, ["vslot", "salt"])
+    first, starts = dict.fromkeys(range(shards), 0), []
+    for r in sorted(sums, key=lambda r: (r.vslot, r.cut, r.salt)):
+        s = owner[r.vslot, r.cut, r.salt if r.cut else 0]
+        starts.append((r.vslot, r.cut, r.salt, s, first[s]))
+        first[s] += r.rows
+    known = spark.createDataFrame(starts, "vslot int, cut long, salt int, shard int, first long")
+    place = F.row_number().over(Window.partitionBy("vslot", "cut", "salt").orderBy("doc_id", "text_crc32")) - 1
+    out = parts.withColumn("place", place).join(F.broadcast(known), ["vslot", "cut", "salt"])
+    slots = spark.createDataFrame([(version, *k, weights[k], count[k], owner[k]) for k in sorted(weights)], "version int, vslot int, cut long, salt int, bytes long, rows long, shard int")
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place")).alias("slot")), slots
