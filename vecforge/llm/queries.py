@@ -69,7 +69,8 @@ def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_classifier
 
     docs = documents(spark, sf_dir)
-    found = quality_classifier.score(docs, quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality_classifier.score(docs, quality_classifier.fit(docs, labels, metadata=("n_chars",)))
     return found.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
