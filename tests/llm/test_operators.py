@@ -375,6 +375,13 @@ def test_near_chains_need_more_than_pivots(spark):
     assert {r.doc_id: r.component_id for r in rows} == brute.near_components(docs, 4)
 
 
+def test_near_links_survive_without_pivots(spark, texts, monkeypatch):
+    """No pair passes the signature bits: every link has to come from the exact prefix filter."""
+    monkeypatch.setattr(near_dedup.Params, "bits", -1)
+    rows = near_dedup.classes(table(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == brute.near_components(dict(enumerate(texts)), 5)
+
+
 def test_near_odd_rows(spark):
     docs = table(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "", None], [7, 7, None, 2, 3, None])
     rows = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.classes(docs).collect())

@@ -163,9 +163,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = written(lower.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), "was"), "labels")
         done = after.where("component != was").isEmpty()
         dropped(labels, lower)
-        labels = after
+        labels = after.drop("was")
+        labels.written_to = after.written_to
         if done:
             dropped(near)
-            return labels.drop("was")
-        labels = labels.drop("was")
-        labels.written_to = after.written_to
+            return labels
