@@ -10,6 +10,7 @@ from vecforge.functions import sampling as S
 from vecforge.functions import vectors as V
 from vecforge.operators import centroids as C
 from vecforge.operators import distance as D
+from vecforge.operators import gemm as G
 from vecforge.operators import metrics as M
 from vecforge.operators.pruned import search
 from vecforge.operators.rotation import Rotation, Split, tuned_partial_d
@@ -18,6 +19,7 @@ from vecforge.plans.hierarchical import HierarchicalKMeans, fine_budget
 from vecforge.schema import checked
 from vecforge.sources import synthetic, tables
 from vecforge.streaming import assign as stream_assign
+from vecforge.timing import Stopwatch
 
 
 @pytest.mark.parametrize("d", [16, 50, 128, 256])
@@ -136,9 +138,11 @@ def test_pruned_search_agrees():
     x = middle[rng.integers(300, size=2000)] + rng.normal(0, 1, (2000, 128))
     r, split = Rotation(128), Split.of(128)
     xr, cr = r.rotate(x), r.rotate(middle)
-    at, d2, count = search(xr, rng.integers(300, size=2000), cr, r.ratios, split, split.partial())
     truth = D.nearest(x, middle)
-    assert (at == truth).mean() >= 0.98 and np.allclose(d2, ((xr - cr[at]) ** 2).sum(1))
+    for seeds in (rng.integers(300, size=2000), None):
+        at, d2, count, work = search(xr, seeds, cr, r.ratios, split, split.partial())
+        assert (at == truth).mean() >= 0.98 and np.allclose(d2, ((xr - cr[at]) ** 2).sum(1))
+    assert work < 0.5 * len(x) * 300 * 128  # with a bound of its own: less than half of an exact search's products
 
 
 def test_pruned_training(spark):
@@ -146,6 +150,12 @@ def test_pruned_training(spark):
     m = KMeans(260, 128, FlatConfig(iters=3, sampling_fraction=0.9)).fit(df)
     assert m.uses_pruning and m.stats[0][5] == -1 and 0 < m.stats[-1][5] < 1
     assert M.agreement(m.assign_training_points(df), m.assign(df)).first()[0] >= 0.98
+    exact = 2700 * 260 * 128
+    assert m.multiplications < exact + 0.5 * (len(m.stats) - 1) * exact  # the first iteration is exact
+    other = m.centroids_[::-1].copy()
+    assert M.agreement(m.assign_training_points(df, other), m.assign(df, other)).first()[0] >= 0.98
+    with pytest.raises(ClusteringError, match="centroids must be"):
+        m.assign_training_points(df, other[:5])
     assert m.assign(df).select("cid").distinct().count() >= 200
 
 
@@ -166,10 +176,10 @@ def test_product_takes_all_rows(spark, sf):
     for r in queries.QUERIES["gemm_dims"](spark, sf).collect():
         got[r.i, r.j] = r.value
     assert np.abs(got - x.T @ x).max() < 1e-5
-    assert D.gram_of_dims(spark.createDataFrame([], "vec_id long, embedding array<float>"), 2).where("value != 0").count() == 0
+    assert G.gram_of_dims(spark.createDataFrame([], "vec_id long, embedding array<float>"), 2).where("value != 0").count() == 0
 
 
-@pytest.mark.parametrize("name", ["knn_all_topk", "knn_all_sql"])
+@pytest.mark.parametrize("name", ["knn_topk", "knn_sql"])
 def test_neighbours_come_from_all_rows(spark, sf, name):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
@@ -183,17 +193,84 @@ def test_neighbours_come_from_all_rows(spark, sf, name):
     assert got == want and any(n % 20 == 0 for n in got.values())
 
 
-def test_recall_compares_searches_over_all_rows(spark, sf, monkeypatch):
-    sizes = []
-    monkeypatch.setattr(D, "collected", lambda p, f=D.collected: sizes.append(p.count()) or f(p))
-    assert queries.knn_recall(spark, sf).first()[0] == 1.0
-    assert sizes == [spark.read.parquet(f"{sf}/embeddings.parquet").count()]
+def test_searches_in_blocks_broadcast_nothing(spark, monkeypatch):
+    """Many small blocks, copies that tie, more neighbours asked for than there are, null ids."""
+    monkeypatch.setattr(D, "BLOCK_BYTES", 8 * 4 * 10)
+    monkeypatch.setattr(D, "TIES", 1)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.integers(-2, 3, (30, 4)), 3, axis=0).astype(float)
+    df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (None, [0.0] * 4)], "vec_id long, embedding array<float>")
+    p = df.toDF("cid", "centroid")
+    found = D.knn_blocks(df, p, 5, 4)
+    got = {(r.query_id, r["rank"]): r.neighbor_id for r in found.collect()}
+    want = {(q, r + 1): int(i) for q in range(90) for r, i in enumerate(np.lexsort((np.arange(90), ((x - x[q]) ** 2).sum(1)))[:5])}
+    assert got == want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert D.knn_blocks(df.where("vec_id < 2"), p.where("cid < 3"), 5, 4).count() == 6
+    assert D.knn_blocks(df.limit(0), p, 5, 4).count() == 0 and D.knn_blocks(df, p.limit(0), 5, 4).count() == 0
+    near = {r.vec_id: r.cid for r in D.assign_blocks(df, p.where("cid < 20"), 4).collect()}
+    assert near == {i: int(D.nearest(x[i : i + 1], x[:20])[0]) for i in range(90)}
+
+
+def test_too_much_to_broadcast_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 100)
+    df = spark.createDataFrame([(0, [1.0] * 8)], "vec_id long, embedding array<float>")
+    c = np.zeros((2, 8))
+    for search_ in (lambda: D.assign(df, np.arange(2), c), lambda: D.knn(df, np.arange(2), c, 1), lambda: D.assign_relational(df, tables.centroid_table(spark, c), 8)):
+        with pytest.raises(ClusteringError, match="blocks"):
+            search_()
+
+
+def test_products(spark):
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(7, 5)), rng.normal(size=(7, 6))
+    table = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "vec_id long, embedding array<double>")
+
+    def of(rows, shape):
+        out = np.zeros(shape)
+        for r in rows.collect():
+            out[r.i, r.j] = r.value
+        return out
+
+    assert np.allclose(of(G.product(table(a), table(b), trans_a=True), (5, 6)), a.T @ b)
+    assert np.allclose(of(G.product(table(a), table(b.T), columns_a=5), (7, 7)), a @ b.T[:5])
+    assert np.allclose(of(G.product(table(a), table(b), trans_b=True, columns_a=3, columns_b=3), (7, 7)), a[:, :3] @ b[:, :3].T)
+    both = rng.normal(size=(6, 5))
+    assert np.allclose(of(G.product(table(a.T), table(both), True, True), (7, 6)), a @ both.T)
+    m = rng.normal(size=(4, 3))
+    got = {r.vec_id: r["product"] for r in G.rows_times(table(a), m, columns=4).collect()}
+    assert np.allclose([got[i] for i in range(7)], a[:, :4] @ m)
+    got = {r.vec_id: r["product"] for r in G.rows_times(table(a), rng.normal(size=(2, 5)), trans_b=True).collect()}
+    assert len(got[0]) == 2
+
+
+def test_stopwatch_adds_up():
+    w = Stopwatch()
+    w.tic()
+    w.toc()
+    once = w.milliseconds
+    w.tic()
+    w.toc()
+    assert 0 <= once <= w.milliseconds
+    w.reset()
+    assert w.milliseconds == 0
+
+
+def test_sums_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(C, "BRANCH", 3)
+    df = synthetic.uniform(spark, 400, 6, partitions=20)
+    c = np.random.default_rng(2).normal(size=(5, 6))
+    rows = {r.cid: r for r in C.updated(df, np.arange(5, dtype=np.int32), c, 20).collect()}
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], dtype=np.float64)
+    at = D.nearest(x, c)
+    for i in np.unique(at).tolist():
+        assert rows[i]["size"] == (at == i).sum() and np.allclose(rows[i].total, x[at == i].sum(0)) and rows[i].cost == pytest.approx(((x[at == i] - c[i]) ** 2).sum())
 
 
 def test_own_row_is_left_out_among_copies(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "vec_id long, embedding array<float>")
     base = v.select(F.col("vec_id").cast("int").alias("cid"), F.col("embedding").cast("array<double>").alias("centroid"))
-    for found in (D.knn(v, *D.collected(base), 3), D.knn_relational(v, base, 3, 2)):
+    for found in (D.knn(v, *D.collected(base), 3), D.knn_relational(v, base, 3, 2), D.knn_blocks(v, base, 3, 2)):
         got = sorted((r.query_id, r.rank, r.neighbor_id) for r in D.other_neighbors(found, 2).collect())
         assert got == [(q, r + 1, n) for q in range(5) for r, n in enumerate([n for n in range(5) if n != q][:2])]
 
@@ -226,8 +303,10 @@ def test_hierarchical(spark):
     assert m.centroids_.shape == (40, 16) and {s[0] for s in m.stats} == {"meso", "fine", "refinement"}
     out = m.assign(df)
     assert out.agg(F.sum("d2")).first()[0] < KMeans(6, 16, FlatConfig(sampling_fraction=1.0)).fit(df).assign(df).agg(F.sum("d2")).first()[0]
-    big = HierarchicalKMeans(40, 16, HierConfig(suppress_warnings=True, max_group_rows=100)).fit(df)
-    assert np.isfinite(big.centroids_).all()
+    big = HierarchicalKMeans(40, 16, HierConfig(suppress_warnings=True, max_group_bytes=100 * 8 * 16)).fit(df)
+    small = HierarchicalKMeans(40, 16, HierConfig(suppress_warnings=True)).fit(df)
+    # Groups too large for one task are trained together by distributed iterations, to the same centroids.
+    assert np.allclose(big.centroids_, small.centroids_) and sorted(s[:3] for s in big.stats) == sorted(s[:3] for s in small.stats)
     with pytest.warns(UserWarning):
         HierarchicalKMeans(20, 16)
 

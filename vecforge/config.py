@@ -12,6 +12,7 @@ HORIZONTAL_BLOCK = 64
 MIN_PARTIAL_D = 16
 CENTROID_BLOCK = 1024
 PERTURBATION = 1.0 / 1024
+RECALL_PATIENCE = 2
 EPSILON_FLAT = 1.5
 EPSILON_HIERARCHICAL = 1.1
 F32_EPSILON = 1.1920929e-07
@@ -33,15 +34,12 @@ class FlatConfig:
     iters: int = 10
     sampling_fraction: float = 0.3
     max_points_per_cluster: int = 256
-    n_threads: int = 0
     seed: int = 42
     use_blas_only: bool = False
     tol: float = 1e-4
     recall_tol: float = 0.005
     early_termination: bool = True
     sample_queries: bool = False
-    objective_k: int = 100
-    ann_explore_fraction: float = 0.01
     min_not_pruned_pct: float = 0.03
     max_not_pruned_pct: float = 0.05
     adjustment_factor_for_partial_d: float = 0.20
@@ -72,7 +70,7 @@ class HierConfig(FlatConfig):
     iters_mesoclustering: int = 3
     iters_fineclustering: int = 5
     iters_refinement: int = 0
-    max_group_rows: int = 200_000  # larger meso clusters are trained by the distributed trainer
+    max_group_bytes: int = 64 << 20  # meso clusters with more bytes of doubles are trained by distributed iterations
 
     def __post_init__(self) -> None:
         super().__post_init__()

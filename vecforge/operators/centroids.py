@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import F32_EPSILON, PERTURBATION
 from ..functions import vectors as V
+from . import distance as D
+
+#: Rows of partial sums that are added up at once.
+BRANCH = 64
 
 
 def sums(assigned: DataFrame) -> DataFrame:
@@ -17,17 +21,48 @@ def sums(assigned: DataFrame) -> DataFrame:
     return rows.groupBy("cid", "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"), F.count(F.lit(1)).alias("size"))
 
 
-def partial_sums(pieces: DataFrame) -> DataFrame:
-    """Sums of (cid, size, cost, kept, total) rows by cid; each task has reduced its rows to one a cluster, so tasks * k rows shuffle."""
+def partial_sums(pieces: DataFrame, tasks: int) -> DataFrame:
+    """Sums of (cid, size, cost, kept, total) rows by cid; each task has reduced its rows to one a cluster, so tasks * k rows shuffle.
+
+    Beyond BRANCH tasks the sums of a cluster are first added up in groups of
+    about BRANCH rows, so no group ever holds a row of every task.
+    """
 
     def add(rows: pa.Table) -> pa.Table:
-        total = np.asarray(rows.column("total").combine_chunks().flatten()).reshape(rows.num_rows, -1).sum(axis=0)
+        total = np.zeros(len(rows.column("total")[0]))
+        for chunk in rows.column("total").chunks:
+            total += np.asarray(chunk.flatten()).reshape(len(chunk), -1).sum(axis=0)
         one = [[rows.column("cid")[0].as_py()], *([sum(rows.column(c).to_pylist())] for c in ("size", "cost", "kept")), [total.tolist()]]
-        return pa.table(dict(zip(("cid", "size", "cost", "kept", "total"), one, strict=True)), schema=rows.schema)
+        return pa.table(dict(zip(("cid", "size", "cost", "kept", "total"), one, strict=True)), schema=rows.select(["cid", "size", "cost", "kept", "total"]).schema)
 
+    while tasks > BRANCH:
+        tasks = -(-tasks // BRANCH)
+        salt = F.pmod(F.xxhash64("cost", "size", F.lit(tasks)), F.lit(tasks)).alias("salt")
+        pieces = pieces.select("*", salt).groupBy("cid", "salt").applyInArrow(add, SUMS)
     return pieces.groupBy("cid").applyInArrow(add, SUMS)
 
 
+def updated(df: DataFrame, ids: np.ndarray, c: np.ndarray, tasks: int = 1) -> DataFrame:
+    """(cid, size, cost, kept, total): assignment of the vectors to centroids and the sums of each cluster, in one narrow pass."""
+    shared = df.sparkSession.sparkContext.broadcast((ids, c))
+
+    def kernel(batches):
+        cid, m = shared.value
+        total, size, cost = np.zeros(m.shape), np.zeros(len(m), dtype=np.int64), np.zeros(len(m))
+        for batch in batches:
+            all_x = D.matrix(batch.column(1), m.shape[1])
+            for a in range(0, len(all_x), D.SLICE):
+                x = all_x[a : a + D.SLICE]
+                at = D.nearest(x, m)
+                cost += np.bincount(at, weights=((x - m[at]) ** 2).sum(axis=1), minlength=len(m))
+                accumulate(at, x, len(m), total, size)
+        held = np.flatnonzero(size)
+        if len(held):
+            yield sums_batch(held, size, cost, np.zeros(len(m), dtype=np.int64), total, cid)
+
+    return partial_sums(df.select("vec_id", "embedding").mapInArrow(kernel, SUMS), tasks)
+
+
 def accumulate(cid: np.ndarray, x: np.ndarray, k: int, into: np.ndarray, size: np.ndarray) -> None:
     """Add a batch's vectors to its clusters' sums."""
     order = np.argsort(cid, kind="stable")
@@ -36,9 +71,11 @@ def accumulate(cid: np.ndarray, x: np.ndarray, k: int, into: np.ndarray, size: n
     size += np.bincount(cid, minlength=k)
 
 
-def sums_batch(cids: np.ndarray, size: np.ndarray, cost: np.ndarray, kept: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+def sums_batch(cids: np.ndarray, size: np.ndarray, cost: np.ndarray, kept: np.ndarray, total: np.ndarray, names: np.ndarray | None = None) -> pa.RecordBatch:
+    """Sums of the clusters at these places, called by their place or by `names`."""
+    ids = cids if names is None else names[cids]
     arrays = pa.FixedSizeListArray.from_arrays(pa.array(total[cids].ravel()), total.shape[1]).cast(pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array(cids.astype(np.int32)), pa.array(size[cids]), pa.array(cost[cids]), pa.array(kept[cids]), arrays], names=["cid", "size", "cost", "kept", "total"])
+    return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(size[cids]), pa.array(cost[cids]), pa.array(kept[cids]), arrays], names=["cid", "size", "cost", "kept", "total"])
 
 
 SUMS = "cid int, size long, cost double, kept long, total array<double>"

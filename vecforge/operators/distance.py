@@ -2,7 +2,9 @@
 
 Centroids are the small side: k * d doubles, held on the driver and broadcast,
 with their size checked. Vectors stream through in Arrow batches and never
-shuffle. The relational forms express the same joins with DataFrame operators.
+shuffle. Where neither side is small, both are dealt into blocks, each pair of
+blocks is one task, and the best of every block are merged. The relational
+forms express the same joins with DataFrame operators.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ from pyspark.sql.window import Window
 from ..config import CENTROID_BLOCK, require
 from ..functions import vectors as V
 
-#: Centroid matrices up to this size are broadcast; larger sets take the relational form.
+#: Centroid matrices up to this size are broadcast; larger sets are searched block by block.
 BROADCAST_BYTES = 1 << 30
+#: Vectors worked on at once: with a block of centroids, 32 MB of distances.
+SLICE = 4096
+#: Bytes of doubles in a block of either side of a search between two large tables.
+BLOCK_BYTES = 32 << 20
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -36,38 +42,56 @@ def collected(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Row of the nearest centroid; the lowest row wins ties. Blocks of centroids bound the memory."""
     best, at = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
-    xx = (x * x).sum(axis=1)
+    rows = np.arange(len(x))
     for k in range(0, len(c), CENTROID_BLOCK):
         part = c[k : k + CENTROID_BLOCK]
-        d2 = xx[:, None] + (part * part).sum(axis=1)[None, :] - 2.0 * (x @ part.T)
-        d2 = np.where(np.isnan(d2), np.inf, d2)
+        d2 = x @ (-2.0 * part.T)  # short of the vectors' own lengths, which rank nothing
+        d2 += (part * part).sum(axis=1)
         j = d2.argmin(axis=1)
-        v = d2[np.arange(len(x)), j]
+        v = d2[rows, j]
+        if np.isnan(v).any():
+            np.nan_to_num(d2, copy=False, nan=np.inf)
+            j = d2.argmin(axis=1)
+            v = d2[rows, j]
         better = v < best
         best[better], at[better] = v[better], j[better] + k
     return at
 
 
 def assign(df: DataFrame, ids: np.ndarray, c: np.ndarray) -> DataFrame:
-    """(vec_id, cid, d2) of each vector, by matrix products on Arrow batches. Narrow: no shuffle."""
+    """(vec_id, cid, d2) of each vector, by matrix products on Arrow batches. Narrow: no shuffle. Too many centroids to broadcast: `assign_blocks`."""
     require(c.ndim == 2 and len(c) > 0, "n_clusters must be positive")
-    require(c.nbytes <= BROADCAST_BYTES, "too many centroids to broadcast; use assign_relational")
+    require(c.nbytes <= BROADCAST_BYTES, "too many centroids to broadcast; use assign_blocks")
     shared = df.sparkSession.sparkContext.broadcast((ids, c))
 
     def kernel(batches):
         cid, m = shared.value
         for batch in batches:
-            x = matrix(batch.column(1), m.shape[1])
-            at = nearest(x, m)
-            d2 = ((x - m[at]) ** 2).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid[at]), pa.array(d2)], names=["vec_id", "cid", "d2"])
+            for a in range(0, max(1, batch.num_rows), SLICE):
+                part = batch.slice(a, SLICE)
+                x = matrix(part.column(1), m.shape[1])
+                at = nearest(x, m)
+                d2 = ((x - m[at]) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cid[at]), pa.array(d2)], names=["vec_id", "cid", "d2"])
 
     return df.select("vec_id", "embedding").mapInArrow(kernel, "vec_id long, cid int, d2 double")
 
 
+def assign_blocks(df: DataFrame, centroids: DataFrame, d: int) -> DataFrame:
+    """The same for any number of centroids (cid, centroid): nothing is broadcast or collected."""
+    found = knn_blocks(df, centroids, 1, d)
+    return found.select(F.col("query_id").alias("vec_id"), F.col("neighbor_id").cast("int").alias("cid"), "d2")
+
+
+def checked_small(centroids: DataFrame, d: int) -> DataFrame:
+    """Centroids to broadcast, once counted and found small enough."""
+    require(centroids.count() * d * 8 <= BROADCAST_BYTES, "too many centroids to broadcast; use assign_blocks or knn_blocks")
+    return F.broadcast(centroids)
+
+
 def assign_relational(df: DataFrame, centroids: DataFrame, d: int, unroll: bool = True) -> DataFrame:
     """The same by a theta join and min_by: ties go to the lowest id. Written-out distances stay in generated code."""
-    pairs = df.select("vec_id", "embedding").crossJoin(F.broadcast(centroids.select("cid", "centroid")))
+    pairs = df.select("vec_id", "embedding").crossJoin(checked_small(centroids.select("cid", "centroid"), d))
     d2 = V.unrolled_l2("embedding", "centroid", d) if unroll and d <= 128 else V.l2_squared("embedding", "centroid")
     found = pairs.select("vec_id", F.struct(d2.alias("d2"), F.col("cid")).alias("at")).groupBy("vec_id").agg(F.min("at").alias("at"))
     return found.select("vec_id", "at.cid", "at.d2")
@@ -76,6 +100,7 @@ def assign_relational(df: DataFrame, centroids: DataFrame, d: int, unroll: bool
 def knn(queries: DataFrame, c_ids: np.ndarray, c: np.ndarray, k: int, pad: bool = False) -> DataFrame:
     """(query_id, rank, neighbor_id, d2): the k nearest, ties by lower id. pad: missing ranks have null neighbours."""
     require(k > 0, "k must be positive")
+    require(c.nbytes <= BROADCAST_BYTES, "too many points to broadcast; use knn_blocks")
     shared = queries.sparkSession.sparkContext.broadcast((c_ids, c))
     d = c.shape[1]
 
@@ -84,23 +109,13 @@ def knn(queries: DataFrame, c_ids: np.ndarray, c: np.ndarray, k: int, pad: bool
         have = min(k, len(m))
         for batch in batches:
             x = matrix(batch.column(1), d)
-            for a in range(0, len(x), 4096):
-                part = x[a : a + 4096]
-                keep_d, keep_i = np.empty((len(part), 0)), np.empty((len(part), 0), dtype=np.int64)
-                for b in range(0, len(m), CENTROID_BLOCK):  # merge block by block
-                    y = m[b : b + CENTROID_BLOCK]
-                    d2 = np.maximum((part * part).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (part @ y.T), 0.0)
-                    keep_d = np.concatenate([keep_d, d2], axis=1)
-                    keep_i = np.concatenate([keep_i, np.broadcast_to(np.arange(b, b + len(y)), d2.shape)], axis=1)
-                    order = np.argsort(np.round(keep_d, 12), axis=1, kind="stable")[:, :have]
-                    keep_d, keep_i = np.take_along_axis(keep_d, order, 1), np.take_along_axis(keep_i, order, 1)
-                exact = ((part[:, None, :] - m[keep_i]) ** 2).sum(axis=2)
-                order = np.lexsort((cid[keep_i], exact), axis=1)
-                exact, keep_i = np.take_along_axis(exact, order, 1), np.take_along_axis(keep_i, order, 1)
+            for a in range(0, len(x), SLICE):
+                part = x[a : a + SLICE]
                 n, width = len(part), k if pad else have
+                ids, exact = top(part, cid, m, have)
                 near = np.zeros((n, width), dtype=np.int32)
                 dist, gone = np.zeros((n, width)), np.ones((n, width), dtype=bool)
-                near[:, :have], dist[:, :have], gone[:, :have] = cid[keep_i], exact, False
+                near[:, :have], dist[:, :have], gone[:, :have] = ids, exact, False
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n).take(pa.array(np.repeat(np.arange(n), width))),
@@ -114,9 +129,94 @@ def knn(queries: DataFrame, c_ids: np.ndarray, c: np.ndarray, k: int, pad: bool
     return queries.select("vec_id", "embedding").mapInArrow(kernel, "query_id long, rank int, neighbor_id int, d2 double")
 
 
-def knn_relational(queries: DataFrame, points: DataFrame, k: int, d: int) -> DataFrame:
-    """k nearest of `points` (cid, centroid) by a ranking window, which Spark limits before its shuffle."""
-    pairs = queries.select("vec_id", "embedding").crossJoin(F.broadcast(points))
+def top(x: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact squared distances of the k nearest rows of m for each row of x, ties by lower id; k <= len(m)."""
+    xx = (x * x).sum(axis=1)
+    keep_d, keep_i = np.empty((len(x), 0)), np.empty((len(x), 0), dtype=np.int64)
+    for b in range(0, len(m), CENTROID_BLOCK):  # merge block by block
+        y = m[b : b + CENTROID_BLOCK]
+        d2 = x @ (-2.0 * y.T)
+        d2 += (y * y).sum(axis=1)
+        d2 += xx[:, None]
+        have = min(k + TIES, len(y))
+        some = np.argpartition(d2, have - 1, axis=1)[:, :have] if have < len(y) else np.broadcast_to(np.arange(len(y)), d2.shape)
+        keep_d = np.concatenate([keep_d, np.take_along_axis(d2, some, 1)], axis=1)
+        keep_i = np.concatenate([keep_i, some + b], axis=1)
+    exact = np.empty(keep_d.shape)
+    for a in range(0, len(x), 256):  # candidates are measured again, by differences
+        exact[a : a + 256] = ((x[a : a + 256, None, :] - m[keep_i[a : a + 256]]) ** 2).sum(axis=2)
+    # More candidates tie with the last one than were kept: such rows are measured against all.
+    order = np.lexsort((ids[keep_i], exact), axis=1)[:, :k]
+    out_i, out_d = np.take_along_axis(keep_i, order, 1), np.take_along_axis(exact, order, 1)
+    for r in np.flatnonzero(_crowded(keep_d, out_d, len(m), k)):
+        d2 = ((x[r] - m) ** 2).sum(axis=1)
+        order = np.lexsort((ids, d2))[:k]
+        out_i[r], out_d[r] = order, d2[order]
+    return ids[out_i], out_d
+
+
+#: Candidates of a block beyond the k asked for.
+TIES = 8
+
+
+def _crowded(keep_d: np.ndarray, out_d: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Rows whose kept candidates may not hold all that are as near as the k-th: a block gave k + TIES no farther than it."""
+    slack = 1e-9 * (1 + np.abs(out_d[:, -1]))
+    out, at = np.zeros(len(keep_d), dtype=bool), 0
+    for b in range(0, n, CENTROID_BLOCK):
+        have = min(k + TIES, min(CENTROID_BLOCK, n - b))
+        if have == k + TIES:
+            out |= keep_d[:, at : at + have].max(axis=1) <= out_d[:, -1] + slack
+        at += have
+    return out
+
+
+def knn_blocks(queries: DataFrame, points: DataFrame, k: int, d: int) -> DataFrame:
+    """(query_id, rank, neighbor_id, d2): k nearest of `points` (cid, centroid) where both sides may be large.
+
+    Both are dealt into blocks of BLOCK_BYTES by a hash of their ids. Each pair
+    of blocks is one task's work, which gives k rows a query; a ranking, limited
+    before its shuffle, merges them. A query row moves once for each block of
+    points, a point once for each block of queries; nothing is broadcast and
+    nothing reaches the driver but two counts. Null ids on either side take no
+    part.
+    """
+    require(k > 0, "k must be positive")
+    rows = max(1, BLOCK_BYTES // (8 * d))
+    q = queries.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    p = points.where("cid is not null").select(F.col("cid").cast("long").alias("id"), F.col("centroid").cast("array<double>").alias("v"))
+    n_q, n_p = (max(1, -(-x.count() // rows)) for x in (q, p))
+    n_p = max(n_p, min(8, queries.sparkSession.sparkContext.defaultParallelism))  # small tables use all cores, too
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own)
+        return df.select("id", "v", mine, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "neighbor_id", "d2"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
+        x, y = (matrix(t.column("v").combine_chunks(), d) for t in (left, right))
+        ids, asked = np.asarray(right.column("id")), np.asarray(left.column("id"))
+        have = min(k, len(y))
+        found = [top(x[a : a + SLICE], ids, y, have) for a in range(0, len(x), SLICE)]
+        near, dist = (np.concatenate([f[i] for f in found]).ravel() for i in (0, 1))
+        return pa.table([pa.array(np.repeat(asked, have)), pa.array(near), pa.array(dist)], names=names)
+
+    grouped = dealt(q, "qb", n_q, "pb", n_p).groupBy("qb", "pb").cogroup(dealt(p, "pb", n_p, "qb", n_q).groupBy("qb", "pb"))
+    best = grouped.applyInArrow(meet, "query_id long, neighbor_id long, d2 double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "neighbor_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
+
+
+def knn_relational(queries: DataFrame, points: DataFrame, k: int, d: int, blocks: int = 64) -> DataFrame:
+    """k nearest of `points` (cid, centroid) in SQL alone: an equi-join on blocks of points and a ranking, which Spark limits before its shuffle.
+
+    Every pair becomes a row; `knn_blocks` is the form for large tables.
+    """
+    block = F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")
+    asked = queries.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = asked.join(points.select("cid", "centroid", block.alias("block")), "block")
     d2 = V.unrolled_l2("embedding", "centroid", d) if d <= 128 else V.l2_squared("embedding", "centroid")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "neighbor_id"))
     rows = pairs.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("neighbor_id"), d2.alias("d2"))
@@ -130,29 +230,6 @@ def other_neighbors(found: DataFrame, k: int) -> DataFrame:
     return others.where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
 
 
-def gram(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, value): the matrix product A B^T of two vector tables, as an equi-join on the dimension."""
-    left = a.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("dim", "x"))
-    right = b.select(F.col("vec_id").alias("j"), F.posexplode("embedding").alias("dim", "y"))
-    product = F.col("x").cast("double") * F.col("y").cast("double")
-    return left.join(right, "dim").groupBy("i", "j").agg(F.sum(product).alias("value"))
-
-
-def gram_of_dims(df: DataFrame, d: int) -> DataFrame:
-    """(i, j, value): X^T X of all rows by dimension. Each task sums its rows' products; d * d rows a task shuffle."""
-
-    def kernel(batches):
-        out = np.zeros((d, d))
-        for batch in batches:
-            x = matrix(batch.column(1), d)
-            out += x.T @ x
-        at = np.arange(d, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, d)), pa.array(np.tile(at, d)), pa.array(out.ravel())], names=["i", "j", "value"])
-
-    parts = df.select("vec_id", "embedding").mapInArrow(kernel, "i int, j int, value double")
-    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
-
-
 def dot_products(df: DataFrame, c: np.ndarray, effective_d: int | None = None) -> DataFrame:
     """(vec_id, dots): products with each row of c over the first `effective_d` dimensions."""
     e = c.shape[1] if effective_d is None else min(effective_d, c.shape[1])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..config import CENTROID_BLOCK, HORIZONTAL_BLOCK
-from .distance import matrix
+from .distance import SLICE, matrix
 from .rotation import Split
 
 
@@ -18,30 +18,47 @@ def stages(split: Split, partial: int) -> list[tuple[int, int]]:
     return out + ([(partial, split.vertical)] if partial < split.vertical else [])
 
 
-def search(x: np.ndarray, previous: np.ndarray, c: np.ndarray, ratios: np.ndarray, split: Split, partial: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest centroid, its squared distance and the number of prefix survivors, by vector.
+def search(x: np.ndarray, previous: np.ndarray | None, c: np.ndarray, ratios: np.ndarray, split: Split, partial: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Nearest centroid, its squared distance and the number of prefix survivors, by vector; and the multiplications that it took.
 
-    The distance to the previous centroid bounds the search from the start; a
-    centroid goes as soon as its distance over the dimensions seen reaches the
-    bound times their ratio. Ties keep the centroid found before.
+    The distance to one good centroid bounds the search from the start: to the
+    previous one if told, else to the one with the least distance over the
+    prefix, whose products are needed anyway. A centroid goes as soon as its
+    distance over the dimensions seen reaches the bound times their ratio. Ties
+    keep the centroid found before.
     """
-    best, at = ((x - c[previous]) ** 2).sum(axis=1), previous.copy()
-    count = np.zeros(len(x), dtype=np.int64)
+    n, d = x.shape
+    rows = np.arange(n)
+    count, work = np.zeros(n, dtype=np.int64), 0
     head = x[:, :partial]
     hh = (head * head).sum(axis=1)
+    best = at = None
+    if previous is not None:
+        at = previous.astype(np.int64)
+        best = ((x - c[at]) ** 2).sum(axis=1)
+        work += n * d
     for k in range(0, len(c), CENTROID_BLOCK):
         y = c[k : k + CENTROID_BLOCK]
         tail = y[:, :partial]
-        seen = np.maximum(hh[:, None] + (tail * tail).sum(axis=1)[None, :] - 2.0 * (head @ tail.T), 0.0)
-        i, j = np.nonzero(seen < (best * ratios[partial])[:, None])
-        count += np.bincount(i, minlength=len(x))
-        other = j + k != previous[i]  # its distance is known already
+        seen = head @ (-2.0 * tail.T)  # short of hh
+        seen += (tail * tail).sum(axis=1)
+        work += seen.size * partial
+        least = seen.argmin(axis=1)
+        if at is None:
+            at = least + k
+            best = ((x - c[at]) ** 2).sum(axis=1)
+            work += n * d
+        i, j = np.nonzero(seen < (best * ratios[partial] - hh)[:, None])
+        count += np.bincount(i, minlength=n)
+        other = j + k != at[i]  # its distance is known already
         i, j = i[other], j[other]
-        value, visited = seen[i, j], partial
+        value, visited = np.maximum(seen[i, j] + hh[i], 0.0), partial
         for a, b in stages(split, partial):
             if not len(i):
                 break
-            value = value + ((x[i, a:b] - y[j, a:b]) ** 2).sum(axis=1)
+            apart = x[i, a:b] - y[j, a:b]
+            value = value + np.einsum("ij,ij->i", apart, apart)
+            work += apart.size
             visited += b - a
             stay = value < best[i] * ratios[visited]
             i, j, value = i[stay], j[stay], value[stay]
@@ -52,19 +69,21 @@ def search(x: np.ndarray, previous: np.ndarray, c: np.ndarray, ratios: np.ndarra
             i, j, value = i[order][first], j[order][first], value[order][first]
             better = value < best[i]
             best[i[better]], at[i[better]] = value[better], j[better] + k
-    return at, best, count
+    return at, best, count, work
 
 
-def assign_pruned(df: DataFrame, c: np.ndarray, ratios: np.ndarray, split: Split, partial: int) -> DataFrame:
-    """(vec_id, cid, d2, not_pruned) from (vec_id, embedding, prev_cid), embeddings and centroids rotated. Narrow: no shuffle."""
+def assign_pruned(df: DataFrame, c: np.ndarray, ratios: np.ndarray, split: Split, partial: int, previous: str | None = "prev_cid") -> DataFrame:
+    """(vec_id, cid, d2, not_pruned) from (vec_id, embedding), embeddings and centroids rotated, and the column of previous centroids if there is one. Narrow: no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast((c, ratios))
 
     def kernel(batches):
         m, r = shared.value
         for batch in batches:
             x = matrix(batch.column(1), m.shape[1])
-            for a in range(0, len(x), 4096):
-                at, best, count = search(x[a : a + 4096], np.asarray(batch.column(2))[a : a + 4096].astype(np.int64), m, r, split, partial)
+            for a in range(0, len(x), SLICE):
+                seeds = None if previous is None else np.asarray(batch.column(2))[a : a + SLICE]
+                at, best, count, _ = search(x[a : a + SLICE], seeds, m, r, split, partial)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(at)), pa.array(at.astype(np.int32)), pa.array(best), pa.array(count)], names=["vec_id", "cid", "d2", "not_pruned"])
 
-    return df.select("vec_id", "embedding", "prev_cid").mapInArrow(kernel, "vec_id long, cid int, d2 double, not_pruned long")
+    told = ["vec_id", "embedding", *([previous] if previous else [])]
+    return df.select(*told).mapInArrow(kernel, "vec_id long, cid int, d2 double, not_pruned long")

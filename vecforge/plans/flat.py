@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import warnings
 from dataclasses import dataclass, field
 
@@ -11,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FlatConfig, check_shape, prunes, require
+from ..config import F32_EPSILON, RECALL_PATIENCE, FlatConfig, check_shape, prunes, require
 from ..functions.sampling import first_centroids, training_sample
 from ..operators import centroids as C
 from ..operators import distance as D
@@ -19,6 +18,7 @@ from ..operators.pruned import assign_pruned, search
 from ..operators.rotation import Rotation, Split, tuned_partial_d
 from ..schema import ITER_STATS, vectors
 from ..sources.tables import centroid_table
+from ..timing import Stopwatch
 
 
 @dataclass
@@ -27,60 +27,87 @@ class State:
 
     c: np.ndarray
     partial: int
-    previous: np.ndarray | None = None  # centroids of the step before: seeds of the pruned search
+    tasks: int = 1
     cost: float = 0.0
+    multiplications: int = 0
     stats: list[tuple] = field(default_factory=list)
 
 
 def iterate(sample: DataFrame, n: int, state: State, cfg: FlatConfig, rotation: Rotation | None, split: Split, pruned: bool, number: int) -> float:
-    """Assign to the current centroids, replace them by repaired means, note the statistics; returns the shift."""
-    c, before, partial = state.c, state.previous, state.partial
+    """Assign to the current centroids, replace them by repaired means, note the statistics; returns the shift.
+
+    A pruned search bounds itself by the prefix products that it needs anyway,
+    so no assignment is carried from one iteration to the next.
+    """
+    c, partial = state.c, state.partial
     ratios = rotation.ratios if rotation is not None else None
-    shared = sample.sparkSession.sparkContext.broadcast((c, before, ratios))
-
-    def kernel(batches):
-        m, was, r = shared.value
-        k, d = m.shape
-        total, size, cost, kept = np.zeros((k, d)), np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros(k, dtype=np.int64)
-        for batch in batches:
-            all_x = D.matrix(batch.column(1), d)
-            for a in range(0, len(all_x), 4096):
-                x = all_x[a : a + 4096]
-                if pruned:
-                    seeds = D.nearest(x, was) if was is not None else np.zeros(len(x), dtype=np.int64)
-                    at, d2, count = search(x, seeds, m, r, split, partial)
+    work = sample.sparkSession.sparkContext.accumulator(0)
+    if not pruned:
+        pieces = C.updated(sample, np.arange(len(c), dtype=np.int32), c, state.tasks)
+    else:
+        shared = sample.sparkSession.sparkContext.broadcast((c, ratios))
+
+        def kernel(batches):
+            m, r = shared.value
+            k, d = m.shape
+            total, size, cost, kept = np.zeros((k, d)), np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros(k, dtype=np.int64)
+            for batch in batches:
+                all_x = D.matrix(batch.column(1), d)
+                for a in range(0, len(all_x), D.SLICE):
+                    x = all_x[a : a + D.SLICE]
+                    at, d2, count, products = search(x, None, m, r, split, partial)
+                    work.add(products)
                     kept += np.bincount(at, weights=count, minlength=k).astype(np.int64)
-                else:
-                    at = D.nearest(x, m)
-                    d2 = ((x - m[at]) ** 2).sum(axis=1)
-                cost += np.bincount(at, weights=d2, minlength=k)
-                C.accumulate(at, x, k, total, size)
-        held = np.flatnonzero(size)
-        if len(held):
-            yield C.sums_batch(held, size, cost, kept, total)
-
-    rows = C.partial_sums(sample.mapInArrow(kernel, C.SUMS)).collect()  # one row a cluster
+                    cost += np.bincount(at, weights=d2, minlength=k)
+                    C.accumulate(at, x, k, total, size)
+            held = np.flatnonzero(size)
+            if len(held):
+                yield C.sums_batch(held, size, cost, kept, total)
+
+        pieces = C.partial_sums(sample.mapInArrow(kernel, C.SUMS), state.tasks)
+    rows = pieces.collect()  # one row a cluster
     k, d = c.shape
     total, size = np.zeros((k, d)), np.zeros(k, dtype=np.int64)
     for r in rows:
         total[r.cid], size[r.cid] = r.total, r["size"]
-    shared.unpersist()
+    if pruned:
+        shared.destroy()
     cost = float(sum(r.cost for r in sorted(rows, key=lambda r: r.cid)))
     share = sum(r.kept for r in rows) / (n * k) if pruned else -1.0
     new, _, splits = C.consolidated(total, size, c, n, cfg.seed, cfg.use_aggressive_split, cfg.angular)
     moved = C.shift(new, c)
+    state.multiplications += work.value if pruned else n * k * d
     state.stats.append((number, cost, moved, splits, 0.0, float(share), partial if pruned else 0, not pruned))
     if pruned:
         state.partial = tuned_partial_d(partial, share, split.vertical, cfg.min_not_pruned_pct, cfg.max_not_pruned_pct, cfg.adjustment_factor_for_partial_d)
-    state.c, state.previous, state.cost = new, c, cost
+    state.c, state.cost = new, cost
+    if cfg.verbose:
+        print(f"iteration {number}: objective {cost:.6g}, shift {moved:.6g}, {splits} repairs")
     return moved
 
 
-def stops(cfg: FlatConfig, number: int, moved: float, cost: float, before: float) -> bool:
-    """Small total shift, or from the second iteration a cost that hardly falls or rises."""
+def stops(cfg: FlatConfig, number: int, moved: float, cost: float, before: float, patience: "Patience | None" = None, recall: float = 0.0) -> bool:
+    """Small total shift, from the second iteration a cost that hardly falls or rises, or, where recall is tracked, no better recall for a while."""
     if not cfg.early_termination:
         return False
-    return moved < cfg.tol or (number > 1 and cost / max(before, 1.1920929e-07) > 1 - cfg.tol)
+    if moved < cfg.tol or (number > 1 and cost / max(before, F32_EPSILON) > 1 - cfg.tol):
+        return True
+    return patience is not None and patience.ends(recall, cfg.recall_tol)
+
+
+@dataclass
+class Patience:
+    """Ends training once recall has failed to improve by more than the tolerance RECALL_PATIENCE times in a row."""
+
+    best: float = 0.0
+    without: int = 0
+
+    def ends(self, recall: float, tol: float) -> bool:
+        if recall - self.best > tol:
+            self.best, self.without = recall, 0
+            return False
+        self.without += 1
+        return self.without >= RECALL_PATIENCE
 
 
 class KMeans:
@@ -92,7 +119,6 @@ class KMeans:
         self.split = Split.of(d)
         self.trained, self.stats, self.seconds = False, [], 0.0
         self.centroids_: np.ndarray | None = None
-        self.training: DataFrame | None = None
 
     @property
     def uses_pruning(self) -> bool:
@@ -103,7 +129,7 @@ class KMeans:
 
     def fit(self, df: DataFrame, queries: DataFrame | None = None, n_queries: int = 0) -> "KMeans":
         """Train. Pruned training works in the rotated domain, exact training needs no rotation; queries are accepted and unused."""
-        cfg, start = self.cfg, time.perf_counter()
+        cfg, watch = self.cfg, Stopwatch()
         require(not self.trained, "The clustering has already been trained")
         require(not (n_queries > 0 and queries is None and not cfg.sample_queries), "Queries must be provided if n_queries > 0 and sample_queries is off")
         df = vectors(df)
@@ -119,17 +145,19 @@ class KMeans:
         size = sample.count()
         # The seeded order is the same for all rows and the sample, so the first centroids are the sample's first rows.
         first = D.collected(first_centroids(sample, self.k, cfg.seed))[1]
-        state = State(first, self.split.partial())
+        tasks = sample.select(F.spark_partition_id().alias("p")).distinct().count() if size > C.BRANCH * 1000 else 1
+        state = State(first, self.split.partial(), tasks)
         for number in range(1, cfg.iters + 1):
             before = state.cost
             moved = iterate(sample, size, state, cfg, rotation, self.split, self.uses_pruning and number > 1, number)
             if stops(cfg, number, moved, state.cost, before):
                 break
         self.working_ = state.c  # in the training's domain
-        self.previous_ = state.previous
         self.centroids_ = rotation.unrotate(state.c) if rotated and cfg.unrotate_centroids else state.c
-        self.stats, self.training, self.trained = state.stats, sample, True
-        self.rotated, self.seconds = rotated, time.perf_counter() - start
+        self.stats, self.trained, self.multiplications = state.stats, True, state.multiplications
+        sample.unpersist()
+        watch.toc()
+        self.rotated, self.seconds = rotated, watch.milliseconds / 1000
         return self
 
     def centroids(self, df: DataFrame) -> DataFrame:
@@ -139,44 +167,23 @@ class KMeans:
     def iter_stats(self, df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(self.stats, ITER_STATS)
 
-    def training_assignments(self) -> DataFrame:
-        """(vec_id, cid) of the sample, to the centroids of the step before the last."""
-        c = self.previous_ if self.previous_ is not None else self.working_
-        return D.assign(vectors(self.training), np.arange(self.k, dtype=np.int32), c).select("vec_id", "cid")
-
     def assign(self, df: DataFrame, c: np.ndarray | None = None) -> DataFrame:
         """Exact nearest centroid of any vectors: (vec_id, cid, d2). Works untrained with centroids given."""
         c = self.centroids_ if c is None else np.asarray(c, dtype=np.float64)
         require(c is not None, "assign requires centroids or training first")
         return D.assign(vectors(df), np.arange(len(c), dtype=np.int32), c)
 
-    def assign_training_points(self, df: DataFrame) -> DataFrame:
-        """Pruned assignment seeded by training: (vec_id, cid, d2). Rows outside the sample start from a meso centroid's representative."""
+    def assign_training_points(self, df: DataFrame, centroids: np.ndarray | None = None) -> DataFrame:
+        """Pruned assignment: (vec_id, cid, d2), to the trained centroids or to any others of their number. Narrow: one rotation, one search, no join."""
         require(self.trained, "assign_training_points requires training first")
+        c = self.centroids_ if centroids is None else np.asarray(centroids, dtype=np.float64)
+        require(c.shape == (self.k, self.d), f"centroids must be {self.k} x {self.d}")
         if not self.uses_pruning:
             if not self.cfg.suppress_warnings:
                 warnings.warn("pruning is unavailable for this shape; assigning exactly", stacklevel=2)
-            return self.assign(df)
+            return self.assign(df, c)
         rotation, df = self._rotation(), vectors(df)
         rows = df if self.cfg.data_already_rotated else rotation.apply(df)
-        seeds = self.training_assignments()
-        if self.cfg.sampling_fraction < 1.0:
-            meso, of = representatives(self.working_, self.cfg.seed)
-            far = D.assign(rows, of.astype(np.int32), meso).select("vec_id", F.col("cid").alias("rep"))
-            rows = rows.join(far, "vec_id").join(seeds, "vec_id", "left").select("vec_id", "embedding", F.coalesce("cid", "rep").alias("prev_cid"))
-        else:
-            rows = rows.join(seeds, "vec_id", "left").select("vec_id", "embedding", F.coalesce("cid", F.lit(0)).alias("prev_cid"))
-        return assign_pruned(rows, self.working_, rotation.ratios, self.split, self.split.partial()).select("vec_id", "cid", "d2")
-
-
-def representatives(c: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """About sqrt(k) meso centroids over the centroids, and for each the last centroid that belongs to it (0 if none)."""
-    from .hierarchical import local_kmeans
-
-    m = max(1, int(np.floor(np.sqrt(len(c)) + 0.5)))
-    meso, _ = local_kmeans(c, np.arange(len(c)), m, 10, seed, FlatConfig(seed=seed))
-    at = D.nearest(c, meso)
-    of = np.zeros(m, dtype=np.int64)
-    of[at] = np.arange(len(c))
-    return meso, of
-
+        turned = not self.cfg.data_already_rotated and self.cfg.unrotate_centroids  # the centroids are in the vectors' domain
+        c = rotation.rotate(c) if turned else c
+        return assign_pruned(rows, c, rotation.ratios, self.split, self.split.partial(), None).select("vec_id", "cid", "d2")

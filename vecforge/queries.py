@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +12,12 @@ from .functions import sampling as S
 from .functions import vectors as V
 from .operators import centroids as C
 from .operators import distance as D
+from .operators import gemm as G
 from .operators import metrics as M
 from .operators.pruned import assign_pruned
 from .operators.rotation import Rotation, Split, tuned_partial_d
-from .plans.flat import KMeans
-from .plans.hierarchical import HierarchicalKMeans, fine_budget
+from .plans.flat import KMeans, Patience, stops
+from .plans.hierarchical import HierarchicalKMeans, fine_budget, local_kmeans
 from .schema import vectors
 from .sources import synthetic
 from .sources.tables import centroid_table, from_columns, read_vectors
@@ -80,14 +82,37 @@ def sql_functions(s, sf):
     return s.sql("select a_id, round(l2_squared(a, b), 6) as d2, round(vector_dot(a, b), 6) as dot, round(norm_squared(a), 6) as norm2 from vecforge_pairs")
 
 
+def _label_means(s, sf) -> tuple[np.ndarray, np.ndarray]:
+    """Mean vectors of the labels, a row each."""
+    return D.collected(C.sums(labelled(s, sf).select(F.col("label").alias("cid"), "embedding")).groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("centroid")))
+
+
 def gemm_gram(s, sf):
+    """A B^T: all vectors with the label means."""
+    ids, means = _label_means(s, sf)
+    rows = G.rows_times(points(s, sf), means, trans_b=True).select(F.col("vec_id").alias("i"), F.posexplode("product").alias("at", "value"))
+    return rows.select("i", F.array(*[F.lit(int(x)) for x in ids])[F.col("at")].cast("int").alias("j"), r6("value").alias("value"))
+
+
+def gemm_ab(s, sf):
+    """A B: all vectors with the matrix of all vectors' products by dimension, over the first 48 dimensions of each."""
+    e = points(s, sf)
+    b = np.zeros((DIM, DIM))
+    for r in G.gram_of_dims(e, DIM).collect():  # DIM * DIM rows
+        b[r.i, r.j] = r.value
+    return G.rows_times(e, b[:48], columns=48).select("vec_id", F.posexplode("product").alias("j", "value")).select("vec_id", "j", F.round("value", 4).alias("value"))
+
+
+def gemm_transposed(s, sf):
+    """A^T B over all rows, with rows wider than what counts: the first 16 columns of A, the first 24 of B."""
     e = points(s, sf)
-    return D.gram(e.where("vec_id < 40"), e.where("vec_id < 25")).select("i", "j", r6("value").alias("value"))
+    out = G.product(e, e, trans_a=True, columns_a=16, columns_b=24)
+    return out.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("value").alias("value"))
 
 
 def gemm_dims(s, sf):
     """X^T X of all vectors: the whole table's product, with DIM * DIM rows at any size."""
-    return D.gram_of_dims(points(s, sf), DIM).select("i", "j", r6("value").alias("value"))
+    return G.gram_of_dims(points(s, sf), DIM).select("i", "j", r6("value").alias("value"))
 
 
 def dot_matrix(s, sf):
@@ -114,8 +139,13 @@ def assign_arrow(s, sf):
 
 def assign_label_centroids(s, sf):
     e = labelled(s, sf)
-    means = C.sums(e.select(F.col("label").alias("cid"), "embedding")).groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("centroid"))
-    return D.assign(e, *D.collected(means)).select("vec_id", "cid", r6("d2").alias("d2"))
+    return D.assign(e, *_label_means(s, sf)).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def assign_in_blocks(s, sf):
+    """The form for more centroids than can be broadcast: all vectors to 100 centroids, block by block."""
+    e = points(s, sf)
+    return D.assign_blocks(e, first(e, 100), DIM).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
 def assign_lineitem(s, sf):
@@ -128,37 +158,26 @@ def assign_lineitem(s, sf):
     return out.groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.round(F.sum("d2"), 3).alias("cost"))
 
 
-def _queries_and_points(s, sf):
+def _queries_and_all(s, sf):
+    """Every vector whose id is divisible by 20, and all vectors."""
     e = points(s, sf)
-    base = e.where("vec_id % 20 != 0").select(F.col("vec_id").cast("int").alias("cid"), F.col("embedding").cast("array<double>").alias("centroid"))
-    return e.where("vec_id % 20 = 0"), base
-
-
-def knn_topk(s, sf):
-    q, p = _queries_and_points(s, sf)
-    return D.knn(q, *D.collected(p), 10).select("query_id", "rank", "neighbor_id", r6("d2").alias("d2"))
+    return e.where("vec_id % 20 = 0"), e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("centroid"))
 
 
-def knn_sql(s, sf):
-    q, p = _queries_and_points(s, sf)
-    return D.knn_relational(q, p, 5, DIM).select("query_id", "rank", "neighbor_id", r6("d2").alias("d2"))
+def _told(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rank", F.col("neighbor_id").cast("int").alias("neighbor_id"), r6("d2").alias("d2"))
 
 
-def _queries_and_all(s, sf):
-    e = points(s, sf)
-    return e.where("vec_id % 20 = 0"), e.select(F.col("vec_id").cast("int").alias("cid"), F.col("embedding").cast("array<double>").alias("centroid"))
-
-
-def knn_all_topk(s, sf):
-    """knn_topk over all rows: only the query's own row is left out."""
+def knn_topk(s, sf):
+    """Ten nearest among all rows; only the query's own row is left out."""
     q, p = _queries_and_all(s, sf)
-    return D.other_neighbors(D.knn(q, *D.collected(p), 11), 10).select("query_id", "rank", "neighbor_id", r6("d2").alias("d2"))
+    return _told(D.other_neighbors(D.knn_blocks(q, p, 11, DIM), 10))
 
 
-def knn_all_sql(s, sf):
-    """knn_sql over all rows: only the query's own row is left out."""
+def knn_sql(s, sf):
+    """Five nearest among all rows, by joins and a ranking alone."""
     q, p = _queries_and_all(s, sf)
-    return D.other_neighbors(D.knn_relational(q, p, 6, DIM), 5).select("query_id", "rank", "neighbor_id", r6("d2").alias("d2"))
+    return _told(D.other_neighbors(D.knn_relational(q, p, 6, DIM), 5))
 
 
 def knn_padded(s, sf):
@@ -168,8 +187,11 @@ def knn_padded(s, sf):
 
 
 def knn_recall(s, sf):
+    """How many of the ten nearest a search over the first 32 dimensions finds."""
     q, p = _queries_and_all(s, sf)
-    return M.recall(D.other_neighbors(D.knn(q, *D.collected(p), 11), 10), D.other_neighbors(D.knn_relational(q, p, 11, DIM), 10)).select(r6("recall").alias("recall"))
+    head = lambda df, c: df.withColumn(c, F.slice(c, 1, 32))
+    found = D.other_neighbors(D.knn_blocks(head(q, "embedding"), head(p, "centroid"), 11, 32), 10)
+    return M.recall(found, D.other_neighbors(D.knn_blocks(q, p, 11, DIM), 10)).select(r6("recall").alias("recall"))
 
 
 def survivor_filter(s, sf):
@@ -208,8 +230,10 @@ def _matrix_rows(s, c):
 
 
 def centroid_update(s, sf):
-    e, a = _assigned(s, sf)
-    return C.sums(e.join(a, "vec_id")).select("cid", "dim", r6("mean").alias("value"))
+    """Assignment and cluster means in one pass."""
+    e = points(s, sf)
+    sums = C.updated(e, *D.collected(first(e, 16)))
+    return sums.select("cid", "size", F.posexplode("total").alias("dim", "total")).select("cid", "dim", r6(F.col("total") / F.col("size")).alias("value"))
 
 
 def lloyd_1(s, sf):
@@ -292,6 +316,25 @@ def pruned_assign(s, sf):
     return assign_pruned(rows, r.rotate(c), r.ratios, split, split.partial()).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
+def pruning_rate(s, sf):
+    """Average share of centroids that the prefix leaves, bounded by the distance to a given one."""
+    e = points(s, sf).withColumn("prev_cid", (F.col("vec_id") % 100).cast("int"))
+    _, c = D.collected(first(e, 100))
+    split = Split.of(DIM)
+    out = assign_pruned(e, c, Rotation(DIM, SEED).ratios, split, split.partial())
+    return M.pruning_rate(out, 100).select(r6("not_pruned_pct").alias("not_pruned_pct"))
+
+
+def pruning_thresholds(s, sf):
+    """The bound that a partial distance to the next centroid in turn has to stay under, by dimensions seen."""
+    e = points(s, sf)
+    _, c = D.collected(first(e, 16))
+    r = Rotation(DIM, SEED)
+    rows = D.assign(e, np.arange(16, dtype=np.int32), c).withColumn("visited", F.explode(F.array(*[F.lit(v) for v in (16, 32, 64)])))
+    ratio = F.create_map(*[F.lit(x) for v in (16, 32, 64) for x in (v, r.threshold(1.0, v))])
+    return rows.select("vec_id", "visited", r6(F.col("d2") * F.element_at(ratio, F.col("visited"))).alias("threshold"))
+
+
 def pruned_agreement(s, sf):
     """Pruned assignment agrees with brute force on at least 98 % of d = 128, k = 300 blobs."""
     v = synthetic.blobs(s, 5000, 128, 300, seed=SEED).persist()
@@ -300,11 +343,39 @@ def pruned_agreement(s, sf):
 
 
 def assign_training(s, sf):
-    """Pruning forced on the test vectors, half of them sampled."""
+    """After one iteration with pruning forced, and an epsilon so wide that nothing near is lost, all vectors to the trained centroids."""
     e = points(s, sf)
-    cfg = FlatConfig(iters=3, sampling_fraction=0.5, force_pruning=True)
-    m = KMeans(16, DIM, cfg).fit(e)
-    return M.agreement(m.assign_training_points(e), m.assign(e)).select((F.col("agreement") >= 0.98).alias("agrees"))
+    m = KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=1.0, force_pruning=True, epsilon=8.0)).fit(e)
+    return m.assign_training_points(e).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def assign_training_given(s, sf):
+    """The same to centroids that are given: the first ones of the seeded order."""
+    e = points(s, sf)
+    m = KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=1.0, force_pruning=True, epsilon=8.0)).fit(e)
+    return m.assign_training_points(e, D.collected(first(e, 16))[1]).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def output_centroids(s, sf):
+    """Centroids of training in the rotated domain, turned back."""
+    m = KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=1.0, force_pruning=True)).fit(points(s, sf))
+    return _matrix_rows(s, m.centroids_)
+
+
+STOPS = [(n, moved, cost, before) for n in (1, 2) for moved in (0.5, 1e-5) for cost, before in ((90.0, 100.0), (99.995, 100.0), (101.0, 100.0))]
+RECALLS = [0.5, 0.7, 0.704, 0.706, 0.8, 0.8, 0.8]
+
+
+def early_stop(s, sf):
+    """The stop rule on a grid of iterations, shifts and costs."""
+    cfg = FlatConfig()
+    return s.createDataFrame([(n, m, c, b, stops(cfg, n, m, c, b)) for n, m, c, b in STOPS], "iteration int, shift double, cost double, before double, stops boolean")
+
+
+def recall_patience(s, sf):
+    """The stop rule where recall is tracked: which iterations would end training."""
+    p, cfg = Patience(), FlatConfig()
+    return s.createDataFrame([(n, r, stops(cfg, 1, 1.0, 1.0, 1.0, p, r)) for n, r in enumerate(RECALLS, 1)], "iteration int, recall double, stops boolean")
 
 
 def weighted_seed(s, sf):
@@ -329,28 +400,49 @@ def hier_train(s, sf):
     return m.iter_stats(points(s, sf)).select("phase", "meso_id", "iteration", "objective", "shift")
 
 
+def hier_fine(s, sf):
+    """The second level alone: in each label's group three clusters, one iteration."""
+    cfg = FlatConfig(iters=1, early_termination=False)
+
+    def fine(key, pdf):
+        c, _ = local_kmeans(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy(), 3, 1, SEED, cfg)
+        return pd.DataFrame({"label": int(key[0]), "local": np.arange(3), "centroid": list(c)})
+
+    rows = labelled(s, sf).groupBy("label").applyInPandas(fine, "label int, local int, centroid array<double>")
+    return rows.select("label", "local", F.posexplode("centroid").alias("dim", "value")).select("label", "local", "dim", r6("value").alias("value"))
+
+
 def hier_assign(s, sf):
-    """Two-level centroids are at least as near as the first level's."""
+    """Assignment of all vectors to two-level centroids."""
     e = points(s, sf)
     m = HierarchicalKMeans(36, DIM, HierConfig(suppress_warnings=True)).fit(e)
-    out = m.assign(e)
-    return out.agg(F.count(F.lit(1)).alias("n"), (F.countDistinct("cid") <= 36).alias("bounded"), (F.max("cid") < 36).alias("valid"))
+    return m.assign(e).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def sample_sizes_uncapped(s, sf):
+    cases = [(n, k, f) for n, k in ((10, 2), (1000, 3), (70_000, 16)) for f in (0.1, 0.3, 0.7, 1.0)]
+    return s.createDataFrame([(n, k, f, S.sample_size(n, k, f, None)) for n, k, f in cases], "n int, k int, fraction double, size int")
+
+
+def _values(s, c: np.ndarray, sizes: np.ndarray):
+    return s.createDataFrame([(i, j, float(v), int(sizes[i])) for i, row in enumerate(c) for j, v in enumerate(row)], "cid int, dim int, value double, size int").select("cid", "dim", r6("value").alias("value"), "size")
 
 
 def split_empty(s, sf):
-    """Repair of 3 empty of 8 clusters: none stays empty, all rows are still counted, donors moved by exactly 1 / 1024."""
-    rng = np.random.default_rng(1)
-    c, sizes = rng.normal(size=(8, 6)), np.array([40, 0, 25, 0, 10, 5, 0, 20])
-    new, sz = c.copy(), sizes.copy()
-    done = C.split_empty(new, sz, 100, np.random.default_rng(SEED))
-    return s.createDataFrame([(done, bool((sz > 0).all()), int(sz.sum()))], "repaired int, none_empty boolean, total long")
+    """Repair of an empty cluster beside one that has nearly all rows: two halves, nudged apart by 1 / 1024. The vectors are the table's first two."""
+    e = points(s, sf)
+    c = D.collected(first(e, 3))[1]
+    sizes = np.array([98, 0, 1])
+    C.split_empty(c, sizes, 99, np.random.default_rng(SEED))
+    return _values(s, c, sizes)
 
 
 def rebalance(s, sf):
-    c, sizes = np.arange(12.0).reshape(6, 2), np.array([60, 2, 30, 1, 5, 2])
-    new = c.copy()
-    done = C.pull_small(new, sizes.copy(), 100, np.random.default_rng(SEED))
-    return s.createDataFrame([(done, int((new != c).any(axis=1).sum()))], "pulled int, moved int")
+    """Small clusters are pulled towards the only large one, by weights of their sizes up to 7."""
+    c = D.collected(first(points(s, sf), 4))[1]
+    sizes = np.array([94, 1, 2, 3])
+    C.pull_small(c, sizes, 100, np.random.default_rng(SEED))
+    return _values(s, c, sizes)
 
 
 def blobs(s, sf):
@@ -367,12 +459,12 @@ def utility_functions(s, sf):
 
 
 _ALL = [
-    l2_squared_pairs, l2_prefix_pairs, dot_pairs, norms_full, norms_partial, normalize_rows, sql_functions, gemm_gram, gemm_dims, dot_matrix,
-    assign_sql, assign_sql_hof, assign_arrow, assign_label_centroids, assign_lineitem, knn_topk, knn_sql, knn_all_topk, knn_all_sql, knn_padded, knn_recall, survivor_filter,
-    forgy_init, train_sample, sample_sizes, centroid_update, lloyd_1, lloyd_2, lloyd_3, angular_centroids, train_stats, objective, shift_one_iter,
-    cluster_sizes, balance_stats, pruning_ratios, dimension_split, tune_partial_d, rotate_norms, rotate_distances, rotate_roundtrip,
-    pruned_assign, pruned_agreement, assign_training, weighted_seed, fine_budgets, hier_meso, hier_train, hier_assign, split_empty, rebalance,
-    blobs, uniform_vectors, utility_functions,
+    l2_squared_pairs, l2_prefix_pairs, dot_pairs, norms_full, norms_partial, normalize_rows, sql_functions, gemm_gram, gemm_ab, gemm_transposed, gemm_dims, dot_matrix,
+    assign_sql, assign_sql_hof, assign_arrow, assign_label_centroids, assign_in_blocks, assign_lineitem, knn_topk, knn_sql, knn_padded, knn_recall, survivor_filter,
+    forgy_init, train_sample, sample_sizes, sample_sizes_uncapped, centroid_update, lloyd_1, lloyd_2, lloyd_3, angular_centroids, train_stats, objective, shift_one_iter,
+    cluster_sizes, balance_stats, pruning_ratios, pruning_rate, pruning_thresholds, dimension_split, tune_partial_d, rotate_norms, rotate_distances, rotate_roundtrip,
+    pruned_assign, pruned_agreement, assign_training, assign_training_given, output_centroids, early_stop, recall_patience, weighted_seed, fine_budgets, hier_meso, hier_fine, hier_train,
+    hier_assign, split_empty, rebalance, blobs, uniform_vectors, utility_functions,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -411,11 +503,29 @@ def _lloyd(n: int, k: int = 16, unit: bool = False) -> str:
 
 _UNROLL = f"SELECT cid, (i - 1)::INTEGER AS dim, round(c[i], 6) AS value FROM {{c}}, range(1, {DIM + 1}) r(i)"
 _PAIRS = f"WITH {_E}, p AS (SELECT a.vec_id AS a_id, a.x AS a, b.x AS b FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)"
-_KNN = f"WITH {_E}, q AS (SELECT vec_id AS query_id, x FROM e WHERE vec_id % 20 = 0), p AS (SELECT vec_id::INTEGER AS neighbor_id, x AS c FROM e WHERE vec_id % 20 <> 0), d AS (SELECT query_id, neighbor_id, {_D2.format(a='x', b='c')} AS d2 FROM q, p), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbor_id)::INTEGER AS rank FROM d)"
-_KNN_ALL = f"WITH {_E}, q AS (SELECT vec_id AS query_id, x FROM e WHERE vec_id % 20 = 0), p AS (SELECT vec_id::INTEGER AS neighbor_id, x AS c FROM e), d AS (SELECT query_id, neighbor_id, {_D2.format(a='x', b='c')} AS d2 FROM q, p WHERE neighbor_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbor_id)::INTEGER AS rank FROM d)"
-_HALF = "floor({x} + 0.5)"
+_KNN = f"WITH {_E}, q AS (SELECT vec_id AS query_id, x FROM e WHERE vec_id % 20 = 0), p AS (SELECT vec_id::INTEGER AS neighbor_id, x AS c FROM e), d AS (SELECT query_id, neighbor_id, {_D2.format(a='x', b='c')} AS d2, {_D2.format(a='x[1:32]', b='c[1:32]')} AS h2 FROM q, p WHERE neighbor_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbor_id)::INTEGER AS rank, row_number() OVER (PARTITION BY query_id ORDER BY h2, neighbor_id) AS other FROM d)"
+_MEANS = f"m AS (SELECT label AS cid, i, avg(x[i]) AS v FROM e, range(1, {DIM + 1}) r(i) GROUP BY label, i), c0 AS (SELECT cid, list(v ORDER BY i) AS c FROM m GROUP BY cid)"
+_VALUES = f"round(v[i], 6) AS value, size::INTEGER AS size FROM v, range(1, {DIM + 1}) r(i)"
 
 ORACLES = {
+    "gemm_gram": f"WITH {_E}, {_MEANS} SELECT vec_id AS i, cid AS j, round({_DOT.format(a='x', b='c')}, 6) AS value FROM e, c0",
+    "gemm_ab": f"WITH {_E}, g AS (SELECT r.i, s.j, sum(x[r.i] * x[s.j]) AS v FROM e, range(1, 49) r(i), range(1, {DIM + 1}) s(j) GROUP BY r.i, s.j) SELECT vec_id, (j - 1)::INTEGER AS j, round(sum(x[i] * v), 4) AS value FROM e, g GROUP BY vec_id, j",
+    "gemm_transposed": f"WITH {_E} SELECT (r.i - 1)::INTEGER AS i, (s.j - 1)::INTEGER AS j, round(sum(x[r.i] * x[s.j]), 6) AS value FROM e, range(1, 17) r(i), range(1, 25) s(j) GROUP BY r.i, s.j",
+    "assign_in_blocks": f"WITH {_E}, {_first(100)}, {_assign(100)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
+    "knn_recall": f"{_KNN} SELECT round(count(*) FILTER (rank <= 10 AND other <= 10) / count(*) FILTER (rank <= 10), 6) AS recall FROM r",
+    "sample_sizes_uncapped": "SELECT n::INTEGER AS n, k::INTEGER AS k, f::DOUBLE AS fraction, (CASE WHEN f = 1 THEN n ELSE floor(n * f::FLOAT::DOUBLE) END)::INTEGER AS size FROM (VALUES (10, 2), (1000, 3), (70000, 16)) a(n, k), (VALUES (0.1), (0.3), (0.7), (1.0)) b(f)",
+    "pruning_rate": f"WITH {_E}, {_first(100)}, b AS (SELECT vec_id, x, {_D2.format(a='x', b='c')} AS d2 FROM e JOIN c0 ON cid = vec_id % 100) SELECT round(count(*) FILTER ({_D2.format(a='x[1:32]', b='c[1:32]')} < d2 * 0.5 * (1 + 1.5 / sqrt(32)) * (1 + 1.5 / sqrt(32))) / count(*), 6) AS not_pruned_pct FROM b, c0",
+    "pruning_thresholds": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, v::INTEGER AS visited, round(d2 * CASE WHEN v = {DIM} THEN 1 ELSE v / {DIM} * (1 + 1.5 / sqrt(v)) * (1 + 1.5 / sqrt(v)) END, 6) AS threshold FROM a0, (VALUES (16), (32), (64)) t(v)",
+    "assign_training": _lloyd(1) + " SELECT vec_id, cid, round(d2, 6) AS d2 FROM a1",
+    "assign_training_given": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
+    "output_centroids": _lloyd(1) + " " + _UNROLL.format(c="c1"),
+    "early_stop": "SELECT n::INTEGER AS iteration, m::DOUBLE AS shift, c::DOUBLE AS cost, b::DOUBLE AS before, m < 1e-4 OR (n > 1 AND c / b > 1 - 1e-4) AS stops FROM (VALUES " + ", ".join(map(str, STOPS)) + ") t(n, m, c, b)",
+    "recall_patience": f"WITH RECURSIVE t(n, r) AS (VALUES {', '.join(f'({n}, {r}::DOUBLE)' for n, r in enumerate(RECALLS, 1))}), w(n, r, best, without) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0 UNION ALL SELECT t.n, t.r, CASE WHEN t.r - best > 0.005 THEN t.r ELSE best END, CASE WHEN t.r - best > 0.005 THEN 0 ELSE without + 1 END FROM w JOIN t ON t.n = w.n + 1) SELECT n::INTEGER AS iteration, r AS recall, without >= 2 AS stops FROM w WHERE n > 0",
+    "weighted_seed": f"WITH {_E}, {_first(16)}, {_assign(16)}, s AS (SELECT i AS cid, greatest((SELECT count(*) FROM a0 WHERE cid = i), 1) AS size FROM range(16) r(i)), u AS (SELECT cid, sum(size) OVER (ORDER BY cid) / (SELECT sum(size) FROM s) AS high FROM s), d AS (SELECT ('0x' || substr(md5('{SEED + 1}:' || vec_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS x FROM e), t AS (SELECT (SELECT count(*) FROM u WHERE high <= x) AS cid FROM d) SELECT least(cid, 15)::INTEGER AS cid, count(*) AS count FROM t GROUP BY ALL",
+    "fine_budgets": "WITH RECURSIVE s AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY label) AS p, count(*) OVER () AS m FROM embeddings GROUP BY label), w(p, label, size, budget, k, n) AS (SELECT 0::BIGINT, NULL::INTEGER, 0::BIGINT, 0::BIGINT, 50::BIGINT, (SELECT sum(size) FROM s)::BIGINT UNION ALL SELECT s.p, s.label, s.size, b, w.k - b, w.n - s.size FROM w JOIN s ON s.p = w.p + 1, LATERAL (SELECT least(greatest(CASE WHEN s.p < s.m THEN least(floor(w.k * s.size / w.n + 0.5)::BIGINT, w.k - (s.m - s.p)) ELSE w.k END, 1), s.size) AS b)) SELECT label, size, budget::INTEGER AS budget FROM w WHERE p > 0",
+    "hier_fine": f"WITH {_E}, o AS (SELECT label, vec_id, x, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || vec_id), vec_id) - 1 AS p FROM e), c AS (SELECT label, p AS cid, x AS c FROM o WHERE p < 3), a AS (SELECT vec_id, arg_min(cid, (d2, cid)) AS cid FROM (SELECT vec_id, cid, {_D2.format(a='x', b='c')} AS d2 FROM e JOIN c USING (label)) GROUP BY vec_id) SELECT label, cid::INTEGER AS local, (i - 1)::INTEGER AS dim, round(avg(x[i]), 6) AS value FROM e JOIN a USING (vec_id), range(1, {DIM + 1}) r(i) GROUP BY label, cid, i",
+    "split_empty": f"WITH {_E}, {_first(3)}, v AS (SELECT k.cid, list_transform(o.c, lambda z, i: z * (1 + CASE WHEN k.cid = 2 THEN 0 WHEN (i % 2 = 1) = (k.cid = 1) THEN 1 ELSE -1 END / 1024)) AS v, [49, 49, 1][k.cid + 1] AS size FROM c0 k JOIN c0 o ON o.cid = CASE WHEN k.cid = 1 THEN 0 ELSE k.cid END) SELECT cid, (i - 1)::INTEGER AS dim, {_VALUES}",
+    "rebalance": f"WITH {_E}, {_first(4)}, v AS (SELECT k.cid, list_transform(list_zip(k.c, o.c), lambda z: CASE WHEN k.cid = 0 THEN z[1] ELSE (k.cid * z[1] + z[2]) / (k.cid + 1) END) AS v, [94, 1, 2, 3][k.cid + 1] AS size FROM c0 k JOIN c0 o ON o.cid = 0) SELECT cid, (i - 1)::INTEGER AS dim, {_VALUES}",
     "l2_squared_pairs": f"{_PAIRS} SELECT a_id, round({_D2.format(a='a', b='b')}, 6) AS d2 FROM p",
     "l2_prefix_pairs": f"{_PAIRS} SELECT a_id, " + ", ".join(f"round({_D2.format(a=f'a[1:{n}]', b=f'b[1:{n}]')}, 6) AS d2_{n}" for n in (16, 32, 100)) + " FROM p",
     "dot_pairs": f"{_PAIRS} SELECT a_id, round({_DOT.format(a='a', b='b')}, 6) AS dot, round({_DOT.format(a='a[1:24]', b='b[1:24]')}, 6) AS dot_24 FROM p",
@@ -423,7 +533,6 @@ ORACLES = {
     "norms_partial": f"WITH {_E} SELECT vec_id, " + ", ".join(f"round({_N2.format(a=f'x[1:{p}]')}, 6) AS norm2_{p}" for p in (8, 48, 80)) + " FROM e",
     "normalize_rows": f"WITH {_E} SELECT vec_id, (i - 1)::INTEGER AS dim, round(x[i] * 3 / greatest(sqrt({_N2.format(a='list_transform(x, lambda y: y * 3)')}), 1.1920929e-7), 6) AS value FROM e, range(1, {DIM + 1}) r(i)",
     "sql_functions": f"{_PAIRS} SELECT a_id, round({_D2.format(a='a', b='b')}, 6) AS d2, round({_DOT.format(a='a', b='b')}, 6) AS dot, round({_N2.format(a='a')}, 6) AS norm2 FROM p",
-    "gemm_gram": f"WITH {_E} SELECT a.vec_id AS i, b.vec_id AS j, round({_DOT.format(a='a.x', b='b.x')}, 6) AS value FROM e a, e b WHERE a.vec_id < 40 AND b.vec_id < 25",
     "gemm_dims": f"WITH {_E} SELECT (r.i - 1)::INTEGER AS i, (s.j - 1)::INTEGER AS j, round(sum(x[r.i] * x[s.j]), 6) AS value FROM e, range(1, {DIM + 1}) r(i), range(1, {DIM + 1}) s(j) GROUP BY r.i, s.j",
     "dot_matrix": f"WITH {_E}, {_first(16)} SELECT vec_id, cid, round({_DOT.format(a='x[1:32]', b='c[1:32]')}, 6) AS dot FROM e, c0",
     "assign_sql": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
@@ -435,10 +544,7 @@ e AS (SELECT vec_id, min(x) AS x FROM v GROUP BY vec_id), {_first(32)}, n AS (SE
 t AS (SELECT arg_min(cid, (d2, cid)) AS cid, min(d2) AS d2 FROM d GROUP BY rid) SELECT cid, count(*) AS size, round(sum(d2), 3) AS cost FROM t GROUP BY cid""",
     "knn_topk": f"{_KNN} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 10",
     "knn_sql": f"{_KNN} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 5",
-    "knn_all_topk": f"{_KNN_ALL} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 10",
-    "knn_all_sql": f"{_KNN_ALL} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 5",
     "knn_padded": f"WITH {_E}, {_first(4)}, d AS (SELECT vec_id AS query_id, cid, {_D2.format(a='x', b='c')} AS d2 FROM e, c0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, cid)::INTEGER AS rank FROM d) SELECT query_id, rank, cid AS neighbor_id, round(d2, 6) AS d2 FROM r UNION ALL SELECT vec_id, i::INTEGER, -1, -1.0 FROM e, range(5, 7) t(i)",
-    "knn_recall": "SELECT 1.0::DOUBLE AS recall",
     "survivor_filter": f"WITH {_E}, {_first(16)} SELECT vec_id, cid, round({_D2.format(a='x[1:32]', b='c[1:32]')}, 6) AS d2 FROM e, c0 WHERE {_D2.format(a='x[1:32]', b='c[1:32]')} < 0.8",
     "forgy_init": f"WITH {_E}, {_first(16)} " + _UNROLL.format(c="c0"),
     "train_sample": f"SELECT vec_id FROM embeddings QUALIFY row_number() OVER (ORDER BY md5('{SEED}:' || vec_id), vec_id) <= least(floor((SELECT count(*) FROM embeddings) * 0.3::FLOAT::DOUBLE), 16 * 256)",
@@ -460,12 +566,7 @@ t AS (SELECT arg_min(cid, (d2, cid)) AS cid, min(d2) AS d2 FROM d GROUP BY rid)
     "rotate_distances": f"{_PAIRS} SELECT a_id, round({_D2.format(a='a', b='b')}, 6) AS d2 FROM p",
     "rotate_roundtrip": f"WITH {_E} SELECT vec_id, (i - 1)::INTEGER AS dim, round(x[i], 6) AS value FROM e, range(1, {DIM + 1}) r(i)",
     "pruned_assign": f"WITH {_E}, {_first(100)}, {_assign(100)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
-    "pruned_agreement": "SELECT true AS agrees",
-    "assign_training": "SELECT true AS agrees",
     "hier_meso": _lloyd(1, 4) + " " + _UNROLL.format(c="c1"),
-    "hier_assign": "SELECT count(*) AS n, true AS bounded, true AS valid FROM embeddings",
-    "split_empty": "SELECT 3::INTEGER AS repaired, true AS none_empty, 100::BIGINT AS total",
-    "rebalance": "SELECT 3::INTEGER AS pulled, 3::INTEGER AS moved",
     "blobs": "SELECT 32::INTEGER AS d, 1.0::DOUBLE AS norm2, 1000::BIGINT AS n",
     "uniform_vectors": "SELECT 16000::BIGINT AS n, true AS low, true AS high",
     "utility_functions": "SELECT i AS id, (ceil(i / 8) * 8)::BIGINT AS up8, i AS up0, i > 0 AND (i & (i - 1)) = 0 AS power FROM range(70) t(i)",
