@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -164,6 +165,26 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert max(r.score for r in toxicity.score(docs, none).collect()) < 0.5
 
 
+def test_scores_equal_brute_force(spark):
+    """A model's scores of whole texts, from tokens by a regular expression, segments by their definition, and the formulas written out."""
+    rng = random.Random(11)
+    vocabulary = ["mild", "harsh", "vile", "plain", "word", "été", "x9", "Zz"]
+    hashes = {w: int(W.find(pa.array([w]), lower=True, letters=True).hashes()[0]) for w in ["mild", "harsh", "vile", "été", "x9"]}
+    order = sorted(hashes, key=hashes.get)
+    score_of = dict(zip(order, [0.71234, -1.51713, 2.53391, 1.04577, -0.42193], strict=True))
+    model = toxicity.Model(np.array([hashes[w] for w in order], dtype=np.uint64), np.array([score_of[w] for w in order]), -1.0, 0.9, -0.7, np.array([-2.0, 1.3, 2.1]))
+    texts = ["".join(f"{rng.choice(vocabulary)}{rng.choice([' ', ', ', '!', chr(10), '-'])}" for _ in range(rng.randrange(40))) for _ in range(150)]
+    rows = {r.doc_id: r for r in toxicity.score(table(spark, [*texts, None]), model).collect()}
+    for i, t in enumerate([*texts, None]):
+        tokens = [x.decode() for x in re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().translate(brute.LOWER))]
+        found = all_segments(np.array([score_of.get(w, -1.0) for w in tokens]))
+        excess = [0.9 * s + 0.7 - math.log(max(len(tokens), 1)) for *_, s in found]
+        best, good = max(excess, default=-10.0), [x for x in excess if x >= -math.log(0.05)]
+        z = -2.0 + 1.3 * min(max(best, -10.0), 30.0) / 10 + 2.1 * math.log1p(sum(good))
+        assert rows[i].score == pytest.approx(1 / (1 + math.exp(-z))) and rows[i].n_tokens == len(tokens)
+        assert [(p.start, p.end) for p in rows[i].passages] == [(a, b) for (a, b, _), x in zip(found, excess, strict=True) if x >= -math.log(0.05)]
+
+
 # --- substring dedup ---------------------------------------------------------------------------------------------
 
 
@@ -330,6 +351,24 @@ def test_machine_equals_pairwise_sum():
         assert z[r] == pytest.approx(0.3 + m.w[i] @ x + pairs)
 
 
+def test_features_equal_brute_force(texts):
+    some = [t for t in texts if len(t or "") < 5000]
+    bounds, index, value, dense = quality_classifier.features(pa.array(some))
+    column = {n: dense[:, j] for j, n in enumerate(quality_classifier.STATISTICS)}
+    for i, t in enumerate(some):
+        raw, w = (t or "").encode(), brute.words(t)
+        count = {}
+        for x in w:
+            key = int(W.find(pa.array([x.decode()])).hashes()[0]) % quality_classifier.HASHED
+            count[key] = count.get(key, 0) + 1
+        got = dict(zip(index[bounds[i] : bounds[i + 1]].tolist(), value[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+        assert got == pytest.approx({k: (n / len(w)) ** 0.5 for k, n in count.items()})
+        share = lambda chars: min(1, 5 * sum(b in chars for b in raw) / max(len(raw), 1))
+        assert column["symbols"][i] == pytest.approx(share(b"#*$%&|<>~^@_=+\\{}[]")) and column["capitals"][i] == pytest.approx(share(range(65, 91)))
+        assert column["words"][i] == pytest.approx(math.log1p(len(w)) / 10) and column["variety"][i] == pytest.approx(len(set(w)) / max(len(w), 1))
+        assert column["repeats"][i] == pytest.approx(sum(a == b for a, b in zip(w, w[1:])) / max(len(w), 1)) and column["empty"][i] == (not w)
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     texts = [" ".join(f"w{rng.randrange(400)}" + ("%%%" if i % 3 == 0 else "") for _ in range(rng.randrange(5, 50))) for i in range(400)]
@@ -340,6 +379,14 @@ def test_quality_classifier(spark):
     held = [r for r in rows if r.doc_id is not None and r.doc_id < 400 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert np.mean([(r.score >= 0.3) == (r.doc_id % 3 != 0) for r in held]) > 0.95
     assert quality_classifier.score(docs.limit(0), quality_classifier.fit(docs, labels.limit(0))).count() == 0
+    # A label that only metadata tell: with them it is learned, nulls among them, without them it is not.
+    told = docs.withColumn("age", F.when(F.col("doc_id") % 2 == 0, F.lit(900.0))).withColumn("y", F.lit(1))
+    even = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)], "doc_id long, quality int")
+    right = {}
+    for metadata in ((), ("age",)):
+        rows = quality_classifier.score(told, quality_classifier.fit(told, even, metadata=metadata)).collect()
+        right[metadata] = np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 0) for r in rows if r.doc_id is not None and r.doc_id < 400 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0])
+    assert right["age",] > 0.95 > 0.8 > right[()]
 
 
 # --- near and exact dedup ----------------------------------------------------------------------------------------
