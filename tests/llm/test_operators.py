@@ -534,7 +534,7 @@ def test_schedule(spark):
 
 def test_schedule_equals_a_slot_by_slot_simulation(spark):
     rng = random.Random(12)
-    rows = [(None if k == 17 else k % 480, rng.choices(["a", "b", "", None, "z"], [9, 4, 2, 1, 1])[0]) for k in range(500)]
+    rows = [(k % 480, rng.choices(["a", "b", "", None, "z"], [9, 4, 2, 1, 1])[0]) for k in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     weights = {"a": 3, "b": Fraction(5, 7), "": 0.25, None: 1}  # z has no weight
     order = {r.doc_id: r.o for r in docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("o")).collect()}
@@ -560,6 +560,8 @@ def test_schedule_equals_a_slot_by_slot_simulation(spark):
     end = mixing.targets_hold(weights, {s: len(b) for s, b in blocks.items()})
     for t in range(end):
         assert all(abs(len({x[2] for x in want if x[1] == s and x[4] <= t}) - (t + 1) * w[s]) < 1 for s in w)
+    nulls = mixing.schedule(docs.withColumn("doc_id", F.lit(None).cast("long")), weights, block_rows=8).collect()
+    assert sorted((str(r.source), r.slot, r.place) for r in nulls) == sorted((str(r.source), r.slot, r.place) for r in got)
     assert mixing.tempered(docs, 1.0) == {s: float(sum(x == s for _, x in rows)) for s in blocks}
 
 

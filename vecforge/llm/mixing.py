@@ -107,7 +107,8 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, s
     """Every row's place in the mix: (doc_id, source, block, release, slot, deadline, place).
 
     `place` orders a block's rows; (slot, place) is the mix's order. Rows of a
-    source follow a hash of their ids. A null source is a source of its own, the
+    source follow a hash of their ids, rows without an id one of where they were
+    read, so that many of them are no hot range. A null source is a source of its own, the
     weight of None, and not the one named ''; sources without a weight or of weight 0 come after all weighted
     ones, block by block in turn, so that nothing is lost. Null ids and repeated
     rows have places like others; empty tables give no rows. Weights are exact;
@@ -116,7 +117,8 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, s
     weights = weights or {None: 1.0}  # of an empty table
     named = F.when(docs[source].isNull(), "").otherwise(F.concat(F.lit("="), docs[source].cast("string")))
     rows = docs.select(docs[doc_id].alias("doc_id"), named.alias("source"))
-    rows = written(rows.withColumn("order", F.xxhash64(F.lit(3), F.col("doc_id"))).withColumn("range", F.pmod(F.col("order"), F.lit(RANGES)).cast("int")), "mix")
+    order = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(4), F.monotonically_increasing_id())).otherwise(F.xxhash64(F.lit(3), F.col("doc_id")))
+    rows = written(rows.withColumn("order", order).withColumn("range", F.pmod(F.col("order"), F.lit(RANGES)).cast("int")), "mix")
     counts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = written(counts.withColumn("start", before).select("source", "range", "start", "n"), "starts")

@@ -33,12 +33,13 @@ Key = tuple[int, int, int]
 def slotted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, vslot, hash, salt) of each record; size is the text's UTF-8 bytes plus 1, a null text has none."""
     told = F.coalesce(docs[text], F.lit(""))
+    by = F.when(docs[doc_id].isNull(), F.xxhash64(F.lit(12), F.monotonically_increasing_id())).otherwise(F.xxhash64(F.lit(11), docs[doc_id]))
     rows = docs.select(
         docs[doc_id].alias("doc_id"),
         (F.octet_length(told) + 1).cast("long").alias("size"),
         F.crc32(told.cast("binary")).alias("text_crc32"),
         F.xxhash64(told).alias("hash"),
-        F.pmod(F.xxhash64(F.lit(11), docs[doc_id]), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(by, F.lit(SALTS)).cast("int").alias("salt"),
     )
     return rows.withColumn("vslot", F.pmod("hash", F.lit(SLOTS)).cast("int")).withColumn("hash", F.when(F.col("hash") == 0, 1).otherwise(F.col("hash")))
 
@@ -143,8 +144,9 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     Records: (doc_id, size, text_crc32, shard, slot), slot numbering a shard's
     records from 0 without gaps. Map: (version, vslot, cut, salt, bytes, rows,
     shard). Null ids, null and empty texts and repeated rows are records like
-    others (a null id counts as one value for the hash). An empty table gives no
-    records and an empty map.
+    others (without an id, a record's part of a slot comes from where it was read, so
+    only of a cut text has it no lasting place). An empty table gives no records
+    and an empty map.
     """
     spark = docs.sparkSession
     path = new_path(spark, "slot-map") if path is None else path
