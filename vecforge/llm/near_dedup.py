@@ -145,8 +145,9 @@ def _sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, p: Params,
 
     ids = written(nodes.select(F.col("id").alias("doc_id")).distinct(), "ids")
     wanted = within(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), ids, "doc_id")
-    found = wanted.mapInArrow(lean(shingle), _SETS).join(few(nodes), ["id", "set1", "set2"])
-    out = written(found.select("node", "odd", "shingles").dropDuplicates(["node"]), "sets")
+    same = ["id", "set1", "set2"]  # one row a node: the join keeps the partitioning that repeated rows were found by
+    found = wanted.mapInArrow(lean(shingle), _SETS).dropDuplicates(same).join(few(nodes), same)
+    out = written(found.select("node", "odd", "shingles"), "sets")
     dropped(ids)
     return out
 
