@@ -499,7 +499,7 @@ def test_components(spark):
 
 
 def test_one_period_keeps_every_prefix_near_its_target():
-    for weights in ({"a": 5, "b": 3, "c": 1, "d": 0.01}, {"x": 1}, {f"s{i}": 1 + i for i in range(20)}):
+    for weights in ({"a": 5, "b": 3, "c": 1, "d": 0.01}, {None: 1, "": 1, "a": 1}, {"x": 1}, {f"s{i}": 1 + i for i in range(20)}):
         q = mixing.ticks(weights, 512)
         assert sum(q.values()) == 512 and min(q.values()) >= 1
         done = dict.fromkeys(q, 0)

@@ -37,17 +37,17 @@ PART_BLOCKS = 200_000
 LATE = 1 << 62
 
 
-def ticks(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def ticks(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
     """Whole ticks that sum to `period`, by largest remainders, one at least."""
     total = sum(weights.values())
     if not weights or total <= 0 or min(weights.values()) < 0 or len(weights) > period:
         raise ValueError("weights must be non-negative, not all 0, and no more than the period's ticks")
     exact = {s: w * period / total for s, w in weights.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
+    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], _named(s)))
     k = 0
     while (left := period - sum(out.values())) != 0:
-        s = order[k % len(order)] if left > 0 else max(out, key=lambda s: (out[s], s))
+        s = order[k % len(order)] if left > 0 else max(out, key=lambda s: (out[s], _named(s)))
         out[s] += 1 if left > 0 else -1
         k += 1
     return out

@@ -123,6 +123,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> np.ndarray |
             maps = np.zeros((ROWS, 1 << (LOG2_CELLS - 3)), dtype=np.uint8)
         k = (r.block & 0xFFFF) << (_BLOCK - 3)
         maps[r.block >> 16, k : k + (1 << (_BLOCK - 3))] = np.frombuffer(r.cells, dtype=np.uint8)
+    dropped(merged)
     return maps
 
 
