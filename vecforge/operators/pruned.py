@@ -11,6 +11,10 @@ from .distance import SLICE, matrix
 from .rotation import Split
 
 
+#: Prefix distances held at once (32 MB), and pairs measured at once (64 dimensions of both sides: 100 MB).
+SEEN, PAIRS = 1 << 22, 100_000
+
+
 def stages(split: Split, partial: int) -> list[tuple[int, int]]:
     """Dimension ranges after the prefix: blocks of the horizontal part, then the rest of the vertical part."""
     d = split.horizontal + split.vertical
@@ -28,7 +32,11 @@ def search(x: np.ndarray, previous: np.ndarray | None, c: np.ndarray, ratios: np
     keep the centroid found before.
     """
     n, d = x.shape
-    rows = np.arange(n)
+    rows = max(1, SEEN // len(c))
+    if previous is None and n > rows:  # the least prefix is sought among all centroids at once
+        parts = [search(x[a : a + rows], None, c, ratios, split, partial) for a in range(0, n, rows)]
+        at, best, count, work = zip(*parts, strict=True)
+        return np.concatenate(at), np.concatenate(best), np.concatenate(count), sum(work)
     count, work = np.zeros(n, dtype=np.int64), 0
     head = x[:, :partial]
     hh = (head * head).sum(axis=1)
@@ -37,41 +45,48 @@ def search(x: np.ndarray, previous: np.ndarray | None, c: np.ndarray, ratios: np
         at = previous.astype(np.int64)
         best = ((x - c[at]) ** 2).sum(axis=1)
         work += n * d
-    for k in range(0, len(c), CENTROID_BLOCK):
-        y = c[k : k + CENTROID_BLOCK]
+    step = len(c) if previous is None else CENTROID_BLOCK
+    for k in range(0, len(c), step):
+        y = c[k : k + step]
         tail = y[:, :partial]
         seen = head @ (-2.0 * tail.T)  # short of hh
         seen += (tail * tail).sum(axis=1)
         work += seen.size * partial
-        least = seen.argmin(axis=1)
         if at is None:
-            at = least + k
+            at = seen.argmin(axis=1)
             best = ((x - c[at]) ** 2).sum(axis=1)
             work += n * d
         i, j = np.nonzero(seen < (best * ratios[partial] - hh)[:, None])
         count += np.bincount(i, minlength=n)
         other = j + k != at[i]  # its distance is known already
         i, j = i[other], j[other]
-        value, visited = np.maximum(seen[i, j] + hh[i], 0.0), partial
-        for a, b in stages(split, partial):
-            if not len(i):
-                break
-            apart = x[i, a:b] - y[j, a:b]
-            value = value + np.einsum("ij,ij->i", apart, apart)
-            work += apart.size
-            visited += b - a
-            stay = value < best[i] * ratios[visited]
-            i, j, value = i[stay], j[stay], value[stay]
-        if len(i):
-            order = np.lexsort((j, value, i))
-            first = np.ones(len(i), dtype=bool)
-            first[1:] = i[order][1:] != i[order][:-1]
-            i, j, value = i[order][first], j[order][first], value[order][first]
-            better = value < best[i]
-            best[i[better]], at[i[better]] = value[better], j[better] + k
+        for a in range(0, len(i), PAIRS):
+            work += _refine(x, y, k, i[a : a + PAIRS], j[a : a + PAIRS], seen, hh, best, at, ratios, split, partial)
     return at, best, count, work
 
 
+def _refine(x: np.ndarray, y: np.ndarray, k: int, i: np.ndarray, j: np.ndarray, seen: np.ndarray, hh: np.ndarray, best: np.ndarray, at: np.ndarray, ratios: np.ndarray, split: Split, partial: int) -> int:
+    """Measure the pairs (vector i, centroid j + k) stage by stage and note better ones in `best` and `at`; returns the multiplications."""
+    value, visited, work = np.maximum(seen[i, j] + hh[i], 0.0), partial, 0
+    for a, b in stages(split, partial):
+        if not len(i):
+            return work
+        apart = x[i, a:b] - y[j, a:b]
+        value = value + np.einsum("ij,ij->i", apart, apart)
+        work += apart.size
+        visited += b - a
+        stay = value < best[i] * ratios[visited]
+        i, j, value = i[stay], j[stay], value[stay]
+    if len(i):
+        order = np.lexsort((j, value, i))
+        first = np.ones(len(i), dtype=bool)
+        first[1:] = i[order][1:] != i[order][:-1]
+        i, j, value = i[order][first], j[order][first], value[order][first]
+        better = value < best[i]
+        best[i[better]], at[i[better]] = value[better], j[better] + k
+    return work
+
+
 def assign_pruned(df: DataFrame, c: np.ndarray, ratios: np.ndarray, split: Split, partial: int, previous: str | None = "prev_cid") -> DataFrame:
     """(vec_id, cid, d2, not_pruned) from (vec_id, embedding), embeddings and centroids rotated, and the column of previous centroids if there is one. Narrow: no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast((c, ratios))
