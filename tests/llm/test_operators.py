@@ -165,6 +165,48 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert max(r.score for r in toxicity.score(docs, none).collect()) < 0.5
 
 
+def test_toxicity_knows_rare_forms_of_a_stem(spark):
+    """Each toxic text holds one or two forms of a stem that no other text holds: only what they begin with can be learned."""
+    rng = random.Random(7)
+    ending = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(7))
+    texts, y = [], []
+    for i in range(900):
+        w = [rng.choice(["mar", "lin", "söt", "дом", "pek", "tor"]) + (ending() if rng.random() < 0.2 else rng.choice(["a", "en", "os"])) for _ in range(rng.randrange(5, 60))]
+        if i % 5 == 0:
+            for _ in range(rng.randrange(1, 3)):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(["grobi", "Vequ", "чёрт", "éscu"]) + ending())
+        texts.append(" ".join(w))
+        y.append(int(i % 5 == 0))
+    docs, labels = table(spark, texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    stay = {r.doc_id for r in toxicity.without_toxic(docs, toxicity.fit(docs, labels)).collect()}
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([i not in stay for i in held if y[i]]) > 0.9
+    assert np.mean([i in stay for i in held if not y[i]]) > 0.95
+
+
+def test_beginnings_are_hashes_of_the_first_characters(texts):
+    some = [*texts[:40], "été ñu a 日本語 日本語の本 été\u0301s", None, "", "x" * 300]
+    found = W.find(pa.array(some), lower=True, letters=True)
+    whole = found.hashes()
+    every = [found.data[a:b].tobytes().decode() for a, b in zip(found.start, found.end, strict=True)]
+    got = found.beginnings(np.arange(len(found)), whole, range(3, 6))
+    for j, n in enumerate(range(3, 6), 1):
+        part = {w: int(h) for w, h in zip(every, got[:, j], strict=True) if len(w) >= n}
+        assert all((part[v] == part[w]) == (v[:n] == w[:n]) for v in part for w in part)
+        assert all(h == k for w, h, k in zip(every, got[:, j], whole, strict=True) if len(w) < n)
+    assert (got[:, 0] == whole).all() and not set(whole.tolist()) & {int(h) for w, r in zip(every, got, strict=True) for n, h in zip(range(3, 6), r[1:], strict=True) if len(w) >= n}
+
+
+def test_the_strongest_of_a_token_and_its_beginnings_counts():
+    spelled = next(toxicity._tokens(pa.array(["verbose verb verbatim vex"])))
+    (whole, row) = spelled[0], spelled[1][0]
+    held = {int(whole[row[0], 2]): 3.0, int(whole[row[1], 0]): -2.5, int(whole[row[2], 0]): 4.0}  # verb-, verb, verbatim
+    order = sorted(held)
+    model = toxicity.Model(np.array(order, dtype=np.uint64), np.array([held[h] for h in order]), -1.0, 1.0, 0.0, np.zeros(3))
+    assert model.token_scores(whole)[row].tolist() == [3.0, 3.0, 4.0, -1.0]  # -2.5 is weaker than 3: its log-odds are -1.5
+    assert toxicity.Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -1.0, 1.0, 0.0, np.zeros(3)).token_scores(whole).tolist() == [-1.0] * 4
+
+
 def test_scores_equal_brute_force(spark):
     """A model's scores of whole texts, from tokens by a regular expression, segments by their definition, and the formulas written out."""
     rng = random.Random(11)

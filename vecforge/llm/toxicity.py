@@ -2,9 +2,11 @@
 
 Training: each token's log-odds between toxic and other documents, with an
 informative Dirichlet prior from the token's frequency in the whole corpus,
-shrunk by its evidence. Scoring: a token scores its log-odds less a drift, so
-ordinary text scores below zero, and one linear scan finds all maximal scoring
-segments. By extreme-value theory a text of n tokens has K n exp(-lambda s)
+shrunk by its evidence. A token's beginnings are learned like tokens, as most
+inflected and compounded forms of a stem are too rare to be learned one by one;
+of a token and its beginnings the one with the strongest log-odds counts.
+Scoring: a token scores its log-odds less a drift, so ordinary text scores
+below zero, and one linear scan finds all maximal scoring segments. By extreme-value theory a text of n tokens has K n exp(-lambda s)
 segments of score s or more by chance; segments with a small expected number
 are significant, and a document's evidence is calibrated to a probability on
 labelled documents that the token scores were not learned from.
@@ -25,8 +27,10 @@ from .common import lean, rounds, small_batches, table
 
 #: Labelled rows that a model is fitted on, at most, by hash order of their ids.
 SAMPLE_ROWS = 20_000
-#: A token has to be in so many sample documents; the model holds all that are, 16 bytes each, which SAMPLE_ROWS bounds.
+#: A token or a beginning has to be in so many sample documents; the model holds all that are, 16 bytes each, which SAMPLE_ROWS bounds.
 LEAST_DOCUMENTS = 3
+#: Characters of the beginnings that are learned beside the whole token.
+BEGINNINGS = range(3, 9)
 DRIFT = 1.0
 SIGNIFICANT = 0.05
 #: Evidence of a text without a single token that scores above zero.
@@ -35,18 +39,26 @@ LEAST_EVIDENCE = -10.0
 
 @dataclass
 class Model:
-    tokens: np.ndarray  # sorted hashes
+    tokens: np.ndarray  # sorted hashes of tokens and beginnings
     scores: np.ndarray
-    other: float  # score of a token that is not in the model
+    other: float  # score of a token that is not in the model, nor any of its beginnings
     lam: float
     log_k: float
     weights: np.ndarray  # of the calibration: intercept, best segment, sum of significant segments
 
-    def token_scores(self, hashes: np.ndarray) -> np.ndarray:
+    def places(self, spelled: np.ndarray) -> np.ndarray:
+        """For each token, a row of hashes, the place in the model of the one with the strongest log-odds; -1: none is there. Of equal ones the first counts."""
+        at = _places(self.tokens, spelled)
+        if not at.size or not len(self.tokens):
+            return np.full(len(at), -1)
+        strength = np.where(at >= 0, np.abs(self.scores[at] - self.other), -1.0)
+        return at[np.arange(len(at)), np.argmax(strength, axis=1)]
+
+    def token_scores(self, spelled: np.ndarray) -> np.ndarray:
         if not len(self.tokens):
-            return np.full(len(hashes), self.other)
-        at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == hashes, self.scores[at], self.other)
+            return np.full(len(spelled), self.other)
+        at = self.places(spelled)
+        return np.where(at >= 0, self.scores[at], self.other)
 
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> tuple[float, float, int]:
         """Of a text's segments: best and summed excess over chance (-log of the expected number), number of significant ones."""
@@ -100,13 +112,31 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text:
     return joined.select("doc_id", "text", "y", *[f"m{i}" for i in range(len(metadata))], "fold")
 
 
+def _places(tokens: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash is in the sorted `tokens`; -1: nowhere."""
+    if not len(tokens):
+        return np.full(hashes.shape, -1)
+    at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+    return np.where(tokens[at] == hashes, at, -1)
+
+
 def _tokens(texts: pa.Array):
-    """Token hashes of each text: ASCII letters and digits and everything beyond ASCII, A-Z lowered."""
+    """Of some texts at a time: the distinct tokens, each a row of hashes (itself, then its beginnings), and each text's tokens as rows of these.
+
+    Tokens are ASCII letters and digits and everything beyond ASCII, A-Z lowered.
+    """
     for a, b in rounds(texts, W.ROUND_BYTES):
         found = W.find(texts.slice(a, b - a), lower=True, letters=True)
-        hashes = found.hashes()
-        for t in range(b - a):
-            yield hashes[found.offset[t] : found.offset[t + 1]]
+        whole, first, row = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        yield found.beginnings(first, whole, BEGINNINGS), [row[found.offset[t] : found.offset[t + 1]] for t in range(b - a)]
+
+
+def _token_scores(texts: pa.Array, model: Model):
+    """Scores of each text's tokens."""
+    for spelled, rows in _tokens(texts):
+        scores = model.token_scores(spelled)
+        for row in rows:
+            yield scores[row]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -118,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     def present(batches):
         for batch in batches:
             ys = batch.column(1).to_pylist()
-            hashes = [np.unique(h).view(np.int64) for h in _tokens(batch.column(0))]
+            hashes = [np.unique(spelled[np.unique(row)]).view(np.int64) for spelled, rows in _tokens(batch.column(0)) for row in rows]
             flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64)
             yield table(["token", "y"], [flat, np.repeat(np.array(ys, dtype=np.int64), [len(h) for h in hashes])], [pa.int64(), pa.int64()])
 
@@ -136,16 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     shared = spark.sparkContext.broadcast(tokens)
 
     def corpus(batches):
-        """Documents of the whole corpus that hold each of the model's tokens, then its documents, tokens and tokens outside the model."""
+        """Documents of the whole corpus that hold each of the model's tokens and beginnings, then its documents, tokens and tokens outside the model."""
         known = shared.value
         total, ends = np.zeros(len(known), dtype=np.int64), np.zeros(3, dtype=np.int64)
         for batch in batches:
-            for h in _tokens(batch.column(0)):
-                unique, often = np.unique(h, return_counts=True)
-                at = np.minimum(np.searchsorted(known, unique), len(known) - 1)
-                hit = known[at] == unique
-                total[at[hit]] += 1
-                ends += (1, len(h), often[~hit].sum())
+            for spelled, rows in _tokens(batch.column(0)):
+                at = _places(known, spelled)
+                outside = (at < 0).all(axis=1)
+                for row in rows:
+                    held = np.unique(at[np.unique(row)])
+                    total[held[held >= 0]] += 1
+                    ends += (1, len(row), outside[row].sum())
         total = np.concatenate([total, ends])
         seen = np.flatnonzero(total)
         for k in range(0, len(seen), 100_000):
@@ -164,17 +195,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     z = odds / np.sqrt(1 / (c1 + prior * share) + 1 / (c - c1 + prior * share))
     shrunk = odds * z**2 / (z**2 + 9.0)
     model = Model(tokens, np.clip(shrunk, -4.0, 8.0) - DRIFT, -DRIFT, 1.0, 0.0, np.array([-9.0, 0.0, 0.0]))
-    model.lam = _decay(model.scores, p0, outside)  # chance is what other documents hold
+    shared_model = spark.sparkContext.broadcast(model)
+
+    def chance(batches):
+        """How often each of the model's tokens and beginnings is the one that counts."""
+        m = shared_model.value
+        total = np.zeros(len(m.tokens), dtype=np.int64)
+        for batch in batches:
+            for spelled, rows in _tokens(batch.column(0)):
+                at = m.places(spelled)
+                for row in rows:
+                    np.add.at(total, at[row][at[row] >= 0], 1)
+        seen = np.flatnonzero(total)
+        for k in range(0, len(seen), 100_000):
+            part = seen[k : k + 100_000]
+            yield table(["at", "n"], [part, total[part]], [pa.int64(), pa.int64()])
+
+    counted = learn.where("y = 0").select("text").mapInArrow(lean(chance), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a token of the model
+    model.lam = _decay(model.scores[counted.column("at").to_numpy()], counted.column("n").to_numpy(), outside)  # chance is what other documents hold
 
     def raw(batches):
         for batch in batches:
             out = []
-            for h in _tokens(batch.column(0)):
-                found = segments(shared_model.value.token_scores(h))
-                out.append(([s for _, _, s in found], len(h)))
+            for scores in _token_scores(batch.column(0), shared_model.value):
+                out.append(([s for _, _, s in segments(scores)], len(scores)))
             yield table(["y", "s", "n"], [batch.column(1), [x[0] for x in out], [x[1] for x in out]], [pa.int32(), pa.list_(pa.float64()), pa.int64()])
 
-    shared_model = spark.sparkContext.broadcast(model)
     scored = check.select("text", F.col("y").cast("int").alias("y")).mapInArrow(lean(raw), "y int, s array<double>, n long").collect()  # SAMPLE_ROWS at most
     shared_model.destroy()
     sample.unpersist()
@@ -187,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 
 
 def _decay(scores: np.ndarray, share: np.ndarray, outside: float) -> float:
-    """lambda > 0 with E[exp(lambda score)] = 1 over chance tokens; a part `outside` of them, counted in the corpus, is not in the model and scores the drift."""
+    """lambda > 0 with E[exp(lambda score)] = 1 over chance tokens, which have these scores as often as `share` says; a part `outside` of them, counted in the corpus, is not in the model and scores the drift."""
     weight = share * (1 - outside) / max(share.sum(), 1e-9)
     low, high = 1e-3, 8.0
     for _ in range(60):
@@ -213,10 +259,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _evidence(m: Model, hashes: np.ndarray) -> tuple[float, float, list[tuple[int, int, float]]]:
-    """A text's probability, its best segment's excess and all of its segments."""
-    found = segments(m.token_scores(hashes))
-    best, total, _ = m.evidence(found, len(hashes))
+def _evidence(m: Model, scores: np.ndarray) -> tuple[float, float, list[tuple[int, int, float]]]:
+    """Of a text's token scores: its probability, its best segment's excess and all of its segments."""
+    found = segments(scores)
+    best, total, _ = m.evidence(found, len(scores))
     return m.probability(best, total), best, found
 
 
@@ -236,7 +282,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         m = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in names[1:]]
-            for h in _tokens(batch.column(1)):
+            for h in _token_scores(batch.column(1), m):
                 probability, best, found = _evidence(m, h)
                 told = []
                 for a, b, s in found:
@@ -260,6 +306,6 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: s
     def sift(batches):
         m = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([_evidence(m, h)[0] < threshold for h in _tokens(batch.column(place))], type=pa.bool_()))
+            yield batch.filter(pa.array([_evidence(m, h)[0] < threshold for h in _token_scores(batch.column(place), m)], type=pa.bool_()))
 
     return docs.mapInArrow(lean(sift), docs.schema)
