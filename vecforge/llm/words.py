@@ -71,14 +71,13 @@ class Words:
     def beginnings(self, some: np.ndarray, whole: np.ndarray, lengths: range) -> np.ndarray:
         """A row for each of the words `some`, whose hashes are `whole`: that hash, then those of its first so many characters; where it has fewer, its own again."""
         out = np.repeat(whole[:, None], 1 + len(lengths), axis=1)
-        begins = np.flatnonzero((self.data & 0xC0) != 0x80)  # of characters
-        first = np.searchsorted(begins, self.start[some])
+        new = (self.data & 0xC0) != 0x80
+        begins, upto = np.append(np.flatnonzero(new), len(self.data)), np.cumsum(new)  # of characters
+        start, first, last = self.start[some], upto[self.start[some]] - 1, upto[self.end[some] - 1]
         for j, n in enumerate(lengths, 1):
-            long = np.flatnonzero(first + n <= np.searchsorted(begins, self.end[some]))
+            long = np.flatnonzero(first + n <= last)
             if len(long):
-                start = self.start[some[long]]
-                end = np.append(begins, len(self.data))[first[long] + n]
-                out[long, j] = Words(self.data, start, end, np.array([0, len(long)])).hashes(1)
+                out[long, j] = Words(self.data, start[long], begins[first[long] + n], np.array([0, len(long)])).hashes(1)
         return out
 
     def of_word(self) -> np.ndarray:
