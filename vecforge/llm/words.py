@@ -96,8 +96,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTERS = np.ones(256, dtype=bool)
 _LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -107,7 +107,7 @@ def find(texts: pa.Array, lower: bool = False, letters: bool = False) -> Words:
     data, bounds = buffers(texts)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    inside = ~(_LETTERS if letters else _SPACE)[data]
+    inside = ~(_LETTERS if letters else SPACE)[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
