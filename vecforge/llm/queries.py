@@ -105,7 +105,30 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxic_segments, op2_count_min_substrings, op3_orc_token_files, op4_weak_supervision, op5_certified_packing, op6_factorisation_machine, op7_minmax_near_dedup, op8_heavy_hitter_dedup, op9_pfair_mixing, op10_virtual_slots)}
+def op11_trie_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its most frequent spelling at distance one, and the root that these lead to."""
+    from . import spelling
+
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    from . import lexical_search
+
+    index = lexical_search.read(spark, lexical_search.index(documents(spark, sf_dir)))
+    return lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    from . import line_dedup
+
+    found = line_dedup.deduplicate(documents(spark, sf_dir), min_documents=10, keep_first=False)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxic_segments, op2_count_min_substrings, op3_orc_token_files, op4_weak_supervision, op5_certified_packing, op6_factorisation_machine, op7_minmax_near_dedup, op8_heavy_hitter_dedup, op9_pfair_mixing, op10_virtual_slots, op11_trie_spelling, op12_block_max_search, op13_line_bitmaps)}
 
 
 def _rules_sql(rounds: int = 40) -> str:
@@ -174,6 +197,26 @@ l AS (
   SELECT doc_id AS id, doc_id AS node FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.node
 ), c AS (SELECT id, min(node) AS component_id FROM r GROUP BY id)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.id = s.doc_id
+""",
+    "op12_block_max_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+q AS (SELECT item_id, t, count(*) AS k FROM (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+p AS (SELECT doc_id, t, n, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t, len(w) AS n FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t, n),
+f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, n_docs),
+x AS (SELECT item_id, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM p JOIN q USING (t) JOIN f USING (t), s GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER i)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0
+WINDOW i AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER i <= 10
+""",
+    "op13_line_bitmaps": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(r.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN r ON r.key = k.key GROUP BY doc_id
 """,
     "op8_heavy_hitter_dedup": r"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
