@@ -17,6 +17,9 @@ EPSILON_FLAT = 1.5
 EPSILON_HIERARCHICAL = 1.1
 F32_EPSILON = 1.1920929e-07
 
+#: Bytes up to which a side is broadcast or held by the driver; larger sets are worked on block by block.
+BROADCAST_BYTES = 1 << 30
+
 
 class ClusteringError(ValueError):
     """A broken precondition; the message says which."""
@@ -38,6 +41,8 @@ class FlatConfig:
     use_blas_only: bool = False
     tol: float = 1e-4
     recall_tol: float = 0.005
+    recall_neighbours: int = 10  # true neighbours of a query that tracked recall looks for
+    explored: float = 0.1  # share of the clusters that a query looks into for them
     early_termination: bool = True
     sample_queries: bool = False
     min_not_pruned_pct: float = 0.03

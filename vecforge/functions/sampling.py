@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import FlatConfig, require
+from ..config import BROADCAST_BYTES, FlatConfig, require
 
 
 def seeded_key(seed: int, vec_id: str = "vec_id") -> Column:
@@ -56,15 +57,36 @@ def training_sample(df: DataFrame, n: int, k: int, cfg: FlatConfig, capped: bool
     return df if size == n else first_rows(df, size, cfg.seed)
 
 
+def uniform_key(seed: int, vec_id: str = "vec_id") -> Column:
+    """A uniform number in [0, 1) of each id."""
+    return F.conv(F.substring(seeded_key(seed, vec_id), 1, 12), 16, 10).cast("double") / float(16**12)
+
+
+def shares(sizes: np.ndarray) -> np.ndarray:
+    """Upper ends of each cluster's share of [0, 1), proportional to max(size, 1)."""
+    weights = np.maximum(sizes, 1)
+    return np.cumsum(weights) / float(weights.sum())
+
+
+def drawn(ends: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The cluster in whose share each number lies: a binary search a number."""
+    return np.minimum(np.searchsorted(ends, u, side="right"), len(ends) - 1)
+
+
 def weighted_seed(sizes: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
     """(vec_id, cid): a cluster for each id, drawn with chances proportional to max(size, 1).
 
-    `sizes` has one row a cluster, small by nature, and becomes a bounded array of cumulative shares.
+    `sizes` has one row a cluster; its shares, 12 bytes a cluster, are held by
+    every task, under the limit of a broadcast, so that no plan grows with k.
     """
-    rows = sorted((r.cid, max(r["size"], 1)) for r in sizes.select("cid", "size").collect())
-    total = float(sum(w for _, w in rows))
-    ends = F.array(*[F.lit(float(x) / total) for x in np.cumsum([w for _, w in rows])])
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed + 1}:"), F.col("vec_id").cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
-    at = F.size(F.filter(ends, lambda x: x <= u))
-    cids = F.array(*[F.lit(c) for c, _ in rows])
-    return ids.select("vec_id", cids[F.least(at, F.lit(len(rows) - 1))].cast("int").alias("cid"))
+    rows = sizes.select("cid", "size").toArrow().sort_by("cid")
+    require(rows.num_rows > 0, "n_clusters must be positive")
+    require(rows.num_rows * 12 <= BROADCAST_BYTES, "too many clusters to broadcast")
+    shared = ids.sparkSession.sparkContext.broadcast((np.asarray(rows["cid"]).astype(np.int32), shares(np.asarray(rows["size"]))))
+
+    def kernel(batches):
+        cid, ends = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid[drawn(ends, np.asarray(batch.column(1)))])], names=["vec_id", "cid"])
+
+    return ids.select("vec_id", uniform_key(seed + 1).alias("u")).mapInArrow(kernel, "vec_id long, cid int")

@@ -78,6 +78,13 @@ def sums_batch(cids: np.ndarray, size: np.ndarray, cost: np.ndarray, kept: np.nd
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(size[cids]), pa.array(cost[cids]), pa.array(kept[cids]), arrays], names=["cid", "size", "cost", "kept", "total"])
 
 
+def summed(pieces: DataFrame, d: int) -> tuple[np.ndarray, ...]:
+    """cid, size, cost, kept and total of partial sums, by cid, as arrays from the start: one row a cluster."""
+    rows = pieces.toArrow().sort_by("cid")
+    total = rows["total"].combine_chunks().flatten() if rows.num_rows else []
+    return (*(np.asarray(rows[c]) for c in ("cid", "size", "cost", "kept")), np.asarray(total, dtype=np.float64).reshape(-1, d))
+
+
 SUMS = "cid int, size long, cost double, kept long, total array<double>"
 
 

@@ -15,11 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import CENTROID_BLOCK, require
+from ..config import BROADCAST_BYTES, CENTROID_BLOCK, require
 from ..functions import vectors as V
 
-#: Centroid matrices up to this size are broadcast; larger sets are searched block by block.
-BROADCAST_BYTES = 1 << 30
 #: Vectors worked on at once: with a block of centroids, 32 MB of distances.
 SLICE = 4096
 #: Bytes of doubles in a block of either side of a search between two large tables.
@@ -34,9 +32,11 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def collected(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Centroid ids and matrix, ordered by id."""
-    rows = sorted((r.cid, r.centroid) for r in centroids.select("cid", "centroid").collect())
-    return np.array([r[0] for r in rows], dtype=np.int32), np.array([r[1] for r in rows], dtype=np.float64)
+    """Centroid ids and matrix, ordered by id, as arrays from the start."""
+    rows = centroids.select("cid", "centroid").toArrow().combine_chunks()
+    ids, flat = np.asarray(rows["cid"]).astype(np.int32), np.asarray(rows["centroid"].combine_chunks().flatten(), dtype=np.float64)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], flat.reshape(len(ids), -1 if len(ids) else 0)[order]
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:

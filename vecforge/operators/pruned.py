@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 
 from ..config import CENTROID_BLOCK, HORIZONTAL_BLOCK
@@ -87,18 +91,47 @@ def _refine(x: np.ndarray, y: np.ndarray, k: int, i: np.ndarray, j: np.ndarray,
     return work
 
 
-def assign_pruned(df: DataFrame, c: np.ndarray, ratios: np.ndarray, split: Split, partial: int, previous: str | None = "prev_cid") -> DataFrame:
-    """(vec_id, cid, d2, not_pruned) from (vec_id, embedding), embeddings and centroids rotated, and the column of previous centroids if there is one. Narrow: no shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast((c, ratios))
+def seeded_search(x: np.ndarray, seeds: np.ndarray, c: np.ndarray, ratios: np.ndarray, split: Split, partial: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """`search` from these seeds; a vector whose seed is -1 has none."""
+    some = seeds >= 0
+    if some.all() or not some.any():
+        return search(x, seeds if some.all() else None, c, ratios, split, partial)
+    at, best, count, total = np.empty(len(x), dtype=np.int64), np.empty(len(x)), np.empty(len(x), dtype=np.int64), 0
+    for mine, told in ((some, seeds[some]), (~some, None)):
+        at[mine], best[mine], count[mine], work = search(x[mine], told, c, ratios, split, partial)
+        total += work
+    return at, best, count, total
+
+
+def seeds_of(column: pa.Array, k: int) -> np.ndarray:
+    """Seeds as numbers; -1 for a null and for what is no centroid of k."""
+    seeds = np.asarray(pc.fill_null(column, -1)).astype(np.int64)
+    return np.where(seeds < k, seeds, -1)
+
+
+def assign_pruned(df: DataFrame, c: np.ndarray, ratios: np.ndarray, split: Split, partial: int, previous: str | None = "prev_cid", fill: Callable | None = None, key: str | None = None, work: Accumulator | None = None) -> DataFrame:
+    """(vec_id, cid, d2, not_pruned) from (vec_id, embedding), embeddings and centroids rotated, and the column of previous centroids if there is one. Narrow: no shuffle.
+
+    Vectors whose previous centroid is null get one by `fill`, from their
+    coordinates and the uniform number in the column `key`; without it their
+    search starts from the least prefix. `work` adds up multiplications.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((c, ratios, fill))
 
     def kernel(batches):
-        m, r = shared.value
+        m, r, missing = shared.value
         for batch in batches:
             x = matrix(batch.column(1), m.shape[1])
             for a in range(0, len(x), SLICE):
-                seeds = None if previous is None else np.asarray(batch.column(2))[a : a + SLICE]
-                at, best, count, _ = search(x[a : a + SLICE], seeds, m, r, split, partial)
+                some = x[a : a + SLICE]
+                seeds = np.full(len(some), -1) if previous is None else seeds_of(batch.column(2).slice(a, len(some)), len(m))
+                gap = np.flatnonzero(seeds < 0)
+                if missing is not None and len(gap):
+                    seeds[gap] = missing(some[gap], np.asarray(batch.column(3))[a : a + SLICE][gap])
+                at, best, count, products = seeded_search(some, seeds, m, r, split, partial)
+                if work is not None:
+                    work.add(products)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(at)), pa.array(at.astype(np.int32)), pa.array(best), pa.array(count)], names=["vec_id", "cid", "d2", "not_pruned"])
 
-    told = ["vec_id", "embedding", *([previous] if previous else [])]
+    told = ["vec_id", "embedding", *([previous] if previous else []), *([key] if fill is not None else [])]
     return df.select(*told).mapInArrow(kernel, "vec_id long, cid int, d2 double, not_pruned long")

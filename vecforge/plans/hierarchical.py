@@ -173,6 +173,7 @@ class HierarchicalKMeans:
         n_meso = max(1, half_up(math.sqrt(self.k)))
         meso = KMeans(n_meso, self.d, FlatConfig(**{f: getattr(cfg, f) for f in FlatConfig.__dataclass_fields__} | {"iters": cfg.iters_mesoclustering, "sampling_fraction": 1.0, "unrotate_centroids": True, "data_already_rotated": False}))
         meso.fit(sample)
+        meso.release()
         self.stats = [("meso", -1, *s) for s in meso.stats]
         rows = marked(sample, meso.centroids_).persist(StorageLevel.MEMORY_AND_DISK)
         counts = {r.meso: r["count"] for r in rows.groupBy("meso").count().collect()}

@@ -13,13 +13,18 @@ from .functions import vectors as V
 from .operators import centroids as C
 from .operators import distance as D
 from .operators import gemm as G
+from .operators import lists as lists_
 from .operators import metrics as M
 from .operators.pruned import assign_pruned
 from .operators.rotation import Rotation, Split, tuned_partial_d
+from .plans.blocked import BlockedKMeans
+from .plans.blocked import pull_small as pull_small_rows
+from .plans.blocked import split_empty as split_empty_rows
 from .plans.flat import KMeans, Patience, stops
 from .plans.hierarchical import HierarchicalKMeans, fine_budget, local_kmeans
 from .schema import vectors
 from .sources import synthetic
+from .sources.storage import Store
 from .sources.tables import centroid_table, from_columns, read_vectors
 
 DIM = 64
@@ -196,7 +201,8 @@ def knn_recall(s, sf):
 
 def survivor_filter(s, sf):
     e = points(s, sf)
-    rows = e.crossJoin(F.broadcast(first(e, 16))).select("vec_id", "cid", V.l2_squared_prefix("embedding", "centroid", 32).alias("d2"))
+    head = lambda df, name: df.withColumn(name, F.slice(name, 1, 32))
+    rows = head(e, "embedding").crossJoin(F.broadcast(head(first(e, 16), "centroid"))).select("vec_id", "cid", V.l2_squared("embedding", "centroid").alias("d2"))
     return D.survivors(rows, 0.8).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
@@ -356,6 +362,125 @@ def assign_training_given(s, sf):
     return m.assign_training_points(e, D.collected(first(e, 16))[1]).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
+def _pruned(s, sf, share: float = 1.0) -> tuple[DataFrame, KMeans]:
+    """A trainer after one iteration with pruning forced and nothing near lost, on a share of the vectors."""
+    e = points(s, sf)
+    return e, KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=share, force_pruning=True, epsilon=8.0)).fit(e)
+
+
+def assign_training_stored(s, sf):
+    """The stored training vectors joined with their stored assignments, bucket by bucket, and searched from there."""
+    return _pruned(s, sf)[1].assign_training_points().select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def assign_training_weighted(s, sf):
+    """Nine tenths of the vectors are sampled; the others start from a draw by cluster sizes."""
+    e, m = _pruned(s, sf, 0.9)
+    return m.assign_training_points(e).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def assign_training_meso(s, sf):
+    """Half of the vectors are sampled; the others start from the representative of their nearest cluster of centroids."""
+    e, m = _pruned(s, sf, 0.5)
+    return m.assign_training_points(e).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def assign_training_fewer(s, sf):
+    """Fewer centroids than were trained, without pruning: the first five of the seeded order."""
+    e = points(s, sf)
+    m = KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=1.0, suppress_warnings=True)).fit(e)
+    return m.assign_training_points(e, D.collected(first(e, 5))[1]).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def assign_training_more(s, sf):
+    """More centroids than were trained, with pruning: stored seeds are among the first of them."""
+    e, m = _pruned(s, sf)
+    return m.assign_training_points(e, D.collected(first(e, 40))[1]).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def training_seeds(s, sf):
+    """Where the search of each training vector starts, if all were sampled."""
+    e, m = _pruned(s, sf)
+    return m.training_seeds(e)
+
+
+def training_seeds_weighted(s, sf):
+    """The same if nine tenths were: seeds of the others are drawn by cluster sizes."""
+    e, m = _pruned(s, sf, 0.9)
+    return m.training_seeds(e)
+
+
+def training_seeds_meso(s, sf):
+    """The same if half of them were: seeds of the others come from a model of four clusters over the centroids."""
+    e, m = _pruned(s, sf, 0.5)
+    return m.training_seeds(e)
+
+
+def train_recall(s, sf):
+    """Recall of the true ten neighbours of every twentieth vector after each iteration, for searches that look into 3 of 16 clusters."""
+    e = points(s, sf)
+    cfg = FlatConfig(iters=3, sampling_fraction=1.0, early_termination=False, explored=0.2)
+    m = KMeans(16, DIM, cfg).fit(e, e.where("vec_id % 20 = 0"))
+    return m.iter_stats(e).select("iteration", r6("recall").alias("recall"))
+
+
+def lloyd_blocked(s, sf):
+    """Two iterations with the centroids in a table throughout."""
+    m = BlockedKMeans(16, DIM, FlatConfig(iters=2, sampling_fraction=1.0, early_termination=False)).fit(points(s, sf))
+    return m.centroids.select("cid", F.posexplode("centroid").alias("dim", "value")).select("cid", "dim", r6("value").alias("value"))
+
+
+def blocked_stats(s, sf):
+    e = points(s, sf)
+    m = BlockedKMeans(16, DIM, FlatConfig(iters=3, sampling_fraction=1.0, early_termination=False)).fit(e)
+    return m.iter_stats(e).select("iteration", r6("objective").alias("objective"), r6("shift").alias("shift"), "split", "is_gemm_only")
+
+
+def _sized(s, sf, k: int, copies: int = 0) -> DataFrame:
+    """(cid, centroid, size): the first k vectors of the seeded order, then the first of them once more, with their numbers of nearest vectors; copies have none."""
+    e = points(s, sf)
+    c = first(e, k)
+    both = c.unionByName(c.where(F.col("cid") < copies).withColumn("cid", F.col("cid") + k))
+    sizes = M.sizes(D.assign(e, *D.collected(both)), k + copies)
+    return both.join(sizes, "cid")
+
+
+def _repaired(df: DataFrame) -> DataFrame:
+    return df.select("cid", F.posexplode("centroid").alias("dim", "value"), "size").select("cid", "dim", r6("value").alias("value"), "size")
+
+
+def split_drawn(s, sf):
+    """Eight empty clusters beside sixteen that have all vectors: each draws one to split."""
+    return _repaired(split_empty_rows(_sized(s, sf, 16, 8), SEED, Store(s))[0])
+
+
+def pull_drawn(s, sf):
+    """Small ones among a hundred clusters are pulled towards large ones that they draw."""
+    n = points(s, sf).count()
+    return _repaired(pull_small_rows(_sized(s, sf, 100), n, 100, SEED, Store(s))[0])
+
+
+def knn_lists(s, sf):
+    """Ten nearest among all rows, from inverted lists around sixteen pivots; lists that cannot hold one are left out."""
+    q, p = _queries_and_all(s, sf)
+    return _told(D.other_neighbors(lists_.knn_lists(q, lists_.build(p, D.collected(first(points(s, sf), 16))[1]), 11), 10))
+
+
+def gemm_tiled(s, sf):
+    """A B of two tables: all vectors with the matrix of all vectors' products by dimension, tile by tile."""
+    e = points(s, sf)
+    rows = G.gram_of_dims(e, DIM).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r"))  # DIM entries a row
+    b = rows.select(F.col("i").cast("long").alias("vec_id"), F.transform("r", lambda x: x["value"]).alias("embedding"))
+    return G.product(e, b).select(F.col("i").alias("vec_id"), F.col("j").cast("int").alias("j"), F.round("value", 4).alias("value"))
+
+
+def gemm_pairs(s, sf):
+    """A B^T of two tables: all vectors with the label means, block against block."""
+    ids, means = _label_means(s, sf)
+    b = s.createDataFrame([(int(i), m.tolist()) for i, m in zip(ids, means, strict=True)], "vec_id long, embedding array<double>")
+    return G.product(points(s, sf), b, trans_b=True).select("i", F.col("j").cast("int").alias("j"), r6("value").alias("value"))
+
+
 def output_centroids(s, sf):
     """Centroids of training in the rotated domain, turned back."""
     m = KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=1.0, force_pruning=True)).fit(points(s, sf))
@@ -464,6 +589,8 @@ _ALL = [
     forgy_init, train_sample, sample_sizes, sample_sizes_uncapped, centroid_update, lloyd_1, lloyd_2, lloyd_3, angular_centroids, train_stats, objective, shift_one_iter,
     cluster_sizes, balance_stats, pruning_ratios, pruning_rate, pruning_thresholds, dimension_split, tune_partial_d, rotate_norms, rotate_distances, rotate_roundtrip,
     pruned_assign, pruned_agreement, assign_training, assign_training_given, output_centroids, early_stop, recall_patience, weighted_seed, fine_budgets, hier_meso, hier_fine, hier_train,
+    assign_training_stored, assign_training_weighted, assign_training_meso, assign_training_fewer, assign_training_more, training_seeds, training_seeds_weighted, training_seeds_meso,
+    train_recall, lloyd_blocked, blocked_stats, split_drawn, pull_drawn, knn_lists, gemm_tiled, gemm_pairs,
     hier_assign, split_empty, rebalance, blobs, uniform_vectors, utility_functions,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
@@ -507,7 +634,47 @@ _KNN = f"WITH {_E}, q AS (SELECT vec_id AS query_id, x FROM e WHERE vec_id % 20
 _MEANS = f"m AS (SELECT label AS cid, i, avg(x[i]) AS v FROM e, range(1, {DIM + 1}) r(i) GROUP BY label, i), c0 AS (SELECT cid, list(v ORDER BY i) AS c FROM m GROUP BY cid)"
 _VALUES = f"round(v[i], 6) AS value, size::INTEGER AS size FROM v, range(1, {DIM + 1}) r(i)"
 
+_MD5 = "('0x' || substr(md5('{seed}:' || {of}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+def _sampled(share: float, k: int = 16) -> str:
+    """One iteration of k clusters on a share of the vectors, s: first centroids c0, assignments a0 of all vectors, means c1."""
+    s = f"s AS (SELECT * FROM e QUALIFY row_number() OVER (ORDER BY md5('{SEED}:' || vec_id), vec_id) <= floor((SELECT count(*) FROM e) * {share}::FLOAT::DOUBLE))"
+    return f"WITH {_E}, {s}, {_first(k)}, {_assign(k)}, {_means(1).replace('FROM e JOIN', 'FROM s JOIN')}"
+
+
+def _meso(k: int, iters: int) -> str:
+    """A model of k clusters over the centroids c1 as vectors p: centroids g0, g1, ..., assignments h0, h1, ..."""
+    order = f"row_number() OVER (ORDER BY md5('{SEED}:' || vec_id), vec_id)"
+    parts = [f"p AS (SELECT cid AS vec_id, c AS x FROM c1), g0 AS (SELECT {order} - 1 AS cid, x AS c FROM p QUALIFY {order} <= {k})"]
+    near = lambda e, g, h: f"{h} AS (SELECT vec_id, arg_min(cid, (d2, cid)) AS cid FROM (SELECT vec_id, cid, {_D2.format(a='x', b='c')} AS d2 FROM {e}, {g}) GROUP BY vec_id)"
+    for i in range(iters):
+        parts.append(near("p", f"g{i}", f"h{i}"))
+        parts.append(f"w{i} AS (SELECT cid, i, avg(x[i]) AS v FROM p JOIN h{i} USING (vec_id), range(1, {DIM + 1}) r(i) GROUP BY cid, i), g{i + 1} AS (SELECT cid, list(v ORDER BY i) AS c FROM w{i} GROUP BY cid)")
+    return ", ".join([*parts, near("p", f"g{iters}", "home"), near("e", f"g{iters}", "near"), "last AS (SELECT cid AS meso, max(vec_id) AS c FROM home GROUP BY cid)"])
+
+
+_TO_C1 = f", {_assign(16, 'c1', 'a1')} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a1"
+_SIZES = "z AS (SELECT i AS cid, greatest((SELECT count(*) FROM a0 JOIN s USING (vec_id) WHERE cid = i), 1) AS size FROM range(16) r(i)), u AS (SELECT cid, sum(size) OVER (ORDER BY cid) / (SELECT sum(size) FROM z) AS high FROM z)"
+_DRAWN = "SELECT e.cid, (SELECT max(cid) FROM w WHERE low <= e.u * (SELECT sum(w) FROM w)) AS chosen FROM e_ e"
+_ALL_ROWS = "s AS (SELECT cid, (SELECT count(*) FROM a0 WHERE a0.cid = c0.cid) AS size, c FROM c0)"
+
 ORACLES = {
+    "assign_training_stored": _lloyd(1) + " SELECT vec_id, cid, round(d2, 6) AS d2 FROM a1",
+    "assign_training_weighted": _sampled(0.9) + _TO_C1,
+    "assign_training_meso": _sampled(0.5) + _TO_C1,
+    "assign_training_fewer": f"WITH {_E}, {_first(5)}, {_assign(5)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
+    "assign_training_more": f"WITH {_E}, {_first(40)}, {_assign(40)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
+    "training_seeds": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, cid AS prev_cid FROM a0",
+    "training_seeds_weighted": f"{_sampled(0.9)}, {_SIZES} SELECT e.vec_id, (CASE WHEN s.vec_id IS NOT NULL THEN a0.cid ELSE least((SELECT count(*) FROM u WHERE high <= {_MD5.format(seed=SEED + 1, of='e.vec_id')}), 15) END)::INTEGER AS prev_cid FROM e JOIN a0 ON a0.vec_id = e.vec_id LEFT JOIN s ON s.vec_id = e.vec_id",
+    "training_seeds_meso": f"{_sampled(0.5)}, {_meso(4, 10)} SELECT e.vec_id, (CASE WHEN s.vec_id IS NOT NULL THEN a0.cid ELSE coalesce(l.c, 0) END)::INTEGER AS prev_cid FROM e JOIN a0 ON a0.vec_id = e.vec_id JOIN near ON near.vec_id = e.vec_id LEFT JOIN last l ON l.meso = near.cid LEFT JOIN s ON s.vec_id = e.vec_id",
+    "train_recall": _lloyd(3) + f", t AS (SELECT q, p FROM (SELECT a.vec_id AS q, b.vec_id AS p, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2.format(a='a.x', b='b.x')}, b.vec_id) AS r FROM e a, e b WHERE a.vec_id % 20 = 0) WHERE r <= 10) " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS iteration, round(avg((a{i}.cid IN (SELECT cid FROM (SELECT cid, row_number() OVER (ORDER BY {_D2.format(a='e.x', b='c')}, cid) AS r FROM c{i}) WHERE r <= 3))::INTEGER), 6) AS recall FROM t JOIN e ON e.vec_id = q JOIN a{i} ON a{i}.vec_id = p" for i in (1, 2, 3)),
+    "lloyd_blocked": _lloyd(2) + " " + _UNROLL.format(c="c2"),
+    "split_drawn": f"WITH {_E}, {_first(16)}, {_assign(16)}, {_ALL_ROWS}, w AS (SELECT cid, size, size - 1 AS w, sum(size - 1) OVER (ORDER BY cid) - (size - 1) AS low FROM s WHERE size > 1), e_ AS (SELECT i AS cid, {_MD5.format(seed=SEED + 1, of='i')} AS u FROM range(16, 24) r(i)), d AS ({_DRAWN}), t AS (SELECT *, row_number() OVER (PARTITION BY chosen ORDER BY cid) - 1 AS turn FROM d), n AS (SELECT chosen, count(*) AS n FROM t GROUP BY chosen), v AS (SELECT t.cid::INTEGER AS cid, list_transform(s.c, lambda z, i: z * pow(1 - CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024, turn) * (1 + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024)) AS v, floor(ceil(s.size / pow(2, turn)) / 2)::BIGINT AS size FROM t JOIN s ON s.cid = t.chosen UNION ALL SELECT s.cid, list_transform(s.c, lambda z, i: z * pow(1 - CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024, coalesce(n, 0))), ceil(s.size / pow(2, coalesce(n, 0)))::BIGINT FROM s LEFT JOIN n ON n.chosen = s.cid) SELECT cid, (i - 1)::INTEGER AS dim, round(v[i], 6) AS value, size FROM v, range(1, {DIM + 1}) r(i)",
+    "pull_drawn": f"WITH {_E}, {_first(100)}, {_assign(100)}, {_ALL_ROWS}, b AS (SELECT count(*) // 100 AS a FROM e), w AS (SELECT cid, c, size - a + 1 AS w, sum(size - a + 1) OVER (ORDER BY cid) - (size - a + 1) AS low FROM s, b WHERE size >= a), e_ AS (SELECT cid, {_MD5.format(seed=SEED, of='cid')} AS u FROM s, b WHERE size > 0 AND size <= floor(a * 0.25)), d AS ({_DRAWN}), v AS (SELECT s.cid, CASE WHEN w.c IS NULL THEN s.c ELSE list_transform(list_zip(s.c, w.c), lambda z: (least(s.size, 7) * z[1] + z[2]) / (least(s.size, 7) + 1)) END AS v, size FROM s LEFT JOIN d ON d.cid = s.cid LEFT JOIN w ON w.cid = d.chosen) SELECT cid, (i - 1)::INTEGER AS dim, round(v[i], 6) AS value, size FROM v, range(1, {DIM + 1}) r(i)",
+    "knn_lists": f"{_KNN} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 10",
+    "gemm_tiled": f"WITH {_E}, g AS (SELECT r.i, s.j, sum(x[r.i] * x[s.j]) AS v FROM e, range(1, {DIM + 1}) r(i), range(1, {DIM + 1}) s(j) GROUP BY r.i, s.j) SELECT vec_id, (j - 1)::INTEGER AS j, round(sum(x[i] * v), 4) AS value FROM e, g GROUP BY vec_id, j",
+    "gemm_pairs": f"WITH {_E}, {_MEANS} SELECT vec_id AS i, cid AS j, round({_DOT.format(a='x', b='c')}, 6) AS value FROM e, c0",
     "gemm_gram": f"WITH {_E}, {_MEANS} SELECT vec_id AS i, cid AS j, round({_DOT.format(a='x', b='c')}, 6) AS value FROM e, c0",
     "gemm_ab": f"WITH {_E}, g AS (SELECT r.i, s.j, sum(x[r.i] * x[s.j]) AS v FROM e, range(1, 49) r(i), range(1, {DIM + 1}) s(j) GROUP BY r.i, s.j) SELECT vec_id, (j - 1)::INTEGER AS j, round(sum(x[i] * v), 4) AS value FROM e, g GROUP BY vec_id, j",
     "gemm_transposed": f"WITH {_E} SELECT (r.i - 1)::INTEGER AS i, (s.j - 1)::INTEGER AS j, round(sum(x[r.i] * x[s.j]), 6) AS value FROM e, range(1, 17) r(i), range(1, 25) s(j) GROUP BY r.i, s.j",
@@ -571,3 +738,4 @@ t AS (SELECT arg_min(cid, (d2, cid)) AS cid, min(d2) AS d2 FROM d GROUP BY rid)
     "uniform_vectors": "SELECT 16000::BIGINT AS n, true AS low, true AS high",
     "utility_functions": "SELECT i AS id, (ceil(i / 8) * 8)::BIGINT AS up8, i AS up0, i > 0 AND (i & (i - 1)) = 0 AS power FROM range(70) t(i)",
 }
+ORACLES["blocked_stats"] = ORACLES["train_stats"]
