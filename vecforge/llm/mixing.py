@@ -22,11 +22,11 @@ from itertools import islice
 from math import ceil, lcm
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, few, new_path, unused, written
+from .common import BROADCAST_ROWS, few, new_path, written
 
 PERIOD = 4096
 #: Rows of a source are numbered by this many hash ranges at once.
@@ -114,27 +114,40 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_rows: int = 64, s
     rows have places like others; empty tables give no rows. Weights are exact;
     only if a `period` is given are they rounded to its ticks.
     """
-    weights = weights or {None: 1.0}  # of an empty table
-    named = F.when(docs[source].isNull(), "").otherwise(F.concat(F.lit("="), docs[source].cast("string")))
-    rows = docs.select(docs[doc_id].alias("doc_id"), named.alias("source"))
+    rows = docs.select(docs[doc_id].alias("doc_id"), _source_name(docs[source]).alias("source"))
+    rows = written(_ordered(rows), "mix")
+    out = _scheduled(rows, weights, block_rows, period)
+    source_ = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source")
+    return out.select("doc_id", source_, F.col("block").cast("long").alias("block"), "release", "slot", "deadline", F.col("place").cast("long").alias("place"))
+
+
+def _source_name(source: Column) -> Column:
+    return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Rows with the order within their source and its range. Those without an id follow where they were read: such rows have to be written before they are numbered."""
     order = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(4), F.monotonically_increasing_id())).otherwise(F.xxhash64(F.lit(3), F.col("doc_id")))
-    rows = written(rows.withColumn("order", order).withColumn("range", F.pmod(F.col("order"), F.lit(RANGES)).cast("int")), "mix")
+    return rows.withColumn("order", order).withColumn("range", F.pmod(F.col("order"), F.lit(RANGES)).cast("int"))
+
+
+def _scheduled(rows: DataFrame, weights: dict[str | None, float], block_rows: int, period: int | None) -> DataFrame:
+    """Rows (doc_id, source, order, range and any others) with block, release, slot, deadline and place."""
+    weights = weights or {None: 1.0}  # of an empty table
     counts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = written(counts.withColumn("start", before).select("source", "range", "start", "n"), "starts")
     place = F.row_number().over(Window.partitionBy("source", "range").orderBy("order", "doc_id")) - 1
     # Sources times RANGES rows: broadcast while sources are as few as weights, joined otherwise.
     placed = rows.withColumn("k", place).join(few(starts).drop("n"), ["source", "range"])
-    placed = placed.select("doc_id", "source", (F.col("start") + F.col("k")).alias("at"))
+    placed = placed.withColumn("at", F.col("start") + F.col("k"))
     rows_of = {r.source[1:] if r.source else None: r.n for r in starts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     told = slots(weights if period is None else ticks(weights, period), {s: -(-n // block_rows) for s, n in rows_of.items()})
-    table, small = _slot_table(docs.sparkSession, told)
+    table, small = _slot_table(rows.sparkSession, told)
     blocks = placed.withColumn("block", F.floor(F.col("at") / block_rows)).withColumn("place", F.col("at") % block_rows)
     out = blocks.join(F.broadcast(table) if small else table, ["source", "block"], "left")
     late = F.lit(LATE) + F.col("block")
-    release, slot, due = (F.coalesce(c, late).cast("long").alias(c) for c in ("release", "slot", "deadline"))
-    source_ = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source")
-    return out.select("doc_id", source_, F.col("block").cast("long").alias("block"), release, slot, due, F.col("place").cast("long").alias("place"))
+    return out.withColumns({c: F.coalesce(c, late).cast("long") for c in ("release", "slot", "deadline")})
 
 
 def _slot_table(spark: SparkSession, told: Iterator[tuple[str | None, int, int, int, int]]) -> tuple[DataFrame, bool]:
@@ -161,12 +174,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float], block_rows: int = 64,
     """All rows and columns of `docs`, laid out in the mix's order: range-partitioned by (slot, place) and sorted.
 
     Each file that is written from it is a contiguous part of the schedule, so
-    what reads file by file meets the sources at their target weights. Rows of
-    one id share a place.
+    what reads file by file meets the sources at their target weights. Every
+    row has a place of its own, also rows without an id and rows that share
+    one: the rows themselves are numbered, nothing is joined back by id. Only a
+    table with rows without an id is written first, so that their order stays.
     """
-    spot = schedule(docs, weights, block_rows, source, doc_id).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at"))
-    spot = written(spot.select("doc_id", "at.slot", "at.place"), "spots")
-    names = [unused(docs, x) for x in ("spot_id", "slot", "place")]
-    joined = docs.join(few(spot.toDF(*names)), docs[doc_id].eqNullSafe(F.col(names[0])), "left")
-    laid = joined.repartitionByRange(*names[1:]).sortWithinPartitions(*names[1:])
-    return laid.select(*[docs[c] for c in docs.columns])
+    rows = docs.select(docs[doc_id].alias("doc_id"), _source_name(docs[source]).alias("source"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = _ordered(rows)
+    if not docs.where(docs[doc_id].isNull()).isEmpty():
+        rows = written(rows, "unnamed")
+    laid = _scheduled(rows, weights, block_rows, None).select("row", "slot", "place")
+    return laid.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

@@ -103,13 +103,20 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, rows: int, metadata: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, y, then the metadata as doubles, fold) of at most `rows` labelled documents whose crc32(id) mod 5 is not 0; conflicting labels count as 1."""
+    """(doc_id, text, y, then the metadata as doubles, fold) of at most `rows` labelled documents whose crc32(id) mod 5 is not 0; conflicting labels count as 1.
+
+    An id gives one row, however many it has: the one whose text has the least
+    hash, a null text before all. Rows of one id are reduced in their tasks.
+    """
     known = labels.where(labels[doc_id].isNotNull() & labels[label].isNotNull()).groupBy(labels[doc_id].alias("labelled")).agg(F.max(label).cast("int").alias("y"))
     known = known.withColumn("fold", F.crc32(F.col("labelled").cast("string").cast("binary")) % 5)
     some = known.where("fold != 0").orderBy(F.xxhash64(F.lit(5), F.col("labelled")), "labelled").limit(rows)
     told = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *[docs[c].cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])
     joined = told.join(F.broadcast(some), told.doc_id == some.labelled)
-    return joined.select("doc_id", "text", "y", *[f"m{i}" for i in range(len(metadata))], "fold")
+    held = ["text", *[f"m{i}" for i in range(len(metadata))]]
+    hashed = F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("hash")
+    one = joined.groupBy("doc_id", "y", "fold").agg(F.min(F.struct(hashed, *held)).alias("row"))
+    return one.select("doc_id", "row.text", "y", *[f"row.{c}" for c in held[1:]], "fold")
 
 
 def _places(tokens: np.ndarray, hashes: np.ndarray) -> np.ndarray:
