@@ -102,8 +102,8 @@ def test_blocked_training_equals_the_other(spark, monkeypatch):
     want = KMeans(30, 16, cfg).fit(df)
     for name, value in (("BLOCK_BYTES", 4000), ("BROADCAST_BYTES", 100)):
         monkeypatch.setattr(D, name, value)
-    monkeypatch.setattr(blocked, "TASK_BYTES", 3000)
-    monkeypatch.setattr(blocked, "SUM_BYTES", 600)
+    monkeypatch.setattr(C, "TASK_BYTES", 3000)
+    monkeypatch.setattr(C, "SUM_BYTES", 600)
     monkeypatch.setattr(C, "BRANCH", 2)
     m = BlockedKMeans(30, 16, cfg).fit(df)
     c = np.array([r.centroid for r in m.centroids.orderBy("cid").collect()])

@@ -53,15 +53,6 @@ def normalized(a: str | Column) -> Column:
     return F.transform(doubles(a), lambda x: x / scale)
 
 
-def unrolled_l2(a: str, b: str, d: int) -> Column:
-    """Squared distance written out dimension by dimension, which stays inside generated code; for small d."""
-    parts = [(F.col(a)[i].cast("double") - F.col(b)[i].cast("double")) for i in range(d)]
-    out = parts[0] * parts[0]
-    for x in parts[1:]:
-        out = out + x * x
-    return out
-
-
 def next_multiple(x: Column, m: int) -> Column:
     """x rounded up to a multiple of m; m = 0 leaves it."""
     return x if m == 0 else (F.ceil(x / m) * m).cast("long")

@@ -13,12 +13,54 @@ from . import distance as D
 
 #: Rows of partial sums that are added up at once.
 BRANCH = 64
+#: Bytes of sums that a task holds, and of those of one block of clusters, where clusters are too many for one array.
+TASK_BYTES, SUM_BYTES = 64 << 20, 1 << 20
 
 
-def sums(assigned: DataFrame) -> DataFrame:
-    """(cid, dim, mean, size) by plain aggregation over (cid, embedding)."""
-    rows = assigned.select("cid", F.posexplode("embedding").alias("dim", "value"))
-    return rows.groupBy("cid", "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"), F.count(F.lit(1)).alias("size"))
+def cluster_sums(assigned: DataFrame, d: int, tasks: int) -> DataFrame:
+    """(cid, size, cost, total) of (cid, d2, embedding) for any number of clusters: reduced in bounded pieces of a task, then by blocks of clusters, in groups of BRANCH pieces where there are more."""
+    most = max(1, TASK_BYTES // (8 * d))
+    block = max(1, SUM_BYTES // (8 * d))
+    kinds = "cid int, size long, cost double, total array<double>"
+    names = ["cid", "size", "cost", "total"]
+
+    def reduced(cid: np.ndarray, size: np.ndarray, cost: np.ndarray, x: np.ndarray) -> list[pa.Array]:
+        order = np.argsort(cid, kind="stable")
+        ids, first = np.unique(cid[order], return_index=True)
+        sums = [np.add.reduceat(v[order], first, axis=0) for v in (size, cost, x)]
+        return [pa.array(ids.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]), pa.FixedSizeListArray.from_arrays(pa.array(sums[2].ravel()), d).cast(pa.list_(pa.float64()))]
+
+    def piece(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), D.matrix(batch.column(2), d)))
+            n += batch.num_rows
+            if n >= most:
+                yield told(held)
+                held, n = [], 0
+        if n:
+            yield told(held)
+
+    def told(held):
+        cid, d2, x = (np.concatenate(v) for v in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays(reduced(cid, np.ones(len(cid), dtype=np.int64), d2, x), names=names)
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        return pa.table(reduced(*(np.asarray(rows[c]) for c in names[:3]), D.matrix(rows["total"].combine_chunks(), d)), names=names)
+
+    pieces = assigned.select("cid", "d2", "embedding").mapInArrow(piece, kinds)
+    at = F.floor(F.col("cid") / block).alias("block")
+    while tasks > BRANCH:
+        tasks = -(-tasks // BRANCH)
+        pieces = pieces.select("*", at, F.pmod(F.xxhash64("cid", "cost", "size"), F.lit(tasks)).alias("salt")).groupBy("block", "salt").applyInArrow(add, kinds)
+    return pieces.select("*", at).groupBy("block").applyInArrow(add, kinds)
+
+
+def means(labelled: DataFrame, d: int, tasks: int = 1) -> DataFrame:
+    """(cid, centroid, size) of (cid, embedding): the mean of each group, from sums of bounded pieces of a task."""
+    sums = cluster_sums(labelled.select("cid", F.lit(0.0).alias("d2"), "embedding"), d, tasks)
+    return sums.select("cid", F.transform("total", lambda x: x / F.col("size")).alias("centroid"), "size")
 
 
 def partial_sums(pieces: DataFrame, tasks: int) -> DataFrame:

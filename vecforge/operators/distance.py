@@ -89,12 +89,12 @@ def checked_small(centroids: DataFrame, d: int) -> DataFrame:
     return F.broadcast(centroids)
 
 
-def assign_relational(df: DataFrame, centroids: DataFrame, d: int, unroll: bool = True) -> DataFrame:
-    """The same by a theta join and min_by: ties go to the lowest id. Written-out distances stay in generated code."""
-    pairs = df.select("vec_id", "embedding").crossJoin(checked_small(centroids.select("cid", "centroid"), d))
-    d2 = V.unrolled_l2("embedding", "centroid", d) if unroll and d <= 128 else V.l2_squared("embedding", "centroid")
-    found = pairs.select("vec_id", F.struct(d2.alias("d2"), F.col("cid")).alias("at")).groupBy("vec_id").agg(F.min("at").alias("at"))
-    return found.select("vec_id", "at.cid", "at.d2")
+def assign_relational(df: DataFrame, centroids: DataFrame, d: int) -> DataFrame:
+    """The same by DataFrame functions alone: every vector meets all centroids as one array and keeps the least (d2, cid), so ties go to the lowest id. No pair becomes a row, nothing shuffles."""
+    every = checked_small(centroids.select("cid", "centroid"), d).agg(F.collect_list(F.struct("cid", "centroid")).alias("all"))
+    near = F.array_min(F.transform("all", lambda c: F.struct(V.l2_squared("embedding", c["centroid"]).alias("d2"), c["cid"].alias("cid"))))
+    found = df.select("vec_id", "embedding").crossJoin(F.broadcast(every)).select("vec_id", near.alias("at"))
+    return found.where("at is not null").select("vec_id", "at.cid", "at.d2")
 
 
 def knn(queries: DataFrame, c_ids: np.ndarray, c: np.ndarray, k: int, pad: bool = False) -> DataFrame:
@@ -209,17 +209,18 @@ def knn_blocks(queries: DataFrame, points: DataFrame, k: int, d: int) -> DataFra
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
 
 
-def knn_relational(queries: DataFrame, points: DataFrame, k: int, d: int, blocks: int = 64) -> DataFrame:
-    """k nearest of `points` (cid, centroid) in SQL alone: an equi-join on blocks of points and a ranking, which Spark limits before its shuffle.
+def knn_relational(queries: DataFrame, points: DataFrame, k: int, d: int, block_rows: int = 512) -> DataFrame:
+    """k nearest of `points` (cid, centroid) by DataFrame functions alone: a query meets each block of points as one array, which leaves k of it, and a ranking merges the blocks.
 
-    Every pair becomes a row; `knn_blocks` is the form for large tables.
+    Rows are queries times blocks times k; `knn_blocks` is the form for large queries.
     """
-    block = F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")
+    blocks = max(1, -(-points.count() // block_rows))
+    block = F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("block")
+    held = points.where("cid is not null").select(block, F.struct("cid", "centroid").alias("p")).groupBy("block").agg(F.collect_list("p").alias("all"))
     asked = queries.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = asked.join(points.select("cid", "centroid", block.alias("block")), "block")
-    d2 = V.unrolled_l2("embedding", "centroid", d) if d <= 128 else V.l2_squared("embedding", "centroid")
+    near = F.transform("all", lambda p: F.struct(V.l2_squared(F.col("embedding"), p["centroid"]).alias("d2"), p["cid"].alias("neighbor_id")))
+    rows = asked.join(held, "block").select(F.col("vec_id").alias("query_id"), F.explode(F.slice(F.array_sort(near), 1, k)).alias("at")).select("query_id", "at.neighbor_id", "at.d2")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "neighbor_id"))
-    rows = pairs.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("neighbor_id"), d2.alias("d2"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
 
 

@@ -26,8 +26,6 @@ from .flat import stops
 
 #: Clusters whose shares are added up in one task; the driver holds one number for as many.
 RANGE = 1 << 16
-#: Bytes of sums that a task holds, and of those of one block of clusters.
-TASK_BYTES, SUM_BYTES = 64 << 20, 1 << 20
 
 
 def numbered(df: DataFrame, k: int, seed: int) -> DataFrame:
@@ -45,46 +43,6 @@ def numbered(df: DataFrame, k: int, seed: int) -> DataFrame:
     return rows.where(F.col("cid") < k)  # the boundary's range may have been taken whole
 
 
-def cluster_sums(assigned: DataFrame, d: int, tasks: int) -> DataFrame:
-    """(cid, size, cost, total) of (cid, d2, embedding) for any number of clusters: reduced in bounded pieces of a task, then by blocks of clusters, in groups of C.BRANCH pieces where there are more."""
-    most = max(1, TASK_BYTES // (8 * d))
-    block = max(1, SUM_BYTES // (8 * d))
-    kinds = "cid int, size long, cost double, total array<double>"
-    names = ["cid", "size", "cost", "total"]
-
-    def reduced(cid: np.ndarray, size: np.ndarray, cost: np.ndarray, x: np.ndarray) -> list[pa.Array]:
-        order = np.argsort(cid, kind="stable")
-        ids, first = np.unique(cid[order], return_index=True)
-        sums = [np.add.reduceat(v[order], first, axis=0) for v in (size, cost, x)]
-        return [pa.array(ids.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]), pa.FixedSizeListArray.from_arrays(pa.array(sums[2].ravel()), d).cast(pa.list_(pa.float64()))]
-
-    def piece(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), D.matrix(batch.column(2), d)))
-            n += batch.num_rows
-            if n >= most:
-                yield told(held)
-                held, n = [], 0
-        if n:
-            yield told(held)
-
-    def told(held):
-        cid, d2, x = (np.concatenate(v) for v in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays(reduced(cid, np.ones(len(cid), dtype=np.int64), d2, x), names=names)
-
-    def add(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        return pa.table(reduced(*(np.asarray(rows[c]) for c in names[:3]), D.matrix(rows["total"].combine_chunks(), d)), names=names)
-
-    pieces = assigned.select("cid", "d2", "embedding").mapInArrow(piece, kinds)
-    at = F.floor(F.col("cid") / block).alias("block")
-    while tasks > C.BRANCH:
-        tasks = -(-tasks // C.BRANCH)
-        pieces = pieces.select("*", at, F.pmod(F.xxhash64("cid", "cost", "size"), F.lit(tasks)).alias("salt")).groupBy("block", "salt").applyInArrow(add, kinds)
-    return pieces.select("*", at).groupBy("block").applyInArrow(add, kinds)
-
-
 def drawn_rows(items: DataFrame, weights: DataFrame) -> DataFrame:
     """(cid, chosen): for each item (cid, u) the row of `weights` (cid, w) in whose share of [0, 1) its u lies, by cid; w are whole and positive.
 
@@ -207,7 +165,7 @@ class BlockedKMeans:
     def _iterate(self, sample: DataFrame, n: int, c: DataFrame) -> tuple[DataFrame, float, float, int]:
         cfg, store = self.cfg, self._store
         found = store.bucketed(D.assign_blocks(sample, c, self.d), "step")
-        sums = store.plain(cluster_sums(sample.join(found.hint("shuffle_hash"), "vec_id"), self.d, store.buckets), "sums")
+        sums = store.plain(C.cluster_sums(sample.join(found.hint("shuffle_hash"), "vec_id"), self.d, store.buckets), "sums")
         cost = sums.agg(F.sum("cost")).first()[0]
         mean = F.transform("total", lambda x: x / F.col("size"))
         joined = c.join(sums, "cid", "left").select("cid", F.coalesce(mean, "centroid").alias("centroid"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from ..operators import distance as D
 from ..operators.pruned import assign_pruned, seeded_search, seeds_of
 from ..operators.rotation import Rotation, Split, tuned_partial_d
 from ..schema import ITER_STATS, vectors
+from ..sources.models import ModelStore
 from ..sources.storage import Store
 from ..sources.tables import centroid_table
 from ..timing import Stopwatch
@@ -205,13 +206,15 @@ class KMeans:
     def _rotation(self) -> Rotation:
         return Rotation(self.d, self.cfg.seed, self.cfg.epsilon)
 
-    def fit(self, df: DataFrame, queries: DataFrame | None = None, n_queries: int = 0) -> "KMeans":
+    def fit(self, df: DataFrame, queries: DataFrame | None = None, n_queries: int = 0, versions: ModelStore | None = None) -> "KMeans":
         """Train. Pruned training works in the rotated domain, exact training needs no rotation.
 
         With `queries` (vec_id, embedding), the first n_queries of their seeded
         order (0: all), or with that many sampled from the vectors themselves,
         each iteration notes its recall, and training ends early once recall no
-        longer improves.
+        longer improves. With `versions` each iteration is stored; a training of
+        the same shape, settings (but for the number of iterations) and number
+        of vectors goes on after the last one that is.
         """
         cfg, watch = self.cfg, Stopwatch()
         require(not self.trained, "The clustering has already been trained")
@@ -235,22 +238,33 @@ class KMeans:
             sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
             size = sample.count()
             tasks = sample.select(F.spark_partition_id().alias("p")).distinct().count() if size > C.BRANCH * 1000 else 1
-        # The seeded order is the same for all rows and the sample, so the first centroids are the sample's first rows.
-        first = D.collected(first_centroids(sample, self.k, cfg.seed))[1]
-        state = State(first, self.split.partial(), tasks)
+        same = {k: v for k, v in asdict(cfg).items() if k not in ("iters", "verbose", "suppress_warnings")} | {"k": self.k, "d": self.d, "n": n}
+        begun = versions.latest(df.sparkSession) if versions is not None else None
+        if begun is None:
+            # The seeded order is the same for all rows and the sample, so the first centroids are the sample's first rows.
+            state, done = State(D.collected(first_centroids(sample, self.k, cfg.seed))[1], self.split.partial(), tasks), 0
+        else:
+            done, c, told = begun
+            require(told["same"] == same, "the stored training has another shape, other settings or other vectors")
+            state = State(c, told["partial"], tasks, told["cost"], told["multiplications"], [tuple(x) for x in told["stats"]], np.array(told["sizes"]))
         tracked, patience = None, None
         if queries is not None or n_queries > 0:
             asked = vectors(df if queries is None else queries)
             asked = first_rows(asked, n_queries, cfg.seed + 1) if n_queries > 0 else asked
-            tracked, patience = Recall(rotation.apply(asked) if rotated else asked, sample, self.d, self.k, cfg), Patience()
-        for number in range(1, cfg.iters + 1):
+            tracked, patience = Recall(rotation.apply(asked) if rotated else asked, sample, self.d, self.k, cfg), Patience(*(begun[2]["patience"] if begun else ()))
+        ended = begun is not None and begun[2]["ended"]
+        for number in range(cfg.iters + 1 if ended else done + 1, cfg.iters + 1):
             before = state.cost
             moved = iterate(sample, size, state, cfg, rotation, self.split, self.uses_pruning and number > 1, number, self._store)
             recall = 0.0
             if tracked is not None:
                 recall = tracked.of(state.c)
                 state.stats[-1] = (*state.stats[-1][:4], recall, *state.stats[-1][5:])
-            if stops(cfg, number, moved, state.cost, before, patience, recall):
+            ended = stops(cfg, number, moved, state.cost, before, patience, recall)
+            if versions is not None:
+                told = {"same": same, "partial": state.partial, "cost": state.cost, "multiplications": state.multiplications, "stats": state.stats, "sizes": state.sizes.tolist(), "patience": [patience.best, patience.without] if patience else [], "ended": ended}
+                versions.save(df.sparkSession, number, state.c, told)
+            if ended:
                 break
         if tracked is not None:
             tracked.store.release()

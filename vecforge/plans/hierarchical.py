@@ -154,6 +154,7 @@ class HierarchicalKMeans:
         if n_clusters <= 128 and not self.cfg.suppress_warnings:
             warnings.warn("two-level training is meant for more than 128 clusters", stacklevel=2)
         self.trained, self.stats, self.seconds, self.centroids_ = False, [], 0.0, None
+        self.meso_centroids_ = self.meso_of_ = None  # the first level, and the cluster there of each fine centroid
 
     def fit(self, df: DataFrame) -> "HierarchicalKMeans":
         cfg, watch = self.cfg, Stopwatch()
@@ -179,6 +180,7 @@ class HierarchicalKMeans:
         counts = {r.meso: r["count"] for r in rows.groupBy("meso").count().collect()}
         budget = fine_budget([counts.get(i, 0) for i in range(n_meso)], self.k)
         offset = np.concatenate([[0], np.cumsum(budget)]).astype(int)
+        self.meso_centroids_, self.meso_of_ = meso.centroids_, np.repeat(np.arange(n_meso), budget)
         most = max(1, cfg.max_group_bytes // (8 * self.d))
         large = [i for i in range(n_meso) if counts.get(i, 0) > most and budget[i]]
         self.centroids_ = np.zeros((self.k, self.d))

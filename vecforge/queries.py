@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,14 @@ from .plans.blocked import BlockedKMeans
 from .plans.blocked import pull_small as pull_small_rows
 from .plans.blocked import split_empty as split_empty_rows
 from .plans.flat import KMeans, Patience, stops
-from .plans.hierarchical import HierarchicalKMeans, fine_budget, local_kmeans
+from .plans.hierarchical import HierarchicalKMeans, fine_budget, together
+from .plans.index import TwoLevelIndex
 from .schema import vectors
 from .sources import synthetic
-from .sources.storage import Store
+from .sources.models import ModelStore
+from .sources.storage import Store, folder
 from .sources.tables import centroid_table, from_columns, read_vectors
+from .streaming import assign as streams
 
 DIM = 64
 SEED = 42
@@ -89,7 +93,7 @@ def sql_functions(s, sf):
 
 def _label_means(s, sf) -> tuple[np.ndarray, np.ndarray]:
     """Mean vectors of the labels, a row each."""
-    return D.collected(C.sums(labelled(s, sf).select(F.col("label").alias("cid"), "embedding")).groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("centroid")))
+    return D.collected(C.means(labelled(s, sf).select(F.col("label").alias("cid"), "embedding"), DIM))
 
 
 def gemm_gram(s, sf):
@@ -128,13 +132,21 @@ def dot_matrix(s, sf):
 
 
 def assign_sql(s, sf):
+    """As one SQL statement over views and the engine's SQL functions."""
+    V.register(s)
     e = points(s, sf)
-    return D.assign_relational(e, first(e, 16), DIM).select("vec_id", "cid", r6("d2").alias("d2"))
+    e.createOrReplaceTempView("vecforge_vectors")
+    D.checked_small(first(e, 16), DIM).createOrReplaceTempView("vecforge_centroids")
+    return s.sql("""
+        select vec_id, at.cid, round(at.d2, 6) as d2
+        from (select vec_id, array_min(transform(held, c -> struct(l2_squared(embedding, c.centroid) as d2, c.cid as cid))) as at
+              from vecforge_vectors cross join (select collect_list(struct(cid, centroid)) as held from vecforge_centroids))
+        where at is not null""")
 
 
 def assign_sql_hof(s, sf):
     e = points(s, sf)
-    return D.assign_relational(e, first(e, 16), DIM, unroll=False).select("vec_id", "cid", r6("d2").alias("d2"))
+    return D.assign_relational(e, first(e, 16), DIM).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
 def assign_arrow(s, sf):
@@ -526,15 +538,54 @@ def hier_train(s, sf):
 
 
 def hier_fine(s, sf):
-    """The second level alone: in each label's group three clusters, one iteration."""
-    cfg = FlatConfig(iters=1, early_termination=False)
+    """The second level alone: in each label's group three clusters, one iteration, all groups in one job and none in one task."""
+    rows = labelled(s, sf).select(F.col("label").alias("meso"), "vec_id", "embedding")
+    counts = {r.meso: r["count"] for r in rows.groupBy("meso").count().collect()}
+    cfg = HierConfig(iters_fineclustering=1, early_termination=False)
+    found, _ = together(rows, dict.fromkeys(counts, 3), counts, cfg)
+    told = [(i, j, v) for i, c in found.items() for j, v in enumerate(c.tolist())]
+    rows = s.createDataFrame(told, "label int, local int, centroid array<double>")
+    return rows.select("label", "local", F.posexplode("centroid").alias("dim", "value")).select("label", "local", "dim", r6("value").alias("value"))
 
-    def fine(key, pdf):
-        c, _ = local_kmeans(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy(), 3, 1, SEED, cfg)
-        return pd.DataFrame({"label": int(key[0]), "local": np.arange(3), "centroid": list(c)})
 
-    rows = labelled(s, sf).groupBy("label").applyInPandas(fine, "label int, local int, centroid array<double>")
-    return rows.select("label", "local", F.posexplode("centroid").alias("dim", "value")).select("label", "local", "dim", r6("value").alias("value"))
+def _two_levels(s, sf) -> HierarchicalKMeans:
+    """Sixteen clusters on two levels, one iteration each."""
+    return HierarchicalKMeans(16, DIM, HierConfig(suppress_warnings=True, iters_mesoclustering=1, iters_fineclustering=1)).fit(points(s, sf))
+
+
+def hier_centroids(s, sf):
+    """Both levels: four clusters, their shares of sixteen, and those inside each."""
+    return _matrix_rows(s, _two_levels(s, sf).centroids_)
+
+
+def hier_assign_index(s, sf):
+    """All vectors to the sixteen, down an index that looks into other clusters only where their radius does not rule them out."""
+    return TwoLevelIndex.of(_two_levels(s, sf)).assign(points(s, sf)).select("vec_id", "cid", r6("d2").alias("d2"))
+
+
+def index_clusters(s, sf):
+    """The stored index: each cluster's vectors, where they begin in the order of all, and how far they reach."""
+    path = f"{folder(s)}/vecforge/index-{uuid.uuid4().hex}"
+    TwoLevelIndex.of(_two_levels(s, sf)).write(points(s, sf), path)
+    return TwoLevelIndex.clusters(s, path).select("meso", "cid", "n", "start", r6("radius").alias("radius"))
+
+
+def lloyd_resumed(s, sf):
+    """Two iterations, stored, and a third one by a trainer that goes on from there."""
+    versions = ModelStore(f"{folder(s)}/vecforge/versions-{uuid.uuid4().hex}")
+    for iters in (2, 3):
+        cfg = FlatConfig(iters=iters, sampling_fraction=1.0, early_termination=False)
+        m = KMeans(16, DIM, cfg).fit(points(s, sf), versions=versions)
+    return _matrix_rows(s, m.centroids_)
+
+
+def stream_sizes(s, sf):
+    """Sizes of sixteen clusters from a stream of all vectors, whose state holds each one's latest cluster."""
+    e = points(s, sf)
+    path = f"{folder(s)}/vecforge/moves-{uuid.uuid4().hex}"
+    stream = streams.read_stream(s, f"{sf}/embeddings.parquet*")
+    streams.write_assignments(streams.moves(stream, D.collected(first(e, 16))[1]), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return streams.sizes_of(s.read.schema("cid int, delta long").parquet(f"{path}/out"))
 
 
 def hier_assign(s, sf):
@@ -590,7 +641,7 @@ _ALL = [
     cluster_sizes, balance_stats, pruning_ratios, pruning_rate, pruning_thresholds, dimension_split, tune_partial_d, rotate_norms, rotate_distances, rotate_roundtrip,
     pruned_assign, pruned_agreement, assign_training, assign_training_given, output_centroids, early_stop, recall_patience, weighted_seed, fine_budgets, hier_meso, hier_fine, hier_train,
     assign_training_stored, assign_training_weighted, assign_training_meso, assign_training_fewer, assign_training_more, training_seeds, training_seeds_weighted, training_seeds_meso,
-    train_recall, lloyd_blocked, blocked_stats, split_drawn, pull_drawn, knn_lists, gemm_tiled, gemm_pairs,
+    hier_centroids, hier_assign_index, index_clusters, lloyd_resumed, stream_sizes, train_recall, lloyd_blocked, blocked_stats, split_drawn, pull_drawn, knn_lists, gemm_tiled, gemm_pairs,
     hier_assign, split_empty, rebalance, blobs, uniform_vectors, utility_functions,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
@@ -659,7 +710,22 @@ _SIZES = "z AS (SELECT i AS cid, greatest((SELECT count(*) FROM a0 JOIN s USING
 _DRAWN = "SELECT e.cid, (SELECT max(cid) FROM w WHERE low <= e.u * (SELECT sum(w) FROM w)) AS chosen FROM e_ e"
 _ALL_ROWS = "s AS (SELECT cid, (SELECT count(*) FROM a0 WHERE a0.cid = c0.cid) AS size, c FROM c0)"
 
+# Both levels of sixteen clusters: f1 has the fine centroids, numbered by meso cluster and place in it.
+_TWO_LEVELS = (
+    f"WITH RECURSIVE {_E}, {_first(4)}, {_assign(4)}, {_means(1)}, {_assign(4, 'c1', 'a1')}, "
+    "z AS (SELECT cid AS meso, count(*) AS size, row_number() OVER (ORDER BY cid) AS p, count(*) OVER () AS m FROM a1 GROUP BY cid), "
+    "w(p, meso, budget, k, n, first) AS (SELECT 0::BIGINT, NULL::INTEGER, 0::BIGINT, 16::BIGINT, (SELECT sum(size) FROM z)::BIGINT, 0::BIGINT UNION ALL SELECT z.p, z.meso, b, w.k - b, w.n - z.size, w.first + w.budget FROM w JOIN z ON z.p = w.p + 1, LATERAL (SELECT least(greatest(CASE WHEN z.p < z.m THEN least(floor(w.k * z.size / w.n + 0.5)::BIGINT, w.k - (z.m - z.p)) ELSE w.k END, 1), z.size) AS b)), "
+    f"o AS (SELECT a1.cid AS meso, e.vec_id, x, row_number() OVER (PARTITION BY a1.cid ORDER BY md5('{SEED}:' || e.vec_id), e.vec_id) - 1 AS p FROM e JOIN a1 USING (vec_id)), "
+    "f0 AS (SELECT o.meso, w.first + o.p AS cid, o.x AS c FROM o JOIN w USING (meso) WHERE o.p < w.budget), "
+    f"b0 AS (SELECT vec_id, arg_min(cid, (d2, cid)) AS cid FROM (SELECT vec_id, cid, {_D2.format(a='x', b='c')} AS d2 FROM o JOIN f0 USING (meso)) GROUP BY vec_id), "
+    f"g AS (SELECT cid, i, avg(x[i]) AS v FROM o JOIN b0 USING (vec_id), range(1, {DIM + 1}) r(i) GROUP BY cid, i), "
+    f"f1 AS (SELECT f0.meso, f0.cid::INTEGER AS cid, t.c FROM (SELECT cid, list(v ORDER BY i) AS c FROM g GROUP BY cid) t JOIN f0 USING (cid))"
+)
+
 ORACLES = {
+    "hier_centroids": _TWO_LEVELS + " " + _UNROLL.format(c="f1"),
+    "hier_assign_index": f"{_TWO_LEVELS}, {_assign(16, 'f1', 'h')} SELECT vec_id, cid, round(d2, 6) AS d2 FROM h",
+    "index_clusters": f"{_TWO_LEVELS}, {_assign(16, 'f1', 'h')}, n AS (SELECT cid, count(*) AS n, sqrt(max(d2)) AS radius FROM h GROUP BY cid), t AS (SELECT meso, f1.cid, coalesce(n, 0) AS n, coalesce(radius, 0) AS radius FROM f1 LEFT JOIN n USING (cid)) SELECT meso, cid, n, (sum(n) OVER (ORDER BY meso, cid) - n)::BIGINT AS start, round(radius, 6) AS radius FROM t",
     "assign_training_stored": _lloyd(1) + " SELECT vec_id, cid, round(d2, 6) AS d2 FROM a1",
     "assign_training_weighted": _sampled(0.9) + _TO_C1,
     "assign_training_meso": _sampled(0.5) + _TO_C1,
@@ -739,3 +805,5 @@ t AS (SELECT arg_min(cid, (d2, cid)) AS cid, min(d2) AS d2 FROM d GROUP BY rid)
     "utility_functions": "SELECT i AS id, (ceil(i / 8) * 8)::BIGINT AS up8, i AS up0, i > 0 AND (i & (i - 1)) = 0 AS power FROM range(70) t(i)",
 }
 ORACLES["blocked_stats"] = ORACLES["train_stats"]
+ORACLES["lloyd_resumed"] = ORACLES["lloyd_3"]
+ORACLES["stream_sizes"] = f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT cid, count(*) AS size FROM a0 GROUP BY cid"
