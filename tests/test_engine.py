@@ -54,6 +54,18 @@ def test_tuning():
     assert tuned_partial_d(16, 0.0, 64) == 16 and tuned_partial_d(60, 0.9, 64) == 64 and tuned_partial_d(32, 0.04, 64) == 32
 
 
+def test_columns_tell_the_same(spark):
+    rows = spark.range(1, 1400).select(F.col("id").cast("int").alias("d"))
+    h, v, p = V.dimension_split(F.col("d"))
+    assert [tuple(r) for r in rows.orderBy("d").select(h, v, p).collect()] == [(Split.of(d).horizontal, Split.of(d).vertical, Split.of(d).partial()) for d in range(1, 1400)]
+    rates = [0.0, 0.01, 0.03, 0.04, 0.05, 0.06, 0.9]
+    cases = spark.createDataFrame([(p, r) for p in (16, 18, 20, 32, 64, 96, 191, 192) for r in rates], "p int, r double")
+    assert all(x.n == tuned_partial_d(x.p, x.r, 192) for x in cases.withColumn("n", V.tuned_partial(F.col("p"), F.col("r"), 192)).collect())
+    sizes = spark.createDataFrame([(n, f) for n in (10, 999, 70_000) for f in queries.FRACTIONS], "n long, f double")
+    for cap in (None, 8):
+        assert all(x.s == S.sample_size(x.n, 16, x.f, cap) for x in sizes.withColumn("s", S.sampled(F.col("n"), 16, F.col("f"), cap)).collect())
+
+
 def test_sample_size_widens_the_float():
     assert [S.sample_size(10, 2, f, 256) for f in (0.7, 0.9, 0.3, 1.0)] == [6, 8, 3, 10]
     assert S.sample_size(10_000, 2, 0.5, 256) == 512

@@ -26,6 +26,12 @@ def sample_size(n: int, k: int, fraction: float, most_per_cluster: int | None) -
     return size if most_per_cluster is None else min(size, k * most_per_cluster)
 
 
+def sampled(n: Column, k: int, fraction: Column, most_per_cluster: int | None) -> Column:
+    """`sample_size` of columns."""
+    size = F.floor(n * fraction.cast("float").cast("double"))
+    return F.when(fraction == 1.0, n).otherwise(size if most_per_cluster is None else F.least(size, F.lit(k * most_per_cluster))).cast("int")
+
+
 def first_rows(df: DataFrame, n: int, seed: int, vec_id: str = "vec_id") -> DataFrame:
     """The first n rows of the seeded order, as an exact distributed selection.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import F32_EPSILON
+from ..config import F32_EPSILON, HORIZONTAL_BLOCK, HORIZONTAL_SHARE, MIN_PARTIAL_D
 
 
 def _col(x: str | Column) -> Column:
@@ -69,6 +69,22 @@ def pruning_ratio(visited: Column, d: Column, epsilon: float) -> Column:
     return F.when((visited == 0) | (visited == d), F.lit(1.0)).otherwise(grown)
 
 
+def dimension_split(d: Column) -> tuple[Column, Column, Column]:
+    """How dimensions are visited, as `rotation.Split` tells it: horizontal ones, vertical ones, and the prefix that a pruned search starts with."""
+    share = F.when(d <= 256, 0.25).otherwise(HORIZONTAL_SHARE)
+    whole = F.floor(F.floor(d * share) / HORIZONTAL_BLOCK + 0.5) * HORIZONTAL_BLOCK
+    h = F.when(d <= HORIZONTAL_BLOCK, 0).when(whole >= d, HORIZONTAL_BLOCK).otherwise(whole).cast("int")
+    v = (d - h).cast("int")
+    return h, v, F.least(v, F.greatest(F.lit(MIN_PARTIAL_D), F.floor(v / 2).cast("int")))
+
+
+def tuned_partial(partial: Column, not_pruned: Column, vertical: int, low: float = 0.03, high: float = 0.05, factor: float = 0.2) -> Column:
+    """The next prefix, as `rotation.tuned_partial_d` tells it."""
+    step = lambda f: F.greatest(F.lit(1), F.floor(partial * f).cast("int"))
+    shorter = F.least(F.lit(vertical), F.greatest(F.lit(MIN_PARTIAL_D), partial - step(factor)))
+    return F.when(not_pruned > high, F.least(F.lit(vertical), partial + step(factor * 2))).when(not_pruned < low, shorter).otherwise(partial).cast("int")
+
+
 def register(spark: SparkSession) -> None:
     """Temporary SQL functions l2_squared, vector_dot, norm_squared and normalized_vector."""
     total = "aggregate({}, 0D, (s, x) -> s + x)"

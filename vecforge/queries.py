@@ -17,7 +17,7 @@ from .operators import gemm as G
 from .operators import lists as lists_
 from .operators import metrics as M
 from .operators.pruned import assign_pruned
-from .operators.rotation import Rotation, Split, tuned_partial_d
+from .operators.rotation import Rotation, Split
 from .plans.blocked import BlockedKMeans
 from .plans.blocked import pull_small as pull_small_rows
 from .plans.blocked import split_empty as split_empty_rows
@@ -33,8 +33,7 @@ from .streaming import assign as streams
 
 DIM = 64
 SEED = 42
-WIDTHS = [1, 16, 64, 65, 96, 128, 192, 256, 257, 384, 512, 768, 1024, 1536, 2048, 4096]
-TUNING = [(32, 0.10), (32, 0.04), (32, 0.01), (96, 0.2), (20, 0.0), (16, 0.0), (200, 0.9), (64, 0.05), (64, 0.03), (191, 0.06)]
+FRACTIONS = [0.1, 0.3, 0.5, 0.7, 0.9, 1.0]
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,15 +131,14 @@ def dot_matrix(s, sf):
 
 
 def assign_sql(s, sf):
-    """As one SQL statement over views and the engine's SQL functions."""
-    V.register(s)
+    """As one SQL statement over views."""
     e = points(s, sf)
     e.createOrReplaceTempView("vecforge_vectors")
     D.checked_small(first(e, 16), DIM).createOrReplaceTempView("vecforge_centroids")
     return s.sql("""
         select vec_id, at.cid, round(at.d2, 6) as d2
-        from (select vec_id, array_min(transform(held, c -> struct(l2_squared(embedding, c.centroid) as d2, c.cid as cid))) as at
-              from vecforge_vectors cross join (select collect_list(struct(cid, centroid)) as held from vecforge_centroids))
+        from (select vec_id, array_min(transform(held, c -> struct(aggregate(zip_with(v, c.centroid, (x, y) -> (x - y) * (x - y)), 0D, (t, x) -> t + x) as d2, c.cid as cid))) as at
+              from (select vec_id, cast(embedding as array<double>) as v from vecforge_vectors) cross join (select collect_list(struct(cid, centroid)) as held from vecforge_centroids))
         where at is not null""")
 
 
@@ -228,9 +226,9 @@ def train_sample(s, sf):
 
 
 def sample_sizes(s, sf):
-    cases = [(n, k, f, m) for n, k, m in ((10, 2, 256), (1000, 3, 256), (500, 16, 8)) for f in (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)]
-    return s.createDataFrame([(n, k, f, m, S.sample_size(n, k, f, m)) for n, k, f, m in cases], "n int, k int, fraction double, cap int, size int")
-
+    """Rows to train on for each label's vectors, by sampling fraction, two clusters of at most 16 points."""
+    rows = labelled(s, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("fraction", F.explode(F.array(*map(F.lit, FRACTIONS))))
+    return rows.select("label", "fraction", S.sampled(F.col("n"), 2, F.col("fraction"), 16).alias("size"))
 
 def _assigned(s, sf, k=16):
     e = points(s, sf)
@@ -295,18 +293,24 @@ def balance_stats(s, sf):
 
 
 def pruning_ratios(s, sf):
-    rows = s.createDataFrame([(d, v, e) for d in (128, 256, 768) for v in (0, 1, 16, 32, 64, 96, 127, d) for e in (1.5, 1.1)], "d int, visited int, epsilon double").distinct()
-    case = F.when(F.col("epsilon") == 1.5, V.pruning_ratio(F.col("visited"), F.col("d"), 1.5)).otherwise(V.pruning_ratio(F.col("visited"), F.col("d"), 1.1))
-    return rows.select("d", "visited", "epsilon", r6(case).alias("ratio"))
-
+    """For each vector the ratio after as many dimensions as its number says, in turn from 0 to its width, by both levels' epsilon."""
+    e = points(s, sf).select("vec_id", F.size("embedding").alias("d")).withColumn("visited", F.col("vec_id") % (F.col("d") + 1))
+    return e.select("vec_id", "visited", *[r6(V.pruning_ratio(F.col("visited"), F.col("d"), x)).alias(name) for name, x in (("flat", 1.5), ("hierarchical", 1.1))])
 
 def dimension_split(s, sf):
-    return s.createDataFrame([(d, Split.of(d).horizontal, Split.of(d).vertical, Split.of(d).partial()) for d in WIDTHS], "d int, h int, v int, p int")
-
+    """How vectors as wide as each part's size tells would be split."""
+    d = (F.col("p_size") * 32 + F.col("p_partkey") % 33).cast("int")
+    rows = s.read.parquet(f"{sf}/part.parquet").select("p_partkey", d.alias("d"))
+    return rows.select("p_partkey", "d", *(c.alias(n) for n, c in zip("hvp", V.dimension_split(F.col("d")), strict=True)))
 
 def tune_partial_d(s, sf):
-    return s.createDataFrame([(p, a, tuned_partial_d(p, a, 192)) for p, a in TUNING], "p int, rate double, next int")
-
+    """The next prefix after a search of each label's vectors, by the share that a prefix of 32 left to them."""
+    e = points(s, sf).withColumn("prev_cid", (F.col("vec_id") % 100).cast("int"))
+    split = Split.of(DIM)
+    out = assign_pruned(e, D.collected(first(e, 100))[1], Rotation(DIM, SEED).ratios, split, split.partial())
+    rates = out.join(labelled(s, sf).select("vec_id", "label"), "vec_id").groupBy("label").agg((F.sum("not_pruned") / (F.count(F.lit(1)) * 100)).alias("rate"))
+    nexts = [V.tuned_partial(F.lit(p), F.col("rate") * f, 192).alias(name) for name, p, f in (("grown", 32, 1.0), ("shrunk", 32, 0.01), ("least", 18, 0.01), ("most", 180, 1.0))]
+    return rates.select("label", r6("rate").alias("rate"), *nexts)
 
 def rotate_norms(s, sf):
     out = Rotation(DIM, SEED).apply(points(s, sf))
@@ -354,12 +358,11 @@ def pruning_thresholds(s, sf):
 
 
 def pruned_agreement(s, sf):
-    """Pruned assignment agrees with brute force on at least 98 % of d = 128, k = 300 blobs."""
-    v = synthetic.blobs(s, 5000, 128, 300, seed=SEED).persist()
+    """Pruned assignment agrees with brute force on at least 98 % of the vectors, doubled to 128 dimensions, for 300 clusters."""
+    v = points(s, sf).select("vec_id", F.concat("embedding", F.reverse("embedding")).alias("embedding")).persist()
     m = KMeans(300, 128, FlatConfig(iters=5, sampling_fraction=1.0)).fit(v)
     return M.agreement(m.assign_training_points(v), m.assign(v)).select((F.col("agreement") >= 0.98).alias("agrees"))
 
-
 def assign_training(s, sf):
     """After one iteration with pruning forced, and an epsilon so wide that nothing near is lost, all vectors to the trained centroids."""
     e = points(s, sf)
@@ -499,20 +502,21 @@ def output_centroids(s, sf):
     return _matrix_rows(s, m.centroids_)
 
 
-STOPS = [(n, moved, cost, before) for n in (1, 2) for moved in (0.5, 1e-5) for cost, before in ((90.0, 100.0), (99.995, 100.0), (101.0, 100.0))]
-RECALLS = [0.5, 0.7, 0.704, 0.706, 0.8, 0.8, 0.8]
-
-
 def early_stop(s, sf):
-    """The stop rule on a grid of iterations, shifts and costs."""
-    cfg = FlatConfig()
-    return s.createDataFrame([(n, m, c, b, stops(cfg, n, m, c, b)) for n, m, c, b in STOPS], "iteration int, shift double, cost double, before double, stops boolean")
+    """Which of four iterations on all vectors would end training, by a tolerance of 0.02 for shift and cost."""
+    cfg, stats = FlatConfig(tol=0.02), _iteration(s, sf, 4).stats
+    before = [0.0, *(x[1] for x in stats)]
+    told = [(x[0], x[1], x[2], stops(cfg, x[0], x[2], x[1], before[i])) for i, x in enumerate(stats)]
+    rows = s.createDataFrame(told, "iteration int, objective double, shift double, stops boolean")
+    return rows.select("iteration", r6("objective").alias("objective"), r6("shift").alias("shift"), "stops")
 
 
 def recall_patience(s, sf):
-    """The stop rule where recall is tracked: which iterations would end training."""
-    p, cfg = Patience(), FlatConfig()
-    return s.createDataFrame([(n, r, stops(cfg, 1, 1.0, 1.0, 1.0, p, r)) for n, r in enumerate(RECALLS, 1)], "iteration int, recall double, stops boolean")
+    """Which of four iterations would end training by its recall, that has to improve by 0.02."""
+    p, cfg = Patience(), FlatConfig(iters=4, sampling_fraction=1.0, early_termination=False, explored=0.2)
+    e = points(s, sf)
+    stats = KMeans(16, DIM, cfg).fit(e, e.where("vec_id % 20 = 0")).stats
+    return s.createDataFrame([(x[0], p.ends(x[4], 0.02)) for x in stats], "iteration int, stops boolean")
 
 
 def weighted_seed(s, sf):
@@ -596,9 +600,9 @@ def hier_assign(s, sf):
 
 
 def sample_sizes_uncapped(s, sf):
-    cases = [(n, k, f) for n, k in ((10, 2), (1000, 3), (70_000, 16)) for f in (0.1, 0.3, 0.7, 1.0)]
-    return s.createDataFrame([(n, k, f, S.sample_size(n, k, f, None)) for n, k, f in cases], "n int, k int, fraction double, size int")
-
+    """The same without a limit, for the orders of each priority."""
+    rows = s.read.parquet(f"{sf}/orders.parquet").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).withColumn("fraction", F.explode(F.array(*map(F.lit, FRACTIONS))))
+    return rows.select("o_orderpriority", "fraction", S.sampled(F.col("n"), 2, F.col("fraction"), None).alias("size"))
 
 def _values(s, c: np.ndarray, sizes: np.ndarray):
     return s.createDataFrame([(i, j, float(v), int(sizes[i])) for i, row in enumerate(c) for j, v in enumerate(row)], "cid int, dim int, value double, size int").select("cid", "dim", r6("value").alias("value"), "size")
@@ -622,17 +626,21 @@ def rebalance(s, sf):
 
 
 def blobs(s, sf):
-    return synthetic.blobs(s, 1000, 32, 10, normalize=True).select(F.size("embedding").alias("d"), F.round(V.norm_squared("embedding"), 3).alias("norm2")).groupBy("d", "norm2").agg(F.count(F.lit(1)).alias("n"))
-
+    """A normalised blob vector for each vector of the table, around as many centers as there are labels."""
+    e = labelled(s, sf)
+    out = synthetic.blobs(s, e, 32, e.select("label").distinct().count(), normalize=True)
+    return out.select("vec_id", F.size("embedding").alias("d"), F.round(V.norm_squared("embedding"), 3).alias("norm2"))
 
 def uniform_vectors(s, sf):
+    """A uniform vector for each vector of the table: all coordinates lie in the range asked for."""
     x = F.explode("embedding")
-    return synthetic.uniform(s, 1000, 16, -1.0, 1.0).select(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), (F.min("x") >= -1).alias("low"), (F.max("x") <= 1).alias("high"))
-
+    out = synthetic.uniform(s, points(s, sf), 16, -1.0, 1.0).select(x.alias("x"))
+    return out.agg(F.count(F.lit(1)).alias("n"), (F.min("x") >= -1).alias("low"), (F.max("x") <= 1).alias("high"))
 
 def utility_functions(s, sf):
-    return s.range(0, 70).select("id", V.next_multiple(F.col("id"), 8).alias("up8"), V.next_multiple(F.col("id"), 0).alias("up0"), V.is_power_of_two(F.col("id")).alias("power"))
-
+    """Rounding up and powers of two, of every order's key."""
+    key = F.col("o_orderkey")
+    return s.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", V.next_multiple(key, 8).alias("up8"), V.next_multiple(key, 0).alias("up0"), V.is_power_of_two(key).alias("power"))
 
 _ALL = [
     l2_squared_pairs, l2_prefix_pairs, dot_pairs, norms_full, norms_partial, normalize_rows, sql_functions, gemm_gram, gemm_ab, gemm_transposed, gemm_dims, dot_matrix,
@@ -705,6 +713,14 @@ def _meso(k: int, iters: int) -> str:
     return ", ".join([*parts, near("p", f"g{iters}", "home"), near("e", f"g{iters}", "near"), "last AS (SELECT cid AS meso, max(vec_id) AS c FROM home GROUP BY cid)"])
 
 
+def _recall(n: int) -> str:
+    """told: recall of every twentieth vector's ten neighbours after each iteration, in searches of 3 of 16 clusters."""
+    pairs = f"t AS (SELECT q, p FROM (SELECT a.vec_id AS q, b.vec_id AS p, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2.format(a='a.x', b='b.x')}, b.vec_id) AS r FROM e a, e b WHERE a.vec_id % 20 = 0) WHERE r <= 10)"
+    near = [f"l{i} AS (SELECT vec_id AS q, cid FROM (SELECT e.vec_id, cid, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_D2.format(a='e.x', b='c')}, cid) AS r FROM e, c{i} WHERE e.vec_id % 20 = 0) WHERE r <= 3)" for i in range(1, n + 1)]
+    told = " UNION ALL ".join(f"SELECT {i}::INTEGER AS iteration, avg((l{i}.cid IS NOT NULL)::INTEGER) AS recall FROM t JOIN a{i} ON a{i}.vec_id = t.p LEFT JOIN l{i} ON l{i}.q = t.q AND l{i}.cid = a{i}.cid" for i in range(1, n + 1))
+    return ", ".join([_lloyd(n), pairs, *near, f"told AS ({told})"])
+
+
 _TO_C1 = f", {_assign(16, 'c1', 'a1')} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a1"
 _SIZES = "z AS (SELECT i AS cid, greatest((SELECT count(*) FROM a0 JOIN s USING (vec_id) WHERE cid = i), 1) AS size FROM range(16) r(i)), u AS (SELECT cid, sum(size) OVER (ORDER BY cid) / (SELECT sum(size) FROM z) AS high FROM z)"
 _DRAWN = "SELECT e.cid, (SELECT max(cid) FROM w WHERE low <= e.u * (SELECT sum(w) FROM w)) AS chosen FROM e_ e"
@@ -734,7 +750,7 @@ ORACLES = {
     "training_seeds": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, cid AS prev_cid FROM a0",
     "training_seeds_weighted": f"{_sampled(0.9)}, {_SIZES} SELECT e.vec_id, (CASE WHEN s.vec_id IS NOT NULL THEN a0.cid ELSE least((SELECT count(*) FROM u WHERE high <= {_MD5.format(seed=SEED + 1, of='e.vec_id')}), 15) END)::INTEGER AS prev_cid FROM e JOIN a0 ON a0.vec_id = e.vec_id LEFT JOIN s ON s.vec_id = e.vec_id",
     "training_seeds_meso": f"{_sampled(0.5)}, {_meso(4, 10)} SELECT e.vec_id, (CASE WHEN s.vec_id IS NOT NULL THEN a0.cid ELSE coalesce(l.c, 0) END)::INTEGER AS prev_cid FROM e JOIN a0 ON a0.vec_id = e.vec_id JOIN near ON near.vec_id = e.vec_id LEFT JOIN last l ON l.meso = near.cid LEFT JOIN s ON s.vec_id = e.vec_id",
-    "train_recall": _lloyd(3) + f", t AS (SELECT q, p FROM (SELECT a.vec_id AS q, b.vec_id AS p, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2.format(a='a.x', b='b.x')}, b.vec_id) AS r FROM e a, e b WHERE a.vec_id % 20 = 0) WHERE r <= 10) " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS iteration, round(avg((a{i}.cid IN (SELECT cid FROM (SELECT cid, row_number() OVER (ORDER BY {_D2.format(a='e.x', b='c')}, cid) AS r FROM c{i}) WHERE r <= 3))::INTEGER), 6) AS recall FROM t JOIN e ON e.vec_id = q JOIN a{i} ON a{i}.vec_id = p" for i in (1, 2, 3)),
+    "train_recall": _recall(3) + " SELECT iteration, round(recall, 6) AS recall FROM told",
     "lloyd_blocked": _lloyd(2) + " " + _UNROLL.format(c="c2"),
     "split_drawn": f"WITH {_E}, {_first(16)}, {_assign(16)}, {_ALL_ROWS}, w AS (SELECT cid, size, size - 1 AS w, sum(size - 1) OVER (ORDER BY cid) - (size - 1) AS low FROM s WHERE size > 1), e_ AS (SELECT i AS cid, {_MD5.format(seed=SEED + 1, of='i')} AS u FROM range(16, 24) r(i)), d AS ({_DRAWN}), t AS (SELECT *, row_number() OVER (PARTITION BY chosen ORDER BY cid) - 1 AS turn FROM d), n AS (SELECT chosen, count(*) AS n FROM t GROUP BY chosen), v AS (SELECT t.cid::INTEGER AS cid, list_transform(s.c, lambda z, i: z * pow(1 - CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024, turn) * (1 + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024)) AS v, floor(ceil(s.size / pow(2, turn)) / 2)::BIGINT AS size FROM t JOIN s ON s.cid = t.chosen UNION ALL SELECT s.cid, list_transform(s.c, lambda z, i: z * pow(1 - CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024, coalesce(n, 0))), ceil(s.size / pow(2, coalesce(n, 0)))::BIGINT FROM s LEFT JOIN n ON n.chosen = s.cid) SELECT cid, (i - 1)::INTEGER AS dim, round(v[i], 6) AS value, size FROM v, range(1, {DIM + 1}) r(i)",
     "pull_drawn": f"WITH {_E}, {_first(100)}, {_assign(100)}, {_ALL_ROWS}, b AS (SELECT count(*) // 100 AS a FROM e), w AS (SELECT cid, c, size - a + 1 AS w, sum(size - a + 1) OVER (ORDER BY cid) - (size - a + 1) AS low FROM s, b WHERE size >= a), e_ AS (SELECT cid, {_MD5.format(seed=SEED, of='cid')} AS u FROM s, b WHERE size > 0 AND size <= floor(a * 0.25)), d AS ({_DRAWN}), v AS (SELECT s.cid, CASE WHEN w.c IS NULL THEN s.c ELSE list_transform(list_zip(s.c, w.c), lambda z: (least(s.size, 7) * z[1] + z[2]) / (least(s.size, 7) + 1)) END AS v, size FROM s LEFT JOIN d ON d.cid = s.cid LEFT JOIN w ON w.cid = d.chosen) SELECT cid, (i - 1)::INTEGER AS dim, round(v[i], 6) AS value, size FROM v, range(1, {DIM + 1}) r(i)",
@@ -746,14 +762,14 @@ ORACLES = {
     "gemm_transposed": f"WITH {_E} SELECT (r.i - 1)::INTEGER AS i, (s.j - 1)::INTEGER AS j, round(sum(x[r.i] * x[s.j]), 6) AS value FROM e, range(1, 17) r(i), range(1, 25) s(j) GROUP BY r.i, s.j",
     "assign_in_blocks": f"WITH {_E}, {_first(100)}, {_assign(100)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
     "knn_recall": f"{_KNN} SELECT round(count(*) FILTER (rank <= 10 AND other <= 10) / count(*) FILTER (rank <= 10), 6) AS recall FROM r",
-    "sample_sizes_uncapped": "SELECT n::INTEGER AS n, k::INTEGER AS k, f::DOUBLE AS fraction, (CASE WHEN f = 1 THEN n ELSE floor(n * f::FLOAT::DOUBLE) END)::INTEGER AS size FROM (VALUES (10, 2), (1000, 3), (70000, 16)) a(n, k), (VALUES (0.1), (0.3), (0.7), (1.0)) b(f)",
+    "sample_sizes_uncapped": "SELECT o_orderpriority, fraction, (CASE WHEN fraction = 1 THEN n ELSE floor(n * fraction::FLOAT::DOUBLE) END)::INTEGER AS size FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority), (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9), (1.0)) f(fraction)",
     "pruning_rate": f"WITH {_E}, {_first(100)}, b AS (SELECT vec_id, x, {_D2.format(a='x', b='c')} AS d2 FROM e JOIN c0 ON cid = vec_id % 100) SELECT round(count(*) FILTER ({_D2.format(a='x[1:32]', b='c[1:32]')} < d2 * 0.5 * (1 + 1.5 / sqrt(32)) * (1 + 1.5 / sqrt(32))) / count(*), 6) AS not_pruned_pct FROM b, c0",
     "pruning_thresholds": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, v::INTEGER AS visited, round(d2 * CASE WHEN v = {DIM} THEN 1 ELSE v / {DIM} * (1 + 1.5 / sqrt(v)) * (1 + 1.5 / sqrt(v)) END, 6) AS threshold FROM a0, (VALUES (16), (32), (64)) t(v)",
     "assign_training": _lloyd(1) + " SELECT vec_id, cid, round(d2, 6) AS d2 FROM a1",
     "assign_training_given": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
     "output_centroids": _lloyd(1) + " " + _UNROLL.format(c="c1"),
-    "early_stop": "SELECT n::INTEGER AS iteration, m::DOUBLE AS shift, c::DOUBLE AS cost, b::DOUBLE AS before, m < 1e-4 OR (n > 1 AND c / b > 1 - 1e-4) AS stops FROM (VALUES " + ", ".join(map(str, STOPS)) + ") t(n, m, c, b)",
-    "recall_patience": f"WITH RECURSIVE t(n, r) AS (VALUES {', '.join(f'({n}, {r}::DOUBLE)' for n, r in enumerate(RECALLS, 1))}), w(n, r, best, without) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0 UNION ALL SELECT t.n, t.r, CASE WHEN t.r - best > 0.005 THEN t.r ELSE best END, CASE WHEN t.r - best > 0.005 THEN 0 ELSE without + 1 END FROM w JOIN t ON t.n = w.n + 1) SELECT n::INTEGER AS iteration, r AS recall, without >= 2 AS stops FROM w WHERE n > 0",
+    "early_stop": _lloyd(4) + ", s AS (" + " UNION ALL ".join(f"SELECT {i}::INTEGER AS iteration, (SELECT sum(d2) FROM a{i - 1}) AS o, (SELECT sum({_D2.format(a='n.c', b='o.c')}) FROM c{i} n JOIN c{i - 1} o USING (cid)) AS m" for i in (1, 2, 3, 4)) + ") SELECT iteration, round(o, 6) AS objective, round(m, 6) AS shift, m < 0.02 OR coalesce(o / lag(o) OVER (ORDER BY iteration) > 1 - 0.02, false) AS stops FROM s",
+    "recall_patience": _recall(4).replace("WITH ", "WITH RECURSIVE ", 1) + ", w(n, best, without) AS (SELECT 0, 0::DOUBLE, 0 UNION ALL SELECT n + 1, CASE WHEN recall - best > 0.02 THEN recall ELSE best END, CASE WHEN recall - best > 0.02 THEN 0 ELSE without + 1 END FROM w JOIN told ON iteration = n + 1) SELECT n::INTEGER AS iteration, without >= 2 AS stops FROM w WHERE n > 0",
     "weighted_seed": f"WITH {_E}, {_first(16)}, {_assign(16)}, s AS (SELECT i AS cid, greatest((SELECT count(*) FROM a0 WHERE cid = i), 1) AS size FROM range(16) r(i)), u AS (SELECT cid, sum(size) OVER (ORDER BY cid) / (SELECT sum(size) FROM s) AS high FROM s), d AS (SELECT ('0x' || substr(md5('{SEED + 1}:' || vec_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS x FROM e), t AS (SELECT (SELECT count(*) FROM u WHERE high <= x) AS cid FROM d) SELECT least(cid, 15)::INTEGER AS cid, count(*) AS count FROM t GROUP BY ALL",
     "fine_budgets": "WITH RECURSIVE s AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY label) AS p, count(*) OVER () AS m FROM embeddings GROUP BY label), w(p, label, size, budget, k, n) AS (SELECT 0::BIGINT, NULL::INTEGER, 0::BIGINT, 0::BIGINT, 50::BIGINT, (SELECT sum(size) FROM s)::BIGINT UNION ALL SELECT s.p, s.label, s.size, b, w.k - b, w.n - s.size FROM w JOIN s ON s.p = w.p + 1, LATERAL (SELECT least(greatest(CASE WHEN s.p < s.m THEN least(floor(w.k * s.size / w.n + 0.5)::BIGINT, w.k - (s.m - s.p)) ELSE w.k END, 1), s.size) AS b)) SELECT label, size, budget::INTEGER AS budget FROM w WHERE p > 0",
     "hier_fine": f"WITH {_E}, o AS (SELECT label, vec_id, x, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || vec_id), vec_id) - 1 AS p FROM e), c AS (SELECT label, p AS cid, x AS c FROM o WHERE p < 3), a AS (SELECT vec_id, arg_min(cid, (d2, cid)) AS cid FROM (SELECT vec_id, cid, {_D2.format(a='x', b='c')} AS d2 FROM e JOIN c USING (label)) GROUP BY vec_id) SELECT label, cid::INTEGER AS local, (i - 1)::INTEGER AS dim, round(avg(x[i]), 6) AS value FROM e JOIN a USING (vec_id), range(1, {DIM + 1}) r(i) GROUP BY label, cid, i",
@@ -781,7 +797,7 @@ t AS (SELECT arg_min(cid, (d2, cid)) AS cid, min(d2) AS d2 FROM d GROUP BY rid)
     "survivor_filter": f"WITH {_E}, {_first(16)} SELECT vec_id, cid, round({_D2.format(a='x[1:32]', b='c[1:32]')}, 6) AS d2 FROM e, c0 WHERE {_D2.format(a='x[1:32]', b='c[1:32]')} < 0.8",
     "forgy_init": f"WITH {_E}, {_first(16)} " + _UNROLL.format(c="c0"),
     "train_sample": f"SELECT vec_id FROM embeddings QUALIFY row_number() OVER (ORDER BY md5('{SEED}:' || vec_id), vec_id) <= least(floor((SELECT count(*) FROM embeddings) * 0.3::FLOAT::DOUBLE), 16 * 256)",
-    "sample_sizes": "SELECT n::INTEGER AS n, k::INTEGER AS k, f::DOUBLE AS fraction, m::INTEGER AS cap, (CASE WHEN f = 1 THEN n ELSE least(floor(n * f::FLOAT::DOUBLE), k * m) END)::INTEGER AS size FROM (VALUES (10, 2, 256), (1000, 3, 256), (500, 16, 8)) a(n, k, m), (VALUES (0.1), (0.3), (0.5), (0.7), (0.9), (1.0)) b(f)",
+    "sample_sizes": "SELECT label, fraction, (CASE WHEN fraction = 1 THEN n ELSE least(floor(n * fraction::FLOAT::DOUBLE), 32) END)::INTEGER AS size FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label), (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9), (1.0)) f(fraction)",
     "centroid_update": _lloyd(1) + " SELECT cid, (i - 1)::INTEGER AS dim, round(v, 6) AS value FROM m1",
     "lloyd_1": _lloyd(1) + " " + _UNROLL.format(c="c1"),
     "lloyd_2": _lloyd(2) + " " + _UNROLL.format(c="c2"),
@@ -792,18 +808,19 @@ t AS (SELECT arg_min(cid, (d2, cid)) AS cid, min(d2) AS d2 FROM d GROUP BY rid)
     "shift_one_iter": _lloyd(1) + f" SELECT round(sum({_D2.format(a='n.c', b='o.c')}), 6) AS shift FROM c1 n JOIN c0 o USING (cid)",
     "cluster_sizes": f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT i::INTEGER AS cid, (SELECT count(*) FROM a0 WHERE cid = i) AS size FROM range(16) r(i)",
     "balance_stats": f"WITH {_E}, {_first(16)}, {_assign(16)}, s AS (SELECT i AS cid, (SELECT count(*) FROM a0 WHERE cid = i) AS size FROM range(16) r(i)) SELECT round(avg(size), 6) AS mean, round(coalesce(exp(avg(ln(nullif(size, 0)))), 0), 6) AS geometric_mean, round(stddev_pop(size), 6) AS stdev, round(stddev_pop(size) / avg(size), 6) AS cv, min(size) AS min, max(size) AS max FROM s",
-    "pruning_ratios": "SELECT DISTINCT d::INTEGER AS d, v::INTEGER AS visited, e::DOUBLE AS epsilon, round(CASE WHEN v = 0 OR v = d THEN 1.0 ELSE v::DOUBLE / d * (1 + e::DOUBLE / sqrt(v::DOUBLE)) * (1 + e::DOUBLE / sqrt(v::DOUBLE)) END, 6) AS ratio FROM (SELECT d, unnest([0, 1, 16, 32, 64, 96, 127, d]) AS v FROM (VALUES (128), (256), (768)) t(d)), (VALUES (1.5), (1.1)) u(e)",
-    "dimension_split": f"WITH a AS (SELECT unnest({WIDTHS}) AS d), b AS (SELECT d, CASE WHEN d <= 64 THEN 0 ELSE floor(floor(d * CASE WHEN d <= 256 THEN 0.25 ELSE 0.75 END) / 64 + 0.5) * 64 END AS h FROM a), c AS (SELECT d, CASE WHEN d > 64 AND h >= d THEN 64 ELSE h END AS h FROM b) SELECT d::INTEGER AS d, h::INTEGER AS h, (d - h)::INTEGER AS v, least(d - h, greatest(16, floor((d - h) / 2)))::INTEGER AS p FROM c",
-    "tune_partial_d": "SELECT p::INTEGER AS p, a::DOUBLE AS rate, (CASE WHEN a > 0.05 THEN least(192, p + greatest(1, floor(p * 0.4))) WHEN a < 0.03 THEN least(192, greatest(16, p - greatest(1, floor(p * 0.2)))) ELSE p END)::INTEGER AS next FROM (VALUES " + ", ".join(f"({p}, {a})" for p, a in TUNING) + ") t(p, a)",
+    "pruning_ratios": "SELECT vec_id, v AS visited, round(CASE WHEN v = 0 OR v = d THEN 1.0 ELSE v::DOUBLE / d * (1 + 1.5::DOUBLE / sqrt(v::DOUBLE)) * (1 + 1.5::DOUBLE / sqrt(v::DOUBLE)) END, 6) AS flat, round(CASE WHEN v = 0 OR v = d THEN 1.0 ELSE v::DOUBLE / d * (1 + 1.1::DOUBLE / sqrt(v::DOUBLE)) * (1 + 1.1::DOUBLE / sqrt(v::DOUBLE)) END, 6) AS hierarchical FROM (SELECT vec_id, len(embedding) AS d, vec_id % (len(embedding) + 1) AS v FROM embeddings)",
+    "dimension_split": "WITH a AS (SELECT p_partkey, p_size * 32 + p_partkey % 33 AS d FROM part), b AS (SELECT *, CASE WHEN d <= 64 THEN 0 ELSE floor(floor(d * CASE WHEN d <= 256 THEN 0.25 ELSE 0.75 END) / 64 + 0.5) * 64 END AS h FROM a), c AS (SELECT p_partkey, d, CASE WHEN d > 64 AND h >= d THEN 64 ELSE h END AS h FROM b) SELECT p_partkey, d::INTEGER AS d, h::INTEGER AS h, (d - h)::INTEGER AS v, least(d - h, greatest(16, floor((d - h) / 2)))::INTEGER AS p FROM c",
+    "tune_partial_d": f"WITH {_E}, {_first(100)}, b AS (SELECT vec_id, label, x, {_D2.format(a='x', b='c')} AS d2 FROM e JOIN c0 ON cid = vec_id % 100), t AS (SELECT label, count(*) FILTER ({_D2.format(a='x[1:32]', b='c[1:32]')} < d2 * 0.5 * (1 + 1.5 / sqrt(32)) * (1 + 1.5 / sqrt(32))) / count(*) AS r FROM b, c0 GROUP BY label) SELECT label, round(r, 6) AS rate, (CASE WHEN r * 1.0 > 0.05 THEN least(192, 32 + greatest(1, floor(32 * 0.4))) WHEN r * 1.0 < 0.03 THEN least(192, greatest(16, 32 - greatest(1, floor(32 * 0.2)))) ELSE 32 END)::INTEGER AS grown, (CASE WHEN r * 0.01 > 0.05 THEN least(192, 32 + greatest(1, floor(32 * 0.4))) WHEN r * 0.01 < 0.03 THEN least(192, greatest(16, 32 - greatest(1, floor(32 * 0.2)))) ELSE 32 END)::INTEGER AS shrunk, (CASE WHEN r * 0.01 > 0.05 THEN least(192, 18 + greatest(1, floor(18 * 0.4))) WHEN r * 0.01 < 0.03 THEN least(192, greatest(16, 18 - greatest(1, floor(18 * 0.2)))) ELSE 18 END)::INTEGER AS least, (CASE WHEN r * 1.0 > 0.05 THEN least(192, 180 + greatest(1, floor(180 * 0.4))) WHEN r * 1.0 < 0.03 THEN least(192, greatest(16, 180 - greatest(1, floor(180 * 0.2)))) ELSE 180 END)::INTEGER AS most FROM t",
     "rotate_norms": f"WITH {_E} SELECT vec_id, round({_N2.format(a='x')}, 5) AS norm2 FROM e",
     "rotate_distances": f"{_PAIRS} SELECT a_id, round({_D2.format(a='a', b='b')}, 6) AS d2 FROM p",
     "rotate_roundtrip": f"WITH {_E} SELECT vec_id, (i - 1)::INTEGER AS dim, round(x[i], 6) AS value FROM e, range(1, {DIM + 1}) r(i)",
     "pruned_assign": f"WITH {_E}, {_first(100)}, {_assign(100)} SELECT vec_id, cid, round(d2, 6) AS d2 FROM a0",
     "hier_meso": _lloyd(1, 4) + " " + _UNROLL.format(c="c1"),
-    "blobs": "SELECT 32::INTEGER AS d, 1.0::DOUBLE AS norm2, 1000::BIGINT AS n",
-    "uniform_vectors": "SELECT 16000::BIGINT AS n, true AS low, true AS high",
-    "utility_functions": "SELECT i AS id, (ceil(i / 8) * 8)::BIGINT AS up8, i AS up0, i > 0 AND (i & (i - 1)) = 0 AS power FROM range(70) t(i)",
+    "blobs": "SELECT vec_id, 32::INTEGER AS d, 1.0::DOUBLE AS norm2 FROM embeddings",
+    "uniform_vectors": "SELECT 16 * count(*) AS n, true AS low, true AS high FROM embeddings",
+    "utility_functions": "SELECT o_orderkey, (ceil(o_orderkey / 8) * 8)::BIGINT AS up8, o_orderkey AS up0, o_orderkey > 0 AND (o_orderkey & (o_orderkey - 1)) = 0 AS power FROM orders",
 }
+ORACLES["pruned_agreement"] = "SELECT count(*) > 0 AS agrees FROM embeddings"
 ORACLES["blocked_stats"] = ORACLES["train_stats"]
 ORACLES["lloyd_resumed"] = ORACLES["lloyd_3"]
 ORACLES["stream_sizes"] = f"WITH {_E}, {_first(16)}, {_assign(16)} SELECT cid, count(*) AS size FROM a0 GROUP BY cid"

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import F32_EPSILON
 
 
-def _generated(spark: SparkSession, n: int, d: int, row, partitions: int | None) -> DataFrame:
+def _generated(spark: SparkSession, n: int | DataFrame, d: int, row, partitions: int | None) -> DataFrame:
+    """Vectors 0 to n - 1, or one for each vec_id of a table."""
+
     def kernel(batches):
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -19,11 +21,14 @@ def _generated(spark: SparkSession, n: int, d: int, row, partitions: int | None)
                 arrays = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([pa.array(part), arrays], names=["vec_id", "embedding"])
 
-    base = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    if isinstance(n, DataFrame):
+        base = n.where("vec_id is not null").select(n["vec_id"].cast("long").alias("id"))
+    else:
+        base = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
     return base.mapInArrow(kernel, "vec_id long, embedding array<float>")
 
 
-def blobs(spark: SparkSession, n: int, d: int, centers: int, normalize: bool = False, std: float = 1.0, spread: float = 10.0, seed: int = 42, partitions: int | None = None) -> DataFrame:
+def blobs(spark: SparkSession, n: int | DataFrame, d: int, centers: int, normalize: bool = False, std: float = 1.0, spread: float = 10.0, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """Gaussian blobs: centers N(0, spread), a random center plus N(0, std) for each row."""
     middle = np.random.default_rng(seed).normal(0.0, spread, (centers, d))
 
@@ -35,7 +40,7 @@ def blobs(spark: SparkSession, n: int, d: int, centers: int, normalize: bool = F
     return _generated(spark, n, d, row, partitions)
 
 
-def uniform(spark: SparkSession, n: int, d: int, low: float = -1.0, high: float = 1.0, seed: int = 42, partitions: int | None = None) -> DataFrame:
+def uniform(spark: SparkSession, n: int | DataFrame, d: int, low: float = -1.0, high: float = 1.0, seed: int = 42, partitions: int | None = None) -> DataFrame:
     return _generated(spark, n, d, lambda i: np.random.default_rng([seed, i]).uniform(low, high, d), partitions)
 
 
