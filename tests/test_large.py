@@ -11,6 +11,7 @@ from vecforge.operators import distance as D
 from vecforge.operators import gemm as G
 from vecforge.operators import lists as L
 from vecforge.operators import metrics as M
+from vecforge.operators import slabs
 from vecforge.plans import blocked
 from vecforge.plans.blocked import BlockedKMeans
 from vecforge.plans.flat import KMeans
@@ -204,6 +205,35 @@ def test_lists_with_ties_few_points_and_nulls(spark):
     assert L.knn_lists(df, L.build(p.limit(0), x[:2]), 5).count() == 0 and L.knn_lists(df.limit(0), few, 5).count() == 0
 
 
+# --- slabs -------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("d, width", [(256, 64), (20, 8), (5, 64)])
+def test_slabs_read_later_dimensions_of_few_vectors(spark, d, width):
+    df = synthetic.blobs(spark, 1200, d, 30, seed=3)
+    df = df.unionByName(df.where("vec_id < 20").withColumn("vec_id", F.col("vec_id") + 5000)).unionByName(spark.createDataFrame([(None, [0.0] * d)], df.schema))
+    c = np.random.default_rng(3).normal(0.0, 10.0, (30, d))
+    c = np.concatenate([c, c[:2]])  # ties
+    stored = slabs.write(df, d, width)
+    found, read = slabs.assign(stored, c)
+    want = {r.vec_id: r.cid for r in D.assign(df.where("vec_id is not null"), np.arange(32, dtype=np.int32), c).collect()}
+    assert {r.vec_id: r.cid for r in found.collect()} == want and read[0] == 1220 == found.count()
+    assert slabs.assign(stored, c[2:])[0].count() == 1220
+    # Another time, with centroids that have moved a little: most vectors are decided by the first slab.
+    moved = c + np.random.default_rng(1).normal(0.0, 0.05, c.shape)
+    before = D.assign(df.where("vec_id is not null and vec_id <> 7"), np.arange(32, dtype=np.int32), c)
+    found, again = slabs.assign(stored, moved, before, c)
+    want = {r.vec_id: r.cid for r in D.assign(df.where("vec_id is not null"), np.arange(32, dtype=np.int32), moved).collect()}
+    assert {r.vec_id: r.cid for r in found.collect()} == want
+    if d == 256:
+        assert sum(again[1:]) < 0.5 * sum(read[1:])
+        scan = plan(stored.rows.select("vec_id", "rests", "s0"))
+        assert "s0" in scan and "s1" not in scan
+    stored.release()
+    with pytest.raises(ClusteringError, match="width"):
+        slabs.assign(stored, c[:, 1:])
+
+
 # --- tiles -------------------------------------------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from .operators import distance as D
 from .operators import gemm as G
 from .operators import lists as lists_
 from .operators import metrics as M
+from .operators import slabs
 from .operators.pruned import assign_pruned
 from .operators.rotation import Rotation, Split
 from .plans.blocked import BlockedKMeans
@@ -338,6 +339,14 @@ def pruned_assign(s, sf):
     return assign_pruned(rows, r.rotate(c), r.ratios, split, split.partial()).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
+def assign_slabs(s, sf):
+    """All vectors, stored rotated in slabs of 16 dimensions, after an iteration: bounded by their assignments before, later slabs are read for undecided vectors alone."""
+    e, r = points(s, sf), Rotation(DIM, SEED)
+    _, c = D.collected(first(e, 16))
+    before = D.assign(e, np.arange(16, dtype=np.int32), c)
+    return slabs.assign(slabs.write(r.apply(e), DIM, 16), r.rotate(_iteration(s, sf, 1).centroids_), before, r.rotate(c))[0]
+
+
 def pruning_rate(s, sf):
     """Average share of centroids that the prefix leaves, bounded by the distance to a given one."""
     e = points(s, sf).withColumn("prev_cid", (F.col("vec_id") % 100).cast("int"))
@@ -649,7 +658,7 @@ _ALL = [
     cluster_sizes, balance_stats, pruning_ratios, pruning_rate, pruning_thresholds, dimension_split, tune_partial_d, rotate_norms, rotate_distances, rotate_roundtrip,
     pruned_assign, pruned_agreement, assign_training, assign_training_given, output_centroids, early_stop, recall_patience, weighted_seed, fine_budgets, hier_meso, hier_fine, hier_train,
     assign_training_stored, assign_training_weighted, assign_training_meso, assign_training_fewer, assign_training_more, training_seeds, training_seeds_weighted, training_seeds_meso,
-    hier_centroids, hier_assign_index, index_clusters, lloyd_resumed, stream_sizes, train_recall, lloyd_blocked, blocked_stats, split_drawn, pull_drawn, knn_lists, gemm_tiled, gemm_pairs,
+    assign_slabs, hier_centroids, hier_assign_index, index_clusters, lloyd_resumed, stream_sizes, train_recall, lloyd_blocked, blocked_stats, split_drawn, pull_drawn, knn_lists, gemm_tiled, gemm_pairs,
     hier_assign, split_empty, rebalance, blobs, uniform_vectors, utility_functions,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
@@ -742,6 +751,7 @@ ORACLES = {
     "hier_centroids": _TWO_LEVELS + " " + _UNROLL.format(c="f1"),
     "hier_assign_index": f"{_TWO_LEVELS}, {_assign(16, 'f1', 'h')} SELECT vec_id, cid, round(d2, 6) AS d2 FROM h",
     "index_clusters": f"{_TWO_LEVELS}, {_assign(16, 'f1', 'h')}, n AS (SELECT cid, count(*) AS n, sqrt(max(d2)) AS radius FROM h GROUP BY cid), t AS (SELECT meso, f1.cid, coalesce(n, 0) AS n, coalesce(radius, 0) AS radius FROM f1 LEFT JOIN n USING (cid)) SELECT meso, cid, n, (sum(n) OVER (ORDER BY meso, cid) - n)::BIGINT AS start, round(radius, 6) AS radius FROM t",
+    "assign_slabs": _lloyd(1) + " SELECT vec_id, cid FROM a1",
     "assign_training_stored": _lloyd(1) + " SELECT vec_id, cid, round(d2, 6) AS d2 FROM a1",
     "assign_training_weighted": _sampled(0.9) + _TO_C1,
     "assign_training_meso": _sampled(0.5) + _TO_C1,
