@@ -495,7 +495,7 @@ def gemm_tiled(s, sf):
     e = points(s, sf)
     rows = G.gram_of_dims(e, DIM).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r"))  # DIM entries a row
     b = rows.select(F.col("i").cast("long").alias("vec_id"), F.transform("r", lambda x: x["value"]).alias("embedding"))
-    return G.product(e, b).select(F.col("i").alias("vec_id"), F.col("j").cast("int").alias("j"), F.round("value", 4).alias("value"))
+    return G.product(e, b).select(F.col("i").alias("vec_id"), F.col("j").cast("int").alias("j"), (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
 def gemm_pairs(s, sf):
@@ -765,7 +765,7 @@ ORACLES = {
     "split_drawn": f"WITH {_E}, {_first(16)}, {_assign(16)}, {_ALL_ROWS}, w AS (SELECT cid, size, size - 1 AS w, sum(size - 1) OVER (ORDER BY cid) - (size - 1) AS low FROM s WHERE size > 1), e_ AS (SELECT i AS cid, {_MD5.format(seed=SEED + 1, of='i')} AS u FROM range(16, 24) r(i)), d AS ({_DRAWN}), t AS (SELECT *, row_number() OVER (PARTITION BY chosen ORDER BY cid) - 1 AS turn FROM d), n AS (SELECT chosen, count(*) AS n FROM t GROUP BY chosen), v AS (SELECT t.cid::INTEGER AS cid, list_transform(s.c, lambda z, i: z * pow(1 - CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024, turn) * (1 + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024)) AS v, floor(ceil(s.size / pow(2, turn)) / 2)::BIGINT AS size FROM t JOIN s ON s.cid = t.chosen UNION ALL SELECT s.cid, list_transform(s.c, lambda z, i: z * pow(1 - CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END / 1024, coalesce(n, 0))), ceil(s.size / pow(2, coalesce(n, 0)))::BIGINT FROM s LEFT JOIN n ON n.chosen = s.cid) SELECT cid, (i - 1)::INTEGER AS dim, round(v[i], 6) AS value, size FROM v, range(1, {DIM + 1}) r(i)",
     "pull_drawn": f"WITH {_E}, {_first(100)}, {_assign(100)}, {_ALL_ROWS}, b AS (SELECT count(*) // 100 AS a FROM e), w AS (SELECT cid, c, size - a + 1 AS w, sum(size - a + 1) OVER (ORDER BY cid) - (size - a + 1) AS low FROM s, b WHERE size >= a), e_ AS (SELECT cid, {_MD5.format(seed=SEED, of='cid')} AS u FROM s, b WHERE size > 0 AND size <= floor(a * 0.25)), d AS ({_DRAWN}), v AS (SELECT s.cid, CASE WHEN w.c IS NULL THEN s.c ELSE list_transform(list_zip(s.c, w.c), lambda z: (least(s.size, 7) * z[1] + z[2]) / (least(s.size, 7) + 1)) END AS v, size FROM s LEFT JOIN d ON d.cid = s.cid LEFT JOIN w ON w.cid = d.chosen) SELECT cid, (i - 1)::INTEGER AS dim, round(v[i], 6) AS value, size FROM v, range(1, {DIM + 1}) r(i)",
     "knn_lists": f"{_KNN} SELECT query_id, rank, neighbor_id, round(d2, 6) AS d2 FROM r WHERE rank <= 10",
-    "gemm_tiled": f"WITH {_E}, g AS (SELECT r.i, s.j, sum(x[r.i] * x[s.j]) AS v FROM e, range(1, {DIM + 1}) r(i), range(1, {DIM + 1}) s(j) GROUP BY r.i, s.j) SELECT vec_id, (j - 1)::INTEGER AS j, round(sum(x[i] * v), 4) AS value FROM e, g GROUP BY vec_id, j",
+    "gemm_tiled": f"WITH {_E}, g AS (SELECT r.i, s.j, sum(x[r.i] * x[s.j]) AS v FROM e, range(1, {DIM + 1}) r(i), range(1, {DIM + 1}) s(j) GROUP BY r.i, s.j) SELECT vec_id, (j - 1)::INTEGER AS j, round(sum(x[i] * v), 4) + 0.0::DOUBLE AS value FROM e, g GROUP BY vec_id, j",
     "gemm_pairs": f"WITH {_E}, {_MEANS} SELECT vec_id AS i, cid AS j, round({_DOT.format(a='x', b='c')}, 6) AS value FROM e, c0",
     "gemm_gram": f"WITH {_E}, {_MEANS} SELECT vec_id AS i, cid AS j, round({_DOT.format(a='x', b='c')}, 6) AS value FROM e, c0",
     "gemm_ab": f"WITH {_E}, g AS (SELECT r.i, s.j, sum(x[r.i] * x[s.j]) AS v FROM e, range(1, 49) r(i), range(1, {DIM + 1}) s(j) GROUP BY r.i, s.j) SELECT vec_id, (j - 1)::INTEGER AS j, round(sum(x[i] * v), 4) AS value FROM e, g GROUP BY vec_id, j",
