@@ -57,6 +57,14 @@ def first_centroids(df: DataFrame, k: int, seed: int) -> DataFrame:
     return some.select(rank.cast("int").alias("cid"), F.col("embedding").cast("array<double>").alias("centroid"))
 
 
+def first_matrix(df: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same on the driver, ids and matrix: the k best of every task meet there and nothing is shuffled to be numbered."""
+    rows = df.orderBy(seeded_key(seed), "vec_id").limit(k).select(F.col("embedding").cast("array<double>").alias("v")).toArrow()
+    n = rows.num_rows
+    flat = np.array(rows["v"].combine_chunks().flatten(), dtype=np.float64) if n else np.zeros(0)
+    return np.arange(n, dtype=np.int32), flat.reshape(n, -1 if n else 0)
+
+
 def training_sample(df: DataFrame, n: int, k: int, cfg: FlatConfig, capped: bool = True) -> DataFrame:
     size = sample_size(n, k, cfg.sampling_fraction, cfg.max_points_per_cluster if capped else None)
     require(size >= k, "Not enough samples to train the requested number of clusters")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BROADCAST_BYTES, F32_EPSILON, RECALL_PATIENCE, FlatConfig, check_shape, prunes, require
-from ..functions.sampling import first_centroids, first_rows, sample_size, training_sample, uniform_key
+from ..functions.sampling import first_matrix, first_rows, sample_size, training_sample, uniform_key
 from ..operators import centroids as C
 from ..operators import distance as D
 from ..operators.pruned import assign_pruned, seeded_search, seeds_of
@@ -242,7 +242,7 @@ class KMeans:
         begun = versions.latest(df.sparkSession) if versions is not None else None
         if begun is None:
             # The seeded order is the same for all rows and the sample, so the first centroids are the sample's first rows.
-            state, done = State(D.collected(first_centroids(sample, self.k, cfg.seed))[1], self.split.partial(), tasks), 0
+            state, done = State(first_matrix(sample, self.k, cfg.seed)[1], self.split.partial(), tasks), 0
         else:
             done, c, told = begun
             require(told["same"] == same, "the stored training has another shape, other settings or other vectors")

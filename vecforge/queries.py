@@ -126,7 +126,7 @@ def gemm_dims(s, sf):
 
 def dot_matrix(s, sf):
     e = points(s, sf)
-    _, c = D.collected(first(e, 16))
+    _, c = S.first_matrix(e, 16, SEED)
     rows = D.dot_products(e, c, 32).select("vec_id", F.posexplode("dots").alias("cid", "dot"))
     return rows.select("vec_id", "cid", r6("dot").alias("dot"))
 
@@ -150,7 +150,7 @@ def assign_sql_hof(s, sf):
 
 def assign_arrow(s, sf):
     e = points(s, sf)
-    return D.assign(e, *D.collected(first(e, 100))).select("vec_id", "cid", r6("d2").alias("d2"))
+    return D.assign(e, *S.first_matrix(e, 100, SEED)).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
 def assign_label_centroids(s, sf):
@@ -170,7 +170,7 @@ def assign_lineitem(s, sf):
     scaled = li.select("vec_id", (F.col("l_quantity") / 50).alias("q"), (F.col("l_extendedprice") / 100000).alias("p"), (F.col("l_discount") * 10).alias("d"), (F.col("l_tax") * 10).alias("t"))
     v = from_columns(scaled, "vec_id", ["q", "p", "d", "t"])
     once = v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    out = D.assign(v, *D.collected(S.first_centroids(once, 32, SEED)))
+    out = D.assign(v, *S.first_matrix(once, 32, SEED))
     return out.groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.round(F.sum("d2"), 3).alias("cost"))
 
 
@@ -198,7 +198,7 @@ def knn_sql(s, sf):
 
 def knn_padded(s, sf):
     e = points(s, sf)
-    out = D.knn(e, *D.collected(first(e, 4)), 6, pad=True)
+    out = D.knn(e, *S.first_matrix(e, 4, SEED), 6, pad=True)
     return out.select("query_id", "rank", F.coalesce("neighbor_id", F.lit(-1)).alias("neighbor_id"), F.coalesce(r6("d2"), F.lit(-1.0)).alias("d2"))
 
 
@@ -233,7 +233,7 @@ def sample_sizes(s, sf):
 
 def _assigned(s, sf, k=16):
     e = points(s, sf)
-    return e, D.assign(e, *D.collected(first(e, k)))
+    return e, D.assign(e, *S.first_matrix(e, k, SEED))
 
 
 def _iteration(s, sf, number: int, k: int = 16) -> KMeans:
@@ -249,7 +249,7 @@ def _matrix_rows(s, c):
 def centroid_update(s, sf):
     """Assignment and cluster means in one pass."""
     e = points(s, sf)
-    sums = C.updated(e, *D.collected(first(e, 16)))
+    sums = C.updated(e, *S.first_matrix(e, 16, SEED))
     return sums.select("cid", "size", F.posexplode("total").alias("dim", "total")).select("cid", "dim", r6(F.col("total") / F.col("size")).alias("value"))
 
 
@@ -308,7 +308,7 @@ def tune_partial_d(s, sf):
     """The next prefix after a search of each label's vectors, by the share that a prefix of 32 left to them."""
     e = points(s, sf).withColumn("prev_cid", (F.col("vec_id") % 100).cast("int"))
     split = Split.of(DIM)
-    out = assign_pruned(e, D.collected(first(e, 100))[1], Rotation(DIM, SEED).ratios, split, split.partial())
+    out = assign_pruned(e, S.first_matrix(e, 100, SEED)[1], Rotation(DIM, SEED).ratios, split, split.partial())
     rates = out.join(labelled(s, sf).select("vec_id", "label"), "vec_id").groupBy("label").agg((F.sum("not_pruned") / (F.count(F.lit(1)) * 100)).alias("rate"))
     nexts = [V.tuned_partial(F.lit(p), F.col("rate") * f, 192).alias(name) for name, p, f in (("grown", 32, 1.0), ("shrunk", 32, 0.01), ("least", 18, 0.01), ("most", 180, 1.0))]
     return rates.select("label", r6("rate").alias("rate"), *nexts)
@@ -334,7 +334,7 @@ def pruned_assign(s, sf):
     """Forced pruning with an epsilon so wide that nothing near is lost: equals the exact assignment."""
     e = points(s, sf)
     r, split = Rotation(DIM, SEED, 8.0), Split.of(DIM)
-    _, c = D.collected(first(e, 100))
+    _, c = S.first_matrix(e, 100, SEED)
     rows = r.apply(e).withColumn("prev_cid", (F.col("vec_id") % 100).cast("int"))
     return assign_pruned(rows, r.rotate(c), r.ratios, split, split.partial()).select("vec_id", "cid", r6("d2").alias("d2"))
 
@@ -342,7 +342,7 @@ def pruned_assign(s, sf):
 def assign_slabs(s, sf):
     """All vectors, stored rotated in slabs of 16 dimensions, after an iteration: bounded by their assignments before, later slabs are read for undecided vectors alone."""
     e, r = points(s, sf), Rotation(DIM, SEED)
-    _, c = D.collected(first(e, 16))
+    _, c = S.first_matrix(e, 16, SEED)
     before = D.assign(e, np.arange(16, dtype=np.int32), c)
     return slabs.assign(slabs.write(r.apply(e), DIM, 16), r.rotate(_iteration(s, sf, 1).centroids_), before, r.rotate(c))[0]
 
@@ -350,7 +350,7 @@ def assign_slabs(s, sf):
 def pruning_rate(s, sf):
     """Average share of centroids that the prefix leaves, bounded by the distance to a given one."""
     e = points(s, sf).withColumn("prev_cid", (F.col("vec_id") % 100).cast("int"))
-    _, c = D.collected(first(e, 100))
+    _, c = S.first_matrix(e, 100, SEED)
     split = Split.of(DIM)
     out = assign_pruned(e, c, Rotation(DIM, SEED).ratios, split, split.partial())
     return M.pruning_rate(out, 100).select(r6("not_pruned_pct").alias("not_pruned_pct"))
@@ -359,7 +359,7 @@ def pruning_rate(s, sf):
 def pruning_thresholds(s, sf):
     """The bound that a partial distance to the next centroid in turn has to stay under, by dimensions seen."""
     e = points(s, sf)
-    _, c = D.collected(first(e, 16))
+    _, c = S.first_matrix(e, 16, SEED)
     r = Rotation(DIM, SEED)
     rows = D.assign(e, np.arange(16, dtype=np.int32), c).withColumn("visited", F.explode(F.array(*[F.lit(v) for v in (16, 32, 64)])))
     ratio = F.create_map(*[F.lit(x) for v in (16, 32, 64) for x in (v, r.threshold(1.0, v))])
@@ -383,7 +383,7 @@ def assign_training_given(s, sf):
     """The same to centroids that are given: the first ones of the seeded order."""
     e = points(s, sf)
     m = KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=1.0, force_pruning=True, epsilon=8.0)).fit(e)
-    return m.assign_training_points(e, D.collected(first(e, 16))[1]).select("vec_id", "cid", r6("d2").alias("d2"))
+    return m.assign_training_points(e, S.first_matrix(e, 16, SEED)[1]).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
 def _pruned(s, sf, share: float = 1.0) -> tuple[DataFrame, KMeans]:
@@ -413,13 +413,13 @@ def assign_training_fewer(s, sf):
     """Fewer centroids than were trained, without pruning: the first five of the seeded order."""
     e = points(s, sf)
     m = KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=1.0, suppress_warnings=True)).fit(e)
-    return m.assign_training_points(e, D.collected(first(e, 5))[1]).select("vec_id", "cid", r6("d2").alias("d2"))
+    return m.assign_training_points(e, S.first_matrix(e, 5, SEED)[1]).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
 def assign_training_more(s, sf):
     """More centroids than were trained, with pruning: stored seeds are among the first of them."""
     e, m = _pruned(s, sf)
-    return m.assign_training_points(e, D.collected(first(e, 40))[1]).select("vec_id", "cid", r6("d2").alias("d2"))
+    return m.assign_training_points(e, S.first_matrix(e, 40, SEED)[1]).select("vec_id", "cid", r6("d2").alias("d2"))
 
 
 def training_seeds(s, sf):
@@ -487,7 +487,7 @@ def pull_drawn(s, sf):
 def knn_lists(s, sf):
     """Ten nearest among all rows, from inverted lists around sixteen pivots; lists that cannot hold one are left out."""
     q, p = _queries_and_all(s, sf)
-    return _told(D.other_neighbors(lists_.knn_lists(q, lists_.build(p, D.collected(first(points(s, sf), 16))[1]), 11), 10))
+    return _told(D.other_neighbors(lists_.knn_lists(q, lists_.build(p, S.first_matrix(points(s, sf), 16, SEED)[1]), 11), 10))
 
 
 def gemm_tiled(s, sf):
@@ -597,7 +597,7 @@ def stream_sizes(s, sf):
     e = points(s, sf)
     path = f"{folder(s)}/vecforge/moves-{uuid.uuid4().hex}"
     stream = streams.read_stream(s, f"{sf}/embeddings.parquet*")
-    streams.write_assignments(streams.moves(stream, D.collected(first(e, 16))[1]), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    streams.write_assignments(streams.moves(stream, S.first_matrix(e, 16, SEED)[1]), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return streams.sizes_of(s.read.schema("cid int, delta long").parquet(f"{path}/out"))
 
 
@@ -620,7 +620,7 @@ def _values(s, c: np.ndarray, sizes: np.ndarray):
 def split_empty(s, sf):
     """Repair of an empty cluster beside one that has nearly all rows: two halves, nudged apart by 1 / 1024. The vectors are the table's first two."""
     e = points(s, sf)
-    c = D.collected(first(e, 3))[1]
+    c = S.first_matrix(e, 3, SEED)[1]
     sizes = np.array([98, 0, 1])
     C.split_empty(c, sizes, 99, np.random.default_rng(SEED))
     return _values(s, c, sizes)
@@ -628,7 +628,7 @@ def split_empty(s, sf):
 
 def rebalance(s, sf):
     """Small clusters are pulled towards the only large one, by weights of their sizes up to 7."""
-    c = D.collected(first(points(s, sf), 4))[1]
+    c = S.first_matrix(points(s, sf), 4, SEED)[1]
     sizes = np.array([94, 1, 2, 3])
     C.pull_small(c, sizes, 100, np.random.default_rng(SEED))
     return _values(s, c, sizes)
