@@ -14,7 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import lean, small_batches, table, unused, within, without, written
 
@@ -65,8 +64,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counter
     winners = written(rows.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest").agg(*stats), "winners")
     known = F.broadcast(winners)
     head = rows.join(known, "digest")
-    same = Window.partitionBy("digest")
-    tail = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select("doc_id", "digest", F.min("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"))
+    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    # Aggregated, then joined: a digest just short of frequent is never a group held by one task, and its rows may be split again.
+    tail = rest.join(rest.groupBy("digest").agg(*stats), "digest").select("doc_id", "digest", "keep_id", "group_size")
     return head.select(tail.columns).unionByName(tail).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
