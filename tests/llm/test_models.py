@@ -111,3 +111,37 @@ def test_records_go_where_a_plain_plan_puts_them(spark):
     assert all(r.size == len((rows[i][1] or "").encode()) + 1 for i, r in got.items())
     for s in range(5):
         assert sorted(r.slot for r in got.values() if r.shard == s) == list(range(sum(r.shard == s for r in got.values())))
+
+
+def test_places_are_those_of_a_search():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 5000):
+        tokens = np.unique(np.concatenate([rng.integers(0, 2**64, n, dtype=np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64)[:n]]))
+        asked = np.concatenate([tokens, rng.integers(0, 2**64, 998, dtype=np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64)])
+        place = {x: i for i, x in enumerate(tokens.tolist())}
+        assert toxicity._places(tokens, asked[:, None], toxicity._directory(tokens)).ravel().tolist() == [place.get(x, -1) for x in asked.tolist()]
+    crowded = np.arange(1, 200, dtype=np.uint64)  # all share their leading bits
+    assert toxicity._places(crowded, np.arange(300, dtype=np.uint64), toxicity._directory(crowded)).tolist() == [-1, *range(199), *[-1] * 100]
+
+
+def test_beginnings_are_hashed_like_words():
+    texts = ["abcdefghijkl", "naïveté", "漢字かな混じり文を書く", "a", "😀😀😀😀z"]
+    found = W.find(pa.array(texts), letters=True)
+    whole = found.hashes()
+    got = found.beginnings(np.arange(len(texts)), whole, range(3, 9))
+    for t, text in enumerate(texts):
+        cut = [W.find(pa.array([text[:n]])).hashes(1)[0] if n <= len(text) else whole[t] for n in range(3, 9)]
+        assert got[t].tolist() == [whole[t], *cut]
+
+
+def test_remembered_tokens_score_as_when_spelled_anew(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = pa.array([" ".join(f"w{x}ord{x % 7}" for x in rng.integers(0, 300, 200)) for _ in range(20)] + ["", None])
+    known = np.unique(next(toxicity._tokens(texts))[0])[::3]
+    model = toxicity.Model(known, rng.normal(size=len(known)), -1.0, 1.0, 0.0, np.zeros(3))
+    want = [list(toxicity._token_scores(texts.slice(i, 1), toxicity._Remembered(model.token_scores)))[0].tolist() for i in range(len(texts))]
+    for slots in (1, 8, 1 << 17):
+        monkeypatch.setattr(toxicity, "REMEMBERED", slots)
+        memory = toxicity._Remembered(model.token_scores)
+        for _ in range(2):
+            assert [s.tolist() for i in range(len(texts)) for s in toxicity._token_scores(texts.slice(i, 1), memory)] == want

@@ -15,7 +15,9 @@ labelled documents that the token scores were not learned from.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from .common import lean, rounds, small_batches, table
 SAMPLE_ROWS = 20_000
 #: A token or a beginning has to be in so many sample documents; the model holds all that are, 16 bytes each, which SAMPLE_ROWS bounds.
 LEAST_DOCUMENTS = 3
+#: Tokens that a task remembers, each in the slot that its hash names, where a later one takes its place: 64 bytes a token at most.
+REMEMBERED = 1 << 17
 #: Characters of the beginnings that are learned beside the whole token.
 BEGINNINGS = range(3, 9)
 DRIFT = 1.0
@@ -46,9 +50,13 @@ class Model:
     log_k: float
     weights: np.ndarray  # of the calibration: intercept, best segment, sum of significant segments
 
+    @cached_property
+    def directory(self) -> tuple[np.uint64, np.ndarray]:
+        return _directory(self.tokens)
+
     def places(self, spelled: np.ndarray) -> np.ndarray:
         """For each token, a row of hashes, the place in the model of the one with the strongest log-odds; -1: none is there. Of equal ones the first counts."""
-        at = _places(self.tokens, spelled)
+        at = _places(self.tokens, spelled, self.directory)
         if not at.size or not len(self.tokens):
             return np.full(len(at), -1)
         strength = np.where(at >= 0, np.abs(self.scores[at] - self.other), -1.0)
@@ -119,29 +127,65 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text:
     return one.select("doc_id", "row.text", "y", *[f"row.{c}" for c in held[1:]], "fold")
 
 
-def _places(tokens: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Where each hash is in the sorted `tokens`; -1: nowhere."""
-    if not len(tokens):
-        return np.full(hashes.shape, -1)
-    at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
-    return np.where(tokens[at] == hashes, at, -1)
+def _directory(tokens: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """Of the sorted hashes `tokens`: a shift, and for each value of the bits it leaves the first place whose hash has that value or more; a place or two share one."""
+    bits = len(tokens).bit_length() + 1
+    shift = W.U(64 - bits)
+    return shift, np.searchsorted(tokens >> shift, np.arange((1 << bits) + 1, dtype=W.U)).astype(np.int32)
 
 
-def _tokens(texts: pa.Array):
-    """Of some texts at a time: the distinct tokens, each a row of hashes (itself, then its beginnings), and each text's tokens as rows of these.
+def _places(tokens: np.ndarray, hashes: np.ndarray, directory: tuple[np.uint64, np.ndarray]) -> np.ndarray:
+    """Where each hash is in the sorted `tokens`; -1: nowhere."""
+    shift, starts = directory
+    flat = hashes.ravel()
+    bucket = (flat >> shift).astype(np.int64)
+    at, end = starts[bucket], starts[bucket + 1]
+    out = np.full(len(flat), -1, dtype=np.int64)
+    left = np.flatnonzero(at < end)
+    while len(left):
+        same = tokens[at[left]] == flat[left]
+        out[left[same]] = at[left[same]]
+        at[left] += 1
+        left = left[~same & (at[left] < end[left])]
+    return out.reshape(hashes.shape)
+
+
+class _Remembered:
+    """What `told` says of tokens, a row of hashes each (itself, then its beginnings); tokens that were asked for lately are not spelled again."""
+
+    def __init__(self, told: Callable[[np.ndarray], np.ndarray]):
+        self.told = told
+        self.keys = np.arange(REMEMBERED, dtype=W.U) ^ W.U(1)  # in each slot a hash that belongs into another one
+        self.values = np.empty(0)
+
+    def of(self, found: W.Words, first: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """For the distinct tokens `first` of a batch of texts, whose hashes are `whole`."""
+        slot = (whole & W.U(REMEMBERED - 1)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != whole)
+        fresh = self.told(found.beginnings(first[new], whole[new], BEGINNINGS))
+        if not len(self.values):
+            self.values = np.zeros((REMEMBERED, *fresh.shape[1:]), dtype=fresh.dtype)
+        out = self.values[slot]
+        out[new] = fresh
+        self.keys[slot[new]], self.values[slot[new]] = whole[new], fresh
+        return out
+
+
+def _tokens(texts: pa.Array, remembered: _Remembered | None = None):
+    """Of some texts at a time: what is told of their distinct tokens (their hashes, if nothing is), and each text's tokens as rows of that.
 
     Tokens are ASCII letters and digits and everything beyond ASCII, A-Z lowered.
     """
+    remembered = remembered or _Remembered(lambda spelled: spelled)
     for a, b in rounds(texts, W.ROUND_BYTES):
         found = W.find(texts.slice(a, b - a), lower=True, letters=True)
         whole, first, row = np.unique(found.hashes(), return_index=True, return_inverse=True)
-        yield found.beginnings(first, whole, BEGINNINGS), [row[found.offset[t] : found.offset[t + 1]] for t in range(b - a)]
+        yield remembered.of(found, first, whole), [row[found.offset[t] : found.offset[t + 1]] for t in range(b - a)]
 
 
-def _token_scores(texts: pa.Array, model: Model):
+def _token_scores(texts: pa.Array, remembered: _Remembered):
     """Scores of each text's tokens."""
-    for spelled, rows in _tokens(texts):
-        scores = model.token_scores(spelled)
+    for scores, rows in _tokens(texts, remembered):
         for row in rows:
             yield scores[row]
 
@@ -153,9 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     sample = _labelled(docs, labels, label, doc_id, text, SAMPLE_ROWS).persist()
 
     def present(batches):
+        spell = _Remembered(lambda spelled: spelled)
         for batch in batches:
             ys = batch.column(1).to_pylist()
-            hashes = [np.unique(spelled[np.unique(row)]).view(np.int64) for spelled, rows in _tokens(batch.column(0)) for row in rows]
+            hashes = [np.unique(spelled[np.unique(row)]).view(np.int64) for spelled, rows in _tokens(batch.column(0), spell) for row in rows]
             flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64)
             yield table(["token", "y"], [flat, np.repeat(np.array(ys, dtype=np.int64), [len(h) for h in hashes])], [pa.int64(), pa.int64()])
 
@@ -175,10 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     def corpus(batches):
         """Documents of the whole corpus that hold each of the model's tokens and beginnings, then its documents, tokens and tokens outside the model."""
         known = shared.value
+        directory = _directory(known)
+        find = _Remembered(lambda spelled: _places(known, spelled, directory).astype(np.int32))
         total, ends = np.zeros(len(known), dtype=np.int64), np.zeros(3, dtype=np.int64)
         for batch in batches:
-            for spelled, rows in _tokens(batch.column(0)):
-                at = _places(known, spelled)
+            for at, rows in _tokens(batch.column(0), find):
                 outside = (at < 0).all(axis=1)
                 for row in rows:
                     held = np.unique(at[np.unique(row)])
@@ -207,10 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     def chance(batches):
         """How often each of the model's tokens and beginnings is the one that counts."""
         m = shared_model.value
+        find = _Remembered(m.places)
         total = np.zeros(len(m.tokens), dtype=np.int64)
         for batch in batches:
-            for spelled, rows in _tokens(batch.column(0)):
-                at = m.places(spelled)
+            for at, rows in _tokens(batch.column(0), find):
                 for row in rows:
                     np.add.at(total, at[row][at[row] >= 0], 1)
         seen = np.flatnonzero(total)
@@ -222,9 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     model.lam = _decay(model.scores[counted.column("at").to_numpy()], counted.column("n").to_numpy(), outside)  # chance is what other documents hold
 
     def raw(batches):
+        known = _Remembered(shared_model.value.token_scores)
         for batch in batches:
             out = []
-            for scores in _token_scores(batch.column(0), shared_model.value):
+            for scores in _token_scores(batch.column(0), known):
                 out.append(([s for _, _, s in segments(scores)], len(scores)))
             yield table(["y", "s", "n"], [batch.column(1), [x[0] for x in out], [x[1] for x in out]], [pa.int32(), pa.list_(pa.float64()), pa.int64()])
 
@@ -287,9 +334,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def scan(batches):
         m = shared.value
+        known = _Remembered(m.token_scores)
         for batch in batches:
             out: list[list] = [[] for _ in names[1:]]
-            for h in _token_scores(batch.column(1), m):
+            for h in _token_scores(batch.column(1), known):
                 probability, best, found = _evidence(m, h)
                 told = []
                 for a, b, s in found:
@@ -312,7 +360,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: s
 
     def sift(batches):
         m = shared.value
+        known = _Remembered(m.token_scores)
         for batch in batches:
-            yield batch.filter(pa.array([_evidence(m, h)[0] < threshold for h in _token_scores(batch.column(place), m)], type=pa.bool_()))
+            yield batch.filter(pa.array([_evidence(m, h)[0] < threshold for h in _token_scores(batch.column(place), known)], type=pa.bool_()))
 
     return docs.mapInArrow(lean(sift), docs.schema)

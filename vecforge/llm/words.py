@@ -34,6 +34,10 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(2) + U(seed * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) | U(1)
 
 
+def _finished(polynomial: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(polynomial + length.astype(U) * U(0xA0761D6478BD642F))
+
+
 @dataclass
 class Words:
     """`data`: the bytes; word i is data[start[i]:end[i]]; text t has words offset[t] to offset[t + 1] - 1."""
@@ -66,18 +70,28 @@ class Words:
             chars *= powers[at]
             out[a:b] = np.add.reduceat(chars, first)
             a = b
-        return mix(out + length.astype(U) * U(0xA0761D6478BD642F))
+        return _finished(out, length)
 
     def beginnings(self, some: np.ndarray, whole: np.ndarray, lengths: range) -> np.ndarray:
         """A row for each of the words `some`, whose hashes are `whole`: that hash, then those of its first so many characters; where it has fewer, its own again."""
         out = np.repeat(whole[:, None], 1 + len(lengths), axis=1)
         new = (self.data & 0xC0) != 0x80
         begins, upto = np.append(np.flatnonzero(new), len(self.data)), np.cumsum(new)  # of characters
-        start, first, last = self.start[some], upto[self.start[some]] - 1, upto[self.end[some] - 1]
-        for j, n in enumerate(lengths, 1):
-            long = np.flatnonzero(first + n <= last)
-            if len(long):
-                out[long, j] = Words(self.data, start[long], begins[first[long] + n], np.array([0, len(long)])).hashes(1)
+        powers = np.full(4 * max(lengths), U(_BASE[1]))
+        powers[0] = U(1)
+        powers = np.multiply.accumulate(powers)
+        for a in range(0, len(some), HASH_CHARS // max(lengths)):
+            part = some[a : a + HASH_CHARS // max(lengths)]
+            start = self.start[part]
+            first, last = upto[start] - 1, upto[self.end[part] - 1]
+            size = begins[np.minimum(first + max(lengths), last)] - start
+            upon = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) - np.repeat(upon, size)
+            sums = np.concatenate([np.zeros(1, dtype=U), np.cumsum((self.data[at + np.repeat(start, size)].astype(U) + U(1)) * powers[at], dtype=U)])
+            for j, n in enumerate(lengths, 1):  # a beginning's polynomial is a difference of two running sums
+                long = np.flatnonzero(first + n <= last)
+                size = begins[first[long] + n] - start[long]
+                out[a + long, j] = _finished(sums[upon[long] + size] - sums[upon[long]], size)
         return out
 
     def of_word(self) -> np.ndarray:
