@@ -124,6 +124,14 @@ def test_places_are_those_of_a_search():
     assert toxicity._places(crowded, np.arange(300, dtype=np.uint64), toxicity._directory(crowded)).tolist() == [-1, *range(199), *[-1] * 100]
 
 
+def test_distinct_places():
+    rng = np.random.default_rng(5)
+    mark = np.empty(101, dtype=np.int32)
+    for n in (0, 1, 50, 3000):
+        places = rng.integers(-1, 100, n)
+        assert sorted(toxicity._distinct(places, mark).tolist()) == sorted(set(places.tolist()))
+
+
 def test_beginnings_are_hashed_like_words():
     texts = ["abcdefghijkl", "naïveté", "漢字かな混じり文を書く", "a", "😀😀😀😀z"]
     found = W.find(pa.array(texts), letters=True)

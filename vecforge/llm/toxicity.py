@@ -150,6 +150,13 @@ def _places(tokens: np.ndarray, hashes: np.ndarray, directory: tuple[np.uint64,
     return out.reshape(hashes.shape)
 
 
+def _distinct(places: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Each of `places` once, without sorting them: of equal ones the last written to `mark`, which holds anything before."""
+    turn = np.arange(len(places), dtype=np.int32)
+    mark[places] = turn
+    return places[mark[places] == turn]
+
+
 class _Remembered:
     """What `told` says of tokens, a row of hashes each (itself, then its beginnings); tokens that were asked for lately are not spelled again."""
 
@@ -223,11 +230,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         directory = _directory(known)
         find = _Remembered(lambda spelled: _places(known, spelled, directory).astype(np.int32))
         total, ends = np.zeros(len(known), dtype=np.int64), np.zeros(3, dtype=np.int64)
+        mark = np.empty(len(known) + 1, dtype=np.int32)  # the last one is for -1
         for batch in batches:
             for at, rows in _tokens(batch.column(0), find):
                 outside = (at < 0).all(axis=1)
+                seen = np.empty(len(at), dtype=np.int32)
                 for row in rows:
-                    held = np.unique(at[np.unique(row)])
+                    held = _distinct(at[_distinct(row, seen)].ravel(), mark)
                     total[held[held >= 0]] += 1
                     ends += (1, len(row), outside[row].sum())
         total = np.concatenate([total, ends])
