@@ -1,6 +1,9 @@
 """Registered queries against their SQL twins, as the driver compares them."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from vecforge.queries import ORACLES, QUERIES
@@ -35,3 +38,14 @@ def test_entry(spark):
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 500
+
+
+@pytest.mark.parametrize("name", ["assign_training_meso", "assign_training_weighted", "training_seeds_meso", "training_seeds_weighted"])
+def test_query_of_a_share_of_many_vectors(spark, tmp_path, name):
+    """Half of 9000 vectors is more than 256 a cluster: the share holds all the same."""
+    x = np.random.default_rng(9).standard_normal((9000, 64)).astype(np.float32)
+    columns = {"vec_id": pa.array(np.arange(9000)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.arange(9000, dtype=np.int32) % 10)}
+    pq.write_table(pa.table(columns), tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(ORACLES[name]).df())

@@ -36,7 +36,7 @@ class FlatConfig:
 
     iters: int = 10
     sampling_fraction: float = 0.3
-    max_points_per_cluster: int = 256
+    max_points_per_cluster: int | None = 256  # of a sample; None: the whole share
     seed: int = 42
     use_blas_only: bool = False
     tol: float = 1e-4

@@ -387,9 +387,9 @@ def assign_training_given(s, sf):
 
 
 def _pruned(s, sf, share: float = 1.0) -> tuple[DataFrame, KMeans]:
-    """A trainer after one iteration with pruning forced and nothing near lost, on a share of the vectors."""
+    """A trainer after one iteration with pruning forced and nothing near lost, on a share of the vectors, however many that is."""
     e = points(s, sf)
-    return e, KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=share, force_pruning=True, epsilon=8.0)).fit(e)
+    return e, KMeans(16, DIM, FlatConfig(iters=1, sampling_fraction=share, max_points_per_cluster=None, force_pruning=True, epsilon=8.0)).fit(e)
 
 
 def assign_training_stored(s, sf):
