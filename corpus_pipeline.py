@@ -33,13 +33,13 @@ def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in files by their time slots in a mix at tempered source weights; packing keeps to that layout."""
+    """All documents, laid out in files by their time slots in a mix at tempered source weights; packing numbers its sequences by that layout."""
     return mixing.mix(docs, mixing.tempered(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    """Pieces of documents and their places in sequences of at most 2048 tokens; ascending sequence_id is the mix's order."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), order=mixing.laid_order(docs))
 
 
 STAGES = [("toxicity", toxic_out), ("exact_dedup", exact_once), ("near_dedup", near_once), ("mixing", mixed), ("packing", packed)]

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version, and the registered queries against their SQL."""
 
+import random
 import re
 import zlib
 
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecforge.llm import toxicity
-from vecforge.llm.queries import ORACLES, QUERIES, documents
+from vecforge.llm import mixing, packing, toxicity
+from vecforge.llm.queries import ORACLES, QUERIES, documents, tokenizer
 
 from . import brute
 from .test_operators import check_packing, ids_bytes
@@ -69,6 +70,40 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf):
         assert name == "packing" or out.columns == docs.columns
 
 
+def test_sequences_follow_the_mix(spark, sf, tmp_path):
+    """Packed sequences, by ascending number, meet both sources at their target shares; the documents come source by source."""
+    rng = random.Random(11)
+    rows = [(i, "a" if i < 600 else "b", " ".join(rng.choice(("stone", "river", "cloud", "paper")) for _ in range(1030 + i % 50 + 400 * (i < 600)))) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    corpus_pipeline.mixed(spark, docs, sf).write.parquet(f"{tmp_path}/mixed")
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    spots = [r.spot for r in docs.select(mixing.laid_order(docs).alias("spot")).collect()]
+    assert len(set(spots)) == 800 and 0 <= min(spots) and max(spots) < 1 << 43
+    out = corpus_pipeline.packed(spark, docs, sf).collect()  # a sequence holds one document: each has more than half of 2048 tokens
+    assert len({r.sequence_id for r in out}) == 800
+    order = ["ab"[r.doc_id >= 600] for r in sorted(out, key=lambda r: r.sequence_id)]
+    weights = {"a": 600**0.7, "b": 200**0.7}
+    held = mixing.targets_hold(weights, {"a": 10, "b": 4}) * 64
+    share = weights["a"] / sum(weights.values())
+    assert held > 500 and all(abs(order[:n].count("a") - share * n) <= 128 for n in range(held))
+    assert abs(600 - share * 600) > 128  # as the documents came
+
+
+def test_sequences_of_one_document_and_of_short_ones_have_numbers_of_their_own(spark, sf):
+    rows = [(i, "word " * n, 5 - i) for i, n in enumerate((9000, 20, 3000, 1, 1500, 0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place long").repartition(3)
+    out = packing.pack(docs, tokenizer("word_bpe_49k.json"), order=F.col("place")).collect()
+    enc, want = ids_bytes("word_bpe_49k.json"), []
+    for i, t, _ in rows:
+        raw = enc(t)
+        want += [(i, p, at // 4, len(raw[at : at + 8192]) // 4, zlib.crc32(raw[at : at + 8192])) for p, at in enumerate(range(0, len(raw), 8192))]
+    check_packing(out, want)
+    for r in out:
+        if r.offset == 0:
+            assert r.sequence_id == (5 - r.doc_id) * packing.DOC_PIECES + r.piece
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, name):
     df = QUERIES[name](spark, sf)

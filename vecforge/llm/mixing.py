@@ -22,6 +22,7 @@ from itertools import islice
 from math import ceil, lcm
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -185,3 +186,22 @@ def mix(docs: DataFrame, weights: dict[str | None, float], block_rows: int = 64,
         rows = written(rows, "unnamed")
     laid = _scheduled(rows, weights, block_rows, None).select("row", "slot", "place")
     return laid.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+
+
+def laid_order(docs: DataFrame) -> Column | None:
+    """Each row's place in the Parquet files that a mix was written to, as a number below 2^43: by its file, in the order of names, then by its row there.
+
+    However Spark deals the files to tasks, this is the mix's order. A table
+    that is not read from such files has none.
+    """
+    files = sorted(docs.inputFiles())  # one name a file
+    rows = 43 - len(files).bit_length()
+    try:
+        told = docs.metadataColumn("_metadata")
+        file = F.array_position(F.array(*[F.lit(f.rsplit("/", 1)[-1]) for f in files]), told["file_name"]) - 1
+        if not files or not docs.select(told["row_index"]).columns:
+            return None
+    except AnalysisException:
+        return None
+    fits = (file >= 0) & (told["row_index"] < F.lit(1 << rows))
+    return F.when(fits, file * F.lit(1 << rows) + told["row_index"]).otherwise(F.raise_error(F.lit("a row's place in the mix is unknown")).cast("long"))

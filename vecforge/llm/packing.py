@@ -8,7 +8,11 @@ Tasks with a gap give up `GIVEN_BINS` bins. The documents given up by `GROUP`
 tasks are packed again, kept only if that saves bins, and so on until one group
 is left. A group, too, gives up `GIVEN_BINS` bins at most, whether it saved any
 or not, so no group ever holds more than some `GROUP * GIVEN_BINS` bins.
-Pieces move without their ids, about 60 bytes each, and only those given up.
+Pieces move without their ids, about 80 bytes each, and only those given up.
+
+Where rows have an order (a mix's), sequences have it too: a sequence stands
+where the document of its first and longest piece stands, so what reads
+sequences by ascending number meets documents in that order.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, small_batches, written
@@ -32,8 +36,10 @@ CAPACITY = 2048
 GIVEN_BINS, GROUP = 32, 32
 #: Pieces that a task packs at once.
 TASK_PIECES = 500_000
-_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
-_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, given boolean"
+#: Pieces of one document have so many numbers; the order of documents lies above them.
+DOC_PIECES = 1 << 20
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32", "spot"]
+_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, spot long, part long, bin long, offset long, lead long, given boolean"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -87,30 +93,32 @@ def _packed(pieces: pd.DataFrame, part: int, last: bool = False) -> pd.DataFrame
     if not last:
         given[np.argsort(fill, kind="stable")[: GIVEN_BINS if gap > 0 else 1]] = True
         given &= fill < CAPACITY
-    return pieces.assign(part=part, bin=bins, offset=at, given=given[bins])[[x.split()[0] for x in _SCHEMA.split(", ")]]
+    lead = np.zeros(len(fill), dtype=np.int64)
+    lead[bins[at == 0]] = pieces["spot"].to_numpy()[at == 0]
+    return pieces.assign(part=part, bin=bins, offset=at, lead=lead[bins], given=given[bins])[[x.split()[0] for x in _SCHEMA.split(", ")]]
 
 
-def _first(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame:
+def _first(docs: DataFrame, tokenizer: str, doc_id: str, text: str, order: Column | None) -> DataFrame:
     def pack(batches) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer), TaskContext.get().partitionId()
-        rows = [array("q") for _ in range(6)]  # _PIECE, and 1 where the id is null
+        rows = [array("q") for _ in range(7)]  # _PIECE, and 1 where the id is null
         flushed = 0
 
         def flush():
             pieces = pd.DataFrame(dict(zip(_PIECE, (np.array(x, dtype=np.int64) for x in rows), strict=False)))
-            pieces["doc_id"] = pd.arrays.IntegerArray(pieces["doc_id"].to_numpy(), np.array(rows[5], dtype=bool))
+            pieces["doc_id"] = pd.arrays.IntegerArray(pieces["doc_id"].to_numpy(), np.array(rows[6], dtype=bool))
             for x in rows:
                 del x[:]
             return pa.RecordBatch.from_pandas(_packed(pieces, flushed << 24 | task), schema=arrow, preserve_index=False)
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, spots = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for k in range(0, len(texts), 500):
-                for i, ids in zip(batch.column(0)[k : k + 500].to_pylist(), enc.encode(texts[k : k + 500]), strict=True):
+                for i, spot, ids in zip(batch.column(0)[k : k + 500].to_pylist(), spots[k : k + 500], enc.encode(texts[k : k + 500]), strict=True):
                     ids += b"\0\0\0\0"
                     for p, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                         cut = ids[at : at + 4 * CAPACITY]
-                        for column, x in zip(rows, (i or 0, p, at // 4, len(cut) // 4, zlib.crc32(cut), i is None), strict=True):
+                        for column, x in zip(rows, (i or 0, p, at // 4, len(cut) // 4, zlib.crc32(cut), spot * DOC_PIECES + p, i is None), strict=True):
                             column.append(x)
                 if len(rows[0]) >= TASK_PIECES:
                     yield flush()
@@ -118,17 +126,19 @@ def _first(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
         if rows[0]:
             yield flush()
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "part", "bin", "offset")), ("given", pa.bool_())])
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(pack), _SCHEMA)
+    arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "spot", "part", "bin", "offset", "lead")), ("given", pa.bool_())])
+    spot = F.lit(0) if order is None else order
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), spot.cast("long").alias("spot")).mapInArrow(lean(pack), _SCHEMA)
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", order: Column | None = None) -> DataFrame:
     """Pieces and their places: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     A null or empty text is one piece of the end id alone. Null ids and repeated
     rows are packed like others; an empty table gives no rows. Pieces of one
-    task's documents share sequences, so the input's layout (a mix's order, say)
-    carries over.
+    task's documents share sequences. With `order`, a number from 0 to 2^43 - 1
+    of each row that no other row has, sequences are numbered in the order of
+    the documents of their first pieces; without it, in any.
     """
 
     def again(level: int, last: bool):
@@ -148,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         return repack
 
     small_batches(docs.sparkSession)
-    rows = written(_first(docs, tokenizer, doc_id, text), "packed")
+    rows = written(_first(docs, tokenizer, doc_id, text, order), "packed")
     done, level = rows.where("not given"), 1
     left = rows.where("given")
     parts = left.select("part").distinct().count()
@@ -160,5 +170,5 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         parts, level = (left.select("part").distinct().count() if groups > 1 else 0), level + 1
     if parts == 1:
         done = done.unionByName(left)
-    number = F.col("part") * F.lit(1 << 20) + F.col("bin")
+    number = F.col("part") * F.lit(1 << 20) + F.col("bin") if order is None else F.col("lead")
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset")
