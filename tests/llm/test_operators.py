@@ -712,3 +712,23 @@ def test_stored_map_is_kept_and_edited(spark, texts):
     with pytest.raises(ValueError):
         sharding.shard(docs, 4, path=path)
     assert sharding.shard(docs.limit(0), 5, path=path)[0].count() == 0
+
+
+def test_pre_tokens_are_encoded_once(monkeypatch):
+    """New pieces with marks and digits are made of pre-tokens that were seen before; the memory of them is bounded."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, plain = PieceEncoder(tokenizer(name)), ids_bytes(name)
+        calls = []
+
+        class Model:
+            def tokenize(self, word, model=enc.model):
+                calls.append(word)
+                return model.tokenize(word)
+
+        enc.words.model = Model()
+        text = " ".join(f"stone-{a}(river)\n{b}été" for a in range(30) for b in range(30))
+        assert enc.encode([text]) == [plain(text)[:-4]]
+        assert len(calls) == len(set(calls)) < 100
+        monkeypatch.setattr("vecforge.llm.tokenize.CACHE_WORDS", 5)
+        assert PieceEncoder(tokenizer(name)).encode([text]) == [plain(text)[:-4]]
+        monkeypatch.undo()

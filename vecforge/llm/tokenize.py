@@ -25,6 +25,8 @@ from array import array
 
 #: Distinct pieces that a worker remembers (about 150 bytes each, 60 MB); beyond it the memory starts anew.
 CACHE_PIECES = 400_000
+#: The same of the pre-tokens of pieces with marks, digits or accents: most such pieces are new, their parts are not (15 MB).
+CACHE_WORDS = 100_000
 #: Pieces longer than this are not worth remembering.
 LONG_PIECE = 100
 # The splitting rules of the two public kinds of vocabulary, as their files and the library state them.
@@ -52,10 +54,13 @@ _SPACE = _BYTES[32]
 _ENDS = (".", ",", "!", "?", ";", ":")
 
 
+_BIG = sys.byteorder == "big"
+
+
 def little_endian(ids: list[int]) -> bytes:
     """Ids as unsigned 32-bit little-endian integers."""
     out = array("I", ids)
-    if sys.byteorder == "big":
+    if _BIG:
         out.byteswap()
     return out.tobytes()
 
@@ -94,6 +99,22 @@ class _Pieces(dict):
         return got
 
 
+class _PreTokens(dict):
+    """Ids by pre-token, of the model alone."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        got = little_endian([t.id for t in self.model.tokenize(word.translate(_BYTES))])
+        if len(word) <= LONG_PIECE:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = got
+        return got
+
+
 class PieceEncoder:
     """Encodes texts; `path` is a tokenizers JSON file."""
 
@@ -110,6 +131,7 @@ class PieceEncoder:
         self.keeps_space = told == "kept"
         self.model = self.tok.model
         self.pieces = _Pieces(self, " " if self.keeps_space else "")
+        self.words = _PreTokens(self.model)
         self.ends = {c: self.whole(c) for c in _ENDS}
 
     def whole(self, text: str) -> bytes:
@@ -130,8 +152,7 @@ class PieceEncoder:
         if not _PLAIN.fullmatch(body):
             return self.whole(piece)
         words = _KEPT.findall(piece) if self.keeps_space else _DROPPED.findall(piece.lower())
-        bpe = self.model.tokenize
-        return little_endian([t.id for w in words for t in bpe(w.translate(_BYTES))])
+        return b"".join(map(self.words.__getitem__, words))
 
     def one(self, text: str | None) -> bytes:
         """Ids of one text; null and empty texts have none."""
