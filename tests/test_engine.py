@@ -1,5 +1,7 @@
 """Properties of the clustering engine, on shapes small enough for a test run."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -368,3 +370,18 @@ def test_kernels_match_columns(spark):
     pairs = df.crossJoin(df.select(F.col("vec_id").alias("w"), F.col("embedding").alias("b")))
     for r in pairs.select("vec_id", "w", V.l2_squared("embedding", "b").alias("d"), V.dot("embedding", "b").alias("p")).collect()[:300]:
         assert r.d == pytest.approx(((x[r.vec_id] - x[r.w]) ** 2).sum()) and r.p == pytest.approx(x[r.vec_id] @ x[r.w])
+
+
+@pytest.mark.parametrize("seeded", [False, True])
+def test_pruned_search_holds_few_distances_at_once(seeded):
+    """A slice of vectors with nothing to prune: all pairs are measured, some MB at a time."""
+    rng = np.random.default_rng(12)
+    x, c = rng.standard_normal((4096, 128)), rng.standard_normal((300, 128))
+    split, seeds = Split.of(128), (rng.integers(0, 300, 4096) if seeded else None)
+    want = D.nearest(x, c)
+    tracemalloc.start()
+    at, d2, _, _ = search(x, seeds, c, Rotation(128, 42, 8.0).ratios, split, split.partial())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (at == want).all() and np.allclose(d2, ((x - c[want]) ** 2).sum(axis=1))
+    assert peak < 48 << 20

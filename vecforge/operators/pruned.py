@@ -15,8 +15,8 @@ from .distance import SLICE, matrix
 from .rotation import Split
 
 
-#: Prefix distances held at once (32 MB), and pairs measured at once (64 dimensions of both sides: 100 MB).
-SEEN, PAIRS = 1 << 22, 100_000
+#: Prefix distances held at once (4 MB, some twice that beside them), and pairs measured at once (64 dimensions of both sides: 8 MB).
+SEEN, PAIRS = 1 << 19, 8_000
 
 
 def stages(split: Split, partial: int) -> list[tuple[int, int]]:
@@ -36,9 +36,9 @@ def search(x: np.ndarray, previous: np.ndarray | None, c: np.ndarray, ratios: np
     keep the centroid found before.
     """
     n, d = x.shape
-    rows = max(1, SEEN // len(c))
-    if previous is None and n > rows:  # the least prefix is sought among all centroids at once
-        parts = [search(x[a : a + rows], None, c, ratios, split, partial) for a in range(0, n, rows)]
+    rows = max(1, SEEN // (len(c) if previous is None else min(len(c), CENTROID_BLOCK)))  # without a previous one the least prefix is sought among all centroids at once
+    if n > rows:
+        parts = [search(x[a : a + rows], None if previous is None else previous[a : a + rows], c, ratios, split, partial) for a in range(0, n, rows)]
         at, best, count, work = zip(*parts, strict=True)
         return np.concatenate(at), np.concatenate(best), np.concatenate(count), sum(work)
     count, work = np.zeros(n, dtype=np.int64), 0
