@@ -227,6 +227,27 @@ def test_searches_in_blocks_broadcast_nothing(spark, monkeypatch):
     assert near == {i: int(D.nearest(x[i : i + 1], x[:20])[0]) for i in range(90)}
 
 
+def test_joined_blocks_measure_pairs_as_products(spark, monkeypatch):
+    """Blocks on both sides, copies that tie across them, null ids, few points; a query's vector does not move once for each block of points, nor is a pair measured value by value."""
+    monkeypatch.setattr(D, "SLICE", 8)
+    monkeypatch.setattr(D, "TIES", 1)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.integers(-2, 3, (30, 4)), 3, axis=0).astype(float)
+    df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (None, [0.0] * 4)], "vec_id long, embedding array<float>")
+    p = df.toDF("cid", "centroid")
+    for rows in (7, 1000):
+        found = D.knn_relational(df, p, 5, 4, block_rows=rows)
+        got = {(r.query_id, r["rank"]): (r.neighbor_id, r.d2) for r in found.collect()}
+        d2 = ((x[:, None] - x) ** 2).sum(axis=2)
+        assert got == {(q, r + 1): (int(i), d2[q, i]) for q in range(90) for r, i in enumerate(np.lexsort((np.arange(90), d2[q]))[:5])}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction" not in plan and plan.index("Generate") < plan.index("collect_list")
+    assert D.knn_relational(df.where("vec_id < 2"), p.where("cid < 3"), 5, 4).count() == 6
+    assert D.knn_relational(df.limit(0), p, 5, 4).count() == 0 and D.knn_relational(df, p.limit(0), 5, 4).count() == 0
+    with pytest.raises(Exception, match="vectors must have width"):
+        D.knn_relational(df, p, 5, 3).collect()
+
+
 def test_too_much_to_broadcast_is_refused(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_BYTES", 100)
     df = spark.createDataFrame([(0, [1.0] * 8)], "vec_id long, embedding array<float>")

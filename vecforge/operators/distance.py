@@ -209,19 +209,38 @@ def knn_blocks(queries: DataFrame, points: DataFrame, k: int, d: int) -> DataFra
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
 
 
-def knn_relational(queries: DataFrame, points: DataFrame, k: int, d: int, block_rows: int = 512) -> DataFrame:
-    """k nearest of `points` (cid, centroid) by DataFrame functions alone: a query meets each block of points as one array, which leaves k of it, and a ranking merges the blocks.
+def knn_relational(queries: DataFrame, points: DataFrame, k: int, d: int, block_rows: int = 8192) -> DataFrame:
+    """k nearest of `points` (cid, centroid) by a join and a ranking: both sides are rows of a block each, every block of queries meets every block of points, and each of these rows becomes k rows a query, by matrix products.
 
-    Rows are queries times blocks times k; `knn_blocks` is the form for large queries.
+    Every pair is measured; none becomes a row. A task holds one row, two
+    blocks, at a time; blocks of queries move once for each block of points,
+    points once. Null ids on either side take no part.
     """
-    blocks = max(1, -(-points.count() // block_rows))
-    block = F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("block")
-    held = points.where("cid is not null").select(block, F.struct("cid", "centroid").alias("p")).groupBy("block").agg(F.collect_list("p").alias("all"))
-    asked = queries.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    near = F.transform("all", lambda p: F.struct(V.l2_squared(F.col("embedding"), p["centroid"]).alias("d2"), p["cid"].alias("neighbor_id")))
-    rows = asked.join(held, "block").select(F.col("vec_id").alias("query_id"), F.explode(F.slice(F.array_sort(near), 1, k)).alias("at")).select("query_id", "at.neighbor_id", "at.d2")
+    require(k > 0, "k must be positive")
+
+    def packed(df: DataFrame, key: str, vector: str, name: str, least: int) -> tuple[DataFrame, int]:
+        rows = df.where(F.col(key).isNotNull()).select(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).alias("row"))
+        n = max(least, -(-rows.count() // block_rows))
+        block = F.pmod(F.xxhash64("row.id"), F.lit(n)).cast("int").alias(name)
+        held = rows.groupBy(block).agg(F.collect_list("row").alias("rows"))
+        return held.select(name, F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_v")), n
+
+    def meet(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                asked, x, ids, y = (batch.column(c)[row].values for c in range(4))
+                x, y, ids = matrix(x, d), matrix(y, d), np.asarray(ids)
+                have = min(k, len(y))
+                for a in range(0, len(x), SLICE):
+                    near, dist = top(x[a : a + SLICE], ids, y, have)
+                    told = [pa.array(np.repeat(np.asarray(asked)[a : a + SLICE], have)), pa.array(near.ravel()), pa.array(dist.ravel())]
+                    yield pa.RecordBatch.from_arrays(told, names=["query_id", "neighbor_id", "d2"])
+
+    held, blocks = packed(points, "cid", "centroid", "p", min(8, queries.sparkSession.sparkContext.defaultParallelism))  # small tables use all cores, too
+    asked = packed(queries, "vec_id", "embedding", "q", 1)[0].withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    best = asked.join(held, "p").select("q_ids", "q_v", "p_ids", "p_v").mapInArrow(meet, "query_id long, neighbor_id long, d2 double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "neighbor_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "d2")
 
 
 def other_neighbors(found: DataFrame, k: int) -> DataFrame:

@@ -191,7 +191,7 @@ def knn_topk(s, sf):
 
 
 def knn_sql(s, sf):
-    """Five nearest among all rows, by joins and a ranking alone."""
+    """Five nearest among all rows, by a join of blocks and a ranking."""
     q, p = _queries_and_all(s, sf)
     return _told(D.other_neighbors(D.knn_relational(q, p, 6, DIM), 5))
 
