@@ -732,3 +732,31 @@ def test_pre_tokens_are_encoded_once(monkeypatch):
         monkeypatch.setattr("vecforge.llm.tokenize.CACHE_WORDS", 5)
         assert PieceEncoder(tokenizer(name)).encode([text]) == [plain(text)[:-4]]
         monkeypatch.undo()
+
+
+def test_equal_pieces_of_a_round_are_cut_once(monkeypatch):
+    """Pieces are told apart before they are cut, words that are asked for again outlast a full memory, and wild pieces among tame ones keep their place."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain = ids_bytes(name)
+        wild = ["a b", "", None, "x\n y", "x \ny", "x \n \ny", "\n", " ", "b ", " b", "日本 a 日本", "a 日本 b.\nC d", "it's 'S été,\n\nö 12 a", "\x00 a \x00b"]
+        texts = [*wild, *(" ".join([*"ab", str(k), "été-river(stone)"] * 50) for k in range(40))]
+        enc, cut = PieceEncoder(tokenizer(name)), []
+        find = enc.pre_tokens
+        enc.pre_tokens = lambda text: cut.append(len(text)) or find(text)
+        assert [x + b"\0\0\0\0" for x in enc.encode(texts)] == [plain(t) for t in texts]
+        assert sum(cut) < sum(len(t or "") for t in texts) / 20
+        for texts_ in (wild, wild[:1], ["日本 日本"], ["a  b"], [None]):
+            assert [x + b"\0\0\0\0" for x in PieceEncoder(tokenizer(name)).encode(texts_)] == [plain(t) for t in texts_]
+        monkeypatch.setattr("vecforge.llm.tokenize.CACHE_WORDS", 50)
+        enc, calls = PieceEncoder(tokenizer(name)), []
+
+        class Model:
+            def tokenize(self, word, model=enc.model):
+                calls.append(word)
+                return model.tokenize(word)
+
+        enc.words.model = Model()
+        for k in range(20):
+            enc.encode([f"the stone {' '.join('xyz'[i % 3] * (i + 40 * k) for i in range(1, 40))}"])
+        assert sum("stone" in w for w in calls) == 1
+        monkeypatch.undo()

@@ -40,16 +40,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
         end = np.array([end_id], dtype="<u4").tobytes()
         names, types = ["part", "at", "doc_id", "n_tokens", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), 500):
-                raw = [x + end for x in enc.encode(texts[k : k + 500])]
-                n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32))
-                columns = [pa.array(np.full(len(n), task, dtype=np.int32)), pa.array(at + bounds[:-1]), batch.column(0).slice(k, len(n)), pa.array(n)]
-                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)] + [ids], names=names)
-                at += int(bounds[-1])
+            raw = [x + end for x in enc.encode(batch.column(1).to_pylist())]
+            n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            values = pa.array(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32))
+            columns = [pa.array(np.full(len(n), task, dtype=np.int32)), pa.array(at + bounds[:-1]), batch.column(0), pa.array(n)]
+            ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)] + [ids], names=names)
+            at += int(bounds[-1])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text")]

@@ -4,9 +4,9 @@ Running a BPE model over every word occurrence is the dominating cost of token
 output, and most occurrences repeat. For two kinds of vocabulary files, told by
 the rules that the file itself states, pre-tokens of plain Latin pieces are found here:
 byte-level BPE that keeps white space, and BPE with word ends that drops it.
-Neither merges across an ASCII space, so a text is cut at its spaces, equal
-pieces are encoded once, and the ids of a text are put together from its
-pieces. A text in which a cut could change a whitespace run (two spaces in a
+Neither merges across an ASCII space, so texts are cut at their spaces, the
+equal pieces of some hundred texts are found and encoded once, from pre-tokens
+that are remembered, and the ids of a text are put together from its pieces. A text in which a cut could change a whitespace run (two spaces in a
 row, vocabulary that keeps white space only) or that holds an added token's
 literal, such as <|endoftext|>, is encoded whole; of any other kind of file,
 every text is. `tests/llm` compares every path with a fresh tokenizer.
@@ -22,11 +22,16 @@ import os
 import re
 import sys
 from array import array
+from itertools import compress, pairwise
 
-#: Distinct pieces that a worker remembers (about 150 bytes each, 60 MB); beyond it the memory starts anew.
-CACHE_PIECES = 400_000
-#: The same of the pre-tokens of pieces with marks, digits or accents: most such pieces are new, their parts are not (15 MB).
-CACHE_WORDS = 100_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces of other letters or with white space at an end that a worker remembers (about 150 bytes each, 15 MB); beyond it the memory starts anew.
+CACHE_PIECES = 100_000
+#: Pre-tokens of all others, so many at a time (80 MB with those before): when the memory is full it becomes the older one, from which those that are asked for again come over.
+CACHE_WORDS = 250_000
 #: Pieces longer than this are not worth remembering.
 LONG_PIECE = 100
 # The splitting rules of the two public kinds of vocabulary, as their files and the library state them.
@@ -35,8 +40,12 @@ DROPPED_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces of these characters alone are cut into pre-tokens here: no space but the line feed, no rare letters.
 _PLAIN = re.compile("[\\n!-~À-ÿ]*")
-_KEPT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
-_DROPPED = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
+#: Of these, those that white space neither begins nor ends. In a row of them each one's first pre-token begins with its space.
+_TAME = re.compile("[!-~À-ÿ](?:[\\n!-~À-ÿ]*[!-~À-ÿ])?")
+_ROW, _WILD = re.compile("[\\n -~À-ÿ]*"), ("  ", " \n", "\n ")
+_KEPT = re.compile(f" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+#: With a token for a space, which has no ids.
+_DROPPED = re.compile(f"[{_LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTER}0-9]+| ")
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -49,9 +58,6 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = _byte_letters()
-_SPACE = _BYTES[32]
-#: Marks that end a word; never part of a pre-token with letters.
-_ENDS = (".", ",", "!", "?", ";", ":")
 
 
 _BIG = sys.byteorder == "big"
@@ -86,12 +92,12 @@ def rule(path: str) -> str:
 class _Pieces(dict):
     """Ids by piece; a piece that is looked up for the first time is encoded."""
 
-    def __init__(self, owner: "PieceEncoder", lead: str):
+    def __init__(self, owner: "PieceEncoder"):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner = owner
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.owner.fresh(self.lead + piece)
+        got = self.owner.fresh(piece)
         if len(piece) <= LONG_PIECE:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -100,16 +106,19 @@ class _Pieces(dict):
 
 
 class _PreTokens(dict):
-    """Ids by pre-token, of the model alone."""
+    """Ids by pre-token, of the model alone; `silent` has none."""
 
-    def __init__(self, model):
+    def __init__(self, model, silent: str | None):
         super().__init__()
-        self.model = model
+        self.model, self.silent, self.older = model, silent, {}
 
     def __missing__(self, word: str) -> bytes:
-        got = little_endian([t.id for t in self.model.tokenize(word.translate(_BYTES))])
+        got = self.older.get(word)
+        if got is None:
+            got = b"" if word == self.silent else little_endian([t.id for t in self.model.tokenize(word.translate(_BYTES))])
         if len(word) <= LONG_PIECE:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = got
         return got
@@ -130,48 +139,75 @@ class PieceEncoder:
         # A vocabulary that keeps white space has a piece's leading space in its first token.
         self.keeps_space = told == "kept"
         self.model = self.tok.model
-        self.pieces = _Pieces(self, " " if self.keeps_space else "")
-        self.words = _PreTokens(self.model)
-        self.ends = {c: self.whole(c) for c in _ENDS}
+        self.lead = " " if self.keeps_space else ""
+        self.pieces = _Pieces(self)
+        self.words = _PreTokens(self.model, None if self.keeps_space else " ")
 
     def whole(self, text: str) -> bytes:
         """The plain way: the whole tokenizer on the whole text."""
         return little_endian(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
+    def pre_tokens(self, text: str) -> list[str]:
+        return _KEPT.findall(text) if self.keeps_space else _DROPPED.findall(text.lower())
+
     def fresh(self, piece: str) -> bytes:
-        """Ids of a piece: the model alone on the pre-tokens of a plain Latin one."""
-        led = self.keeps_space and piece[:1] == " "
-        body = piece[1:] if led else piece
-        if body.isascii():
-            if body.isalpha():  # one pre-token, whose letters stand for themselves
-                word = (_SPACE + body if led else body) if self.keeps_space else body.lower()
-                return little_endian([t.id for t in self.model.tokenize(word)])
-            if body[-1:] in _ENDS and body[:-1].isalpha():  # two: a word, seen before or again, and its mark
-                head = self.pieces[body[:-1]] if led or not self.keeps_space else self.fresh(body[:-1])
-                return head + self.ends[body[-1]]
+        """Ids of a piece with its leading space, if it has one: the model alone on the pre-tokens of a plain Latin one."""
+        body = piece[1:] if self.keeps_space and piece[:1] == " " else piece
         if not _PLAIN.fullmatch(body):
             return self.whole(piece)
-        words = _KEPT.findall(piece) if self.keeps_space else _DROPPED.findall(piece.lower())
-        return b"".join(map(self.words.__getitem__, words))
-
-    def one(self, text: str | None) -> bytes:
-        """Ids of one text; null and empty texts have none."""
-        if not text:
-            return b""
-        if not self.cuts or any(x in text for x in self.literals):
-            return self.whole(text)
-        if not self.keeps_space:
-            return b"".join(map(self.pieces.__getitem__, text.split(" ")))
-        if "  " in text:
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.fresh(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return b"".join(map(self.words.__getitem__, self.pre_tokens(piece)))
+
+    def tame(self, row: str) -> pa.Array:
+        """Ids of tame pieces in a row, each after a space."""
+        words = self.pre_tokens(row)
+        ids = list(map(self.words.__getitem__, words))
+        ends = np.cumsum([0, *map(len, ids)])
+        ends = ends[[*(k for k, w in enumerate(words) if w[0] == " "), len(words)]]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(ids))])
+
+    def distinct(self, pieces: list[str]) -> pa.Array:
+        """Ids of pieces that follow a space; all tame ones are cut into pre-tokens in one go."""
+        row = " " + " ".join(pieces)
+        if _ROW.fullmatch(row) and not any(x in row + " " for x in _WILD):
+            return self.tame(row)
+        tame = np.array([x is not None for x in map(_TAME.fullmatch, pieces)])
+        rest = pa.array([self.pieces[self.lead + p] for p in compress(pieces, ~tame)], pa.large_binary())
+        if not tame.any():
+            return rest
+        first = self.tame(" " + " ".join(compress(pieces, tame)))
+        return pa.concat_arrays([first, rest]).take(pa.array(np.where(tame, np.cumsum(tame) - 1, len(first) - 1 + np.cumsum(~tame))))
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each cut at its spaces; Arrow finds the distinct pieces and puts the ids of each text in a row."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        row = self.distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist()).take(coded.indices)
+        _, ends, data = row.buffers()
+        flat, at = memoryview(data or b""), np.frombuffer(ends, np.int64)[np.asarray(cut.offsets)].tolist()
+        return [flat[a:b].tobytes() for a, b in pairwise(at)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; null and empty texts have none."""
         collecting = gc.isenabled()
         gc.disable()  # many short-lived lists and no cycles
         try:
-            return [self.one(t) for t in texts]
+            out, at, rest = [b""] * len(texts), [], []
+            for k, text in enumerate(texts):
+                if not text:
+                    continue
+                if not self.cuts or any(x in text for x in self.literals) or self.keeps_space and "  " in text:
+                    out[k] = self.whole(text)
+                    continue
+                if self.keeps_space:  # the first piece follows no space
+                    first, space, text = text.partition(" ")
+                    out[k] = self.fresh(first)
+                    if not space:
+                        continue
+                at.append(k)
+                rest.append(text)
+            for k, ids in zip(at, self.together(rest) if rest else [], strict=True):
+                out[k] += ids
+            return out
         finally:
             if collecting:
                 gc.enable()
